@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from corvane.llm.common import arrow_batch, pick, slices
 
-CACHE, CACHED_CHARS = 300_000, 64
+CACHE, CACHED_CHARS = 150_000, 64
 WIDTH = 512  # codepoints of a block
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, SPACE, WHITE = range(7)
 #: States: a new piece comes next; in letters, numbers, other; after the blank that the next

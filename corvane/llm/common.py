@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -13,16 +14,27 @@ from pyspark.sql import functions as F
 
 #: Python operators split their input into slices of about so many bytes of text, so that
 #: memory does not depend on how Spark cuts its Arrow batches.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Spark hands Python batches of at most so many bytes, which bounds what a task holds outside
+#: of the JVM's heap when texts are long. A session that sets less keeps its value.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tame(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key) or "")
+    if now is None or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only. Exact names win, so that columns which differ in case, or
     which are there twice, do not make a reference ambiguous; the first of equals is taken."""
+    tame(df.sparkSession)
     where = []
     for name in names:
         exact = [i for i, c in enumerate(df.columns) if c == name]
