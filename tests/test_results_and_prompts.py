@@ -1,0 +1,119 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from corvane.operators import prompts, results
+
+META = "doc_id string, case_number string, court string, date string, case_type string, litigants string, procedure string"
+
+
+def metadata(spark):
+    return spark.createDataFrame(
+        [("a", "（2024）京民初1号", "北京市高级人民法院", "2024-03-01", "民事", "", "一审"), ("b", "", "某区人民法院", "2023-01-01", "刑事", "公诉机关", ""), ("c", "", "", "", "民事", "", "一审")], META
+    )
+
+
+def hits(spark, rows):
+    return spark.createDataFrame([(i + 1, d, i, c, s, 0.5, 0.25) for i, (d, c, s) in enumerate(rows)], "rank int, doc_id string, chunk_index int, content string, final_score double, bm25_score double, vector_score double")
+
+
+def test_filters(spark):
+    r = hits(spark, [("a", "x", 1.0), ("b", "y", 0.9), ("d", "z", 0.8)])
+    ids = lambda **k: [x.doc_id for x in results.filtered(r, metadata(spark), **k).orderBy("rank").collect()]
+    assert ids() == ["a", "b", "d"] and ids(case_type="民事") == ["a"] and ids(level="基层人民法院") == ["b"]
+    assert ids(level="高级人民法院", year="2024") == ["a"] and ids(case_type="民事", year="2023") == []
+
+
+def test_year_facet_and_cap(spark):
+    r = hits(spark, [("b", "x", 1.0), ("a", "x", 0.9), ("a", "x", 0.8), ("a", "x", 0.7)])
+    assert [x.year for x in results.year_facet(r, metadata(spark)).collect()] == ["2023", "2024"]
+    assert [x.rank for x in results.per_doc_cap(r).orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_summaries(spark):
+    a = "- a | 案号: （2024）京民初1号 | 法院: 北京市高级人民法院 | 类型: 民事 | 日期: 2024-03-01 | 程序: 一审\n"
+    b = "- b | 法院: 某区人民法院 | 类型: 刑事 | 日期: 2023-01-01 | 当事人: 公诉机关\n"
+    assert results.metadata_rollup(metadata(spark)).first() == (a + b + "\n（以上为全部 2 个已导入文档的元数据汇总）\n", 2)
+    r = hits(spark, [("b", "x", 1.0), ("a", "x", 0.9), ("b", "x", 0.8), ("c", "x", 0.7)])
+    assert results.metadata_summary(r, metadata(spark)).first()[0] == b + a
+    assert results.metadata_rollup(metadata(spark).limit(0)).first() == ("", 0)
+
+
+def test_result_lines(spark):
+    got = results.result_lines(hits(spark, [("a", "字" * 201, 0.125), ("b", "short", 1.0)])).orderBy("rank").collect()
+    assert got[0].line == "【1】a  相关度: 0.12  (BM25: 0.50 | 向量: 0.25)"
+    assert got[0].preview == "字" * 200 + "..." and got[1].preview == "short"
+
+
+@pytest.mark.parametrize("unit", ["字", "é", "a", "😀"])
+def test_context_stays_within_its_budget(spark, unit):
+    texts = [unit * 30, unit * 50, unit * 10]
+    got = results.build_context(hits(spark, [(f"d{i}", t, 1.0) for i, t in enumerate(texts)]), max_tokens=25).first()[0]
+    room, want = 100, results.HEADER
+    for i, t in enumerate(texts):
+        if room <= 0:
+            break
+        b = t.encode()
+        part = t if len(b) <= room else b[:room].decode("utf-8", "ignore") + "..."
+        want += f"【来源 {i + 1}】d{i} (相关度: 1.00)\n{part}\n\n"
+        room -= len(b)
+    assert got == want
+
+
+def test_context_of_nothing(spark):
+    assert results.build_context(hits(spark, []).limit(0) if False else hits(spark, [("a", "x", 1.0)]).where("rank > 1")).first()[0] == results.HEADER
+
+
+@pytest.mark.parametrize(("key", "ok"), [("sk-" + "a" * 17, True), ("sk-" + "a" * 16, False), ("pk-" + "a" * 30, False), ("sk-" + "a" * 20 + "_", False), ("", False)])
+def test_api_keys(spark, key, ok):
+    assert results.check_api_key(key) is ok
+    assert spark.createDataFrame([(key,)], "k string").select(results.is_api_key(F.col("k"))).first()[0] is ok
+
+
+def test_prompts_route_by_context(spark):
+    df = spark.createDataFrame([("q", "本院判决如下", "m"), ("判决", "weather", "m")], "q string, c string, m string")
+    legal, general = (r[0] for r in df.select(prompts.prompt(F.col("q"), F.col("c"), F.col("m"))).collect())
+    assert legal.startswith("【文档元数据】\nm\n\n【法律文档内容】") and "## 四、参考来源" in legal
+    assert general.startswith("weather\n\n用户问题：判决")
+
+
+def test_request_body(spark):
+    body = json.loads(spark.range(1).select(prompts.request_body(F.lit("s"), F.lit('u"'))).first()[0])
+    assert body["stream"] is True and body["temperature"] == 0.3 and body["max_tokens"] == 2048
+    assert body["messages"] == [{"role": "system", "content": "s"}, {"role": "user", "content": 'u"'}]
+
+
+def event(c):
+    return "data: " + json.dumps({"choices": [{"delta": {"content": c}}]})
+
+
+LINES = [": ping", "", event("你"), "data: {bad", "event: x", event("好") + "\r", 'data: {"choices":[]}', "data: [DONE]"]
+
+
+def test_sse(spark):
+    df = spark.createDataFrame(list(enumerate(LINES)), "seq long, line string").repartition(3)
+    assert prompts.sse_text(df).first()[0] == "你好"
+
+
+def test_stream_in_pieces():
+    class Pieces:
+        ready = True
+
+        def __init__(self, size, fail_at=None):
+            self.size, self.fail_at = size, fail_at
+
+        def stream(self, system, user):
+            raw = "\n".join(LINES).encode()
+            for n, i in enumerate(range(0, len(raw), self.size)):
+                if n == self.fail_at:
+                    raise OSError("lost")
+                yield raw[i : i + self.size]
+
+    for size in (1, 3, 1000):
+        seen = []
+        assert prompts.generate(Pieces(size), "s", "u", seen.append) == "你好" and seen == ["你", "好"]
+    with pytest.raises(OSError):
+        prompts.generate(Pieces(1, 0), "s", "u")
+    assert prompts.generate(Pieces(1, 80), "s", "u") == "你"
+    assert prompts.generate(None, "s", "u").startswith("错误")
