@@ -78,11 +78,15 @@ def _hash(text: str) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "parent", "drop", "article", "parts", "key", "word")
+    """drop: goes for what it is; gone: it or an element around it does; header, article: within such."""
+
+    __slots__ = ("tag", "parent", "drop", "gone", "header", "article", "parts", "key", "word")
 
     def __init__(self, tag: str, parent: Element | None, word: str):
         self.tag, self.parent, self.word = tag, parent, word
-        self.drop, self.article, self.key, self.parts = False, bool(parent and parent.article), 0, []
+        self.drop, self.key, self.parts = False, 0, []
+        self.gone, self.article = (parent.gone, parent.article) if parent else (False, False)
+        self.header = tag == "header" or bool(parent and parent.header)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -199,7 +203,8 @@ class Page:
             e = Element(tag, open_[-1], attrs.get("class", ""))
             e.article = e.article or tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody"
             e.drop = _is_noise(e, attrs)
-            if e.article and not any(x.drop for x in open_) and not e.drop:
+            e.gone = e.gone or e.drop
+            if e.article and not e.gone:
                 self.has_article = True
             if tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(s, at)
@@ -220,33 +225,25 @@ class Page:
         close(1)
         flush()
 
-    def _chain(self, e: Element | None) -> Iterator[Element]:
-        while e is not None:
-            yield e
-            e = e.parent
-
     def kept(self, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
         """Blocks of the article, in page order."""
-        verdict: dict[int, tuple[bool, bool, bool]] = {}
-
-        def judge(e: Element | None) -> tuple[bool, bool, bool]:
-            """(stays, within an article's header, within an article)"""
-            if e is None:
-                return True, False, False
-            known = verdict.get(id(e))
-            if known is None:
-                stays, header, article = judge(e.parent)
-                stays = stays and not e.drop and not (template and e.key in template and self.candidate(e))
-                header = header or e.tag == "header"
-                known = verdict[id(e)] = stays, header, article or e.article
-            return known
-
-        out = []
-        for e, text in self.blocks:
-            stays, header, article = judge(e)
-            if stays and (article or not self.has_article) and not (header and e.tag not in HEADINGS):
-                out.append(text)
-        return out
+        known: dict[Element | None, bool] = {None: False}
+
+        def in_template(e: Element) -> bool:
+            way = []
+            at: Element | None = e
+            while at not in known:
+                way.append(at)
+                at = at.parent
+            for x in reversed(way):
+                known[x] = known[x.parent] or (x.key in template and self.candidate(x))
+            return known[e]
+
+        return [
+            text
+            for e, text in self.blocks
+            if not e.gone and (e.article or not self.has_article) and not (e.header and e.tag not in HEADINGS) and not (template and in_template(e))
+        ]
 
     def candidate(self, e: Element) -> bool:
         return bool(e.key) and e.tag not in ("html", "body", "article", "main") and not (e.article and e.tag in TEXT_BLOCK)
