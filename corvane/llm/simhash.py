@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col="doc_id
 def plan(n: int, radius: int) -> list[list[tuple[int, int]]]:
     """Tables of bit fields (shift, width) to agree on. The number of fields is the least for
     which a tile of random fingerprints is expected to hold 2,000 at most."""
-    for fields in range(radius + 1, BITS + 1):
+    for fields in range(max(2, radius + 1), BITS + 1):
         cuts = [BITS * i // fields for i in range(fields + 1)]
         spans = [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(fields)]
         tables = [list(c) for c in combinations(spans, fields - radius)]
