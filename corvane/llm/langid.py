@@ -39,7 +39,7 @@ class Settings:
     max_docs: int = 3000
     buckets: int = 1 << 15
     dim: int = 16
-    epochs: int = 12
+    steps: int = 2000
     rate: float = 4.0
     batch: int = 16
     kept_aside: float = 0.25
@@ -147,8 +147,9 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], s: Settings) -> Model |
     train = order[len(aside) :]
     emb = rng.normal(0, 0.3, (s.buckets, s.dim)).astype(np.float32)
     w, b = np.zeros((s.dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    for epoch in range(s.epochs):
-        rate = s.rate * (1 - epoch / s.epochs)
+    epochs = max(1, -(-s.steps * s.batch // len(train)))  # as many steps, however few the rows
+    for epoch in range(epochs):
+        rate = s.rate * (1 - epoch / epochs)
         rng.shuffle(train)
         for i in range(0, len(train), s.batch):
             some = train[i : i + s.batch]
@@ -163,7 +164,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], s: Settings) -> Model |
                 emb[x[k][0]] -= rate * x[k][1][:, None] * d
     check = aside if len(aside) else train
     z = np.stack([x[k][1] @ emb[x[k][0]] for k in check]) @ w + b
-    loss = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in np.geomspace(0.2, 5, 60)}
+    loss = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in np.geomspace(0.5, 5, 60)}
     table = np.vstack([emb @ w, np.zeros((1, len(langs)), np.float32)]).astype(np.float32)
     return Model(langs, table, b, float(min(loss, key=loss.get)), s)
 
