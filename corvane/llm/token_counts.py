@@ -101,5 +101,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     rows = materialize(rows, "token-rows")
     tokenizer = tokenizer_digest(tokenizer_path)
     encode_misses(own, rows, cache_path, tokenizer_path, tokenizer)
-    counts = rows.join(stored(docs, cache_path, tokenizer), "content")
+    # a table of its own, so that Spark may split the rows of a content with very many copies
+    counts = rows.join(materialize(stored(docs, cache_path, tokenizer), "token-counts"), "content")
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
