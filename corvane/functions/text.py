@@ -32,15 +32,18 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def index_tokens(tokens: Column, stop_words: Sequence[str] = STOP_WORDS, extra: Sequence[str] = ()) -> Column:
+def index_tokens(tokens: Column, stop_words: Sequence[str] = STOP_WORDS, extra: Sequence[str] = (), lower: bool = True) -> Column:
     """Tokens as they are indexed: lowered, without stop words, without ASCII tokens of one byte
     or others of under three, without numbers. Repeats stay."""
-    stop = F.array(*[F.lit(w) for w in (*stop_words, *extra)])
-    lowered = F.transform(tokens, ascii_lower)
-    return F.filter(
-        lowered,
-        lambda t: (F.octet_length(t) >= F.when(t.rlike(r"^[\x00-\x7F]*$"), 2).otherwise(3)) & ~t.rlike(r"^[0-9.]+$") & ~F.array_contains(stop, t),
-    )
+    stop = [*stop_words, *extra]
+    lowered = F.transform(tokens, ascii_lower) if lower else tokens
+    # a literal list is looked up by hash; a token is ASCII if it has a byte a character
+    return F.filter(lowered, lambda t: (F.octet_length(t) >= F.when(F.octet_length(t) == F.length(t), 2).otherwise(3)) & ~t.isin(stop) & (F.translate(t, "0123456789.", "") != ""))
+
+
+def word_index_tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
+    """index_tokens(word_tokens(text)), lowered in one go."""
+    return index_tokens(word_tokens(ascii_lower(text)), stop_words, lower=False)
 
 
 def latin1(binary: Column) -> Column:

@@ -8,14 +8,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.text import index_tokens, word_tokens
+from corvane.functions.text import index_tokens, word_index_tokens
 
 KEY = ("doc_id", "chunk_index")
 
 
 def tokenised(chunks: DataFrame, tokens: Column | None = None) -> DataFrame:
     """doc_id, chunk_index, tokens as they are indexed."""
-    return chunks.select(*KEY, index_tokens(word_tokens(F.col("content")) if tokens is None else tokens).alias("tokens"))
+    return chunks.select(*KEY, (word_index_tokens(F.col("content")) if tokens is None else index_tokens(tokens)).alias("tokens"))
 
 
 def postings(tokens: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.metadata import doc_metadata
 from corvane.functions.segment import DEFAULT, segmented
-from corvane.functions.text import STOP_WORDS, index_tokens, word_tokens
+from corvane.functions.text import STOP_WORDS, index_tokens, word_index_tokens
 from corvane.operators import bm25, hybrid, prompts, results, vector
 from corvane.operators.chunking import MAX_BYTES, OVERLAP, chunks, with_start_pos
 from corvane.operators.index import KEY, Index
@@ -53,8 +53,9 @@ class Engine:
     vectors: DataFrame | None = None
 
     def _tokens(self, text: Column) -> Column:
-        words = word_tokens(text) if self.settings.lexicon is None else segmented(F.coalesce(text, F.lit("")), self.settings.lexicon)
-        return index_tokens(words, self.settings.stop_words)
+        if self.settings.lexicon is None:
+            return word_index_tokens(text, self.settings.stop_words)
+        return index_tokens(segmented(F.coalesce(text, F.lit("")), self.settings.lexicon), self.settings.stop_words)
 
     def add(self, docs: DataFrame) -> Engine:
         """docs: doc_id, text. Documents with a known id take the place of the old ones; rows
@@ -143,11 +144,14 @@ class Engine:
         return self.search_many([query], k).drop("query_id").orderBy("rank")
 
     def answer(self, query: str, case_type: str = results.ALL, level: str = results.ALL, year: str = results.ALL, respect_filters: bool = False, on_text: Callable[[str], None] | None = None) -> Answer | None:
-        """A blank query has no answer. Questions about all documents look wider, take two chunks a
+        """A blank query has no answer, an empty index a notice. Questions about all documents look wider, take two chunks a
         document and, unless respect_filters is set, pay no heed to filters."""
         query = query.strip()
         if not query:
             return None
+        if self.index is None:
+            nothing = self.spark.createDataFrame([], "rank int, doc_id string")
+            return Answer("没有已导入的文档", nothing, self.spark.createDataFrame([], "year string"), "")
         wide = self.spark.range(1).select(results.asks_aggregate(F.lit(query))).first()[0]
         found = self.search(query, 20)
         years = results.year_facet(found, self.metadata)

@@ -13,24 +13,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import metadata as meta
-from corvane.functions.text import contains_any, index_tokens, word_tokens
+from corvane.functions.text import contains_any, index_tokens, word_index_tokens, word_tokens
 from corvane.functions.vectors import cosine
 from corvane.operators import bm25, hybrid, prompts, results, vector
 from corvane.operators.chunking import chunks, with_start_pos
 from corvane.operators.index import Index, corpus_stats, doc_freq
 from corvane.sources import files
+from corvane.sources.tables import table
 
 QUERY = "the thanedble attion ononble erstly ononble"
 K = 10
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang")
+    return table(spark, d, "documents", "doc_id", "text", "lang")
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
     rows = _docs(spark, d)
-    return rows.select("doc_id", F.lit(0).alias("chunk_index"), index_tokens(word_tokens(F.col("text"))).alias("tokens"))
+    return rows.select("doc_id", F.lit(0).alias("chunk_index"), word_index_tokens(F.col("text")).alias("tokens"))
 
 
 def _index(spark: SparkSession, d: str) -> Index:
@@ -40,12 +41,12 @@ def _index(spark: SparkSession, d: str) -> Index:
 
 
 def _one_query(spark: SparkSession, text: str = QUERY) -> DataFrame:
-    return spark.createDataFrame([(0, text)], "query_id long, query string").withColumn("terms", index_tokens(word_tokens(F.col("query"))))
+    return spark.createDataFrame([(0, text)], "query_id long, query string").withColumn("terms", word_index_tokens(F.col("query")))
 
 
 def _benchmark_queries(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/benchmark.parquet")
-    return rows.select(F.col("item_id").alias("query_id"), index_tokens(word_tokens(F.col("text"))).alias("terms"))
+    rows = table(spark, d, "benchmark")
+    return rows.select(F.col("item_id").alias("query_id"), word_index_tokens(F.col("text")).alias("terms"))
 
 
 def _six(c: str):
@@ -55,7 +56,7 @@ def _six(c: str):
 # ---- sources, chunks, tokens, index
 
 def pages_text(spark, d):
-    return files.text_status(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "html")
+    return files.text_status(table(spark, d, "pages"), "page_id", "html")
 
 
 def import_tally(spark, d):
@@ -122,32 +123,32 @@ def bm25_chunks(spark, d):
 
 
 def cosine_pairs(spark, d):
-    v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     return v.join(nxt, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
 
 
 def vector_topk(spark, d):
-    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    v = table(spark, d, "embeddings")
     asked = v.where("vec_id = 0").select("embedding").first()[0]
     return vector.top_k(v, asked, K).select("vec_id", _six("similarity").alias("similarity"))
 
 
 def vector_multi_query(spark, d):
-    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    v = table(spark, d, "embeddings")
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
     return vector.search(v, asked, 5).select("query_id", "vec_id", _six("similarity").alias("similarity"))
 
 
 def vectors_missing(spark, d):
-    have = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"))
+    have = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"))
     cut = _docs(spark, d).select("doc_id", F.lit(0).alias("chunk_index"))
     return vector.missing(cut, have).select("doc_id")
 
 
 def _sides(spark, d):
     words = bm25.search(_index(spark, d), _one_query(spark), hybrid.depth(K)).drop("rank")
-    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    v = table(spark, d, "embeddings")
     near = vector.top_k(v, v.where("vec_id = 0").select("embedding").first()[0], hybrid.depth(K))
     return words, near.select(F.lit(0).cast("long").alias("query_id"), F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("similarity").alias("vector_score"))
 
@@ -167,7 +168,7 @@ QUESTION = """(CASE c_custkey % 5 WHEN 0 THEN '这个案子发生在哪里 ' WHE
 
 
 def _questions(spark, d):
-    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("query_id"), F.expr(QUESTION).alias("query"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.expr(QUESTION).alias("query"))
 
 
 def expand_terms(spark, d):
@@ -201,7 +202,7 @@ JUDGMENT = f"({COURT} || ' 民事判决书 ' || (CASE WHEN o_orderkey % 11 = 0 T
 
 
 def _judgments(spark, d):
-    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.expr(JUDGMENT).alias("text"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(JUDGMENT).alias("text"))
 
 
 def _metadata(spark, d):
@@ -234,7 +235,7 @@ def doc_metadata(spark, d):
 
 def _results(spark, d, k=20):
     """The k judgments of the dearest orders, in place of a search's results."""
-    o = spark.read.parquet(f"{d}/orders.parquet").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(k)
+    o = table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(k)
     return o.select(F.row_number().over(W.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("final_score"))
 
 
@@ -247,7 +248,7 @@ def year_facet(spark, d):
 
 
 def per_doc_cap(spark, d):
-    line = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("rank"))
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("rank"))
     return results.per_doc_cap(line)
 
 
@@ -275,18 +276,18 @@ def build_context(spark, d):
 
 def legal_route(spark, d):
     t = F.col("text")
-    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" 判决"))).otherwise(F.col("text")).alias("text"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" 判决"))).otherwise(F.col("text")).alias("text"))
     return rows.select("conv_id", "turn", prompts.is_legal(t).alias("is_legal"), prompts.system_prompt(t).alias("system"))
 
 
 def prompt(spark, d):
-    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    rows = table(spark, d, "conversations")
     c = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" 判决"))).otherwise(F.col("text"))
     return rows.select("conv_id", "turn", prompts.prompt(F.col("role"), c, F.when(F.col("conv_id") % 2 == 0, "元数据").otherwise("")).alias("prompt"))
 
 
 def request_body(spark, d):
-    rows = spark.read.parquet(f"{d}/region.parquet")
+    rows = table(spark, d, "region")
     body = prompts.request_body(F.col("r_name"), F.col("r_name"))
     return rows.select("r_regionkey", F.get_json_object(body, "$.messages[1].content").alias("user"), F.get_json_object(body, "$.stream").alias("stream"), F.get_json_object(body, "$.max_tokens").alias("max_tokens"))
 
@@ -296,12 +297,12 @@ SSE = """(CASE event_id % 5 WHEN 0 THEN ': ping' WHEN 1 THEN 'data: [DONE]' WHEN
 
 
 def sse_concat(spark, d):
-    rows = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("event_id").alias("seq"), F.expr(SSE).alias("line"))
+    rows = table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.expr(SSE).alias("line"))
     return prompts.sse_text(rows, by="user_id")
 
 
 def parse_delta(spark, d):
-    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.expr(SSE).alias("line"))
+    rows = table(spark, d, "events").select("event_id", F.expr(SSE).alias("line"))
     return rows.select("event_id", prompts.line_delta(F.col("line")).alias("text"))
 
 
@@ -309,7 +310,7 @@ KEYS = "(CASE c_custkey % 4 WHEN 0 THEN 'sk-' || c_name || '-0123456789' WHEN 1
 
 
 def api_keys(spark, d):
-    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", results.is_api_key(F.expr(KEYS)).alias("valid"))
+    return table(spark, d, "customer").select("c_custkey", results.is_api_key(F.expr(KEYS)).alias("valid"))
 
 
 def stop_word_share(spark, d):

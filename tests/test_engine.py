@@ -42,7 +42,7 @@ def test_hybrid_and_failing_provider(spark):
 
 def test_answers(spark):
     e = engine(spark, chat=prompts.EchoProvider())
-    assert e.answer("  ") is None
+    assert e.answer("  ") is None and legal(spark).answer("判决").text == "没有已导入的文档"
     one = e.answer("诈骗罪 判决", year="2023")
     assert one.text == "## 四、参考来源" and "criminal" in one.prompt and {r.doc_id for r in one.results.collect()} <= {"criminal", "admin"}
     every = e.answer("所有案件 判决 汇总", case_type="民事")
