@@ -12,6 +12,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.sources.tables import table as table
+
 #: Python operators split their input into slices of about so many bytes of text, so that
 #: memory does not depend on how Spark cuts its Arrow batches.
 SLICE_BYTES = 2 << 20
@@ -20,10 +22,6 @@ SLICE_BYTES = 2 << 20
 BATCH_BYTES = 16 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def tame(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.fullmatch(r"(\d+)b?", spark.conf.get(key) or "")

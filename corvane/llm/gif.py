@@ -20,6 +20,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,7 @@ class Image:
                 canvas = before
 
 
+@lru_cache
 def _widths(size: int) -> np.ndarray:
     """Bits of the n-th code after a clear code, until the table is full."""
     n = np.arange(4096 - (1 << size) - 2 + 1)
@@ -86,44 +88,78 @@ def lzw_encode(data: bytes, size: int = 8) -> bytes:
     clear, stop = 1 << size, (1 << size) + 1
     runs: list[list[int]] = []
     codes: list[int] = []
-    table: dict[int, int] = {}
-    get, free, at = table.get, stop + 1, -1
-    for c in data:
-        if at < 0:
-            at = c
-            continue
-        key = at << 8 | c
-        known = get(key)
+    add = codes.append
+    table: dict[int, int] = {}  # a known string's code and the next value: the longer string's code; codes stand 8 bits up
+    get, free, most = table.get, (stop + 1) << 8, 4095 << 8
+    rest = iter(data)
+    at = next(rest, -1) << 8
+    for c in rest:
+        known = get(at | c)
         if known is not None:
             at = known
             continue
-        codes.append(at)
-        at = c
-        if free == 4095:
-            codes.append(clear)
+        add(at)
+        if free == most:
+            add(clear << 8)
             runs.append(codes)
             codes = []
+            add = codes.append
             table.clear()
-            free = stop + 1
+            free = (stop + 1) << 8
         else:
-            table[key] = free
-            free += 1
+            table[at | c] = free
+            free += 256
+        at = c << 8
     if at >= 0:
-        codes.append(at)
-    codes.append(stop)
+        add(at)
+    add(stop << 8)
     runs.append(codes)
     widths = _widths(size)
     bits = np.concatenate([[size + 1], *(widths[: len(r)] for r in runs)])
-    flat = np.concatenate([[clear], *(np.array(r) for r in runs)])
+    flat = np.concatenate([[clear], *(np.array(r) >> 8 for r in runs)])
     grid = (flat[:, None] >> np.arange(12)) & 1
     return np.packbits(grid[np.arange(12) < bits[:, None]].astype(np.uint8), bitorder="little").tobytes()
 
 
+@lru_cache
+def _first(clear: int) -> list[bytes]:
+    return [bytes([i]) for i in range(clear)] + [b"", b""]
+
+
+def _strings(codes: list[int], table: list[bytes], before: bytes, clear: int) -> list[bytes]:
+    """What the codes stand for; table grows as they are read. before: the string of the code before,
+    empty behind a clear code."""
+    rest = iter(codes)
+    out: list[bytes] = []
+    if not before:
+        first = next(rest, None)
+        if first is None:
+            return out
+        if first >= clear:
+            raise ValueError("a code stream begins with a code that is not yet known")
+        before = table[first]
+        out.append(before)
+    known, add, grow = len(table), out.append, table.append
+    for c in rest:
+        if c < known:
+            entry = table[c]
+        elif c == known:
+            entry = before + before[:1]
+        else:
+            raise ValueError("a code stream holds a code that is not yet known")
+        if known < 4096:
+            grow(before + entry[:1])
+            known += 1
+        add(entry)
+        before = entry
+    return out
+
+
 def lzw_decode(stream: bytes, size: int, most: int) -> bytes:
     """At most `most` values of a code stream; what is missing at its end stays missing."""
     clear, stop = 1 << size, (1 << size) + 1
     widths = _widths(size)
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
+    base = _first(clear)
     raw = np.frombuffer(stream + b"\0" * 8, np.uint8).astype(np.uint32)
     last = len(stream) * 8
     bit, out, got = 0, [], 0
@@ -139,24 +175,11 @@ def lzw_decode(stream: bytes, size: int, most: int) -> bytes:
         codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (starts & 7).astype(np.uint32)) & ((1 << ws) - 1)
         marks = np.flatnonzero((codes == clear) | (codes == stop))
         n = int(marks[0]) if len(marks) else len(codes)
-        for c in codes[:n].tolist():
-            if count == 0:
-                if c >= clear:
-                    raise ValueError("a code stream begins with a code that is not yet known")
-                entry = table[c]
-            else:
-                if c < len(table):
-                    entry = table[c]
-                elif c == len(table):
-                    entry = before + before[:1]
-                else:
-                    raise ValueError("a code stream holds a code that is not yet known")
-                if len(table) < 4096:
-                    table.append(before + entry[:1])
-            out.append(entry)
-            before = entry
-            count += 1
-        got = got + sum(map(len, out[-n:])) if n else got
+        part = _strings(codes[:n].tolist(), table, before, clear)
+        if part:
+            count, before = count + n, part[-1]
+            out.append(b"".join(part))
+            got += len(out[-1])
         if len(marks):
             bit = int(ends[n])
             if codes[n] == stop:
