@@ -15,6 +15,11 @@ NUMERALS = "零〇一二三四五六七八九十"
 FIELDS = ("case_number", "court", "date", "case_type", "litigants", "procedure")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _lookup(values: dict[str, str], key: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
     return F.coalesce(table[key], F.lit(""))
@@ -28,9 +33,8 @@ def case_number(text: Column) -> Column:
 
 def court(text: Column) -> Column:
     """The last 人民法院 with two characters or more before it, and up to ten of these."""
-    name = r"[^\x00-\x7F。，、：]"
-    upto = F.regexp_extract(text, rf"(?s)^.*{name}{{2}}人民法院", 0)
-    return F.regexp_extract(upto, rf"{name}{{2,10}}人民法院\z", 0)
+    backwards = F.regexp_extract(F.reverse(text), r"院法民人[^\x00-\x7F。，、：]{2,10}", 0)
+    return F.reverse(backwards)
 
 
 def _ymd(found: Column, pattern: str) -> Column:
@@ -41,7 +45,8 @@ def _ymd(found: Column, pattern: str) -> Column:
 def arabic_date(text: Column) -> Column:
     """The first date with 年, 月 and 日, else the first ISO date; neither is validated. Null if none."""
     written, iso = r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日", r"(\d{4})-(\d{1,2})-(\d{1,2})"
-    return F.coalesce(*(_ymd(F.regexp_extract(text, p, 0), p) for p in (written, iso)))
+    first = lambda pattern: _let(F.regexp_extract(text, pattern, 0), lambda found: _ymd(found, pattern))
+    return F.coalesce(first(written), first(iso))
 
 
 def chinese_number(s: Column) -> Column:
@@ -58,12 +63,12 @@ def chinese_number(s: Column) -> Column:
 
 def chinese_date(text: Column) -> Column:
     """By the text's first 年, the next 月 and the next 日 after it, in numerals right before each."""
-    run = f"[{NUMERALS}]"
     # everything up to the first 年, then up to the next 月, then 日
-    shape = r"(?s)^([^年]*)年([^月]+)月([^日]+)日"
-    number = lambda k: chinese_number(F.regexp_extract(F.regexp_extract(text, shape, k), rf"({run}*)\z", 1))
-    y, m, d = number(1), number(2), number(3)
-    return F.when((y > 1900) & m.between(1, 12) & d.between(1, 31), F.format_string("%04d-%02d-%02d", y, m, d))
+    shape, tail = r"(?s)^([^年]*)年([^月]+)月([^日]+)日", rf"([{NUMERALS}]*)\z"
+    number = lambda k: _let(F.regexp_extract(F.regexp_extract(text, shape, k), tail, 1), chinese_number)
+    sound = lambda n: (n["y"] > 1900) & n["m"].between(1, 12) & n["d"].between(1, 31)
+    numbers = F.struct(number(1).alias("y"), number(2).alias("m"), number(3).alias("d"))
+    return F.when(F.instr(text, "年") > 0, _let(numbers, lambda n: F.when(sound(n), F.format_string("%04d-%02d-%02d", n["y"], n["m"], n["d"]))))
 
 
 def date(text: Column) -> Column:
@@ -125,4 +130,8 @@ def is_empty() -> Column:
 
 
 def doc_metadata(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return with_metadata(docs, text_col).where(~is_empty()).select(F.col(id_col).alias("doc_id"), *FIELDS)
+    """doc_id and the six fields of the documents that have any to store. The test is made on the
+    finished row; as a filter it would move below the projection and extract all fields again."""
+    row = F.struct(*FIELDS)
+    kept = F.filter(F.array(row), lambda m: (m["case_number"] != "") | (m["court"] != "") | (m["date"] != ""))
+    return with_metadata(docs, text_col).select(F.col(id_col).alias("doc_id"), F.inline_outer(kept)).where("case_number is not null")

@@ -41,12 +41,12 @@ def fuse(bm25: DataFrame, vector: DataFrame, k: int | None = None, weights: Sequ
     query = W.partitionBy(keys[0])
     part = lambda c: F.when(F.max(c).over(query) > 0, F.col(c) / F.max(c).over(query)).otherwise(0.0)
     scored = merged.withColumn("final_score", weights[0] * part("bm25_score") + weights[1] * part("vector_score"))
-    ranked = scored.withColumn("rank", F.row_number().over(query.orderBy(F.desc("final_score"), *keys[1:])))
+    ranked = scored.withColumn("rank", F.row_number().over(query.orderBy(F.desc(F.round("final_score", 9)), *keys[1:])))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def fallback(bm25: DataFrame, k: int, keys: Sequence[str] = ("query_id", "doc_id", "chunk_index")) -> DataFrame:
     """Without vectors: the score is BM25's own, undivided."""
-    order = W.partitionBy(keys[0]).orderBy(F.desc("bm25_score"), *keys[1:])
+    order = W.partitionBy(keys[0]).orderBy(F.desc(F.round("bm25_score", 9)), *keys[1:])
     out = bm25.select(*keys, "bm25_score", F.lit(0.0).alias("vector_score"), F.col("bm25_score").alias("final_score"))
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

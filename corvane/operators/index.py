@@ -20,7 +20,9 @@ def tokenised(chunks: DataFrame, tokens: Column | None = None) -> DataFrame:
 
 def postings(tokens: DataFrame) -> DataFrame:
     """term, doc_id, chunk_index, tf."""
-    return tokens.select(*KEY, F.explode("tokens").alias("term")).groupBy("term", *KEY).agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    # not explode(): Catalyst would then put a filter on the array's size below, which makes the tokens a second time
+    terms = tokens.select(*KEY, F.explode_outer("tokens").alias("term")).where("term is not null")
+    return terms.groupBy("term", *KEY).agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
 def chunk_stats(tokens: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from corvane.functions.segment import DEFAULT, segmented
 from corvane.functions.text import STOP_WORDS, index_tokens, word_index_tokens
 from corvane.operators import bm25, hybrid, prompts, results, vector
 from corvane.operators.chunking import MAX_BYTES, OVERLAP, chunks, with_start_pos
-from corvane.operators.index import KEY, Index
+from corvane.operators.index import KEY, Index, chunk_stats, postings
 from corvane.sources import files
 
 
@@ -77,8 +77,7 @@ class Engine:
 
     def _index(self, cut: DataFrame) -> Index:
         rows = cut.select(*KEY, self._tokens(F.col("content")).alias("tokens"))
-        exploded = rows.select(*KEY, F.explode("tokens").alias("term")).groupBy("term", *KEY).agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        return Index(exploded, rows.select(*KEY, F.size("tokens").alias("dl")))
+        return Index(postings(rows), chunk_stats(rows))
 
     def import_files(self, paths: Sequence[str], ocr: files.OcrProvider | None = None) -> DataFrame:
         """Adds what gives text; returns the import log."""

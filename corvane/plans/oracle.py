@@ -33,7 +33,7 @@ SCORED = (
     "sc AS (SELECT query_id, post.doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1)))) AS s "
     "FROM (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY query_id, term) x JOIN post USING (term) JOIN dfs USING (term) JOIN st ON st.doc_id = post.doc_id, cs GROUP BY query_id, post.doc_id)"
 )
-RANKED = "rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS r FROM sc)"
+RANKED = "rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS r FROM sc)"
 
 CHUNKS = r"""WITH RECURSIVE d AS (SELECT doc_id, hex(encode(text)) AS hx, strlen(text) AS n FROM documents WHERE strlen(text) > 0),
 r AS (
@@ -128,7 +128,7 @@ ORACLE = {
     "vectors_missing": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "hybrid_topk": f"WITH {STATS}, {ONE}, {SCORED}, {RANKED}, {NEAR.format(20)}, w AS (SELECT doc_id, s FROM rk WHERE r <= 20), u AS (SELECT coalesce(w.doc_id, near.doc_id) AS doc_id, coalesce(s, 0) AS s, coalesce(vs, 0) AS vs FROM w FULL JOIN near ON w.doc_id = near.doc_id), "
     "mx AS (SELECT greatest(max(s), 0) AS ms, greatest(max(vs), 0) AS mv FROM u), z AS (SELECT doc_id, s, vs, 0.4 * CASE WHEN ms > 0 THEN s / ms ELSE 0 END + 0.6 * CASE WHEN mv > 0 THEN vs / mv ELSE 0 END AS fs FROM u, mx) "
-    "SELECT doc_id, CAST(row_number() OVER (ORDER BY fs DESC, doc_id) AS INTEGER) AS rank, round(s, 6) AS bm25_score, round(vs, 6) AS vector_score, round(fs, 6) AS final_score FROM z QUALIFY rank <= 10",
+    "SELECT doc_id, CAST(row_number() OVER (ORDER BY round(fs, 9) DESC, doc_id) AS INTEGER) AS rank, round(s, 6) AS bm25_score, round(vs, 6) AS vector_score, round(fs, 6) AS final_score FROM z QUALIFY rank <= 10",
     "hybrid_fallback": f"WITH {STATS}, {ONE}, {SCORED}, {RANKED} SELECT doc_id, CAST(r AS INTEGER) AS rank, round(s, 6) AS bm25_score, CAST(0 AS DOUBLE) AS vector_score, round(s, 6) AS final_score FROM rk WHERE r <= 10",
     "expand_terms": f"WITH q AS (SELECT c_custkey AS query_id, {QUESTION} AS q FROM customer) SELECT query_id, q || CASE WHEN {has('q', LOCATION_WORDS)} THEN "
     + " || ".join(f"CASE WHEN list_contains(string_split(q, ' '), '{t}') THEN '' ELSE ' {t}' END" for t in LOCATION_TERMS)

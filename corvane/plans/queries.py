@@ -17,7 +17,8 @@ from corvane.functions.text import contains_any, index_tokens, word_index_tokens
 from corvane.functions.vectors import cosine
 from corvane.operators import bm25, hybrid, prompts, results, vector
 from corvane.operators.chunking import chunks, with_start_pos
-from corvane.operators.index import Index, corpus_stats, doc_freq
+from corvane.operators.index import Index, corpus_stats, doc_freq, postings, tokenised
+from corvane.operators.index import chunk_stats as index_lengths
 from corvane.sources import files
 from corvane.sources.tables import table
 
@@ -35,9 +36,8 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> Index:
-    rows = _tokens(spark, d)
-    posts = rows.select("doc_id", "chunk_index", F.explode("tokens").alias("term")).groupBy("term", "doc_id", "chunk_index").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return Index(posts, rows.select("doc_id", "chunk_index", F.size("tokens").alias("dl")))
+    rows = _tokens(spark, d).persist()  # postings, lengths and statistics read it in turn
+    return Index(postings(rows), index_lengths(rows))
 
 
 def _one_query(spark: SparkSession, text: str = QUERY) -> DataFrame:
@@ -118,7 +118,8 @@ def bm25_score_single(spark, d):
 
 
 def bm25_chunks(spark, d):
-    found = bm25.search(Index.build(chunks(_docs(spark, d))), _one_query(spark), K)
+    rows = tokenised(chunks(_docs(spark, d))).persist()
+    found = bm25.search(Index(postings(rows), index_lengths(rows)), _one_query(spark), K)
     return found.select("doc_id", "chunk_index", _six("bm25_score").alias("bm25_score"))
 
 
@@ -239,12 +240,19 @@ def _results(spark, d, k=20):
     return o.select(F.row_number().over(W.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("final_score"))
 
 
+def _metadata_of(spark, d, found):
+    """Of the results' documents only."""
+    return meta.doc_metadata(_judgments(spark, d).join(found.select("doc_id"), "doc_id", "left_semi"))
+
+
 def filter_conj(spark, d):
-    return results.filtered(_results(spark, d, 200), meta.doc_metadata(_judgments(spark, d)), "民事", "高级人民法院", "1995").select("doc_id", "rank")
+    found = _results(spark, d, 200)
+    return results.filtered(found, _metadata_of(spark, d, found), "民事", "高级人民法院", "1995").select("doc_id", "rank")
 
 
 def year_facet(spark, d):
-    return results.year_facet(_results(spark, d), meta.doc_metadata(_judgments(spark, d)))
+    found = _results(spark, d)
+    return results.year_facet(found, _metadata_of(spark, d, found))
 
 
 def per_doc_cap(spark, d):
@@ -257,7 +265,8 @@ def metadata_rollup(spark, d):
 
 
 def metadata_summary(spark, d):
-    return results.metadata_summary(_results(spark, d), meta.doc_metadata(_judgments(spark, d)))
+    found = _results(spark, d)
+    return results.metadata_summary(found, _metadata_of(spark, d, found))
 
 
 def _hits(spark, d):
