@@ -60,7 +60,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NOISE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget ad ads adv advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr "
     "notice popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus respond reply replies pagination pager toolbar login "
-    "search skip hidden teaser outbrain taboola".split()
+    "search skip hidden outbrain taboola".split()
 )
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"),
@@ -78,14 +78,15 @@ def _hash(text: str) -> int:
 
 
 class Element:
-    """drop: goes for what it is; gone: it or an element around it does; header, article: within such."""
+    """drop: goes for what it is; gone: it or an element around it does; doubtful: so does its class or
+    one around it; header, article: within such."""
 
-    __slots__ = ("tag", "parent", "drop", "gone", "header", "article", "parts", "key", "word")
+    __slots__ = ("tag", "parent", "drop", "gone", "doubtful", "header", "article", "parts", "key", "word")
 
     def __init__(self, tag: str, parent: Element | None, word: str):
         self.tag, self.parent, self.word = tag, parent, word
         self.drop, self.key, self.parts = False, 0, []
-        self.gone, self.article = (parent.gone, parent.article) if parent else (False, False)
+        self.gone, self.doubtful, self.article = (parent.gone, parent.doubtful, parent.article) if parent else (False, False, False)
         self.header = tag == "header" or bool(parent and parent.header)
 
 
@@ -98,21 +99,22 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _is_noise(element: Element, attrs: dict[str, str]) -> bool:
-    tag = element.tag
-    if tag in DROPPED:
+    """By tag, role or being hidden."""
+    if element.tag in DROPPED or element.tag == "header" and not element.article:
         return True
-    if tag == "header":
-        return not element.article
     if not attrs:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return True
-    if attrs.get("role", "").lower() in ROLES:
-        return True
-    if tag in ("html", "body", "main"):
+    return attrs.get("role", "").lower() in ROLES
+
+
+def _is_noise_by_name(element: Element, attrs: dict[str, str]) -> bool:
+    """By class or id. Names like has-sidebar tell of what is next to the element."""
+    if not attrs or element.tag in ("html", "body", "main"):
         return False
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return len(named) > 1 and any(w.lower() in NOISE for w in WORDS.findall(named))
+    names = [n for n in f"{attrs.get('class', '')} {attrs.get('id', '')}".split() if not n.lower().startswith(("has-", "with-", "no-", "without-"))]
+    return any(w.lower() in NOISE for n in names for w in (n, *WORDS.findall(n)))
 
 
 class Page:
@@ -121,7 +123,7 @@ class Page:
     def __init__(self, source: str):
         self.elements: list[Element] = []
         self.blocks: list[tuple[Element, str]] = []
-        self.has_article = False
+        self.article_of = {False: False, True: False}  # is there an article, and one that is doubtful?
         self._parse(source)
 
     def _parse(self, s: str) -> None:
@@ -204,8 +206,11 @@ class Page:
             e.article = e.article or tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody"
             e.drop = _is_noise(e, attrs)
             e.gone = e.gone or e.drop
+            named = _is_noise_by_name(e, attrs)
+            e.doubtful = e.doubtful or named
+            e.drop = e.drop or named and tag not in BLOCK
             if e.article and not e.gone:
-                self.has_article = True
+                self.article_of[e.doubtful] = True
             if tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(s, at)
                 if tag == "iframe" or tag in DROPPED or tag == "title":
@@ -226,7 +231,7 @@ class Page:
         flush()
 
     def kept(self, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
-        """Blocks of the article, in page order."""
+        """Blocks of the article, in page order. What goes for its class alone stays if nothing else is left."""
         known: dict[Element | None, bool] = {None: False}
 
         def in_template(e: Element) -> bool:
@@ -239,11 +244,15 @@ class Page:
                 known[x] = known[x.parent] or (x.key in template and self.candidate(x))
             return known[e]
 
-        return [
-            text
-            for e, text in self.blocks
-            if not e.gone and (e.article or not self.has_article) and not (e.header and e.tag not in HEADINGS) and not (template and in_template(e))
-        ]
+        def chosen(doubtful: bool) -> list[str]:
+            has_article = self.article_of[False] or doubtful and self.article_of[True]
+            return [
+                text
+                for e, text in self.blocks
+                if not e.gone and (doubtful or not e.doubtful) and (e.article or not has_article) and not (e.header and e.tag not in HEADINGS) and not (template and in_template(e))
+            ]
+
+        return chosen(False) or chosen(True)
 
     def candidate(self, e: Element) -> bool:
         return bool(e.key) and e.tag not in ("html", "body", "article", "main") and not (e.article and e.tag in TEXT_BLOCK)

@@ -28,6 +28,9 @@ def page(article, nav="<nav><a href=/>Home</a></nav>", rest=""):
         ("<p>cut off <a href='x", "cut off <a href='x"),
         ("<p>a<p>b</p></div></p>c", "a\nb\nc"),
         ("<script>if (a < b) { x('<p>') }</script><p>ok", "ok"),
+        ("<body><div class='has-sidebar'><p>text</p><div class=sideBar>s</div></div>", "text"),
+        ("<body><div class='layout sidebar-right'><h1>All</h1><p>of it</p></div><nav>n</nav>", "All\nof it"),
+        ("<body><div class=sidebar-right><article><p>in</p></article><p>out</p></div>", "in"),
         ("<title>t</title><p>no head tags</p>", "no head tags"),
     ],
 )
