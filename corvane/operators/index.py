@@ -68,8 +68,9 @@ class Index:
         return terms.crossJoin(self.chunk_stats.agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("doc_id").alias("docs")))
 
     def save(self, path: str) -> None:
-        """Parquet; postings are ranged by term, so a query reads the row groups of its terms."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", *KEY).write.mode("overwrite").parquet(f"{path}/postings")
+        """Parquet; postings are ranged by term and document, so a query reads the row groups of its
+        terms, and a term of very many documents fills several files."""
+        self.postings.repartitionByRange("term", *KEY).sortWithinPartitions("term", *KEY).write.mode("overwrite").parquet(f"{path}/postings")
         self.chunk_stats.write.mode("overwrite").parquet(f"{path}/chunk_stats")
 
     @staticmethod

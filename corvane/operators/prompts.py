@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import contains_any
 
-# Words that tell a legal text.
+# Words that tell a legal text; the headings of a prompt's parts and of the answer's sections.
 LEGAL_WORDS = "人民法院 检察院 原告 被告 判决 裁定 案号 （20 (20 合同法 刑法 民法 诉讼法 违约责任 侵权 上诉 起诉 答辩 审判长 审判员 合议庭".split()
+METADATA_HEADING, TEXT_HEADING, QUESTION_HEADING, QUESTION_LABEL = "【文档元数据】\n", "【法律文档内容】\n", "【用户问题】\n", "用户问题："
+LEGAL_SECTIONS = ("案件概述", "法律分析", "结论", "参考来源")
 
 LEGAL_SYSTEM = "你负责解读裁判文书与法规。只依据所给材料作答：写明案号与出处，分点说明，先述案情后作分析；材料不足时直说。意见仅供参考。"
 GENERAL_SYSTEM = "你负责根据所给材料回答问题；材料里没有的内容请直说没有。"
-LEGAL_SECTIONS = ("案件概述", "法律分析", "结论", "参考来源")
 GENERAL_RULES = ("简明准确，分点作答", "写明依据的来源编号", "材料中没有的内容请直说")
 
 
@@ -28,14 +29,14 @@ def system_prompt(context: Column) -> Column:
 
 
 def legal_prompt(query: Column, context: Column, metadata: Column) -> Column:
-    head = F.when(F.coalesce(metadata, F.lit("")) != "", F.concat(F.lit("【文档元数据】\n"), metadata, F.lit("\n\n"))).otherwise("")
+    head = F.when(F.coalesce(metadata, F.lit("")) != "", F.concat(F.lit(METADATA_HEADING), metadata, F.lit("\n\n"))).otherwise("")
     sections = "\n".join(f"## {n}、{s}" for n, s in zip("一二三四", LEGAL_SECTIONS, strict=True))
-    return F.concat(head, F.lit("【法律文档内容】\n"), context, F.lit("\n\n【用户问题】\n"), query, F.lit("\n\n请依次写出以下各节：\n" + sections))
+    return F.concat(head, F.lit(TEXT_HEADING), context, F.lit("\n\n" + QUESTION_HEADING), query, F.lit("\n\n请依次写出以下各节：\n" + sections))
 
 
 def general_prompt(query: Column, context: Column) -> Column:
     rules = "\n".join(f"{i}. {r}" for i, r in enumerate(GENERAL_RULES, 1))
-    return F.concat(context, F.lit("\n\n用户问题："), query, F.lit("\n\n请依据以上内容回答：\n" + rules))
+    return F.concat(context, F.lit("\n\n" + QUESTION_LABEL), query, F.lit("\n\n请依据以上内容回答：\n" + rules))
 
 
 def prompt(query: Column, context: Column, metadata: Column | None = None) -> Column:

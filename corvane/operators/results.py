@@ -12,9 +12,14 @@ from corvane.functions.metadata import court_level
 from corvane.functions.text import contains_any, latin1, two_places
 
 ALL = "全部"
-# Words of questions about all documents, labels of a summary line.
+# Words of questions about all documents; the labels and texts of summaries, result
+# lines and contexts.
 AGGREGATE_WORDS = "这些案件 所有案件 全部案件 各案件 各个案件 每个案件 这些文档 所有文档 全部文档 各文档 这些文件 所有文件 哪些案件 汇总 统计 总共 一共".split()
 LABELS = {"case_number": "案号", "court": "法院", "case_type": "类型", "date": "日期", "procedure": "程序", "litigants": "当事人"}
+ROLLUP_TAIL = ("\n（以上为全部 ", " 个已导入文档的元数据汇总）\n")
+RESULT_LINE = ("【", "】", "  相关度: ", "  (BM25: ", " | 向量: ", ")")
+HEADER = "以下是与用户问题相关的文档内容：\n\n"
+SOURCE_LINE = ("【来源 ", "】", " (相关度: ", ")\n")
 PREVIEW = 200
 
 
@@ -70,7 +75,7 @@ def metadata_rollup(metadata: DataFrame) -> DataFrame:
     lines = metadata.where(_known()).select("doc_id", summary_line().alias("line"))
     one = lines.agg(F.count(F.lit(1)).alias("n_docs"), F.array_sort(F.collect_list(F.struct("doc_id", "line"))).alias("l"))
     body = F.array_join(F.transform("l", lambda x: F.concat(x["line"], F.lit("\n"))), "")
-    tail = F.concat(F.lit("\n（以上为全部 "), F.col("n_docs").cast("string"), F.lit(" 个已导入文档的元数据汇总）\n"))
+    tail = F.concat(F.lit(ROLLUP_TAIL[0]), F.col("n_docs").cast("string"), F.lit(ROLLUP_TAIL[1]))
     return one.select(F.when(F.col("n_docs") > 0, F.concat(body, tail)).otherwise("").alias("summary"), "n_docs")
 
 
@@ -84,10 +89,9 @@ def metadata_summary(results: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def result_lines(results: DataFrame) -> DataFrame:
     """rank, line, preview: the first 200 characters, `...` behind if the content has over 200 bytes."""
-    line = F.concat(
-        F.lit("【"), F.col("rank").cast("string"), F.lit("】"), F.col("doc_id").cast("string"), F.lit("  相关度: "), two_places(F.col("final_score")), F.lit("  (BM25: "),
-        two_places(F.col("bm25_score")), F.lit(" | 向量: "), two_places(F.col("vector_score")), F.lit(")"),
-    )
+    score = lambda c: two_places(F.col(c))
+    parts = (F.col("rank").cast("string"), F.col("doc_id").cast("string"), score("final_score"), score("bm25_score"), score("vector_score"))
+    line = F.concat(*[x for label, c in zip(RESULT_LINE, parts, strict=False) for x in (F.lit(label), c)], F.lit(RESULT_LINE[-1]))
     preview = F.concat(F.substring("content", 1, PREVIEW), F.when(F.octet_length("content") > PREVIEW, "...").otherwise(""))
     return results.select("rank", line.alias("line"), preview.alias("preview"))
 
@@ -100,9 +104,6 @@ def _head(content: Column, n: Column) -> Column:
     return F.decode(F.encode(F.when(split, F.regexp_replace(kept, r"[\xC0-\xFF][\x80-\xBF]*\z", "")).otherwise(kept), "ISO-8859-1"), "UTF-8")
 
 
-HEADER = "以下是与用户问题相关的文档内容：\n\n"
-
-
 def build_context(results: DataFrame, max_tokens: int = 2000) -> DataFrame:
     """One row: the results' contents by rank, four bytes a token, cut where the budget ends. The
     number of results is the search's k."""
@@ -111,7 +112,9 @@ def build_context(results: DataFrame, max_tokens: int = 2000) -> DataFrame:
     sized = results.select("rank", "doc_id", "content", "final_score", F.octet_length("content").alias("n"))
     placed = sized.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int")).where(F.col("before") < budget)
     text = F.when(F.col("before") + F.col("n") > budget, F.concat(_head(F.col("content"), F.lit(budget) - F.col("before")), F.lit("..."))).otherwise(F.col("content"))
-    entry = F.concat(F.lit("【来源 "), F.row_number().over(W.orderBy("rank")).cast("string"), F.lit("】"), F.col("doc_id").cast("string"), F.lit(" (相关度: "), two_places(F.col("final_score")), F.lit(")\n"), text, F.lit("\n\n"))
+    number = F.row_number().over(W.orderBy("rank")).cast("string")
+    labels = [F.lit(x) for x in SOURCE_LINE]
+    entry = F.concat(labels[0], number, labels[1], F.col("doc_id").cast("string"), labels[2], two_places(F.col("final_score")), labels[3], text, F.lit("\n\n"))
     entries = F.array_sort(F.collect_list(F.struct("rank", "entry")))
     return placed.select("rank", entry.alias("entry")).agg(F.concat(F.lit(HEADER), F.array_join(F.transform(entries, lambda x: x["entry"]), "")).alias("context"))
 
