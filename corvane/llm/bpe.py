@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from corvane.llm.common import arrow_batch, pick, slices
 
-CACHE, CACHED_CHARS = 150_000, 64
+CACHE, CACHED_CHARS, SHORT = 250_000, 64, 48
 WIDTH = 512  # codepoints of a block
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, SPACE, WHITE = range(7)
 #: States: a new piece comes next; in letters, numbers, other; after the blank that the next
@@ -159,6 +159,14 @@ class Codec:
         for token, rank in self.ranks.items():
             self.token[rank] = token
         self.lengths = np.array([len(t) for t in self.token], np.int64)
+        # two tokens' ids (the first one 20 bits up) and the id of both together
+        self.pairs = {
+            self.ranks[a] << 20 | self.ranks[b]: rank
+            for token, rank in self.ranks.items()
+            for i in range(1, len(token))
+            if (a := token[:i]) in self.ranks and (b := token[i:]) in self.ranks
+        }
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.ids: dict[str, tuple[int, ...]] = {}
         self.digits: dict[str, str] = {}
         self.before: dict[str, tuple[int, ...]] = {}
@@ -169,6 +177,8 @@ class Codec:
         whole = ranks.get(piece)
         if whole is not None:
             return (whole,)
+        if len(piece) <= SHORT:
+            return self._merge_short(piece)
         n = len(piece)
         end = list(range(1, n + 1))  # of the part that starts here; 0 where none starts
         prev = list(range(-1, n))
@@ -196,6 +206,21 @@ class Codec:
             i = end[i]
         return tuple(out)
 
+    def _merge_short(self, piece: bytes) -> tuple[int, ...]:
+        """The same, by looking for the least of a short list each time."""
+        get, none = self.pairs.get, len(self.token)
+        ids = [self.single[b] for b in piece]
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            ids[i] = least
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | least, none)
+            if i < len(ranks):
+                ranks[i] = get(least << 20 | ids[i + 1], none)
+        return tuple(ids)
+
     def learn(self, own: list[str]) -> None:
         """Puts what is missing into the cache. A full cache becomes the older of two; what is
         asked for again comes back from there."""
