@@ -22,10 +22,15 @@ SLICE_BYTES = 2 << 20
 BATCH_BYTES = 16 << 20
 
 
+def _bytes(text: str) -> int | None:
+    m = re.fullmatch(r"\s*(\d+)\s*([bkmgt]?)b?\s*", text.lower())
+    return int(m[1]) << 10 * "bkmgt".index(m[2] or "b") if m else None
+
+
 def tame(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key) or "")
-    if now is None or int(now[1]) > BATCH_BYTES:
+    now = _bytes(spark.conf.get(key))
+    if now is None or not 0 < now <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
@@ -61,8 +66,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What this process has put into the shared folder.
+_made: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/corvane/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/corvane/{label}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made.discard(path)
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this process. DataFrames that operators returned may read
+    them, so it is for when these have been written or are no longer needed."""
+    for path in sorted(_made):
+        drop_path(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -2,7 +2,7 @@ import corpus_pipeline
 import pytest
 
 from corvane.llm import bpe, decontaminate, langid, queries, secrets, simhash
-from corvane.llm.common import pick
+from corvane.llm.common import _bytes, clear_shared, materialize, pick
 
 DATA = "/root/testdata/sf0.001"
 
@@ -48,6 +48,20 @@ def test_run_equals_stages(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == sorted(map(tuple, stages[-1][2].collect()))
 
 
+def test_intermediate_tables_can_be_cleared(spark):
+    made = materialize(spark.range(3), "test")
+    assert made.count() == 3
+    file = made.inputFiles()[0]
+    clear_shared(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(file)
+
+
+@pytest.mark.parametrize(("text", "n"), [("67108864b", 64 << 20), ("16m", 16 << 20), ("1", 1), ("2 GB", 2 << 30), ("-1", None)])
+def test_sizes(text, n):
+    assert _bytes(text) == n
+
+
 def test_pick_takes_exact_names(spark):
     df = spark.createDataFrame([(1, "a", "b", "c")], "doc_id long, text string, TEXT string, x string").toDF("doc_id", "text", "TEXT", "text")
     assert pick(df, "text", "doc_id").first() == ("a", 1)
