@@ -20,8 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.dedup(docs)
+    """One document of each group of texts that share about four fifths of their shingles of five
+    words, or more."""
+    return simhash.dedup(docs, simhash.SIMILAR)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
+    found = sharding.shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=24)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 

@@ -12,6 +12,10 @@ skipped. Tiles beyond `tile_rows` are cut by population count and hash, and only
 cuts whose population counts lie within the radius are dealt out, so no task gets an
 unbounded tile. A tile yields a forest (a row per fingerprint at most), never its pairs.
 
+With several lanes of 64 bits (`SIMILAR`, for documents that share four fifths of their shingles)
+the radius is a sixth of the bits. Fields of all agreeing bits are then too narrow to tile by, so
+tiles take bits at random, in enough tables that a pair at the radius is missed once in 200 times.
+
 Components: rounds of minimum-label hooking and shortcutting over the forests, as DataFrames
 that are written to the shared folder each round.
 
@@ -23,6 +27,7 @@ repeated, alike. Extra columns are ignored by `components`, kept by `dedup`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -36,36 +41,63 @@ from corvane.llm.common import arrow_batch, materialize, pick, slices
 
 BLOCK = 512
 BITS = 64
+LEVEL = 8  # population counts to a level, where fingerprints have several lanes
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+def _majority(text: str | None, width: int, seed: int, lanes: int) -> np.ndarray:
+    """lanes x 64 bits: the shingles' XXH64 and, for further lanes, values mixed from it."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(lanes, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     last = ends[width - 1 :] if len(words) >= width else ends[-1:]
     h = xxhash.xxh64_intdigest
-    total = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
-        some = [h(joined[a:z], seed) for a, z in zip(starts[at : min(n, at + (1 << 16))].tolist(), last[at : at + (1 << 16)].tolist())]
-        bits = np.unpackbits(np.array(some, "<u8").view(np.uint8), bitorder="little").reshape(-1, BITS)
-        total += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
+    total = np.zeros((lanes, BITS), np.int64)
+    for at in range(0, n, 1 << 14):
+        some = np.array([h(joined[a:z], seed) for a, z in zip(starts[at : min(n, at + (1 << 14))].tolist(), last[at : at + (1 << 14)].tolist())], "<u8")
+        for lane in range(lanes):
+            total[lane] += np.unpackbits((_mixed(some, lane) if lane else some).view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
+    return np.packbits(total * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def _mixed(x: np.ndarray, lane: int) -> np.ndarray:
+    """A bijection of 64-bit values, another one for each lane."""
+    x = x + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    return int(_majority(text, width, seed, 1)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), a row per row of docs."""
+def _column(fps: list[np.ndarray] | np.ndarray, lanes: int) -> pa.Array:
+    """Rows of lanes as Spark has them: one lane as a signed long, more as bytes."""
+    if lanes == 1:
+        return pa.array(np.array(fps, np.uint64).reshape(-1).view(np.int64))
+    return pa.array([f.tobytes() for f in fps], pa.binary())
+
+
+def _lanes(column: pa.Array) -> np.ndarray:
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col="doc_id", text_col="text", lanes: int = 1) -> DataFrame:
+    """doc_id, fp (64 bits as a signed long; several lanes as bytes), a row per row of docs."""
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fps = np.array([fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], np.uint64)
-            yield arrow_batch([batch.column(0), pa.array(fps.view(np.int64))], pa.schema([("doc_id", batch.column(0).type), ("fp", pa.int64())]))
+            fps = _column([_majority(t, width, seed, lanes) for t in batch.column(1).to_pylist()], lanes)
+            yield arrow_batch([batch.column(0), fps], pa.schema([("doc_id", batch.column(0).type), ("fp", fps.type)]))
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType() if lanes == 1 else T.BinaryType())]))
 
 
 def plan(n: int, radius: int) -> list[list[tuple[int, int]]]:
@@ -83,8 +115,9 @@ def plan(n: int, radius: int) -> list[list[tuple[int, int]]]:
 def forest(fps: np.ndarray, radius: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Exact comparison of one tile; indices (child, parent) of a spanning forest of its links.
     With split, only the first `split` fingerprints against the rest."""
-    n = len(fps)
-    pop = np.bitwise_count(fps).astype(np.int16)
+    fps = fps.reshape(len(fps), -1)
+    n, lanes = fps.shape
+    pop = np.bitwise_count(fps).sum(1, dtype=np.int16)
     label = list(range(n))
 
     def root(i: int) -> int:
@@ -104,7 +137,10 @@ def forest(fps: np.ndarray, radius: int, split: int | None = None) -> tuple[np.n
                 break
             if pop[a[0]] - pop[b[-1]] > radius:
                 continue
-            near = np.bitwise_count(fps[a][:, None] ^ fps[b][None, :]) <= radius
+            differ = np.bitwise_count(fps[a, 0][:, None] ^ fps[b, 0][None, :])
+            for lane in range(1, lanes):
+                differ = differ + np.bitwise_count(fps[a, lane][:, None] ^ fps[b, lane][None, :]).astype(np.uint16)
+            near = differ <= radius
             if split is None and i == j:
                 np.fill_diagonal(near, False)
             if not near.any():
@@ -126,8 +162,8 @@ def forest(fps: np.ndarray, radius: int, split: int | None = None) -> tuple[np.n
 
 
 def links(points: DataFrame, n: int, radius: int = 4, tile_rows: int = 4096) -> DataFrame:
-    """points: fp, id, a row per distinct fingerprint. Returns (a, b): forests over ids whose
-    union links all that the radius links."""
+    """points: fp, a row per distinct fingerprint of one lane. Returns (a, b): forests whose union
+    links all that the radius links."""
     tables = plan(n, radius)
 
     def key(fields: list[tuple[int, int]]):
@@ -137,66 +173,108 @@ def links(points: DataFrame, n: int, radius: int = 4, tile_rows: int = 4096) ->
             width += w
         return out
 
-    keyed = points.select("fp", "id", F.posexplode(F.array(*[key(t) for t in tables])).alias("t", "k")).withColumn("pop", F.bit_count("fp"))
-    # cuts of the tiles that are too large for one task; there are few, and they are counted by (tile, population)
-    counts = keyed.groupBy("t", "k", "pop").count()
+    keyed = points.select("fp", F.posexplode(F.array(*[key(t) for t in tables])).alias("t", "k")).withColumn("level", F.bit_count("fp"))
+    return _compared(_dealt(keyed, radius, tile_rows), radius, 1)
+
+
+def wide_links(points: DataFrame, n: int, radius: int, lanes: int, tile_rows: int = 4096, missed: float = 0.005, seed: int = 42) -> DataFrame:
+    """The same for fingerprints of several lanes, where the radius is too wide for every pair to
+    agree on whole fields. Each of several tables takes some bits, drawn at random, as its tiles'
+    keys: as many bits as leave about 1,000 rows of random fingerprints to a tile, and as many
+    tables as let a pair at the radius miss all of them with a probability of `missed` at most.
+    Within tiles the comparison is exact."""
+    width = lanes * BITS
+    bits = max(0, int(np.ceil(np.log2(max(n, 1) / 1024))))
+    alike = (1 - radius / width) ** bits
+    tables = 1 if not bits else int(np.ceil(np.log(missed) / np.log(1 - alike)))
+    rng = np.random.default_rng(seed)
+    chosen = [np.sort(rng.choice(width, bits, replace=False)) for _ in range(tables)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("t", pa.int32()), ("k", pa.int64()), ("level", pa.int32()), ("fp", pa.binary())])
+        for batch in batches:
+            fps = _lanes(batch.column(0)) if batch.num_rows else np.zeros((0, lanes), np.uint64)
+            flags = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little") if len(fps) else np.zeros((0, width), np.uint8)
+            level = pa.array((np.bitwise_count(fps).sum(1, dtype=np.int64) // LEVEL).astype(np.int32))
+            for t, which in enumerate(chosen):
+                k = flags[:, which].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(fps), np.int64)
+                yield arrow_batch([pa.array(np.full(len(fps), t, np.int32)), pa.array(k), level, batch.column(0)], schema)
+
+    keyed = points.select("fp").mapInArrow(run, "t int, k long, level int, fp binary")
+    return _compared(_dealt(keyed, radius // LEVEL + 1, tile_rows), radius, lanes)
+
+
+def _dealt(keyed: DataFrame, reach: int, tile_rows: int) -> DataFrame:
+    """keyed: t, k (the tile), level (grows with the population count), fp. Returns tile, two, side,
+    fp, the rows of a tile side by side. Tiles beyond tile_rows are cut by level and hash; the pairs
+    of cuts within `reach` levels become tiles of two sides."""
+    counts = keyed.groupBy("t", "k", "level").count()
     large = (
         counts.groupBy("t", "k")
-        .agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("count") / tile_rows).cast("int")))).alias("cuts"))
+        .agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("count") / tile_rows).cast("int")))).alias("cuts"))
         .where(F.col("n") > tile_rows)
         .select("t", "k", "cuts")
     )
     joined = keyed.join(large, ["t", "k"], "left")
-    mine = F.pmod(F.xxhash64("fp"), F.col("cuts")[F.col("pop")]).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), F.col("cuts")[F.col("level")]).cast("int")
     others = F.expr(
-        f"flatten(transform(sequence(pop - {radius}, pop + {radius}), p -> if(cuts[p] is null, array(), "
+        f"flatten(transform(sequence(level - {reach}, level + {reach}), p -> if(cuts[p] is null, array(), "
         "transform(sequence(0, cuts[p] - 1), c -> struct(p as p, c as c)))))"
     )
+    pair = F.col("other").isNotNull()
     dealt = (
-        joined.withColumn("me", F.struct(F.col("pop").alias("p"), mine.alias("c")))
+        joined.withColumn("me", F.struct(F.col("level").alias("p"), mine.alias("c")))
         .withColumn("other", F.explode_outer(F.when(F.col("cuts").isNotNull(), others)))
         .select(
-            "t", "k", F.when(F.col("other").isNotNull(), F.least("me", "other")).alias("lo"), F.when(F.col("other").isNotNull(), F.greatest("me", "other")).alias("hi"),
-            F.when(F.col("other").isNotNull(), (F.col("me") > F.col("other")).cast("int")).otherwise(0).alias("side"), "fp", "id",
+            "t", "k", F.when(pair, F.least("me", "other")).alias("lo"), F.when(pair, F.greatest("me", "other")).alias("hi"),
+            F.when(pair, (F.col("me") > F.col("other")).cast("int")).otherwise(0).alias("side"), "fp",
         )
-    )
+    )
     tile = F.xxhash64("t", "k", "lo.p", "lo.c", "hi.p", "hi.c")
-    dealt = dealt.select(tile.alias("tile"), F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)).alias("two"), "side", "fp", "id")
-    parted = dealt.repartition(F.col("tile")).sortWithinPartitions("tile", "side")
+    dealt = dealt.select(tile.alias("tile"), F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)).alias("two"), "side", "fp")
+    return dealt.repartition(F.col("tile")).sortWithinPartitions("tile", "side")
 
-    def one(tile: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        two, side, fps, ids = (np.concatenate(c) for c in zip(*tile, strict=True))
-        split = int((side == 0).sum()) if two[0] else None
-        x, y = forest(fps.view(np.uint64), radius, split)
-        return ids[x], ids[y]
+
+def _compared(dealt: DataFrame, radius: int, lanes: int) -> DataFrame:
+    """(a, b): a forest of each tile."""
+    kind = dealt.schema["fp"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        held: list = []
-        now = None
+        held: list[tuple[np.ndarray, ...]] = []
+        now, out_a, out_b = None, [], []
+
+        def end() -> None:
+            if sum(len(h[0]) for h in held) > 1:
+                two, side, fps = (np.concatenate(c) for c in zip(*held, strict=True))
+                x, y = forest(fps, radius, int((side == 0).sum()) if two[0] else None)
+                if len(x):
+                    out_a.append(fps[x])
+                    out_b.append(fps[y])
+            held.clear()
+
+        def made() -> Iterator[pa.RecordBatch]:
+            if out_a:
+                a, b = _column(np.concatenate(out_a), lanes), _column(np.concatenate(out_b), lanes)
+                out_a.clear()
+                out_b.clear()
+                yield arrow_batch([a, b], pa.schema([("a", a.type), ("b", b.type)]))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tile, two, side, fps, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            tile, two, side = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:3])
+            fps = _lanes(batch.column(3))
             cuts = np.concatenate(([0], np.nonzero(np.diff(tile))[0] + 1, [len(tile)]))
-            out_a, out_b = [], []
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if held and tile[lo] != now:
-                    if sum(len(h[0]) for h in held) > 1:
-                        x, y = one(held)
-                        out_a.append(x)
-                        out_b.append(y)
-                    held = []
+                if tile[lo] != now:
+                    end()
                 now = tile[lo]
-                held.append((two[lo:hi], side[lo:hi], fps[lo:hi], ids[lo:hi]))
-            if out_a:
-                yield arrow_batch([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema)
-            held = [tuple(np.array(c) for c in h) for h in held]
-        if held and sum(len(h[0]) for h in held) > 1:
-            x, y = one(held)
-            yield arrow_batch([pa.array(x), pa.array(y)], schema)
+                held.append((two[lo:hi].copy(), side[lo:hi].copy(), fps[lo:hi].copy()))
+            yield from made()
+        end()
+        yield from made()
 
-    return parted.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, T.StructType([T.StructField(n, kind) for n in ("a", "b")]))
 
 
 def connected(edges: DataFrame, label: str = "cc") -> DataFrame:
@@ -224,25 +302,47 @@ def connected(edges: DataFrame, label: str = "cc") -> DataFrame:
         now = materialize(now.join(side, "a").join(other, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{label}-left")
     spark = edges.sparkSession
     if not stars:
-        return spark.createDataFrame([], "node long, root long")
+        kind = edges.schema["a"].dataType
+        return spark.createDataFrame([], T.StructType([T.StructField(n, kind) for n in ("node", "root")]))
     out = stars[0].select("node", F.col("up").alias("root"))
     for star in stars[1:]:
         out = out.join(star.select(F.col("node").alias("root"), F.col("up").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return out
 
 
-def classes(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class Like:
+    """What counts as alike: shingles of `width` words, fingerprints of lanes x 64 bits, linked at
+    `radius` differing bits."""
+
+    width: int = 4
+    radius: int = 4
+    lanes: int = 1
+    seed: int = 42
+
+
+#: Nearly equal texts; every link is found.
+EXACT = Like()
+#: Texts whose shingles of five words agree in about 0.8 (Jaccard) or more: such shingle counts stand
+#: at an angle of 0.152 pi or less, so 256 bits differ in 39 of them on average at 0.8, in 33 at 0.85.
+SIMILAR = Like(width=5, radius=44, lanes=4)
+
+
+def classes(docs: DataFrame, like: Like = EXACT, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame]:
     """(rows, classes): doc_id, fp for each row of docs; fp, root for each fingerprint."""
-    rows = materialize(fingerprints(docs, width, seed, id_col, text_col), "simhash")
-    # points are numbered by their own fingerprint: it is unique and never null
-    points = materialize(rows.select("fp").distinct().withColumn("id", F.col("fp")), "simhash-points")
-    trees = connected(links(points, points.count(), radius), "simhash")
-    return rows, points.join(trees, points.id == trees.node, "left").select("fp", F.coalesce("root", "id").alias("root"))
+    rows = materialize(fingerprints(docs, like.width, like.seed, id_col, text_col, like.lanes), "simhash")
+    points = materialize(rows.select("fp").distinct(), "simhash-points")
+    if like.lanes == 1:
+        found = links(points, points.count(), like.radius)
+    else:
+        found = wide_links(points, points.count(), like.radius, like.lanes)
+    trees = connected(found, "simhash")
+    return rows, points.join(trees, points.fp == trees.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def components(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42, id_col="doc_id", text_col="text") -> DataFrame:
+def components(docs: DataFrame, like: Like = EXACT, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable through links)."""
-    rows, found = classes(docs, width, radius, seed, id_col, text_col)
+    rows, found = classes(docs, like, id_col, text_col)
     first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     member = materialize(found.join(first, "fp"), "simhash-members")
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -250,10 +350,10 @@ def components(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42,
     return rows.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42, id_col="doc_id", text_col="text") -> DataFrame:
+def dedup(docs: DataFrame, like: Like = EXACT, id_col="doc_id", text_col="text") -> DataFrame:
     """One row of each component, all columns: that with the least doc_id, rows without one
     last. Of rows that share it (repeated rows, null ids) one stays, the first by text."""
-    rows, found = classes(docs, width, radius, seed, id_col, text_col)
+    rows, found = classes(docs, like, id_col, text_col)
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("first")).join(found, "fp")
     best = least.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("k"))
     keep = materialize(best.select(F.col("k.first").alias("__id"), F.col("k.fp").alias("__fp")), "simhash-keep")
@@ -268,13 +368,13 @@ def dedup(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42, id_c
         return single.toDF(*names)
     # ids that are null or shared do not name a row; these rows are matched by fingerprint too
     several = safe.where(F.col(key).isNull()).unionByName(safe.join(odd.where("__odd is not null").hint("shuffle_hash"), safe[key] == F.col("__odd"), "left_semi"))
-    schema = T.StructType([*several.schema.fields, T.StructField("__fp", T.LongType())])
+    schema = T.StructType([*several.schema.fields, T.StructField("__fp", rows.schema["fp"].dataType)])
     at = cols.index(text)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            fps = np.array([fingerprint(t, width, seed) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*cols, "__fp"])
+            fps = [_majority(t, like.width, like.seed, like.lanes) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _column(fps, like.lanes)], names=[*cols, "__fp"])
 
     chosen = several.mapInArrow(marked, schema).join(keep.withColumnRenamed("__fp", "__kfp"), F.col(key).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kfp")), "left_semi")
     again = chosen.groupBy("__fp", key).agg(F.min_by(F.struct(*cols), F.coalesce(F.col(text), F.lit(""))).alias("r")).select("r.*")

@@ -73,7 +73,7 @@ def test_links_of_clustered_fingerprints(spark, radius, tile_rows):
     fps = {int(c) ^ sum(1 << int(b) for b in rng.integers(0, 64, k)) for c in centres for k in range(9) for _ in range(15)}
     fps |= {int(x) for x in rng.integers(0, 1 << 63, 200, np.uint64)} | {0, 2**64 - 1, 1, 3, 7}
     signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
-    points = spark.createDataFrame([(f, f) for f in signed], "fp long, id long")
+    points = spark.createDataFrame([(f,) for f in signed], "fp long")
     trees = {r.node: r.root for r in S.connected(S.links(points, len(signed), radius, tile_rows)).collect()}
     a = np.array(signed, np.int64).view(np.uint64)
     up = {f: f for f in signed}
@@ -128,3 +128,58 @@ def test_rows_without_ids_that_differ_all_stay(spark):
 
 def test_empty(spark):
     assert S.components(table(spark, []).limit(0)).collect() == [] and S.dedup(table(spark, []).limit(0)).collect() == []
+
+
+def wide_points(spark, rng, clusters, size, flips, noise):
+    fps = [rng.integers(0, 1 << 63, 4, np.uint64) for _ in range(noise)]
+    for _ in range(clusters):
+        centre = rng.integers(0, 1 << 63, 4, np.uint64)
+        for _ in range(size):
+            own = centre.copy()
+            for b in rng.choice(256, flips, replace=False):
+                own[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+            fps.append(own)
+    return np.array(fps), spark.createDataFrame([(f.tobytes(),) for f in fps], "fp binary").distinct()
+
+
+@pytest.mark.parametrize("tile_rows", [16, 4096])
+def test_few_wide_fingerprints_are_compared_exactly(spark, tile_rows):
+    fps, points = wide_points(spark, np.random.default_rng(7), 5, 20, 21, 100)
+    trees = {bytes(r.node): bytes(r.root) for r in S.connected(S.wide_links(points, len(fps), 44, 4, tile_rows)).collect()}
+    up = list(range(len(fps)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]).sum(1) <= 44):
+            up[max(root(i), root(int(j)))] = min(root(i), root(int(j)))
+    mine = [trees.get(f.tobytes(), f.tobytes()) for f in fps]
+    assert all((mine[i] == mine[j]) == (root(i) == root(j)) for i in range(len(fps)) for j in range(i))
+
+
+def test_many_wide_fingerprints_are_nearly_all_found(spark):
+    rng = np.random.default_rng(8)
+    pairs, points = wide_points(spark, rng, 400, 2, 22, 4000)
+    links = {frozenset((bytes(r.a), bytes(r.b))) for r in S.wide_links(points, 1 << 16, 44, 4).collect()}
+    want = {frozenset((pairs[i].tobytes(), pairs[i + 1].tobytes())) for i in range(4000, len(pairs), 2) if np.bitwise_count(pairs[i] ^ pairs[i + 1]).sum() <= 44}
+    assert links <= want and len(links) >= 0.98 * len(want)
+
+
+def test_similar_texts_go_and_others_stay(spark):
+    rng = random.Random(6)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(30)]
+    rows = list(enumerate(base))
+    for i in range(10):
+        w = base[i].split()
+        for at in (40, 150, 260):
+            w[at] = "other"
+        rows.append((100 + i, " ".join(w)))
+        half = base[10 + i].split()[:150] + [f"x{rng.randrange(5000)}" for _ in range(150)]
+        rows.append((200 + i, " ".join(half)))
+    rows += [(None, base[0]), (None, "a text of its own without a name"), (300, ""), (301, None)]
+    kept = S.dedup(table(spark, rows), S.SIMILAR).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [*range(30), *range(200, 210), 300]
+    assert [r.text for r in kept if r.doc_id is None] == ["a text of its own without a name"]
