@@ -44,7 +44,8 @@ FILE_BYTES, HEAD = 256 << 20, 8192
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+    """Spark's names of local and S3 folders in pyarrow's spelling."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/(?!/)", "file:///", uri)))
 
 
 def base32_sha1(payload: bytes) -> str:
