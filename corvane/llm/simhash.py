@@ -12,9 +12,12 @@ skipped. Tiles beyond `tile_rows` are cut by population count and hash, and only
 cuts whose population counts lie within the radius are dealt out, so no task gets an
 unbounded tile. A tile yields a forest (a row per fingerprint at most), never its pairs.
 
-With several lanes of 64 bits (`SIMILAR`, for documents that share four fifths of their shingles)
-the radius is a sixth of the bits. Fields of all agreeing bits are then too narrow to tile by, so
-tiles take bits at random, in enough tables that a pair at the radius is missed once in 200 times.
+Similar texts (`SIMILAR`) are those whose sets of shingles have a Jaccard similarity of four fifths
+or more. Fingerprints of several lanes of 64 bits, over distinct shingles, only find candidates: the
+radius is wide enough that such a pair is within it but for once in 10,000 times, and as fields of all
+agreeing bits are then too narrow to tile by, tiles take bits at random, in enough tables that such a
+pair is missed by all once in 1,000 times at most. Texts that candidate links hold together are then
+compared by their very shingles (`verified`), and only pairs that have the similarity are links.
 
 Components: rounds of minimum-label hooking and shortcutting over the forests, as DataFrames
 that are written to the shared folder each round.
@@ -33,7 +36,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,23 +44,30 @@ from corvane.llm.common import arrow_batch, materialize, pick, slices
 
 BLOCK = 512
 BITS = 64
+SLOTS = 1 << 22  # of a bit table of digests
 LEVEL = 8  # population counts to a level, where fingerprints have several lanes
 
 
-def _majority(text: str | None, width: int, seed: int, lanes: int) -> np.ndarray:
-    """lanes x 64 bits: the shingles' XXH64 and, for further lanes, values mixed from it."""
+def _shingles(text: str | None, width: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(lanes, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     last = ends[width - 1 :] if len(words) >= width else ends[-1:]
     h = xxhash.xxh64_intdigest
+    return np.fromiter((h(joined[a:z], seed) for a, z in zip(starts[:n].tolist(), last.tolist())), "<u8", n)
+
+
+def _majority(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """lanes x 64 bits: the shingles' XXH64 and, for further lanes, values mixed from it."""
+    n = len(hashes)
     total = np.zeros((lanes, BITS), np.int64)
     for at in range(0, n, 1 << 14):
-        some = np.array([h(joined[a:z], seed) for a, z in zip(starts[at : min(n, at + (1 << 14))].tolist(), last[at : at + (1 << 14)].tolist())], "<u8")
+        some = hashes[at : at + (1 << 14)]
         for lane in range(lanes):
             total[lane] += np.unpackbits((_mixed(some, lane) if lane else some).view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
     return np.packbits(total * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0]
@@ -72,7 +82,19 @@ def _mixed(x: np.ndarray, lane: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    return int(_majority(text, width, seed, 1)[0])
+    return int(_majority(_shingles(text, width, seed), 1)[0])
+
+
+def _digest(distinct: np.ndarray) -> bytes:
+    """Of a sorted set of shingles."""
+    return xxhash.xxh3_128_digest(distinct.tobytes())
+
+
+def _marks(texts: list[str | None], width: int, seed: int, lanes: int, distinct: bool) -> pa.Array:
+    hashes = (_shingles(t, width, seed) for t in texts)
+    if not distinct:
+        return _column([_majority(h, lanes) for h in hashes], lanes)
+    return pa.array([_majority(h, lanes).tobytes() + _digest(h) for h in map(np.unique, hashes)], pa.binary())
 
 
 def _column(fps: list[np.ndarray] | np.ndarray, lanes: int) -> pa.Array:
@@ -88,16 +110,17 @@ def _lanes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col="doc_id", text_col="text", lanes: int = 1) -> DataFrame:
-    """doc_id, fp (64 bits as a signed long; several lanes as bytes), a row per row of docs."""
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col="doc_id", text_col="text", lanes: int = 1, distinct: bool = False) -> DataFrame:
+    """doc_id, fp (64 bits as a signed long; several lanes as bytes), a row per row of docs. Of distinct
+    shingles, fp is always bytes and ends with a digest of their set (16 bytes)."""
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fps = _column([_majority(t, width, seed, lanes) for t in batch.column(1).to_pylist()], lanes)
+            fps = _marks(batch.column(1).to_pylist(), width, seed, lanes, distinct)
             yield arrow_batch([batch.column(0), fps], pa.schema([("doc_id", batch.column(0).type), ("fp", fps.type)]))
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType() if lanes == 1 else T.BinaryType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType() if lanes == 1 and not distinct else T.BinaryType())]))
 
 
 def plan(n: int, radius: int) -> list[list[tuple[int, int]]]:
@@ -177,15 +200,16 @@ def links(points: DataFrame, n: int, radius: int = 4, tile_rows: int = 4096) ->
     return _compared(_dealt(keyed, radius, tile_rows), radius, 1)
 
 
-def wide_links(points: DataFrame, n: int, radius: int, lanes: int, tile_rows: int = 4096, missed: float = 0.005, seed: int = 42) -> DataFrame:
+def wide_links(points: DataFrame, n: int, radius: int, lanes: int, tile_rows: int = 4096, missed: float = 0.005, seed: int = 42, likely: int | None = None) -> DataFrame:
     """The same for fingerprints of several lanes, where the radius is too wide for every pair to
     agree on whole fields. Each of several tables takes some bits, drawn at random, as its tiles'
     keys: as many bits as leave about 1,000 rows of random fingerprints to a tile, and as many
-    tables as let a pair at the radius miss all of them with a probability of `missed` at most.
+    tables as let a pair at `likely` bits (the radius, if not given) miss all of them with a
+    probability of `missed` at most.
     Within tiles the comparison is exact."""
     width = lanes * BITS
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / 1024))))
-    alike = (1 - radius / width) ** bits
+    alike = (1 - (radius if likely is None else likely) / width) ** bits
     tables = 1 if not bits else int(np.ceil(np.log(missed) / np.log(1 - alike)))
     rng = np.random.default_rng(seed)
     chosen = [np.sort(rng.choice(width, bits, replace=False)) for _ in range(tables)]
@@ -204,11 +228,11 @@ def wide_links(points: DataFrame, n: int, radius: int, lanes: int, tile_rows: in
     return _compared(_dealt(keyed, radius // LEVEL + 1, tile_rows), radius, lanes)
 
 
-def _dealt(keyed: DataFrame, reach: int, tile_rows: int) -> DataFrame:
+def _dealt(keyed: DataFrame, reach: int, tile_rows: int, weight: Column | None = None) -> DataFrame:
     """keyed: t, k (the tile), level (grows with the population count), fp. Returns tile, two, side,
-    fp, the rows of a tile side by side. Tiles beyond tile_rows are cut by level and hash; the pairs
-    of cuts within `reach` levels become tiles of two sides."""
-    counts = keyed.groupBy("t", "k", "level").count()
+    fp, the rows of a tile side by side. Tiles beyond tile_rows (or weight) are cut by level and hash;
+    the pairs of cuts within `reach` levels become tiles of two sides."""
+    counts = keyed.groupBy("t", "k", "level").agg(F.sum(F.lit(1) if weight is None else weight).alias("count"))
     large = (
         counts.groupBy("t", "k")
         .agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("count") / tile_rows).cast("int")))).alias("cuts"))
@@ -277,6 +301,98 @@ def _compared(dealt: DataFrame, radius: int, lanes: int) -> DataFrame:
     return dealt.mapInArrow(run, T.StructType([T.StructField(n, kind) for n in ("a", "b")]))
 
 
+def similar(sets: list[np.ndarray], least: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The same as `forest` for sorted sets of shingles, linked at a Jaccard similarity of `least`."""
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(np.arange(n, dtype=np.int32), sizes)[np.argsort(token, kind="stable")]
+    held = np.bincount(token, minlength=1)
+    first = np.cumsum(held) - held
+    label = np.arange(n)  # of its tree, kept up to date
+    child, parent = [], []
+    for x in range(n if split is None else split):
+        # those of the other side, or after x, of a fitting size, in other trees
+        may = (sizes >= least * sizes[x] - 1) & (sizes * least <= sizes[x] + 1) & (label != label[x])
+        may[: x + 1 if split is None else split] = False
+        if not may.any():
+            continue
+        shared = np.zeros(n, np.int64)
+        own = token[bounds[x] : bounds[x + 1]]
+        for at in range(0, len(own), 1024):
+            k = held[own[at : at + 1024]]
+            start = first[own[at : at + 1024]] - (np.cumsum(k) - k)
+            shared += np.bincount(holders[np.arange(k.sum()) + np.repeat(start, k)], minlength=n)
+        for y in np.flatnonzero(may & (shared / np.maximum(1, sizes[x] + sizes - shared) >= least)).tolist():
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                child.append(x)
+                parent.append(y)
+    return np.array(child, np.int64), np.array(parent, np.int64)
+
+
+def verified(docs: DataFrame, keys: DataFrame, trees: DataFrame, like: Like, text_col="text", tile_rows: int = 512) -> DataFrame:
+    """keys: fp, a row per set of shingles, with its digest; trees: node, root of candidates, without.
+    Returns (a, b), forests of the links of sets within a tree that have the similarity: all pairs of a
+    tree are compared, in tiles of about tile_rows sets of 1,000 shingles on a side."""
+    width, seed, least = like.width, like.seed, like.jaccard
+    lane_bytes = like.lanes * BITS // 8
+    grouped = keys.select("fp", F.substring("fp", 1, lane_bytes).alias("node")).join(trees, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    several = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    members = materialize(grouped.join(several, "root").select(F.substring("fp", lane_bytes + 1, 16).alias("digest"), "fp", F.xxhash64("root").alias("k")), "simhash-candidates")
+    # a bit table of a fixed size lets few texts but the members' through to the join
+    slot = F.pmod(F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("int"), F.lit(SLOTS))
+    table = np.zeros(SLOTS, bool)
+    table[[r[0] for r in members.select(slot).distinct().collect()]] = True
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(table).tobytes())
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in slices(batches, "text"):
+            texts = batch.column(0).to_pylist()
+            digests = [_digest(np.unique(_shingles(t, width, seed))) for t in texts]
+            at = [int.from_bytes(d[:3], "big") % SLOTS for d in digests]
+            some = [i for i, s in enumerate(at) if bits[s >> 3] >> (7 - (s & 7)) & 1]
+            yield arrow_batch([[digests[i] for i in some], [texts[i] for i in some]], pa.schema([("digest", pa.binary()), ("text", pa.string())]))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            own = [np.unique(_shingles(t, width, seed)) for t in batch.column(2).to_pylist()]
+            yield arrow_batch([batch.column(0), batch.column(1), [len(o) for o in own], [o.tobytes() for o in own]], pa.schema([("k", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("set", pa.binary())]))
+
+    texts = pick(docs, text_col).toDF("text").mapInArrow(passed, "digest binary, text string")
+    # equal sets are one, whatever the number of their texts
+    texts = texts.groupBy("digest").agg(F.first("text").alias("text")).join(members, "digest").select("k", "fp", "text")
+    found = materialize(texts.mapInArrow(sets, "k long, key binary, n long, set binary"), "simhash-sets")
+    # sizes of a linked pair differ by a factor of 1 / least at most, so by a level at most
+    level = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / float(np.log(1.01 / least))).cast("int")
+    keyed = found.select(F.lit(0).alias("t"), "k", level.alias("level"), F.struct("key", "n", "set").alias("fp"))
+    dealt = _dealt(keyed, 1, tile_rows, 1 + F.col("fp.n") / 1000)
+    dealt = dealt.select("tile", "two", "side", "fp.key", "fp.set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[bool, int, bytes, np.ndarray]] = []
+        now = None
+        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                x, y = similar([r[3] for r in rows], least, sum(r[1] == 0 for r in rows) if rows[0][0] else None)
+                yield arrow_batch([[rows[i][2] for i in x.tolist()], [rows[i][2] for i in y.tolist()]], schema)
+            rows.clear()
+
+        for batch in batches:
+            for tile, two, side, key, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tile != now:
+                    yield from end()
+                now = tile
+                rows.append((two, side, key, np.frombuffer(own, np.uint64)))
+        yield from end()
+
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
 def connected(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, root) for each node of the undirected edges (a, b); root is the least node
     reachable. Each round hooks every root under the least root next to it and then shortens
@@ -313,26 +429,34 @@ def connected(edges: DataFrame, label: str = "cc") -> DataFrame:
 @dataclass(frozen=True)
 class Like:
     """What counts as alike: shingles of `width` words, fingerprints of lanes x 64 bits, linked at
-    `radius` differing bits."""
+    `radius` differing bits; with `jaccard`, these are candidates, which differ in up to about `likely`
+    bits on average, and links are sets of shingles of such a similarity."""
 
     width: int = 4
     radius: int = 4
     lanes: int = 1
     seed: int = 42
+    jaccard: float | None = None
+    likely: int | None = None
 
 
 #: Nearly equal texts; every link is found.
 EXACT = Like()
-#: Texts whose shingles of five words agree in about 0.8 (Jaccard) or more: such shingle counts stand
-#: at an angle of 0.152 pi or less, so 256 bits differ in 39 of them on average at 0.8, in 33 at 0.85.
-SIMILAR = Like(width=5, radius=44, lanes=4)
+#: Texts whose sets of shingles of five words have a Jaccard similarity of 0.8 or more. At 0.8 sets of
+#: equal size stand at an angle of 0.152 pi, so 256 bits differ in 39 on average (deviation 5.7), and in
+#: 48 (6.2) for the smallest such sets, of 4 and 5 shingles.
+SIMILAR = Like(width=5, radius=72, lanes=4, jaccard=0.8, likely=48)
 
 
 def classes(docs: DataFrame, like: Like = EXACT, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame]:
     """(rows, classes): doc_id, fp for each row of docs; fp, root for each fingerprint."""
-    rows = materialize(fingerprints(docs, like.width, like.seed, id_col, text_col, like.lanes), "simhash")
+    rows = materialize(fingerprints(docs, like.width, like.seed, id_col, text_col, like.lanes, like.jaccard is not None), "simhash")
     points = materialize(rows.select("fp").distinct(), "simhash-points")
-    if like.lanes == 1:
+    if like.jaccard is not None:
+        bare = materialize(points.select(F.substring("fp", 1, like.lanes * BITS // 8).alias("fp")).distinct(), "simhash-bare")
+        near = wide_links(bare, bare.count(), like.radius, like.lanes, missed=0.001, likely=like.likely)
+        found = verified(docs, points, connected(near, "simhash-near"), like, text_col)
+    elif like.lanes == 1:
         found = links(points, points.count(), like.radius)
     else:
         found = wide_links(points, points.count(), like.radius, like.lanes)
@@ -347,7 +471,8 @@ def components(docs: DataFrame, like: Like = EXACT, id_col="doc_id", text_col="t
     member = materialize(found.join(first, "fp"), "simhash-members")
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
     known = member.join(least, "root").select("fp", "component_id")
-    return rows.join(known, "fp").select("doc_id", "fp", "component_id")
+    fp = F.col("fp") if like.jaccard is None else F.substring("fp", 1, like.lanes * BITS // 8)
+    return rows.join(known, "fp").select("doc_id", fp.alias("fp"), "component_id")
 
 
 def dedup(docs: DataFrame, like: Like = EXACT, id_col="doc_id", text_col="text") -> DataFrame:
@@ -373,8 +498,8 @@ def dedup(docs: DataFrame, like: Like = EXACT, id_col="doc_id", text_col="text")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            fps = [_majority(t, like.width, like.seed, like.lanes) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _column(fps, like.lanes)], names=[*cols, "__fp"])
+            fps = _marks(batch.column(at).to_pylist(), like.width, like.seed, like.lanes, like.jaccard is not None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*cols, "__fp"])
 
     chosen = several.mapInArrow(marked, schema).join(keep.withColumnRenamed("__fp", "__kfp"), F.col(key).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kfp")), "left_semi")
     again = chosen.groupBy("__fp", key).agg(F.min_by(F.struct(*cols), F.coalesce(F.col(text), F.lit(""))).alias("r")).select("r.*")

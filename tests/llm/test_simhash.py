@@ -183,3 +183,66 @@ def test_similar_texts_go_and_others_stay(spark):
     kept = S.dedup(table(spark, rows), S.SIMILAR).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [*range(30), *range(200, 210), 300]
     assert [r.text for r in kept if r.doc_id is None] == ["a text of its own without a name"]
+
+
+def jaccard_roots(rows):
+    """The least index reachable through pairs of a Jaccard similarity of 0.8, by all pairs."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(rows))]
+
+
+def near_copies(seed):
+    """At all similarities, on both sides of 0.8; with lines that repeat; short and of unequal size."""
+    rng = random.Random(seed)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for n in (9, 12, 40, 200, 600):
+        for _ in range(8):
+            w = text(n)
+            rows += [w, w[: n * 4 // 5], w[: n * 9 // 10], w[: n * 7 // 10]]
+            for changes in range(1, 1 + max(2, n // 30)):
+                own = list(w)
+                for at in rng.sample(range(n), changes):
+                    own[at] = "changed"
+                rows.append(own)
+    for _ in range(10):  # one repeated line takes most of the shingles, but few of the distinct ones
+        line, own, other = text(8), text(60), text(60)
+        rows += [line * 40 + own, line * 40 + other, own, line * 3 + own, own[:-2] + line * 90]
+    rows = [" ".join(w) for w in rows] + ["", None, " "]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_similar_equals_jaccard_of_all_pairs(spark, seed):
+    rows = near_copies(seed)
+    got = {r.doc_id: r.component_id for r in S.components(table(spark, rows), S.SIMILAR).collect()}
+    want = jaccard_roots(rows)
+    assert [got[i] for i, _ in rows] == want
+    assert {r.doc_id for r in S.dedup(table(spark, rows), S.SIMILAR).collect()} == set(want)
+
+
+@pytest.mark.parametrize("tile_rows", [3, 512])
+def test_verified_in_cut_tiles(spark, tile_rows):
+    rows = near_copies(5)
+    df = table(spark, rows)
+    marks = S.fingerprints(df, 5, lanes=4, distinct=True)
+    keys = {r.doc_id: bytes(r.fp) for r in marks.collect()}
+    one = marks.select(F.substring("fp", 1, 32).alias("node"), F.lit(b"x").alias("root")).distinct()
+    trees = {bytes(r.node): bytes(r.root) for r in S.connected(S.verified(df, marks.select("fp").distinct(), one, S.SIMILAR, tile_rows=tile_rows)).collect()}
+    mine, want = [trees.get(keys[i], keys[i]) for i, _ in rows], jaccard_roots(rows)
+    assert all((mine[i] == mine[j]) == (want[i] == want[j]) for i in range(len(rows)) for j in range(i))
