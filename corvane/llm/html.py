@@ -7,13 +7,16 @@ page loses its template subtrees. What is left is reduced to the article: menus,
 footers, sidebars, notices, adverts, forms, scripts and comments go by element, role and class
 where a site has too few pages to show a template.
 
-Pages of a host that repeat one article do not make it a template: pages count as different
-content by their longest text block, and an article stands with one of these only. Text blocks
+Pages of a host that repeat one article do not make it a template: a page's content is known by
+that of its text blocks which stands in the fewest of the host's pages, so copies count as one
+whatever the template around them, and a notice that is longer than the articles hides none of
+them. Short blocks (dates, counters) do not tell content apart: under `OWN` letters and digits, or
+a fiftieth of the page's longest block; a page of these alone is known by its longest. Text blocks
 within an article (paragraphs, headings, lists' items) are never taken for a template, as a
 passage that many articles quote is part of each of them.
 
-Only hashes move: (host, subtree, content) per container element, summed before and after one
-shuffle. The template of a host has a bounded number of subtrees (a page's elements over
+Only hashes move: a row per page with those of its blocks and subtrees, the pages of each block
+counted, then (host, subtree, content) per container element, summed before and after a shuffle. The template of a host has a bounded number of subtrees (a page's elements over
 least_share), so hosts with any number of pages are alike. It is broadcast up to `BROADCAST`
 hashes; beyond that, pages are joined to their host's hashes.
 
@@ -38,6 +41,7 @@ from pyspark.sql import types as T
 from corvane.llm.common import arrow_batch, materialize, pick, slices
 
 BROADCAST = 1_000_000
+OWN, OWN_SHARE = 20, 0.02
 TOKEN = re.compile(
     r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL
 )
@@ -265,23 +269,39 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def telling(kept: list[str]) -> dict[str, int]:
+    """The blocks that tell a page's content from others', with their letters and digits: long enough
+    ones, or else the longest."""
+    sizes = {t: sum(map(str.isalnum, t)) for t in kept or [""]}
+    most = max(sizes.values())
+    return {t: n for t, n in sizes.items() if n >= max(OWN, OWN_SHARE * most)} or {max(kept or [""], key=len): most}
+
+
 def templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.1) -> DataFrame:
     """host (a hash), key: subtrees that recur over a host's pages."""
     rows = pick(pages, "url", "html")
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("host", pa.int64()), ("page", pa.int64()), ("blocks", longs), ("sizes", longs), ("keys", longs)])
         for batch in slices(batches, "html"):
-            out: set[tuple[int, int, int]] = set()
+            out: dict[tuple[int, int], tuple[list[int], ...]] = {}
             for url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if source:
-                    page, host = Page(source), _signed(_hash(host_of(url)))
-                    content = _signed(_hash(max(page.kept() or [""], key=len)))
-                    out.add((host, 0, content))
-                    out.update((host, _signed(k), content) for k in page.keys())
-            table = np.array(sorted(out), np.int64).reshape(-1, 3)
-            yield arrow_batch([pa.array(np.ascontiguousarray(c)) for c in table.T], pa.schema([(n, pa.int64()) for n in ("host", "key", "content")]))
-
-    seen = rows.mapInArrow(run, "host long, key long, content long").distinct()
+                at = (_signed(_hash(host_of(url))), _signed(_hash(source or "")))
+                if source and at not in out:
+                    page = Page(source)
+                    sizes = telling(page.kept())
+                    out[at] = ([_signed(_hash(t)) for t in sizes], list(sizes.values()), [0, *map(_signed, page.keys())])
+            yield arrow_batch([[h for h, _ in out], [p for _, p in out], *([v[k] for v in out.values()] for k in range(3))], schema)
+
+    # a page that several rows repeat counts once
+    found = rows.mapInArrow(run, "host long, page long, blocks array<long>, sizes array<long>, keys array<long>")
+    found = materialize(found.groupBy("host", "page").agg(*(F.first(c).alias(c) for c in ("blocks", "sizes", "keys"))), "html-pages")
+    blocks = found.select("host", "page", F.explode(F.arrays_zip("blocks", "sizes")).alias("b")).select("host", "page", F.col("b.blocks").alias("block"), F.col("b.sizes").alias("size"))
+    spread = blocks.groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.min(F.struct("n", -F.col("size"), "block"))["block"]
+    content = blocks.join(spread, ["host", "block"]).groupBy("host", "page").agg(rarest.alias("content"))
+    seen = found.join(content, ["host", "page"]).select("host", F.explode("keys").alias("key"), "content").distinct()
     counts = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts.where((F.col("n") >= least_pages) | (F.col("key") == 0)), "html-counts")
     hosts = counts.where("key = 0").select("host", F.col("n").alias("pages"))

@@ -71,3 +71,23 @@ def test_long_page():
     assert text.count("\n") == 49_999 and text.endswith("word49999 & more")
     assert len(text_of("<div>" * 20_000 + "deep")) == 4
     assert Page("<" * 3000).kept()
+
+
+NOTICE = "<div class='x2'>" + "All that is written here is owned by the publisher and may not be used without leave. " * 6 + "</div>"
+
+
+@pytest.mark.parametrize("inside", [False, True])
+def test_notice_longer_than_the_articles_is_a_template(spark, inside):
+    links = "<div class='x3'><div>Start</div><div>All the stories</div></div>"
+    around = "<body><article>{}</article></body>" if inside else "<body>{}</body>"
+    rows = [(i, f"http://s.com/{i}", around.format(f"{links}<div><p>Story number {i} is told here at length.</p></div>{NOTICE}")) for i in range(12)]
+    # each story stands at a second address too, with another box around it
+    rows += [(100 + i, f"http://s.com/print/{i}", h.replace("All the stories", "Printed stories")) for i, _, h in rows]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k + i: f"Story number {i} is told here at length." for i in range(12) for k in (0, 100)}
+
+
+def test_copies_with_dates_are_no_template(spark):
+    story = "The one story of this site, which many pages repeat word by word."
+    rows = [(i, f"http://s.com/{i}", f"<body><div class=a><p>{story}</p></div><div class=b>{i} May 2024, 10:{i}</div></body>") for i in range(30)]
+    assert all(story in r.text for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect())
