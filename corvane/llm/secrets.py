@@ -1,17 +1,20 @@
 """Secret scans: fixed patterns, and a randomness test battery under length-aware FDR control.
 
-Every run of 20 or more characters that keys are written in is a candidate. Its encoding is
-inferred (hex, base32, base64, base64url) and each symbol gets its place in that alphabet.
-Three tests ask whether the places look drawn at random: chi-squared uniformity over bins of
+Every run of 20 or more characters that keys are written in is a candidate, and so are its parts of
+20 or more between separators (a token within a path, or behind a prefix) and hex in groups with
+dashes. The encoding is inferred, the smallest alphabet that fits (digits, hex, base32, base36,
+base58, base62, base64, base64url), and each symbol gets its place in that alphabet. Three tests ask whether the places look drawn at random: chi-squared uniformity over bins of
 the alphabet, a Wald-Wolfowitz runs test about its middle, and lag-one serial correlation.
-The least p-value times three is the candidate's p-value for "it is random".
+Where words fit the alphabet too, the number of digits (base36) or small letters (base58 and on) and
+their runs are tested as well.
+The least p-value times the number of tests is the candidate's p-value for "it is random".
 
 A candidate is cleared when this is rejected. Rejections are made by the Benjamini-Hochberg
 step-up rule within each class of lengths over all documents, so of the random strings in the
 corpus at most a share of about `fdr` is cleared among those cleared, short ones as well as
 long. The rule needs only a histogram of p-values per class, which Spark sums up; p-values
 are rounded up to the bin's upper end, which errs towards keeping a candidate. The rest,
-whose randomness is not rejected, are spans of kind `random`.
+whose randomness is not rejected, are spans of kind `random`, without those that lie within another.
 
 Spans are in code points, end exclusive. Defined results: a null or empty text has no spans;
 repeated rows come back repeated; an empty table gives an empty result; extra columns are
@@ -47,11 +50,18 @@ FDR = 0.01
 
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALPHABETS = {
+    "digits": (re.compile(r"[0-9]+"), DIGIT),
     "hex": (re.compile(r"[0-9a-f]+|[0-9A-F]+"), DIGIT + "abcdef"),
     "base32": (re.compile(r"[A-Z2-7]+"), UPPER + "234567"),
+    "base36": (re.compile(r"(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]+"), LOWER + DIGIT),
+    "upper36": (re.compile(r"(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]+"), UPPER + DIGIT),
+    "base58": (re.compile(r"[1-9A-HJ-NP-Za-km-z]+"), "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz123456789"),
+    "base62": (re.compile(r"[A-Za-z0-9]+"), UPPER + LOWER + DIGIT),
     "base64": (re.compile(r"[A-Za-z0-9+/]+"), UPPER + LOWER + DIGIT + "+/"),
     "base64url": (re.compile(r"[A-Za-z0-9_-]+"), UPPER + LOWER + DIGIT + "-_"),
 }
+DASHED = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]+(?:-[0-9a-f]+)+|[0-9A-F]+(?:-[0-9A-F]+)+)(?![A-Za-z0-9])")
+PARTS = [re.compile(rf"[^{x}]{{{LENGTHS[0]},}}") for x in ("/+", "_-", "/+_", "/+-", "/+_-")]
 PLACES = {k: {c: i for i, c in enumerate(a)} for k, (_, a) in ALPHABETS.items()}
 
 
@@ -128,16 +138,42 @@ def battery(run: str, kind: str) -> tuple[float, float, float]:
     return uniform, above, serial
 
 
+def classes(run: str, kind: str) -> tuple[float, float]:
+    """p-values of the number of digits (base36) or small letters, and of runs of these and others."""
+    own = DIGIT if kind.endswith("36") else LOWER
+    of, alphabet = np.array([c in own for c in run]), ALPHABETS[kind][1]
+    n, n1, p = len(run), int(of.sum()), sum(c in own for c in alphabet) / len(alphabet)
+    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p) for i in range(n + 1)]
+    count = min(1.0, 2 * min(sum(map(math.exp, log[: n1 + 1])), sum(map(math.exp, log[n1:]))))
+    mean = 2 * n1 * (n - n1) / n + 1
+    var = max((mean - 1) * (mean - 2) / (n - 1), 1e-9)
+    return count, math.erfc(abs(1 + int((of[1:] != of[:-1]).sum()) - mean) / math.sqrt(2 * var))
+
+
 def candidate(run: str) -> tuple[int, int] | None:
-    """(length class, p-value bin) of a run; None if no encoding has it or it is one number."""
+    """(length class, p-value bin) of a run; None if no encoding has it. Dashes in hex do not count."""
     body = run.rstrip("=")
+    if "-" in body and DASHED.fullmatch(body):
+        body = body.replace("-", "")
     kind = encoding(body)
-    if kind is None or body.isdigit():
+    if kind is None or len(body) < LENGTHS[0]:
         return None
-    p = min(1.0, 3 * min(battery(body, kind)))
+    tests = battery(body, kind)
+    if kind not in ("digits", "hex", "base32"):
+        tests += classes(body, kind)
+    p = min(1.0, len(tests) * min(tests))
     return sum(len(body) >= x for x in LENGTHS) - 1, min(BINS - 1, int(-math.log10(max(p, 1e-300)) * PER_DECADE))
 
 
+def parts(run: str) -> set[tuple[int, int]]:
+    """Spans of the run, its parts between separators, and hex with dashes."""
+    out = {(0, len(run))}
+    if any(c in run for c in "/+_-"):
+        for one in (DASHED, *PARTS):
+            out.update(m.span() for m in one.finditer(run))
+    return out
+
+
 def examine(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
     """Base spans by start, then kind; candidates (start, end, class, bin) outside of them."""
     if not text:
@@ -146,10 +182,11 @@ def examine(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[in
     base = sorted(base_spans(text) + hex_spans(text, runs))
     out = []
     for a, z in runs:
-        if not any(s < z and a < e for s, _, e in base):
-            found = candidate(text[a:z])
-            if found:
-                out.append((a, z, *found))
+        for i, j in sorted(parts(text[a:z])):
+            if not any(s < a + j and a + i < e for s, _, e in base):
+                found = candidate(text[a + i : a + j])
+                if found:
+                    out.append((a + i, a + j, *found))
     return base, out
 
 
@@ -201,13 +238,15 @@ def scan(docs: DataFrame, fdr: float = FDR, id_col="doc_id", text_col="text") ->
     fields = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, candidates {CANDIDATE}"
     found = materialize(rows.mapInArrow(run, fields), "secrets")
     least = F.array(*[F.lit(b) for b in thresholds(_histogram(found), fdr)])
+    kept = found.withColumn("candidates", F.filter("candidates", lambda c: c["bin"] < F.get(least, c["cls"])))
+    inner = lambda c, o: (o["start"] <= c["start"]) & (c["end"] <= o["end"]) & (o["end"] - o["start"] > c["end"] - c["start"])
     random = F.transform(
-        F.filter("candidates", lambda c: c["bin"] < F.get(least, c["cls"])),
+        F.filter("candidates", lambda c: ~F.exists("candidates", lambda o: inner(c, o))),
         lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")),
     )
     names = F.array(*[F.lit(k) for k in KINDS])
     spans = F.array_join(F.transform(F.array_sort(F.concat("base", random)), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), F.size(random).cast("long").alias("n_random"))
+    return kept.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), F.size(random).cast("long").alias("n_random"))
 
 
 def redact(docs: DataFrame, fdr: float = FDR, text_col="text", chars_col: str | None = "n_chars", mark: str = "[{}]") -> DataFrame:

@@ -90,3 +90,36 @@ def test_redact_keeps_rows_and_clean_texts(spark):
 
 def test_empty_table(spark):
     assert S.scan(rows(spark, TEXTS).limit(0)).collect() == [] and S.redact(rows(spark, TEXTS).limit(0)).collect() == []
+
+
+def dashed(h):
+    return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+
+
+def tokens(rng, n):
+    """Random tokens by form."""
+    of = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    b58 = "".join(c for c in up + low + digits if c not in "0OIl")
+    forms = {"digits": (digits, 22), "base36": (low + digits, 40), "upper36": (up + digits, 40), "base32": (up + "234567", 40), "base58": (b58, 44), "base62": (up + low + digits, 40), "base64url": (up + low + digits + "-_", 43)}
+    out = {k: [of(a, z) for _ in range(n)] for k, (a, z) in forms.items()}
+    return out | {"uuid": [dashed(of("0123456789abcdef", 32)) for _ in range(n)], "UUID": [dashed(of("0123456789ABCDEF", 32)) for _ in range(n)]}
+
+
+@pytest.mark.parametrize("around", ["{}", "https://example.com/reset-password/{}", "see example.com/down_load/ghp_{} there", "https://example.com/user-list/my-own-title/{}?x=1"])
+def test_tokens_of_each_form_are_found(spark, around):
+    for form, some in tokens(random.Random(len(around)), 60).items():
+        if form == "base64url" and "ghp_" in around:
+            continue
+        got = S.scan(rows(spark, [around.format(t) for t in some])).collect()
+        found = 0
+        for r in got:
+            at = around.index("{}")
+            spans = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x]
+            found += any(a <= at and at + len(some[r.doc_id]) <= z for a, z in spans)
+        assert found >= 0.93 * len(some), (form, found)
+
+
+def test_identifiers_and_paths_are_cleared(spark):
+    texts = ["https://example.com/the-long-way/to_the_river/and-back-again", "thisisaverylongidentifier2name", "someverylongfilename20240512", "my-article-about-nothing-in-2024", "/usr/share/doc/python3-package_name/README", "internationalization_and_localization-guide"] * 20
+    assert sum(r.n_random for r in S.scan(rows(spark, texts)).collect()) == 0
