@@ -12,7 +12,9 @@ only), and the automaton reads these.
 
 The automaton is built on the driver for at most `block_words` words of items at a time;
 longer items are cut into pieces that overlap by window - 1 words, and a larger benchmark is
-worked off in blocks, each against all documents. So memory is bounded whatever its size.
+worked off in blocks, each against all documents in a pass of its own: what it finds is written with
+the rows and merged with the next block's. Pieces that repeat go before they are dealt to blocks. So
+one automaton is held at a time, and memory is bounded whatever the benchmark's size.
 
 Defined results: a null text has no words and no hits; an item without words is never hit. A
 null item_id counts as an item and is named by the empty string. Items that repeat (same id) count once.
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import arrow_batch, materialize, pick, slices
+from corvane.llm.common import arrow_batch, drop_path, fresh_path, materialize, pick, slices
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -174,8 +176,8 @@ def _add(spans: list[list[int]], start: int, end: int) -> None:
     spans.append([start, end])
 
 
-def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col="item_id", text_col="text") -> Iterator[tuple[list[str], Automaton]]:
-    """(item ids, automaton) for each block of pieces."""
+def pieces_of(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col="item_id", text_col="text") -> tuple[DataFrame, int]:
+    """item, words, n, short, a row per different piece; the number of blocks."""
     items = pick(benchmark, id_col, text_col).toDF("item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     piece = max(2 * window, 2000)
 
@@ -190,58 +192,90 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_
                     out.append((item, b" ".join(some), len(some), len(ws) < window))
             yield arrow_batch([[o[k] for o in out] for k in range(4)], schema)
 
-    pieces = materialize(items.mapInArrow(cut, "item string, words binary, n long, short boolean"), "benchmark")
+    pieces = materialize(items.mapInArrow(cut, "item string, words binary, n long, short boolean").distinct(), "benchmark")
     total = pieces.agg(F.sum("n")).first()[0] or 0
-    # a quarter less than fits, as hashing fills blocks unevenly; a block never passes twice block_words
-    n = max(1, -(-int(total * 4 // 3) // block_words)) if total > block_words else 1
-    for k in range(n):
-        got = pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k).collect()
-        if sum(r[2] for r in got) > 2 * block_words + piece:
-            raise ValueError("one block of the benchmark holds far more than the others: it repeats one item")
-        # what repeats within a block adds nothing
-        unique = sorted({(r[0], bytes(r[1]), r[3]) for r in got})
-        ids = sorted({u[0] for u in unique})
-        where = {x: i for i, x in enumerate(ids)}
-        yield ids, Automaton([(where[i], w.split(), s) for i, w, s in unique], window)
+    # a quarter less than fits, as hashing fills blocks unevenly
+    return pieces, max(1, -(-int(total * 4 // 3) // block_words)) if total > block_words else 1
+
+
+def block(pieces: DataFrame, k: int, n: int, window: int) -> tuple[list[str], Automaton]:
+    """(item ids, automaton) of one of n blocks."""
+    got = sorted((r[0], bytes(r[1]), r[3]) for r in pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k).collect())
+    ids = sorted({g[0] for g in got})
+    where = {x: i for i, x in enumerate(ids)}
+    return ids, Automaton([(where[i], w.split(), s) for i, w, s in got], window)
+
+
+FOUND = "struct<spans:array<int>,items:array<string>,longest:int>"
+PA_FOUND = pa.struct([("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("longest", pa.int32())])
+
+
+def passes(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int, at: int) -> tuple[DataFrame, tuple[list[str], Automaton]]:
+    """(rows, last block): a pass over rows, whose column `at` is the text, for every block but the last.
+    After these, rows have one more column, what the blocks found so far."""
+    pieces, n = pieces_of(benchmark, window, block_words)
+    spark, width, before = rows.sparkSession, len(rows.columns), None
+    names = [f"c{i}" for i in range(width + 1)]
+    schema = T.StructType([*rows.toDF(*names[:-1]).schema.fields, *T.StructType.fromDDL(f"c{width} {FOUND}").fields])
+    rows = rows.toDF(*names[:-1])
+    for k in range(n - 1):
+        held = spark.sparkContext.broadcast(block(pieces, k, n, window))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(iter([batch.rename_columns(names[: batch.num_columns])]), f"c{at}"):
+                    found = [spans_of(words(t), held.value, f) for t, f in zip(part.column(at).to_pylist(), earlier(part, width), strict=True)]
+                    state = [{"spans": [x for s in spans for x in s], "items": sorted(items), "longest": longest} for spans, items, longest in found]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(state, PA_FOUND)], names=names)
+
+        path = fresh_path(spark, "decontaminate")
+        rows.mapInArrow(run, schema).write.parquet(path)
+        rows = spark.read.schema(schema).parquet(path)
+        held.destroy()
+        if before:
+            drop_path(spark, before)
+        before = path
+    return rows, block(pieces, n - 1, n, window)
+
+
+def earlier(batch: pa.RecordBatch, width: int) -> list[dict | None]:
+    return batch.column(width).to_pylist() if batch.num_columns > width else [None] * batch.num_rows
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, longest, a row per row of docs. `longest` is
     the longest match, within pieces of items of 2,000 words."""
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
-    sc = docs.sparkSession.sparkContext
-    parts = list(blocks(benchmark, window, block_words))
-    held = [sc.broadcast(p) for p in parts]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows, last = passes(rows, benchmark, window, block_words, 1)
+    held = docs.sparkSession.sparkContext.broadcast(last)
     fields = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("longest", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = [verdict(words(t), [h.value for h in held]) for t in batch.column(1).to_pylist()]
+        for batch in slices(batches, "c1"):
+            found = [verdict(words(t), held.value, f) for t, f in zip(batch.column(1).to_pylist(), earlier(batch, 2), strict=True)]
             schema = pa.schema([("doc_id", batch.column(0).type), *fields])
             yield arrow_batch([batch.column(0), *([f[k] for f in found] for k in range(5))], schema)
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, longest long")
 
 
-def verdict(ws: list[bytes], parts: list[tuple[list[str], Automaton]]) -> tuple[int, int, int, str, int]:
-    spans, items, longest = spans_of(ws, parts)
+def verdict(ws: list[bytes], part: tuple[list[str], Automaton], before: dict | None = None) -> tuple[int, int, int, str, int]:
+    spans, items, longest = spans_of(ws, part, before)
     named = ",".join(sorted(items))
     return len(ws), sum(z - a for a, z in spans), len(items), hashlib.sha256(named.encode()).hexdigest(), longest
 
 
-def spans_of(ws: list[bytes], parts: list[tuple[list[str], Automaton]]) -> tuple[list[list[int]], set[str], int]:
-    spans: list[list[int]] = []
-    items: set[str] = set()
-    longest = 0
-    for ids, automaton in parts:
-        own, who, most = automaton.match(ws)
-        items.update(ids[i] for i in who)
-        spans += own
-        longest = max(longest, most)
-    if len(parts) > 1:
+def spans_of(ws: list[bytes], part: tuple[list[str], Automaton], before: dict | None = None) -> tuple[list[list[int]], set[str], int]:
+    """What a block finds, merged with what those before it found."""
+    ids, automaton = part
+    spans, who, longest = automaton.match(ws)
+    items = {ids[i] for i in who}
+    if before:
+        items.update(before["items"])
+        longest = max(longest, before["longest"])
         merged: list[list[int]] = []
-        for a, z in sorted(spans):
+        for a, z in sorted([*spans, *map(list, zip(before["spans"][::2], before["spans"][1::2], strict=True))]):
             if merged and merged[-1][1] >= a:
                 merged[-1][1] = max(merged[-1][1], z)
             else:
@@ -265,20 +299,23 @@ def without(text: str, spans: list[list[int]]) -> str:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS, text_col="text", chars_col: str | None = "n_chars") -> DataFrame:
     """docs without hit spans: rows of which more than max_coverage of the words are hit go,
     the others lose their hit spans (chars_col, if there, is set anew)."""
-    sc = docs.sparkSession.sparkContext
-    held = [sc.broadcast(p) for p in blocks(benchmark, window, block_words)]
     at, n_at = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
     count = T.LongType() if n_at is None else docs.schema[n_at].dataType
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    schema, width = docs.schema, len(docs.columns)
+    names = [f"c{i}" for i in range(width)]
+    rows, last = passes(docs, benchmark, window, block_words, at)
+    held = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(iter([batch.rename_columns(names)]), f"c{at}"):
+            for part in slices(iter([batch]), f"c{at}"):
+                before = earlier(part, width)
+                part = part.select(names)
                 keep, texts, changed = [], part.column(at).to_pylist(), False
                 chars = part.column(n_at).to_pylist() if n_at is not None else None
                 for i, text in enumerate(texts):
                     ws = words(text)
-                    spans = spans_of(ws, [h.value for h in held])[0]
+                    spans = spans_of(ws, held.value, before[i])[0]
                     keep.append(sum(z - a for a, z in spans) <= max_coverage * len(ws))
                     if spans and keep[-1]:
                         texts[i], changed = without(text, spans), True
@@ -290,7 +327,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
                     if chars is not None:
                         columns[n_at] = pa.array(chars, columns[n_at].type)
                     part = pa.RecordBatch.from_arrays(columns, names=names)
-                yield part.filter(pa.array(keep, pa.bool_())).rename_columns(batch.schema.names)
+                yield part.filter(pa.array(keep, pa.bool_())).rename_columns(schema.names)
 
     assert isinstance(count, (T.LongType, T.IntegerType)), f"{chars_col} is not a count"
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, schema)

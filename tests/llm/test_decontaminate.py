@@ -82,3 +82,17 @@ def test_clean_removes_spans_and_drops_what_is_mostly_benchmark(spark):
     assert got[1].text == f"{filler}, ! End é." and got[1].n_chars == len(got[1].text) and got[3].text == filler and got[4].text is None
     assert {r.n_hit for r in D.hits(D.clean(df, b), b).collect()} == {0}
     assert set(r.doc_id for r in D.clean(df, b, max_coverage=1.0).collect()) == {1, 2, 3, 4, 5}
+
+
+def test_repeated_items_and_blocks_one_at_a_time(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    items = [(i, text(200)) for i in range(40)]
+    docs = [(i, f"{text(20)} {items[i][1] if i % 2 else text(60)} {text(150)} {items[-i][1][:90]}") for i in range(20)]
+    d, b = tables(spark, docs, items + items[:1] * 400)
+    assert D.pieces_of(b, block_words=3000)[1] == 4  # 8,000 words of different items
+    want = brute(docs, items)
+    assert sorted(map(tuple, D.hits(d, b, block_words=3000).drop("longest").collect()), key=repr) == want
+    df = d.selectExpr("doc_id", "text", "length(text) as n_chars", "'x' as lang")
+    one, more = (sorted(map(tuple, D.clean(df, b, block_words=k).collect())) for k in (400_000, 3000))
+    assert one == more and 0 < len(one) < len(docs)
