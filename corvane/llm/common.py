@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.sources.tables import table as table
 
@@ -34,17 +35,34 @@ def tame(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def position(df: DataFrame, name: str) -> int:
+    """Of a column. Exact names win, so that columns which differ in case, or which are there twice,
+    do not make a reference ambiguous; the first of equals is taken."""
+    exact = [i for i, c in enumerate(df.columns) if c == name]
+    loose = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not exact and not loose:
+        raise ValueError(f"column {name!r} is missing; there are {df.columns}")
+    return (exact or loose)[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Columns c0, c1, ... in place of names that may clash; toDF(*df.columns) brings these back."""
+    tame(df.sparkSession)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def count_position(df: DataFrame, name: str | None) -> int | None:
+    """Of a column of whole numbers; a column of any other kind is no count and stays as it is."""
+    if name is None or not any(c.lower() == name.lower() for c in df.columns):
+        return None
+    at = position(df, name)
+    return at if isinstance(df.schema[at].dataType, (T.LongType, T.IntegerType)) else None
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns only. Exact names win, so that columns which differ in case, or
-    which are there twice, do not make a reference ambiguous; the first of equals is taken."""
+    """The named columns only, by `position`."""
     tame(df.sparkSession)
-    where = []
-    for name in names:
-        exact = [i for i, c in enumerate(df.columns) if c == name]
-        loose = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
-        if not exact and not loose:
-            raise ValueError(f"column {name!r} is missing; there are {df.columns}")
-        where.append((exact or loose)[0])
+    where = [position(df, name) for name in names]
     safe = df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
     return safe.select(*[F.col(f"__c{i}").alias(n) for i, n in zip(where, names, strict=True)])
 
@@ -92,10 +110,15 @@ def clear_shared(spark: SparkSession) -> None:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again. It cuts the lineage
     there: a lost executor costs no more than the tasks that read the table."""
+    return written(df, label)[0]
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The same, with the table's path, for those who drop it."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -13,11 +13,14 @@ cuts whose population counts lie within the radius are dealt out, so no task get
 unbounded tile. A tile yields a forest (a row per fingerprint at most), never its pairs.
 
 Similar texts (`SIMILAR`) are those whose sets of shingles have a Jaccard similarity of four fifths
-or more. Fingerprints of several lanes of 64 bits, over distinct shingles, only find candidates: the
-radius is wide enough that such a pair is within it but for once in 10,000 times, and as fields of all
-agreeing bits are then too narrow to tile by, tiles take bits at random, in enough tables that such a
-pair is missed by all once in 1,000 times at most. Texts that candidate links hold together are then
-compared by their very shingles (`verified`), and only pairs that have the similarity are links.
+or more. So wide a radius leaves no fields that must agree, but the sets themselves do: of sets with
+that similarity the rarest fifth and one more of the shingles of each hold one of the other's, whatever
+the order that all sets are sorted in. So a tile is made of the texts that hold a shingle among their
+rarest, by the counts of a table of fixed size over the whole corpus; tiles are compared as above,
+with fingerprints of several lanes of 64 bits over distinct shingles, and a radius that such a pair is
+beyond less than once in ten million times. Texts that candidate links hold together are then compared
+by their very shingles (`verified`), and only pairs that have the similarity are links. A text is in
+as many tiles as a fifth of its shingles, whatever the size of the corpus.
 
 Components: rounds of minimum-label hooking and shortcutting over the forests, as DataFrames
 that are written to the shared folder each round.
@@ -40,11 +43,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import arrow_batch, materialize, pick, slices
+from corvane.llm.common import arrow_batch, drop_path, materialize, pick, position, slices, written
 
 BLOCK = 512
 BITS = 64
 SLOTS = 1 << 22  # of a bit table of digests
+BUCKETS = 1 << 18  # of the table of shingle counts
 LEVEL = 8  # population counts to a level, where fingerprints have several lanes
 
 
@@ -94,7 +98,19 @@ def _marks(texts: list[str | None], width: int, seed: int, lanes: int, distinct:
     hashes = (_shingles(t, width, seed) for t in texts)
     if not distinct:
         return _column([_majority(h, lanes) for h in hashes], lanes)
-    return pa.array([_majority(h, lanes).tobytes() + _digest(h) for h in map(np.unique, hashes)], pa.binary())
+    return pa.array([_key(h, lanes) for h in map(np.unique, hashes)], pa.binary())
+
+
+def _key(distinct: np.ndarray, lanes: int) -> bytes:
+    return _majority(distinct, lanes).tobytes() + _digest(distinct)
+
+
+def _rarest(distinct: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """As many of the rarest shingles as a set of the similarity `least` cannot do without, all of them."""
+    n = len(distinct)
+    take = n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0
+    order = np.lexsort((distinct, counts[distinct & np.uint64(len(counts) - 1)]))
+    return distinct[order[:take]]
 
 
 def _column(fps: list[np.ndarray] | np.ndarray, lanes: int) -> pa.Array:
@@ -137,7 +153,8 @@ def plan(n: int, radius: int) -> list[list[tuple[int, int]]]:
 
 def forest(fps: np.ndarray, radius: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Exact comparison of one tile; indices (child, parent) of a spanning forest of its links.
-    With split, only the first `split` fingerprints against the rest."""
+    With split, only the first `split` fingerprints against the rest. What is in one tree already is
+    not compared again, so a large group of near copies takes time in proportion to its size."""
     fps = fps.reshape(len(fps), -1)
     n, lanes = fps.shape
     pop = np.bitwise_count(fps).sum(1, dtype=np.int16)
@@ -151,6 +168,29 @@ def forest(fps: np.ndarray, radius: int, split: int | None = None) -> tuple[np.n
 
     sides = [np.argsort(pop, kind="stable")] if split is None else [np.argsort(pop[:split], kind="stable"), split + np.argsort(pop[split:], kind="stable")]
     child, parent = [], []
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        """Links between rows of a and of b; a row that is in both is no link."""
+        differ = np.bitwise_count(fps[a, 0][:, None] ^ fps[b, 0][None, :])
+        for lane in range(1, lanes):
+            differ = differ + np.bitwise_count(fps[a, lane][:, None] ^ fps[b, lane][None, :]).astype(np.uint16)
+        near = (differ <= radius) & (a[:, None] != b[None, :])
+        if not near.any():
+            return
+        # the root of each column is kept up to date, so a row looks at new trees only
+        rb = np.fromiter(map(root, b.tolist()), np.int64, len(b))
+        for r in np.nonzero(near.any(1))[0].tolist():
+            cols, now = np.nonzero(near[r])[0], root(int(a[r]))
+            new = cols[rb[cols] != now]
+            for c in new[np.unique(rb[new], return_index=True)[1]].tolist():
+                x, y = root(int(a[r])), root(int(b[c]))
+                if x != y:
+                    label[max(x, y)] = min(x, y)
+                    child.append(a[r])
+                    parent.append(b[c])
+            if len(new):
+                rb[cols] = root(int(a[r]))
+
     left, right = sides[0], sides[-1]
     for i in range(0, len(left), BLOCK):
         a = left[i : i + BLOCK]
@@ -160,27 +200,15 @@ def forest(fps: np.ndarray, radius: int, split: int | None = None) -> tuple[np.n
                 break
             if pop[a[0]] - pop[b[-1]] > radius:
                 continue
-            differ = np.bitwise_count(fps[a, 0][:, None] ^ fps[b, 0][None, :])
-            for lane in range(1, lanes):
-                differ = differ + np.bitwise_count(fps[a, lane][:, None] ^ fps[b, lane][None, :]).astype(np.uint16)
-            near = differ <= radius
-            if split is None and i == j:
-                np.fill_diagonal(near, False)
-            if not near.any():
-                continue
-            # the root of each column is kept up to date, so a row looks at new trees only
-            rb = np.fromiter(map(root, b.tolist()), np.int64, len(b))
-            for r in np.nonzero(near.any(1))[0].tolist():
-                cols, now = np.nonzero(near[r])[0], root(int(a[r]))
-                new = cols[rb[cols] != now]
-                for c in new[np.unique(rb[new], return_index=True)[1]].tolist():
-                    x, y = root(int(a[r])), root(int(b[c]))
-                    if x != y:
-                        label[max(x, y)] = min(x, y)
-                        child.append(a[r])
-                        parent.append(b[c])
-                if len(new):
-                    rb[cols] = root(int(a[r]))
+            if len(a) + len(b) > BLOCK and child:
+                ra, rb = (np.fromiter(map(root, x.tolist()), np.int64, len(x)) for x in (a, b))
+                ids, sizes = np.unique(ra, return_counts=True)
+                in_a, in_b = ra == ids[sizes.argmax()], rb == ids[sizes.argmax()]
+                if in_a.sum() > 1 and in_b.sum() > 1:  # the largest tree of a, which goes on in b
+                    compare(a, b[~in_b])
+                    compare(a[~in_a], b[in_b])
+                    continue
+            compare(a, b)
     return np.array(child, np.int64), np.array(parent, np.int64)
 
 
@@ -200,32 +228,50 @@ def links(points: DataFrame, n: int, radius: int = 4, tile_rows: int = 4096) ->
     return _compared(_dealt(keyed, radius, tile_rows), radius, 1)
 
 
-def wide_links(points: DataFrame, n: int, radius: int, lanes: int, tile_rows: int = 4096, missed: float = 0.005, seed: int = 42, likely: int | None = None) -> DataFrame:
-    """The same for fingerprints of several lanes, where the radius is too wide for every pair to
-    agree on whole fields. Each of several tables takes some bits, drawn at random, as its tiles'
-    keys: as many bits as leave about 1,000 rows of random fingerprints to a tile, and as many
-    tables as let a pair at `likely` bits (the radius, if not given) miss all of them with a
-    probability of `missed` at most.
-    Within tiles the comparison is exact."""
-    width = lanes * BITS
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / 1024))))
-    alike = (1 - (radius if likely is None else likely) / width) ** bits
-    tables = 1 if not bits else int(np.ceil(np.log(missed) / np.log(1 - alike)))
-    rng = np.random.default_rng(seed)
-    chosen = [np.sort(rng.choice(width, bits, replace=False)) for _ in range(tables)]
+def shingle_counts(docs: DataFrame, like: Like, text_col="text") -> np.ndarray:
+    """How many texts hold the shingles of each of `BUCKETS` buckets; a table of this size reaches the driver."""
+    width, seed = like.width, like.seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("t", pa.int32()), ("k", pa.int64()), ("level", pa.int32()), ("fp", pa.binary())])
-        for batch in batches:
-            fps = _lanes(batch.column(0)) if batch.num_rows else np.zeros((0, lanes), np.uint64)
-            flags = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little") if len(fps) else np.zeros((0, width), np.uint8)
-            level = pa.array((np.bitwise_count(fps).sum(1, dtype=np.int64) // LEVEL).astype(np.int32))
-            for t, which in enumerate(chosen):
-                k = flags[:, which].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(fps), np.int64)
-                yield arrow_batch([pa.array(np.full(len(fps), t, np.int32)), pa.array(k), level, batch.column(0)], schema)
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in slices(batches, "text"):
+            own = np.concatenate([np.unique(_shingles(t, width, seed)) for t in batch.column(0).to_pylist()])
+            total += np.bincount((own & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        some = np.flatnonzero(total)
+        yield arrow_batch([some.astype(np.int32), total[some]], pa.schema([("bucket", pa.int32()), ("n", pa.int64())]))
+
+    found = pick(docs, text_col).toDF("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def sets_marked(docs: DataFrame, like: Like, id_col="doc_id", text_col="text") -> DataFrame:
+    """doc_id, fp (lanes and digest), level, rarest: a row per row of docs."""
+    width, seed, lanes, least = like.width, like.seed, like.lanes, like.jaccard
+    rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
+    held = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, like, text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            own = [np.unique(_shingles(t, width, seed)) for t in batch.column(1).to_pylist()]
+            keys = [_key(s, lanes) for s in own]
+            level = [int(np.bitwise_count(np.frombuffer(k, np.uint64, lanes)).sum()) // LEVEL for k in keys]
+            rarest = [_rarest(s, held.value, least).view(np.int64) for s in own]
+            yield arrow_batch([batch.column(0), keys, level, rarest], pa.schema([("doc_id", batch.column(0).type), ("fp", pa.binary()), ("level", pa.int32()), ("rarest", pa.list_(pa.int64()))]))
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("fp binary, level int, rarest array<long>").fields]))
 
-    keyed = points.select("fp").mapInArrow(run, "t int, k long, level int, fp binary")
-    return _compared(_dealt(keyed, radius // LEVEL + 1, tile_rows), radius, lanes)
+
+def candidates(points: DataFrame, like: Like, tile_rows: int = 4096) -> DataFrame:
+    """points: fp, level, rarest, a row per set. Returns (a, b), forests over the lanes of links of
+    sets that share one of their rarest shingles and lie within the radius. Which shingles are shared is
+    settled on 16 bytes each; fingerprints move for these alone."""
+    own = points.select(F.xxhash64("fp").alias("id"), F.substring("fp", 1, like.lanes * BITS // 8).alias("fp"), "level")
+    held = points.select(F.explode("rarest").alias("k"), F.xxhash64("fp").alias("id"))
+    shared = held.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    keyed = held.join(shared, "k").join(own, "id").select(F.lit(0).alias("t"), "k", "level", "fp")
+    return _compared(_dealt(materialize(keyed, "simhash-keyed"), like.radius // LEVEL + 1, tile_rows), like.radius, like.lanes)
 
 
 def _dealt(keyed: DataFrame, reach: int, tile_rows: int, weight: Column | None = None) -> DataFrame:
@@ -397,26 +443,28 @@ def connected(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, root) for each node of the undirected edges (a, b); root is the least node
     reachable. Each round hooks every root under the least root next to it and then shortens
     the chains; the rounds end when no edge joins two trees."""
-    both = edges.where("a <> b").distinct()
-    now = materialize(both, f"{label}-edges")
+    spark = edges.sparkSession
+    now, path = written(edges.where("a <> b").distinct(), f"{label}-edges")
     # level by level: a star of each round maps nodes to smaller nodes; what is left are edges between stars
     stars: list[DataFrame] = []
     while not now.isEmpty():
         near = now.select("a", "b").union(now.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
-        hook = near.select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
-        hook = materialize(hook, f"{label}-hook")
+        hook, last = written(near.select(F.col("a").alias("node"), F.least("a", "b").alias("up")), f"{label}-hook")
         while True:  # pointer jumping; up <= node, so there are no cycles
             above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
             moved = hook.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") < F.col("up")).alias("moved"))
-            moved = materialize(moved, f"{label}-jump")
-            hook = moved.select("node", "up")
+            moved, next_ = written(moved, f"{label}-jump")
+            drop_path(spark, last)
+            hook, last = moved.select("node", "up"), next_
             if moved.where("moved").isEmpty():
                 break
         stars.append(hook)
         side = hook.select(F.col("node").alias("a"), F.col("up").alias("x"))
         other = hook.select(F.col("node").alias("b"), F.col("up").alias("y"))
-        now = materialize(now.join(side, "a").join(other, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{label}-left")
-    spark = edges.sparkSession
+        left = now.join(side, "a").join(other, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        now, next_ = written(left, f"{label}-left")
+        drop_path(spark, path)
+        path = next_
     if not stars:
         kind = edges.schema["a"].dataType
         return spark.createDataFrame([], T.StructType([T.StructField(n, kind) for n in ("node", "root")]))
@@ -429,37 +477,35 @@ def connected(edges: DataFrame, label: str = "cc") -> DataFrame:
 @dataclass(frozen=True)
 class Like:
     """What counts as alike: shingles of `width` words, fingerprints of lanes x 64 bits, linked at
-    `radius` differing bits; with `jaccard`, these are candidates, which differ in up to about `likely`
-    bits on average, and links are sets of shingles of such a similarity."""
+    `radius` differing bits; with `jaccard`, these are candidates, and links are sets of shingles of such
+    a similarity."""
 
     width: int = 4
     radius: int = 4
     lanes: int = 1
     seed: int = 42
     jaccard: float | None = None
-    likely: int | None = None
 
 
 #: Nearly equal texts; every link is found.
 EXACT = Like()
 #: Texts whose sets of shingles of five words have a Jaccard similarity of 0.8 or more. At 0.8 sets of
 #: equal size stand at an angle of 0.152 pi, so 256 bits differ in 39 on average (deviation 5.7), and in
-#: 48 (6.2) for the smallest such sets, of 4 and 5 shingles.
-SIMILAR = Like(width=5, radius=72, lanes=4, jaccard=0.8, likely=48)
+#: 48 (6.2) for the smallest such sets, of 4 and 5 shingles; 80 is 5.2 deviations or more away.
+SIMILAR = Like(width=5, radius=80, lanes=4, jaccard=0.8)
 
 
 def classes(docs: DataFrame, like: Like = EXACT, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame]:
     """(rows, classes): doc_id, fp for each row of docs; fp, root for each fingerprint."""
-    rows = materialize(fingerprints(docs, like.width, like.seed, id_col, text_col, like.lanes, like.jaccard is not None), "simhash")
-    points = materialize(rows.select("fp").distinct(), "simhash-points")
     if like.jaccard is not None:
-        bare = materialize(points.select(F.substring("fp", 1, like.lanes * BITS // 8).alias("fp")).distinct(), "simhash-bare")
-        near = wide_links(bare, bare.count(), like.radius, like.lanes, missed=0.001, likely=like.likely)
-        found = verified(docs, points, connected(near, "simhash-near"), like, text_col)
-    elif like.lanes == 1:
-        found = links(points, points.count(), like.radius)
+        marked = materialize(sets_marked(docs, like, id_col, text_col), "simhash")
+        rows = marked.select("doc_id", "fp")
+        points = materialize(marked.groupBy("fp").agg(F.first("level").alias("level"), F.first("rarest").alias("rarest")), "simhash-points")
+        found = verified(docs, points.select("fp"), connected(candidates(points, like), "simhash-near"), like, text_col)
     else:
-        found = wide_links(points, points.count(), like.radius, like.lanes)
+        rows = materialize(fingerprints(docs, like.width, like.seed, id_col, text_col), "simhash")
+        points = materialize(rows.select("fp").distinct(), "simhash-points")
+        found = links(points, points.count(), like.radius)
     trees = connected(found, "simhash")
     return rows, points.join(trees, points.fp == trees.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
@@ -484,15 +530,18 @@ def dedup(docs: DataFrame, like: Like = EXACT, id_col="doc_id", text_col="text")
     keep = materialize(best.select(F.col("k.first").alias("__id"), F.col("k.fp").alias("__fp")), "simhash-keep")
     names = docs.columns
     cols = [f"__c{i}" for i in range(len(names))]
-    key, text = (cols[names.index(c)] for c in (id_col, text_col))
+    key, text = (cols[position(docs, c)] for c in (id_col, text_col))
     safe = docs.toDF(*cols)
     odd = materialize(rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__odd")), "simhash-odd")
-    ids = keep.where("__id is not null").join(odd, keep["__id"] == odd["__odd"], "left_anti").select("__id")
-    single = safe.join(ids.hint("shuffle_hash"), safe[key] == ids["__id"], "left_semi")
+    # ids of rows that go are few, as a rule: a small table is broadcast by Spark, which leaves the texts where they are
+    ids = rows.where("doc_id is not null").select(F.col("doc_id").alias("__id"))
+    gone = ids.join(keep.where("__id is not null").select("__id"), "__id", "left_anti").select("__id").unionByName(odd.where("__odd is not null").select(F.col("__odd").alias("__id")))
+    gone = materialize(gone.distinct(), "simhash-gone")
+    single = safe.where(F.col(key).isNotNull()).join(gone, safe[key] == gone["__id"], "left_anti")
     if odd.isEmpty():
         return single.toDF(*names)
     # ids that are null or shared do not name a row; these rows are matched by fingerprint too
-    several = safe.where(F.col(key).isNull()).unionByName(safe.join(odd.where("__odd is not null").hint("shuffle_hash"), safe[key] == F.col("__odd"), "left_semi"))
+    several = safe.where(F.col(key).isNull()).unionByName(safe.join(odd.where("__odd is not null"), safe[key] == F.col("__odd"), "left_semi"))
     schema = T.StructType([*several.schema.fields, T.StructField("__fp", rows.schema["fp"].dataType)])
     at = cols.index(text)
 

@@ -130,42 +130,90 @@ def test_empty(spark):
     assert S.components(table(spark, []).limit(0)).collect() == [] and S.dedup(table(spark, []).limit(0)).collect() == []
 
 
-def wide_points(spark, rng, clusters, size, flips, noise):
-    fps = [rng.integers(0, 1 << 63, 4, np.uint64) for _ in range(noise)]
-    for _ in range(clusters):
+def all_pairs(fps, radius):
+    up = list(range(len(fps)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]).sum(1) <= radius):
+            up[max(root(i), root(int(j)))] = min(root(i), root(int(j)))
+    return [root(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("split", [None, 900])
+def test_forest_of_several_blocks(split):
+    """Clusters over many blocks, noise between; a tile of two sides has links between the sides only."""
+    rng = np.random.default_rng(7)
+    fps = [rng.integers(0, 1 << 63, 4, np.uint64) for _ in range(700)]
+    for size in (1200, 40, 3):
         centre = rng.integers(0, 1 << 63, 4, np.uint64)
         for _ in range(size):
             own = centre.copy()
-            for b in rng.choice(256, flips, replace=False):
+            for b in rng.choice(256, 24, replace=False):
                 own[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
             fps.append(own)
-    return np.array(fps), spark.createDataFrame([(f.tobytes(),) for f in fps], "fp binary").distinct()
-
-
-@pytest.mark.parametrize("tile_rows", [16, 4096])
-def test_few_wide_fingerprints_are_compared_exactly(spark, tile_rows):
-    fps, points = wide_points(spark, np.random.default_rng(7), 5, 20, 21, 100)
-    trees = {bytes(r.node): bytes(r.root) for r in S.connected(S.wide_links(points, len(fps), 44, 4, tile_rows)).collect()}
+    fps = np.array(fps)[rng.permutation(len(fps))]
+    child, parent = S.forest(fps, 40, split)
+    distance = np.bitwise_count(fps[child] ^ fps[parent]).sum(1)
+    assert (distance <= 40).all() and (split is None or all((c < split) != (p < split) for c, p in zip(child, parent)))
     up = list(range(len(fps)))
 
-    def root(i):
+    def root(up, i):
         while up[i] != i:
             i = up[i]
         return i
 
-    for i in range(len(fps)):
-        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]).sum(1) <= 44):
-            up[max(root(i), root(int(j)))] = min(root(i), root(int(j)))
-    mine = [trees.get(f.tobytes(), f.tobytes()) for f in fps]
-    assert all((mine[i] == mine[j]) == (root(i) == root(j)) for i in range(len(fps)) for j in range(i))
+    for c, p in zip(child.tolist(), parent.tolist()):
+        x, y = root(up, c), root(up, p)
+        assert x != y
+        up[max(x, y)] = min(x, y)
+    if split is None:
+        assert [root(up, i) for i in range(len(fps))] == all_pairs(fps, 40)
+        return
+    want = list(range(len(fps)))
+    for i in range(split):
+        for j in np.flatnonzero(np.bitwise_count(fps[split:] ^ fps[i]).sum(1) <= 40):
+            x, y = root(want, i), root(want, split + int(j))
+            want[max(x, y)] = min(x, y)
+    assert [root(up, i) for i in range(len(fps))] == [root(want, i) for i in range(len(fps))]
+
+
+def test_similar_sets_share_one_of_their_rarest_shingles():
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 40), 200, 1000]:
+        for _ in range(20):
+            counts = rng.integers(0, 50, 1 << 8)
+            a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+            out = int(rng.integers(0, len(a) // 4 + 1))
+            b = np.unique(np.concatenate([rng.permutation(a)[out:], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1)), np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 5 * both >= 4 * (len(a) + len(b) - both):
+                assert len(np.intersect1d(S._rarest(a, counts, 0.8), S._rarest(b, counts, 0.8)))
+    assert len(S._rarest(np.zeros(0, np.uint64), np.zeros(2), 0.8)) == 0
 
 
-def test_many_wide_fingerprints_are_nearly_all_found(spark):
-    rng = np.random.default_rng(8)
-    pairs, points = wide_points(spark, rng, 400, 2, 22, 4000)
-    links = {frozenset((bytes(r.a), bytes(r.b))) for r in S.wide_links(points, 1 << 16, 44, 4).collect()}
-    want = {frozenset((pairs[i].tobytes(), pairs[i + 1].tobytes())) for i in range(4000, len(pairs), 2) if np.bitwise_count(pairs[i] ^ pairs[i + 1]).sum() <= 44}
-    assert links <= want and len(links) >= 0.98 * len(want)
+@pytest.mark.parametrize("tile_rows", [8, 4096])
+def test_candidates_hold_every_similar_pair(spark, tile_rows):
+    rows = near_copies(9)
+    marked = S.sets_marked(table(spark, rows), S.SIMILAR)
+    keys = {r.doc_id: bytes(r.fp)[:32] for r in marked.collect()}
+    trees = {bytes(r.node): bytes(r.root) for r in S.connected(S.candidates(marked.drop("doc_id").dropDuplicates(["fp"]), S.SIMILAR, tile_rows)).collect()}
+    mine, want = [trees.get(keys[i], keys[i]) for i, _ in rows], jaccard_roots(rows)
+    assert all(mine[i] == mine[want[i]] for i in range(len(rows)))
+
+
+def test_counts_of_shingles(spark):
+    rows = near_copies(4)
+    got = S.shingle_counts(table(spark, rows), S.SIMILAR)
+    want = np.zeros(S.BUCKETS, np.int64)
+    for _, t in rows:
+        for h in set(S._shingles(t, 5, 42).tolist()):
+            want[h % S.BUCKETS] += 1
+    assert (got == want).all()
 
 
 def test_similar_texts_go_and_others_stay(spark):
