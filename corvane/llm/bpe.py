@@ -26,6 +26,7 @@ import heapq
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,9 @@ from pyspark.sql import types as T
 
 from corvane.llm.common import arrow_batch, pick, slices
 
-CACHE, CACHED_CHARS, SHORT = 250_000, 64, 48
+CACHE, CACHED_CHARS, SHORT = 150_000, 64, 48
 WIDTH = 512  # codepoints of a block
+TOKENS = 1 << 18  # decoded at a time
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, SPACE, WHITE = range(7)
 #: States: a new piece comes next; in letters, numbers, other; after the blank that the next
 #: piece begins with; one or two characters of a contraction to come.
@@ -159,6 +161,8 @@ class Codec:
         for token, rank in self.ranks.items():
             self.token[rank] = token
         self.lengths = np.array([len(t) for t in self.token], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths  # of each token's bytes in flat
+        self.flat = np.frombuffer(b"".join(self.token), np.uint8)
         # two tokens' ids (the first one 20 bits up) and the id of both together
         self.pairs = {
             self.ranks[a] << 20 | self.ranks[b]: rank
@@ -167,8 +171,8 @@ class Codec:
             if (a := token[:i]) in self.ranks and (b := token[i:]) in self.ranks
         }
         self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.digits = [str(i) for i in range(len(self.token))]
         self.ids: dict[str, tuple[int, ...]] = {}
-        self.digits: dict[str, str] = {}
         self.before: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -225,34 +229,36 @@ class Codec:
         """Puts what is missing into the cache. A full cache becomes the older of two; what is
         asked for again comes back from there."""
         if len(self.ids) > CACHE:
-            self.ids, self.digits, self.before = {}, {}, self.ids
+            self.ids, self.before = {}, self.ids
         for piece in set(own).difference(self.ids):
-            ids = self.before.get(piece) or self.merge(piece.encode())
-            self.ids[piece] = ids
-            self.digits[piece] = " ".join(map(str, ids))
+            self.ids[piece] = self.before.get(piece) or self.merge(piece.encode())
 
     def forget(self, own: list[str]) -> None:
         """Long pieces do not stay."""
         for piece in own:
             if len(piece) > CACHED_CHARS and piece in self.ids:
-                del self.ids[piece], self.digits[piece]
+                del self.ids[piece]
 
     def encode(self, own: list[str]) -> tuple[list[int], str]:
         """Ids of a text's pieces, and the same as digits with blanks between."""
         self.learn(own)
-        get = self.ids.__getitem__
-        ids = [i for piece in own for i in get(piece)]
-        digits = " ".join(map(self.digits.__getitem__, own))
+        ids = list(chain.from_iterable(map(self.ids.__getitem__, own)))
         if max(map(len, own), default=0) > CACHED_CHARS:
             self.forget(own)
-        return ids, digits
+        return ids, " ".join(map(self.digits.__getitem__, ids))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """Where each token's bytes begin, and the length behind; a slice of ids is the bytes between two of these."""
+        return np.concatenate((np.zeros(1, np.int64), np.cumsum(self.lengths[ids])))
 
-    def offsets(self, ids: list[int]) -> np.ndarray:
-        """Where each token's bytes begin; a slice of ids is the bytes between two of these."""
-        return np.concatenate(([0], np.cumsum(self.lengths[ids]))) if ids else np.zeros(1, np.int64)
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """Each token's bytes go to where its offset says, `TOKENS` tokens at a time."""
+        out = np.empty(int(offsets[-1] - offsets[0]), np.uint8)
+        for at in range(0, len(ids), TOKENS):
+            some, own = ids[at : at + TOKENS], offsets[at : at + TOKENS + 1]
+            source = np.repeat(self.starts[some] - own[:-1], np.diff(own)) + np.arange(own[0], own[-1])
+            out[own[0] - offsets[0] : own[-1] - offsets[0]] = self.flat[source]
+        return out.tobytes()
 
 
 @lru_cache(4)
@@ -262,36 +268,56 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, ranks_path: str, id_col="doc_id", text_col="text", arrays: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with arrays, ids and offsets (the first
-    byte of each token, then the length): `decode` gives the bytes of any range of tokens.
+    byte of each token, then the length): `decode` gives the bytes of any range of tokens. Offsets are
+    kept through either way; decoded_sha256 is that of the bytes decoded by them.
     ranks_path must be readable on every executor."""
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
-    extra = [("ids", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int32()))] if arrays else []
+    lists = pa.list_(pa.int32())
+    extra = [("ids", lists), ("offsets", lists)] if arrays else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path)
         for batch in slices(batches, "text"):
             schema = pa.schema([("doc_id", batch.column(0).type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *extra])
-            out: list[tuple] = []
+            made, digests = [], []
             for some in pieces([t or "" for t in batch.column(1).to_pylist()]):
                 ids, digits = own.encode(some)
-                back = hashlib.sha256(own.decode(ids)).hexdigest()
-                more = (np.array(ids, np.int32), own.offsets(ids).astype(np.int32)) if arrays else ()
-                out.append((len(ids), hashlib.sha256(digits.encode()).hexdigest(), back, *more))
-            yield arrow_batch([batch.column(0), *([o[k] for o in out] for k in range(len(schema) - 1))], schema)
+                made.append(np.array(ids, np.int32))
+                digests.append(hashlib.sha256(digits.encode()).hexdigest())
+            counts = np.fromiter(map(len, made), np.int64, len(made))
+            ids = np.concatenate(made)
+            # the offsets of all the slice's texts in a row, and where each text begins among its tokens
+            offsets, first = own.offsets(ids), np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
+            raw, at = own.decode(ids, offsets), offsets[first]
+            back = [hashlib.sha256(raw[a:z]).hexdigest() for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
+            more = []
+            if arrays:
+                more.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)))
+                # a text has an offset more than it has tokens
+                where = np.arange(len(ids) + len(made)) - np.repeat(np.arange(len(made)), counts + 1)
+                local = (offsets[where] - np.repeat(at[:-1], counts + 1)).astype(np.int32)
+                more.append(pa.ListArray.from_arrays(pa.array((first + np.arange(len(first))).astype(np.int32)), pa.array(local)))
+            yield arrow_batch([batch.column(0), pa.array(counts), digests, back, *more], schema)
 
     fields = [rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     fields += [T.StructField(n, T.ArrayType(T.IntegerType())) for n, _ in extra]
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def decode(encoded: DataFrame, ranks_path: str, id_col="doc_id") -> DataFrame:
-    """doc_id, bytes of rows that hold ids; null ids give null."""
-    rows = pick(encoded, id_col, "ids").toDF("doc_id", "ids")
+def decode(encoded: DataFrame, ranks_path: str, id_col="doc_id", first: int = 0, last: int | None = None) -> DataFrame:
+    """doc_id, bytes of tokens [first, last) of rows that hold ids and offsets; null ids give null."""
+    rows = pick(encoded, id_col, "ids", "offsets").toDF("doc_id", "ids", "offsets")
+
+    def one(own: Codec, ids: list[int] | None, offsets: list[int] | None) -> bytes | None:
+        if ids is None or offsets is None:
+            return None
+        some = np.array(ids[first:last], np.int64)
+        return own.decode(some, np.array(offsets[first : first + len(some) + 1], np.int64)) if len(some) else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path)
         for batch in batches:
-            found = [None if ids is None else own.decode(ids) for ids in batch.column(1).to_pylist()]
+            found = [one(own, i, o) for i, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield arrow_batch([batch.column(0), found], pa.schema([("doc_id", batch.column(0).type), ("bytes", pa.binary())]))
 
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("bytes", T.BinaryType())]))

@@ -20,7 +20,7 @@ from corvane.sources.tables import table as table
 SLICE_BYTES = 2 << 20
 #: Spark hands Python batches of at most so many bytes, which bounds what a task holds outside
 #: of the JVM's heap when texts are long. A session that sets less keeps its value.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def _bytes(text: str) -> int | None:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import arrow_batch, drop_path, fresh_path, materialize, pick, slices
+from corvane.llm.common import arrow_batch, count_position, drop_path, fresh_path, materialize, numbered, pick, position, slices
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -212,21 +212,20 @@ PA_FOUND = pa.struct([("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.str
 
 def passes(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int, at: int) -> tuple[DataFrame, tuple[list[str], Automaton]]:
     """(rows, last block): a pass over rows, whose column `at` is the text, for every block but the last.
-    After these, rows have one more column, what the blocks found so far."""
+    Columns come back as c0, c1, ... and after a pass with one more, what the blocks found so far."""
     pieces, n = pieces_of(benchmark, window, block_words)
     spark, width, before = rows.sparkSession, len(rows.columns), None
-    names = [f"c{i}" for i in range(width + 1)]
-    schema = T.StructType([*rows.toDF(*names[:-1]).schema.fields, *T.StructType.fromDDL(f"c{width} {FOUND}").fields])
-    rows = rows.toDF(*names[:-1])
+    rows = numbered(rows)
+    names = [*rows.columns, f"c{width}"]
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(f"c{width} {FOUND}").fields])
     for k in range(n - 1):
         held = spark.sparkContext.broadcast(block(pieces, k, n, window))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(iter([batch.rename_columns(names[: batch.num_columns])]), f"c{at}"):
-                    found = [spans_of(words(t), held.value, f) for t, f in zip(part.column(at).to_pylist(), earlier(part, width), strict=True)]
-                    state = [{"spans": [x for s in spans for x in s], "items": sorted(items), "longest": longest} for spans, items, longest in found]
-                    yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(state, PA_FOUND)], names=names)
+            for part in slices(batches, f"c{at}"):
+                found = [spans_of(words(t), held.value, f) for t, f in zip(part.column(at).to_pylist(), earlier(part, width), strict=True)]
+                state = [{"spans": [x for s in spans for x in s], "items": sorted(items), "longest": longest} for spans, items, longest in found]
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(state, PA_FOUND)], names=names)
 
         path = fresh_path(spark, "decontaminate")
         rows.mapInArrow(run, schema).write.parquet(path)
@@ -298,36 +297,33 @@ def without(text: str, spans: list[list[int]]) -> str:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS, text_col="text", chars_col: str | None = "n_chars") -> DataFrame:
     """docs without hit spans: rows of which more than max_coverage of the words are hit go,
-    the others lose their hit spans (chars_col, if there, is set anew)."""
-    at, n_at = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
-    count = T.LongType() if n_at is None else docs.schema[n_at].dataType
-    schema, width = docs.schema, len(docs.columns)
-    names = [f"c{i}" for i in range(width)]
+    the others lose their hit spans (chars_col, if it is there and holds whole numbers, is set anew)."""
+    at, n_at = position(docs, text_col), count_position(docs, chars_col)
+    width = len(docs.columns)
+    schema = numbered(docs).schema
     rows, last = passes(docs, benchmark, window, block_words, at)
     held = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(iter([batch]), f"c{at}"):
-                before = earlier(part, width)
-                part = part.select(names)
-                keep, texts, changed = [], part.column(at).to_pylist(), False
-                chars = part.column(n_at).to_pylist() if n_at is not None else None
-                for i, text in enumerate(texts):
-                    ws = words(text)
-                    spans = spans_of(ws, held.value, before[i])[0]
-                    keep.append(sum(z - a for a, z in spans) <= max_coverage * len(ws))
-                    if spans and keep[-1]:
-                        texts[i], changed = without(text, spans), True
-                        if chars is not None:
-                            chars[i] = len(texts[i])
-                if changed:
-                    columns = list(part.columns)
-                    columns[at] = pa.array(texts, columns[at].type)
+        for part in slices(batches, f"c{at}"):
+            before = earlier(part, width)
+            part = part.select(schema.names)
+            keep, texts, changed = [], part.column(at).to_pylist(), False
+            chars = part.column(n_at).to_pylist() if n_at is not None else None
+            for i, text in enumerate(texts):
+                ws = words(text)
+                spans = spans_of(ws, held.value, before[i])[0]
+                keep.append(sum(z - a for a, z in spans) <= max_coverage * len(ws))
+                if spans and keep[-1]:
+                    texts[i], changed = without(text, spans), True
                     if chars is not None:
-                        columns[n_at] = pa.array(chars, columns[n_at].type)
-                    part = pa.RecordBatch.from_arrays(columns, names=names)
-                yield part.filter(pa.array(keep, pa.bool_())).rename_columns(schema.names)
-
-    assert isinstance(count, (T.LongType, T.IntegerType)), f"{chars_col} is not a count"
-    return rows.mapInArrow(run, schema)
+                        chars[i] = len(texts[i])
+            if changed:
+                columns = list(part.columns)
+                columns[at] = pa.array(texts, columns[at].type)
+                if chars is not None:
+                    columns[n_at] = pa.array(chars, columns[n_at].type)
+                part = pa.RecordBatch.from_arrays(columns, names=schema.names)
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, schema).toDF(*docs.columns)

@@ -293,14 +293,20 @@ def histogram(rgba: np.ndarray) -> np.ndarray:
     return np.bincount((shown[:, 0] >> 6).astype(np.int64) << 4 | (shown[:, 1] >> 6 << 2) | shown[:, 2] >> 6, minlength=64)
 
 
-FRAMES = "array<struct<frame:int,start_ms:long,delay_ms:int,disposal:int,width:int,height:int,rgba:binary,histogram:array<long>>>"
+def brightness(rgba: np.ndarray) -> np.ndarray:
+    """Pixels by luminance (77 red, 150 green, 29 blue of 256), 64 bins of four levels; transparent ones are left out."""
+    shown = rgba[rgba[..., 3] > 0].astype(np.uint32)
+    return np.bincount((shown[:, 0] * 77 + shown[:, 1] * 150 + shown[:, 2] * 29 >> 10).astype(np.int64), minlength=64)
+
+
+FRAMES = "array<struct<frame:int,start_ms:long,delay_ms:int,disposal:int,width:int,height:int,rgba:binary,histogram:array<long>,brightness:array<long>>>"
 
 
 def frames(media: DataFrame, id_col: str, gif_col: str) -> DataFrame:
-    """id, width, height, frames (start, delay, disposal, the canvas as RGBA, a colour histogram)."""
+    """id, width, height, frames (start, delay, disposal, the canvas as RGBA, histograms by colour and by luminance)."""
     rows = pick(media, id_col, gif_col).toDF("id", "gif")
     inner = pa.struct([("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("width", pa.int32()),
-                       ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64()))])
+                       ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64())), ("brightness", pa.list_(pa.int64()))])
 
     def one(data: bytes | None) -> tuple:
         try:
@@ -309,7 +315,7 @@ def frames(media: DataFrame, id_col: str, gif_col: str) -> DataFrame:
             return None, None, []
         out, now = [], 0
         for k, (f, canvas) in enumerate(zip(image.frames, image.shown(), strict=True)):
-            out.append({"frame": k, "start_ms": now, "delay_ms": f.delay_ms, "disposal": f.disposal, "width": image.width, "height": image.height, "rgba": canvas.tobytes(), "histogram": histogram(canvas).tolist()})
+            out.append({"frame": k, "start_ms": now, "delay_ms": f.delay_ms, "disposal": f.disposal, "width": image.width, "height": image.height, "rgba": canvas.tobytes(), "histogram": histogram(canvas).tolist(), "brightness": brightness(canvas).tolist()})
             now += f.delay_ms
         return image.width, image.height, out
 
@@ -339,22 +345,48 @@ def media(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("gif", T.BinaryType())]))
 
 
-def features(stored: DataFrame) -> DataFrame:
-    """Of rows of `media`: digests of what is read back and of the file; `feature` names frames,
-    size, milliseconds and the histogram of the canvases by colour."""
-    text, number = T.StringType(), T.LongType()
-    names = [("n_bytes", number), ("payload_bytes", number), ("payload_sha256", text), ("tail_crc32", number), ("media_bytes", number), ("media_sha256", text), ("feature", text)]
+TIMES = "array<struct<start_ms:long,delay_ms:int,rows:int,columns:int>>"
+FIELDS = f"n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames {TIMES}, histogram array<long>, brightness array<long>"
+_ARROW = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
+          ("frames", pa.list_(pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("rows", pa.int32()), ("columns", pa.int32())]))),
+          ("histogram", pa.list_(pa.int64())), ("brightness", pa.list_(pa.int64()))]
 
-    def one(size: int, gif: bytes) -> tuple:
-        payload, image = restore(gif)
-        bins = sum(histogram(c) for c in image.shown())
-        feature = f"{len(image.frames)}:{image.width}x{image.height}:{sum(f.delay_ms for f in image.frames)}:" + ",".join(f"{i}={n}" for i, n in enumerate(bins.tolist()) if n)
-        return size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(gif), hashlib.sha256(gif).hexdigest(), feature
 
+def _examined(size: int, gif: bytes) -> tuple:
+    payload, image = restore(gif)
+    colours, light = np.zeros(64, np.int64), np.zeros(64, np.int64)
+    for canvas in image.shown():
+        colours += histogram(canvas)
+        light += brightness(canvas)
+    times, now = [], 0
+    for f in image.frames:
+        times.append({"start_ms": now, "delay_ms": f.delay_ms, "rows": f.indices.shape[0], "columns": f.indices.shape[1]})
+        now += f.delay_ms
+    feature = f"{len(image.frames)}:{image.width}x{image.height}:{now}:" + ",".join(f"{i}={n}" for i, n in enumerate(light.tolist()) if n)
+    return size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(gif), hashlib.sha256(gif).hexdigest(), feature, times, colours, light
+
+
+def _described(rows: DataFrame, size_bytes: str, one) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "gif"):
-            found = [one(n, g) for n, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            kinds = {number: pa.int64(), text: pa.string()}
-            yield arrow_batch([batch.column(0), *([f[k] for f in found] for k in range(7))], pa.schema([("doc_id", batch.column(0).type), *((n, kinds[t]) for n, t in names)]))
+        for batch in slices(batches, size_bytes):
+            found = [one(*r) for r in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+            yield arrow_batch([batch.column(0), *([f[k] for f in found] for k in range(len(_ARROW)))], pa.schema([("doc_id", batch.column(0).type), *_ARROW]))
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(FIELDS).fields]))
+
+
+def features(stored: DataFrame) -> DataFrame:
+    """Of rows of `media`: digests of what is read back and of the file, the timed frames, and histograms of
+    the canvases by colour and by luminance; `feature` names frames, size, milliseconds and the latter."""
+    return _described(stored.select("doc_id", "n_bytes", "gif"), "gif", _examined)
+
+
+def stored_features(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """`features` of `media` in one pass, for files that need not be kept: a text's file is made, read back and
+    described by one task, so it crosses to no other process."""
+
+    def one(text: str | None) -> tuple:
+        size, data = padded(text)
+        return _examined(size, store(data))
 
-    return stored.select("doc_id", "n_bytes", "gif").mapInArrow(run, T.StructType([stored.schema["doc_id"], *(T.StructField(n, t) for n, t in names)]))
+    return _described(pick(docs, id_col, text_col).toDF("doc_id", "text"), "text", one)

@@ -3,9 +3,13 @@
 Every page is parsed into elements, and each element's subtree (tag, class, text, children) is
 hashed. Spark counts per host in how many pages with different content a subtree stands; those
 in at least `least_pages`, and in `least_share` of the host's, are the site's template, and each
-page loses its template subtrees. What is left is reduced to the article: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts and comments go by element, role and class
-where a site has too few pages to show a template.
+page first loses its template subtrees, whatever they are. In what is left, menus, headers, footers,
+sidebars, notices, adverts, forms and scripts go by element, role and class, where a site has too few
+pages to show a template or an element differs from page to page. Reader comments go by their names, always.
+
+Then the article is chosen: the main element; or else article elements, if they hold at least
+`ARTICLE_SHARE` of the characters that are left (teasers next to a story do not); in either case with the
+first-level headings before it. Else it is what stands outside of article elements.
 
 Pages of a host that repeat one article do not make it a template: a page's content is known by
 that of its text blocks which stands in the fewest of the host's pages, so copies count as one
@@ -42,6 +46,7 @@ from corvane.llm.common import arrow_batch, materialize, pick, slices
 
 BROADCAST = 1_000_000
 OWN, OWN_SHARE = 20, 0.02
+ARTICLE_SHARE = 0.2
 TOKEN = re.compile(
     r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL
 )
@@ -63,9 +68,11 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NOISE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget ad ads adv advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr "
-    "notice popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus respond reply replies pagination pager toolbar login "
+    "notice popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations pagination pager toolbar login "
     "search skip hidden outbrain taboola".split()
 )
+#: Such names never hold the article; those of NOISE may, if nothing else is left (a layout's class, say).
+NEVER = frozenset("comment comments disqus respond reply replies ad ads adv advert adverts advertisement adsense sponsored cookie cookies consent gdpr popup newsletter outbrain taboola".split())
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"),
             "tbody": ("tr", "td", "th", "tbody", "thead", "tfoot"), "thead": ("tr", "td", "th", "tbody", "thead", "tfoot"), "tfoot": ("tr", "td", "th", "tbody", "thead", "tfoot")}
@@ -83,14 +90,14 @@ def _hash(text: str) -> int:
 
 class Element:
     """drop: goes for what it is; gone: it or an element around it does; doubtful: so does its class or
-    one around it; header, article: within such."""
+    one around it; header, article, main: within such (an article may be a main element)."""
 
-    __slots__ = ("tag", "parent", "drop", "gone", "doubtful", "header", "article", "parts", "key", "word")
+    __slots__ = ("tag", "parent", "drop", "gone", "doubtful", "header", "article", "main", "parts", "key", "word")
 
     def __init__(self, tag: str, parent: Element | None, word: str):
         self.tag, self.parent, self.word = tag, parent, word
         self.drop, self.key, self.parts = False, 0, []
-        self.gone, self.doubtful, self.article = (parent.gone, parent.doubtful, parent.article) if parent else (False, False, False)
+        self.gone, self.doubtful, self.article, self.main = (parent.gone, parent.doubtful, parent.article, parent.main) if parent else (False, False, False, False)
         self.header = tag == "header" or bool(parent and parent.header)
 
 
@@ -113,12 +120,12 @@ def _is_noise(element: Element, attrs: dict[str, str]) -> bool:
     return attrs.get("role", "").lower() in ROLES
 
 
-def _is_noise_by_name(element: Element, attrs: dict[str, str]) -> bool:
-    """By class or id. Names like has-sidebar tell of what is next to the element."""
+def _names(element: Element, attrs: dict[str, str]) -> set[str]:
+    """Words in class and id. Names like has-sidebar tell of what is next to the element."""
     if not attrs or element.tag in ("html", "body", "main"):
-        return False
+        return set()
     names = [n for n in f"{attrs.get('class', '')} {attrs.get('id', '')}".split() if not n.lower().startswith(("has-", "with-", "no-", "without-"))]
-    return any(w.lower() in NOISE for n in names for w in (n, *WORDS.findall(n)))
+    return {w.lower() for n in names for w in (n, *WORDS.findall(n))}
 
 
 class Page:
@@ -127,7 +134,6 @@ class Page:
     def __init__(self, source: str):
         self.elements: list[Element] = []
         self.blocks: list[tuple[Element, str]] = []
-        self.article_of = {False: False, True: False}  # is there an article, and one that is doubtful?
         self._parse(source)
 
     def _parse(self, s: str) -> None:
@@ -207,14 +213,15 @@ class Page:
                 continue
             attrs = _attributes(m[3] or m[6]) if (m[3] or m[6] or "").strip(" \t\r\n/") else {}
             e = Element(tag, open_[-1], attrs.get("class", ""))
-            e.article = e.article or tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody"
-            e.drop = _is_noise(e, attrs)
+            e.main = e.main or tag == "main" or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
+            e.article = e.article or e.main or tag == "article" or attrs.get("role") == "article"
+            names = _names(e, attrs)
+            # a piece of opinion may be called a comment
+            e.drop = _is_noise(e, attrs) or bool(names & NEVER) and tag != "article"
             e.gone = e.gone or e.drop
-            named = _is_noise_by_name(e, attrs)
+            named = bool(names & (NOISE | NEVER))
             e.doubtful = e.doubtful or named
             e.drop = e.drop or named and tag not in BLOCK
-            if e.article and not e.gone:
-                self.article_of[e.doubtful] = True
             if tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(s, at)
                 if tag == "iframe" or tag in DROPPED or tag == "title":
@@ -235,28 +242,40 @@ class Page:
         flush()
 
     def kept(self, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
-        """Blocks of the article, in page order. What goes for its class alone stays if nothing else is left."""
-        known: dict[Element | None, bool] = {None: False}
+        """Blocks of the article, in page order."""
+        return self.reduced(template)[0]
 
-        def in_template(e: Element) -> bool:
-            way = []
-            at: Element | None = e
-            while at not in known:
-                way.append(at)
-                at = at.parent
-            for x in reversed(way):
-                known[x] = known[x.parent] or (x.key in template and self.candidate(x))
-            return known[e]
-
-        def chosen(doubtful: bool) -> list[str]:
-            has_article = self.article_of[False] or doubtful and self.article_of[True]
-            return [
-                text
-                for e, text in self.blocks
-                if not e.gone and (doubtful or not e.doubtful) and (e.article or not has_article) and not (e.header and e.tag not in HEADINGS) and not (template and in_template(e))
-            ]
-
-        return chosen(False) or chosen(True)
+    def reduced(self, template: frozenset[int] | set[int]) -> tuple[list[str], int]:
+        """(blocks of the article, template subtrees that the page lost: the outermost ones). The template
+        goes first. What goes for its class alone stays if nothing else is left."""
+        known: dict[Element | None, bool] = {None: False}
+        lost = 0
+        for e in self.elements if template else ():  # in page order, so a parent's turn is before its children's
+            inside = known[self._around(e)]
+            known[e] = inside or (e.key in template and self.candidate(e))
+            lost += known[e] and not inside
+
+        left = [(e, text) for e, text in self.blocks if not e.gone and not (e.header and e.tag not in HEADINGS) and not known.get(e)]
+        return self.article_in([b for b in left if not b[0].doubtful]) or self.article_in(left), lost
+
+    def _around(self, e: Element) -> Element | None:
+        """The block around an element, None for the page."""
+        at = e.parent
+        while at is not None and at.tag not in BLOCK:
+            at = at.parent
+        return at
+
+    @staticmethod
+    def article_in(left: list[tuple[Element, str]]) -> list[str]:
+        """A page's main element is its article; article elements are if they have the weight."""
+        inside = [e.main for e, _ in left] if any(e.main for e, _ in left) else [e.article for e, _ in left]
+        inner, total = sum(len(t) for (_, t), own in zip(left, inside, strict=True) if own), sum(len(t) for _, t in left)
+        if not inner:
+            return [t for _, t in left]
+        if not any(e.main for e, _ in left) and inner < ARTICLE_SHARE * total:
+            return [t for (_, t), own in zip(left, inside, strict=True) if not own]
+        first = inside.index(True)
+        return [t for i, (e, t) in enumerate(left) if inside[i] or i < first and e.tag == "h1"]
 
     def candidate(self, e: Element) -> bool:
         return bool(e.key) and e.tag not in ("html", "body", "article", "main") and not (e.article and e.tag in TEXT_BLOCK)
@@ -309,14 +328,14 @@ def templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.1)
 
 
 def extract(pages: DataFrame, least_pages: int = 3, least_share: float = 0.1, broadcast: int = BROADCAST) -> DataFrame:
-    """page_id, url, text, n_chars; a row per row of pages."""
+    """page_id, url, text, n_chars, n_template (template subtrees that the page lost); a row per row of pages."""
     found = materialize(templates(pages, least_pages, least_share), "html-templates")
     rows = pick(pages, "page_id", "url", "html")
-    schema = T.StructType([*rows.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_template", T.LongType())])
 
-    def result(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        fields = pa.schema([(n, batch.column(i).type) for i, n in enumerate(("page_id", "url"))] + [("text", pa.string()), ("n_chars", pa.int64())])
-        return arrow_batch([batch.column(0), batch.column(1), texts, [len(t) for t in texts]], fields)
+    def result(batch: pa.RecordBatch, found: list[tuple[str, int]]) -> pa.RecordBatch:
+        fields = pa.schema([(n, batch.column(i).type) for i, n in enumerate(("page_id", "url"))] + [("text", pa.string()), ("n_chars", pa.int64()), ("n_template", pa.int64())])
+        return arrow_batch([batch.column(0), batch.column(1), [t for t, _ in found], [len(t) for t, _ in found], [n for _, n in found]], fields)
 
     if found.count() <= broadcast:
         # a size that has been looked at: 16 bytes each
@@ -325,7 +344,7 @@ def extract(pages: DataFrame, least_pages: int = 3, least_share: float = 0.1, br
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "html"):
                 own = held.value
-                texts = [text_of(h, own.get(_signed(_hash(host_of(u))), frozenset())) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                texts = [article_of(h, own.get(_signed(_hash(host_of(u))), frozenset())) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
                 yield result(batch, texts)
 
         return rows.mapInArrow(run, schema)
@@ -343,7 +362,7 @@ def extract(pages: DataFrame, least_pages: int = 3, least_share: float = 0.1, br
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            texts = [text_of(h, {k % (1 << 64) for k in keys or ()}) for h, keys in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [article_of(h, {k % (1 << 64) for k in keys or ()}) for h, keys in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield result(batch, texts)
 
     return joined.mapInArrow(run_joined, schema)
@@ -356,5 +375,13 @@ def _by_host(found: DataFrame) -> dict[int, frozenset[int]]:
     return {h: frozenset(k) for h, k in out.items()}
 
 
+def article_of(source: str | None, template: frozenset[int] | set[int] = frozenset()) -> tuple[str, int]:
+    """(text, template subtrees lost)."""
+    if not source:
+        return "", 0
+    blocks, lost = Page(source).reduced(template)
+    return "\n".join(blocks), lost
+
+
 def text_of(source: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    return "\n".join(Page(source).kept(template)) if source else ""
+    return article_of(source, template)[0]

@@ -7,7 +7,8 @@ softmax is linear, embedding and projection fold into one table of a score per b
 language before the corpus is scored. A temperature fitted on rows kept aside calibrates the
 probabilities; a row whose best calibrated probability lies below `min_confidence` is rejected.
 
-Defined results: a null text, or one without any letter, is `und` with score 0.0, rejected.
+Defined results: a null text, or one without any letter (Unicode's categories L), is `und` with score
+0.0, rejected. Of languages that score alike the first by name is taken.
 With no labelled row at all every text is `und`. A null doc_id is scored but never learned
 from and never held out. Repeated rows are scored alike. Extra columns are ignored by
 `predict` and kept by `keep_confident`. Texts are read whole, whatever their length.
@@ -15,18 +16,18 @@ from and never held out. Repeated rows are scored alike. Extra columns are ignor
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import arrow_batch, pick, slices
+from corvane.llm.common import arrow_batch, numbered, pick, position, slices
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 GAP = b"    "  # between texts: no n-gram that counts spans it
 STEP = 1 << 20
 
@@ -227,17 +228,14 @@ def keep_confident(docs: DataFrame, model: Model | None, text_col="text") -> Dat
     """The rows of docs, all columns, whose language is accepted."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     least = model.settings.min_confidence if model else 1.0
-    at = [i for i, c in enumerate(docs.columns) if c == text_col][0]
+    at, rows = position(docs, text_col), numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            plain = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
-            for part in slices(iter([plain]), f"c{at}"):
-                langs, probs = judge(part.column(at).to_pylist(), held.value)
-                keep = pa.array([p >= least and x != "und" for p, x in zip(probs, langs, strict=True)], pa.bool_())
-                yield part.filter(keep).rename_columns(batch.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+        for part in slices(batches, f"c{at}"):
+            langs, probs = judge(part.column(at).to_pylist(), held.value)
+            yield part.filter(pa.array([p >= least and x != "und" for p, x in zip(probs, langs, strict=True)], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def remainder(id_col: str = "doc_id") -> Column:

@@ -54,7 +54,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.features(gif.media(table(spark, sf_dir, "documents")))
+    return gif.stored_features(table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

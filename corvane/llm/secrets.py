@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import arrow_batch, materialize, pick, slices
+from corvane.llm.common import arrow_batch, count_position, materialize, numbered, pick, position, slices
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -250,36 +250,33 @@ def scan(docs: DataFrame, fdr: float = FDR, id_col="doc_id", text_col="text") ->
 
 
 def redact(docs: DataFrame, fdr: float = FDR, text_col="text", chars_col: str | None = "n_chars", mark: str = "[{}]") -> DataFrame:
-    """docs, all rows and columns, each secret replaced by its kind in brackets. Two passes: the
-    first sums the histogram of p-values, the second applies it."""
+    """docs, all rows and columns, each secret replaced by its kind in brackets (chars_col, if it is there and
+    holds whole numbers, is set anew). Two passes: the first sums the histogram of p-values, the second applies it."""
     found = scan_candidates(docs, text_col)
     least = thresholds(_histogram(found), fdr)
-    at = docs.columns.index(text_col)
-    n_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    at, n_at, rows = position(docs, text_col), count_position(docs, chars_col), numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(iter([batch.rename_columns(names)]), f"c{at}"):
-                texts = part.column(at).to_pylist()
-                chars = part.column(n_at).to_pylist() if n_at is not None else None
-                changed = False
-                for i, text in enumerate(texts):
-                    base, cands = examine(text)
-                    spans = sorted(base + [(a, 3, z) for a, z, c, p in cands if p < least[c]])
-                    if spans:
-                        texts[i], changed = replaced(text, spans, mark), True
-                        if chars is not None:
-                            chars[i] = len(texts[i])
-                if changed:
-                    columns = list(part.columns)
-                    columns[at] = pa.array(texts, columns[at].type)
+        for part in slices(batches, f"c{at}"):
+            texts = part.column(at).to_pylist()
+            chars = part.column(n_at).to_pylist() if n_at is not None else None
+            changed = False
+            for i, text in enumerate(texts):
+                base, cands = examine(text)
+                spans = sorted(base + [(a, 3, z) for a, z, c, p in cands if p < least[c]])
+                if spans:
+                    texts[i], changed = replaced(text, spans, mark), True
                     if chars is not None:
-                        columns[n_at] = pa.array(chars, columns[n_at].type)
-                    part = pa.RecordBatch.from_arrays(columns, names=names)
-                yield part.rename_columns(batch.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+                        chars[i] = len(texts[i])
+            if changed:
+                columns = list(part.columns)
+                columns[at] = pa.array(texts, columns[at].type)
+                if chars is not None:
+                    columns[n_at] = pa.array(chars, columns[n_at].type)
+                part = pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+            yield part
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def scan_candidates(docs: DataFrame, text_col="text") -> DataFrame:

@@ -6,13 +6,18 @@ so that shards hold nearly equal bytes: every shard keeps its largest slots up t
 rest are placed one by one, largest first, on the shard that holds least. A new shard is filled
 by edits too, which move slots into it and nowhere else.
 
-All that is gathered in one place is a row per slot, whose number is a parameter, not the
-number of records. Positions within a shard are the slot's offset plus the rank within the slot,
-so ranking is spread over all slots.
+Rows that are equal in id and text are numbered, and the hash takes the number in, so that a row which
+a third of the table repeats spreads over all slots. Numbers are given in two levels: within the
+partition that a row was read in, and above that by the counts of the partitions before. Numbers depend
+on what is repeated how often, not on which copy is which.
+
+All that is gathered in one place is a row per slot and part, whose numbers are parameters, not the
+number of records. Positions within a shard are the part's offset plus the rank within the part (a
+slot has `PARTS`), so ranking is spread over all slots and parts.
 
 Defined results: a null text counts 8 bytes and has the checksum of the empty text; a null
-doc_id is hashed by its text alone. Equal rows fall into one slot and take positions in any
-order among themselves. Empty tables give empty results; extra columns are ignored.
+doc_id is hashed by its text alone. Equal rows take positions in any order among themselves. Empty
+tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,24 +28,44 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import fresh_path, materialize, pick
 
-SLOTS = 4096
+SLOTS, PARTS = 4096, 16
 
 
-def records(docs: DataFrame, slots: int = SLOTS, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, size, text_crc32, vslot."""
+def records(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """doc_id, size, text_crc32, h (a hash of id and text), chunk (the partition read)."""
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
     return rows.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).cast("int").alias("vslot"),
+        F.xxhash64("doc_id", "text").alias("h"),
+        F.spark_partition_id().alias("chunk"),
     )
 
 
-def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """vslot, bytes, n of every slot, empty ones too."""
-    found = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    every = rows.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
+def slotted(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Rows of `records` that have been stored, with vslot and part in place of h and chunk."""
+    counts = rows.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    same = W.partitionBy("h")
+    before = F.coalesce(F.sum("n").over(same.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("h", "chunk", before.alias("before"), F.sum("n").over(same).alias("all")).where(F.col("all") > 1).drop("all")
+    rank = F.row_number().over(W.partitionBy("h", "chunk").orderBy("size"))
+    copy = F.when(F.col("before").isNotNull(), F.col("before") + rank - 1).otherwise(0)
+    numbered = rows.join(offsets, ["h", "chunk"], "left").withColumn("copy", copy)
+    mixed = F.when(F.col("copy") > 0, F.xxhash64("h", "copy")).otherwise(F.col("h"))
+    at = F.pmod(mixed, F.lit(slots)).cast("int").alias("vslot")
+    return numbered.select("doc_id", "size", "text_crc32", at, F.pmod(F.xxhash64(mixed), F.lit(PARTS)).cast("int").alias("part"))
+
+
+def part_bytes(rows: DataFrame) -> DataFrame:
+    """vslot, part, bytes, n of what there is."""
+    return rows.groupBy("vslot", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+
+
+def slot_bytes(parts: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """vslot, bytes of every slot, empty ones too."""
+    found = parts.groupBy("vslot").agg(F.sum("bytes").alias("bytes"))
+    every = parts.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
     return every.join(found, "vslot", "left").na.fill(0)
 
 
@@ -50,8 +75,8 @@ def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame
 
 
 def save_map(slot_map: DataFrame, path: str) -> None:
-    """Adds a version to those stored at path."""
-    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Adds a version to those stored at path, or takes the place of one of the same number."""
+    slot_map.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -97,23 +122,29 @@ def grow(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     return ranked.select((F.col("version") + 1).alias("version"), "vslot", F.when(gives, F.lit(shards)).otherwise(F.col("shard")).cast("int").alias("shard"))
 
 
-def place(rows: DataFrame, slot_map: DataFrame, sizes: DataFrame) -> DataFrame:
+def place(rows: DataFrame, slot_map: DataFrame, parts: DataFrame) -> DataFrame:
     """rows with shard and slot, the position within the shard."""
-    before = W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1)
-    at = slot_map.join(sizes, "vslot").select("vslot", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    rank = F.row_number().over(W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
-    # the map has one row per slot, however many records there are
-    return rows.withColumn("rank", rank).join(F.broadcast(at), "vslot").withColumn("slot", (F.col("offset") + F.col("rank") - 1).cast("long")).drop("offset", "rank")
+    before = W.partitionBy("shard").orderBy("vslot", "part").rowsBetween(W.unboundedPreceding, -1)
+    at = slot_map.join(parts, "vslot").select("vslot", "part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(W.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size"))
+    # slots x PARTS rows at most, however many records there are
+    joined = rows.withColumn("rank", rank).join(F.broadcast(at), ["vslot", "part"])
+    return joined.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot"))
 
 
 def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, size, text_crc32, vslot, shard, slot; law `bytes`. The map is stored at map_path
     (a new path by default): version 1, or the latest one there, and the edited version."""
     spark = docs.sparkSession
-    rows = materialize(records(docs, slots, id_col, text_col), "shard-records")
-    sizes = materialize(slot_bytes(rows, slots), "shard-slots")
+    rows = materialize(slotted(materialize(records(docs, id_col, text_col), "shard-records"), slots), "shard-slotted")
+    parts = materialize(part_bytes(rows), "shard-parts")
+    old = first_map(spark, shards, slots)
     if map_path is None:
         map_path = fresh_path(spark, "slot-map")
-        save_map(first_map(spark, shards, slots), map_path)
-    save_map(rebalance(load_map(spark, map_path), sizes, shards), map_path)
-    return place(rows, load_map(spark, map_path), sizes)
+        save_map(old, map_path)
+    else:
+        old = load_map(spark, map_path)
+    # a copy of its own, whatever another run stores under the same number
+    new = materialize(rebalance(old, slot_bytes(parts, slots), shards), "slot-map-edited")
+    save_map(new, map_path)
+    return place(rows, new, parts)

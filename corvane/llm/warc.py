@@ -3,7 +3,8 @@
 The source plans a partition per file, takes equality and IN predicates on the record type and
 other header columns, and parses each record's headers first. The payload of a record that the
 predicates refuse is not decoded: if its gzip member says how long it is (the `sl` extra field,
-which the writer sets), the reader seeks past it, else it only inflates to find the end.
+which the writer sets) and holds no other record, the reader seeks past it, else it only inflates to
+find the end. A member may hold any number of records, as in a file that is compressed as a whole.
 
 Writer: a gzip member per record. Records of equal payload become one response, that of the
 largest page_id, and revisits of it without payload (profile identical-payload-digest), if the
@@ -26,12 +27,13 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from corvane.llm.common import arrow_batch, fresh_path, materialize, pick, slices
+from corvane.llm.common import arrow_batch, fresh_path, materialize, pick, position, slices, written
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, "
@@ -118,8 +120,8 @@ class FilePartition(InputPartition):
 
 
 class WarcSource(DataSource):
-    """spark.read.format("warc"); options: path (a file or folder), or files (one a line);
-    payload = "full" (default) or "none", which never decodes payloads."""
+    """spark.read.format("warc"); options: path (a file or folder), files (one a line), or manifest (a Parquet
+    table of `file`); payload = "full" (default) or "none", which never decodes payloads."""
 
     @classmethod
     def name(cls) -> str:
@@ -147,6 +149,12 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> Sequence[FilePartition]:
         if "files" in self.options:
             return [FilePartition([f]) for f in self.options["files"].split("\n") if f] or [FilePartition([])]
+        if "manifest" in self.options:
+            # a task gets its own file's name; the list stays with the plan
+            place, root = filesystem(self.options["manifest"])
+            parts = [i.path for i in place.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file and i.path.endswith(".parquet")]
+            names = sorted(n for p in parts for n in pq.read_table(p, columns=["file"], filesystem=place).column(0).to_pylist())
+            return [FilePartition([n]) for n in names] or [FilePartition([])]
         place, root = filesystem(self.options["path"])
         info = place.get_file_info(root)
         if info.type == fs.FileType.NotFound:
@@ -197,70 +205,117 @@ def fields(head: str) -> dict[str, str]:
     return out
 
 
+class Plain:
+    """The bytes of a file from a place on; what is skipped is not read."""
+
+    def __init__(self, f, at: int):
+        self.f, self.at, self.end = f, at, f.size()
+
+    def read(self, n: int) -> bytes:
+        self.f.seek(self.at)
+        got = self.f.read(min(n, self.end - self.at))
+        self.at += len(got)
+        return got
+
+    def back(self, rest: bytes) -> None:
+        self.at -= len(rest)
+
+    def skip(self, n: int) -> None:
+        self.at = min(self.end, self.at + n)
+
+
+class Inflated:
+    """The bytes that a gzip member holds; what is skipped is inflated and let go. start: what has been
+    read of the file from `at` on."""
+
+    def __init__(self, f, at: int, start: bytes):
+        self.f, self.at, self.fed, self.rest = f, at + len(start), start, b""
+        self.inflate = zlib.decompressobj(31)
+
+    def read(self, n: int) -> bytes:
+        out, self.rest = [self.rest[:n]], self.rest[n:]
+        got = len(out[0])
+        while got < n and not self.inflate.eof:
+            if not self.fed:
+                self.f.seek(self.at)
+                self.fed = self.f.read(1 << 16 if n > HEAD else HEAD)
+                if not self.fed:
+                    raise ValueError("a record is cut off")
+                self.at += len(self.fed)
+            out.append(self.inflate.decompress(self.fed, n - got))
+            self.fed = self.inflate.unconsumed_tail
+            got += len(out[-1])
+        return b"".join(out)
+
+    def back(self, rest: bytes) -> None:
+        self.rest = rest + self.rest
+
+    def skip(self, n: int) -> None:
+        while n > 0 and (got := len(self.read(min(n, 1 << 20)))):
+            n -= got
+
+    @property
+    def end(self) -> int:
+        """Where the next member begins; what is left of this one is checked."""
+        self.skip(1 << 62)
+        return self.at - len(self.inflate.unused_data)
+
+
+def next_head(source: Plain | Inflated) -> tuple[dict[str, str], int] | None:
+    """Headers and how many bytes they take; None behind the last record."""
+    text, cut = b"", -1
+    while cut < 0:
+        more = source.read(HEAD)
+        text = (text + more).lstrip(b"\r\n")
+        if not more:
+            if text:
+                raise ValueError("a record's headers are cut off")
+            return None
+        cut = text.find(b"\r\n\r\n")
+    source.back(text[cut + 4 :])
+    return fields(text[:cut].decode("utf-8", "replace")), cut + 4
+
+
 def records(f, takes, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """(headers, block) of the records that `takes` takes; block is None without payloads."""
     at, size = 0, f.size()
     while at < size:
         f.seek(at)
         start = f.read(min(HEAD, size - at))
-        if start[:2] != b"\x1f\x8b":
-            head_end = start.find(b"\r\n\r\n")
-            while head_end < 0 and at + len(start) < size:
-                start += f.read(min(HEAD, size - at - len(start)))
-                head_end = start.find(b"\r\n\r\n")
-            head = fields(start[:head_end].decode("utf-8", "replace"))
+        packed = start[:2] == b"\x1f\x8b"
+        source = Inflated(f, at, start) if packed else Plain(f, at)
+        compressed, inflated = member_length(start) if packed else (None, None)
+        done, jump = 0, False
+        while not jump and (found := next_head(source)):
+            head, n = found
             length = int(head["content-length"])
-            if takes(head):
-                f.seek(at + head_end + 4)
-                yield head, f.read(length) if payloads else None
-            at += head_end + 4 + length + 4
-            continue
-        known = member_length(start)
-        inflate = zlib.decompressobj(31)
-        text, fed = inflate.decompress(start, HEAD), len(start)
-        while (head_end := text.find(b"\r\n\r\n")) < 0 and not inflate.eof:
-            more = inflate.unconsumed_tail
-            if not more:
-                more = f.read(HEAD)
-                fed += len(more)
-                if not more:
-                    raise ValueError(f"a record is cut off at byte {at}")
-            text += inflate.decompress(more, HEAD)
-        head = fields(text[:head_end].decode("utf-8", "replace"))
-        taken = takes(head)
-        if known and not (taken and payloads):
-            if taken:
-                yield head, None
-            at += known
-            continue
-        keep = [text[head_end + 4 :]] if taken and payloads else []
-        while not inflate.eof:
-            more = inflate.unconsumed_tail
-            if not more:
-                more = f.read(1 << 16)
-                fed += len(more)
-                if not more:
-                    raise ValueError(f"a record is cut off at byte {at}")
-            some = inflate.decompress(more, 1 << 20)
-            if keep:
-                keep.append(some)
-        if taken:
-            block = b"".join(keep)[: int(head["content-length"])] if payloads else None
-            yield head, block
-        at += fed - len(inflate.unused_data)
-
-
-def member_length(start: bytes) -> int | None:
-    """What the extra field `sl` says, if it is there."""
+            done += n + length + 4
+            taken = takes(head)
+            if taken and payloads:
+                block = source.read(length)
+                if len(block) < length:
+                    raise ValueError(f"a record is cut off in the member at byte {at}")
+                yield head, block
+            else:
+                if taken:
+                    yield head, None
+                jump = done == inflated  # nothing else is in this member
+                if not jump:
+                    source.skip(length)
+        at = at + compressed if jump else source.end
+
+
+def member_length(start: bytes) -> tuple[int | None, int | None]:
+    """What the extra field `sl` says, if it is there: bytes of the member and of what it holds."""
     if not start[3] & 4:
-        return None
+        return None, None
     at, end = 12, 12 + struct.unpack_from("<H", start, 10)[0]
     while at + 4 <= min(end, len(start)):
         name, n = start[at : at + 2], struct.unpack_from("<H", start, at + 2)[0]
-        if name == b"sl" and n >= 4:
-            return struct.unpack_from("<I", start, at + 4)[0]
+        if name == b"sl" and n >= 8:
+            return struct.unpack_from("<II", start, at + 4)
         at += 4 + n
-    return None
+    return None, None
 
 
 def read(spark: SparkSession, **options: str) -> DataFrame:
@@ -272,14 +327,14 @@ def read(spark: SparkSession, **options: str) -> DataFrame:
 
 def round_trip(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> DataFrame:
     """Writes pages, reads the archives back: page_id, payload_bytes, payload_digest, record_type,
-    refers_to. Payloads are digested anew as they are read; a digest that differs from the
-    record's header fails the query."""
+    refers_to. Responses and revisits are read apart, each by a predicate that the reader takes, so the scan
+    of revisits seeks past all payloads. Payloads are digested anew as they are read; a digest that
+    differs from the record's header fails the query."""
     spark = pages.sparkSession
-    files = write(pages, path or fresh_path(spark, "warc"), least_bytes)
-    # one name for each file that a task wrote
-    names = [r[0] for r in files.select("file").collect()]
-    found = read(spark, files="\n".join(sorted(names)))
-    kind = pages.schema["page_id"].dataType.simpleString()
+    _, manifest = written(write(pages, path or fresh_path(spark, "warc"), least_bytes).select("file"), "warc-manifest")
+    # a reader for each, as a source keeps what was pushed to it first
+    found = read(spark, manifest=manifest).where("record_type = 'response'").unionByName(read(spark, manifest=manifest).where("record_type = 'revisit'"))
+    kind = pages.schema[position(pages, "page_id")].dataType.simpleString()
     number = lambda c: F.when(F.col(c).startswith("urn:page:"), F.substring(F.col(c), 10, 1 << 20)).cast(kind)
     digest = F.substring(F.col("payload_digest"), 6, 32)
     sound = F.when(F.col("payload_sha1").isNotNull() & (F.col("payload_sha1") != digest), F.raise_error(F.concat(F.lit("payload digest differs: "), "record_id"))).otherwise(digest)

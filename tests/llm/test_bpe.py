@@ -3,6 +3,7 @@ import hashlib
 import random
 import unicodedata
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -29,7 +30,8 @@ def check(texts, library):
     for t, p in zip(texts, B.pieces(texts), strict=True):
         assert "".join(p) == t
         ids, digits = own.encode(p)
-        assert ids == library.encode_ordinary(t) and own.decode(ids) == t.encode() and digits == " ".join(map(str, ids))
+        at = np.array(ids, np.int32)
+        assert ids == library.encode_ordinary(t) and own.decode(at, own.offsets(at)) == t.encode() and digits == " ".join(map(str, ids))
 
 
 def test_odd_texts(library):
@@ -68,9 +70,23 @@ def test_table(spark, library):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(raw).hexdigest()
         assert r.offsets[-1] == len(raw) and all(B.codec(RANKS).token[i] == raw[a:z] for i, a, z in zip(ids, r.offsets, r.offsets[1:]))
     assert [r.bytes for r in B.decode(out, RANKS).collect()] == [(t or "").encode() for _, t in data]
+    some = {r.doc_id: r.bytes for r in B.decode(out.where("n_tokens > 5").drop("n_tokens"), RANKS, first=2, last=5).collect()}
+    assert all(some[r.doc_id] == b"".join(B.codec(RANKS).token[i] for i in r.ids[2:5]) for r in got if r.n_tokens > 5)
     assert B.encode(df.limit(0), RANKS).collect() == []
 
 
+def test_decoding_goes_by_the_offsets(monkeypatch):
+    """Whatever the number of tokens that are decoded at a time; other offsets, other places."""
+    own, text = B.codec(RANKS), "Retained offsets say where bytes go. é中😀 " * 30
+    ids = np.array(own.encode(next(B.pieces([text])))[0], np.int32)
+    at = own.offsets(ids)
+    for n in (1, 7, 1 << 18):
+        monkeypatch.setattr(B, "TOKENS", n)
+        assert own.decode(ids, at) == text.encode() and own.decode(ids[5:9], at[5:10]) == text.encode()[at[5] : at[9]]
+    with pytest.raises((ValueError, IndexError)):
+        own.decode(ids, np.concatenate((at[:-1], [at[-1] + 10**9])))
+
+
 def test_full_cache_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(B, "CACHE", 5)
     own = B.Codec(RANKS)

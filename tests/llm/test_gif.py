@@ -135,10 +135,29 @@ def test_query_columns(spark):
     texts = [None, "", "a" * 64, "a" * 65, "é中😀" * 1000, "a" * 64, "\0"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 gif", "2 as feature")
     got = {r.doc_id: r for r in G.features(G.media(df)).collect()}
+    assert got == {r.doc_id: r for r in G.stored_features(df).collect()}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         data = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+        light = [0] * 64
+        for b in data:
+            light[b // 4] += 1
+        assert r.brightness == light and sum(r.histogram) == len(data)
+        assert r.feature == f"1:64x{len(data) // 64}:0:" + ",".join(f"{k}={n}" for k, n in enumerate(light) if n)
+        assert [tuple(f) for f in r.frames] == [(0, 0, len(data) // 64, 64)]
     assert got[2][2:] == got[5][2:] and got[0][1:] == got[1][1:]
     assert G.features(G.media(df.limit(0))).collect() == []
+
+
+def test_rows_without_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (3, "b"), (3, "b"), (4, None)], "doc_id long, text string").toDF("doc_id", "text").selectExpr("doc_id", "text", "1 as n_bytes", "'x' as feature")
+    got = G.stored_features(df).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in got) == [(0, 1), (0, 1), (3, 1), (3, 1), (4, 0)] and got[0] == got[1]
+
+
+def test_brightness_of_colours():
+    rgba = np.array([[[255, 0, 0, 255], [0, 255, 0, 255], [0, 0, 255, 255], [255, 255, 255, 255], [9, 9, 9, 0]]], np.uint8)
+    light = G.brightness(rgba)
+    assert light.sum() == 4 and light[63] == 1 and light[255 * 77 >> 10] == 1 and light[255 * 150 >> 10] == 1 and light[255 * 29 >> 10] == 1

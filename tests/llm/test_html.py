@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 
 from corvane.llm import html
@@ -91,3 +94,62 @@ def test_copies_with_dates_are_no_template(spark):
     story = "The one story of this site, which many pages repeat word by word."
     rows = [(i, f"http://s.com/{i}", f"<body><div class=a><p>{story}</p></div><div class=b>{i} May 2024, 10:{i}</div></body>") for i in range(30)]
     assert all(story in r.text for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<body><div id=content><p>" + "The story goes on. " * 20 + "</p></div><article><p>Next story</p></article><article><p>Other</p></article>", ("The story goes on. " * 20).strip()),
+        ("<body><h1>The title</h1><article><p>The text.</p></article>", "The title\nThe text."),
+        ("<body><h1>The title</h1><p>Lead-in by the desk</p><main><p>The text.</p></main>", "The title\nThe text."),
+        ("<body><div class=comments><p>I was first!</p></div>", ""),
+        ("<body><article class='comment opinion'><p>A piece of opinion.</p></article><ol class=comment-list><li><article><p>No!</p></article></li></ol>", "A piece of opinion."),
+        ("<body><div class=ad-box><p>Buy now</p></div><div id=cookie-notice>We use them.</div>", ""),
+        ("<body><div class=widget><p>All that there is.</p></div>", "All that there is."),
+    ],
+)
+def test_choice_of_the_article(source, want):
+    assert text_of(source) == want
+
+
+def planted(seed, hosts=6, pages=14):
+    """Sites whose boxes have no telling names: (page, its story, how many boxes the page has)."""
+    rng = random.Random(seed)
+    text = lambda n: " ".join(f"word{rng.randrange(4000)}" for _ in range(n))
+    out = []
+    for h in range(hosts):
+        boxes = [f"<div class=b{k}><p>{text(rng.choice([4, 30, 90]))}</p></div>" for k in range(4)]
+        for i in range(pages):
+            own = [b for b in boxes if rng.random() < 0.8]
+            story = [text(rng.choice([6, 40, 200])) for _ in range(3)]
+            body = "".join(own[: len(own) // 2]) + "<div>" + "".join(f"<p>{s}</p>" for s in story) + "</div>" + "".join(own[len(own) // 2 :])
+            out.append(((h * 100 + i, f"http://h{h}.org/{i}", f"<body>{body}</body>"), "\n".join(story), len(own)))
+    return out
+
+
+def test_planted_boxes_are_found_and_stories_stay(spark):
+    """By the template alone: no name, tag or role tells the boxes from the stories."""
+    data = planted(3)
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame([d[0] for d in data], SCHEMA)).collect()}
+    assert all(got[row[0]].text == story and got[row[0]].n_template == n for row, story, n in data)
+    assert all(text_of(row[2]) != story for row, story, n in data if n)
+
+
+def test_templates_are_counted_as_by_hand(spark):
+    """Every subtree of every page, counted per host in different pages' contents, without Spark."""
+    rows = [d[0] for d in planted(5, 3, 12)] + site(15, "s.org") + [(900 + i, f"http://s.org/x{i}", h) for i, _, h in site(4, "s.org")]
+    hosts = {}
+    for _, url, source in set((0, u, h) for _, u, h in rows):
+        hosts.setdefault(host_of(url), set()).add(source)
+    want = set()
+    for host, sources in hosts.items():
+        parsed = {s: Page(s) for s in sources}
+        blocks = {s: html.telling(p.kept()) for s, p in parsed.items()}
+        spread = Counter(b for own in blocks.values() for b in own)
+        content = {s: min(own, key=lambda b: (spread[b], -own[b], html._signed(html._hash(b)))) for s, own in blocks.items()}
+        seen = {}
+        for s, p in parsed.items():
+            for key in p.keys():
+                seen.setdefault(key, set()).add(content[s])
+        want |= {(html._signed(html._hash(host)), html._signed(k)) for k, who in seen.items() if len(who) >= max(3, 0.1 * len(set(content.values())))}
+    assert {tuple(r) for r in html.templates(spark.createDataFrame(rows, SCHEMA)).collect()} == want and len(want) > 10

@@ -105,3 +105,53 @@ def test_damage_is_noticed(spark, tmp_path):
 def test_url_control_characters():
     assert b"http://c.org/a%20b%0D%0AX:%20y\r\n" in warc.record("response", "u", "http://c.org/a b\r\nX: y", b"", "d", "A")
     assert isinstance(pa.array([1]), pa.Array)
+
+
+def test_members_of_many_records(tmp_path):
+    """A file that is compressed as a whole, members of several records and plain ones, read record by record."""
+    texts = ["", "short", "x" * 30_000, "é" * 9000, "last"]
+    raw = [warc.record("response", f"urn:page:{i}", f"http://a.org/{i}", t.encode(), "2020-01-01T00:00:00Z", warc.base32_sha1(t.encode())) for i, t in enumerate(texts)]
+    ways = {"whole": gzip.compress(b"".join(raw)), "two": gzip.compress(raw[0] + raw[1]) + warc.member(raw[2]) + gzip.compress(b"".join(raw[3:])), "plain": b"".join(raw), "wrong": warc.member(raw[0] + raw[1] + raw[2]) + warc.member(raw[3]) + raw[4]}
+    for name, data in ways.items():
+        (tmp_path / name).write_bytes(data)
+        for payloads in (True, False):
+            for wanted in ({0, 1, 2, 3, 4}, {1, 4}, {2}, set()):
+                with pa.OSFile(str(tmp_path / name)) as f:
+                    got = list(warc.records(f, lambda h, w=wanted: int(h["warc-record-id"].split(":")[-1][:-1]) in w, payloads))
+                assert [h["warc-target-uri"] for h, _ in got] == [f"http://a.org/{i}" for i in sorted(wanted)], (name, payloads, wanted)
+                assert all((b.split(b"\r\n\r\n", 1)[1].decode() == texts[i]) if payloads else b is None for (_, b), i in zip(got, sorted(wanted), strict=True))
+        (tmp_path / name).write_bytes(data[:-30])
+        with pa.OSFile(str(tmp_path / name)) as f, pytest.raises((ValueError, KeyError)):
+            list(warc.records(f, lambda h: True, True))
+
+
+def test_query_plan_takes_the_record_type(spark):
+    plan = warc.round_trip(table(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 2 and "= response" not in plan and "= revisit" not in plan
+
+
+def test_predicates_leave_payloads_alone(tmp_path):
+    """Refused records of the writer's files cost their first bytes only."""
+    class Counting:
+        def __init__(self, f):
+            self.f, self.n = f, 0
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def size(self):
+            return self.f.size()
+
+        def read(self, n):
+            got = self.f.read(n)
+            self.n += len(got)
+            return got
+
+    big = hashlib.sha512(b"x").hexdigest().encode() * 1
+    noise = b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(60_000))
+    data = b"".join(warc.member(warc.record("response", f"urn:page:{i}", None, noise, "d", "s")) for i in range(3)) + warc.member(warc.record("revisit", "urn:page:9", None, big, "d", "s", "urn:page:1"))
+    (tmp_path / "w").write_bytes(data)
+    with pa.OSFile(str(tmp_path / "w")) as f:
+        counted = Counting(f)
+        assert len(list(warc.records(counted, lambda h: h["warc-type"] == "revisit", True))) == 1
+    assert counted.n < 5 * warc.HEAD < len(data) / 10
