@@ -100,6 +100,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     _made.discard(path)
 
 
+def shared_paths() -> frozenset[str]:
+    """What this process has in the shared folder now."""
+    return frozenset(_made)
+
+
+def drop_since(spark: SparkSession, before: frozenset[str], *kept: str) -> None:
+    """Deletes what came to the shared folder since, but for paths to keep."""
+    for path in sorted(_made - before - {*kept}):
+        drop_path(spark, path)
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Deletes the intermediate tables of this process. DataFrames that operators returned may read
     them, so it is for when these have been written or are no longer needed."""
