@@ -1,14 +1,18 @@
-"""Chinese word segmentation by a lexicon: longest match from both ends, the cut with fewer words.
+"""Chinese word segmentation: of all ways to cut a run of characters, the likeliest by the words' frequencies.
 
-Runs of characters outside the lexicon give overlapping pairs. ASCII letters and digits form
-words, other characters stand alone. The lexicon is a function argument, small by nature
-(`MAX_WORDS`), and goes to executors with the function.
+A lexicon maps words to frequencies. Characters that no word covers are words of their own, less likely than
+any known one; neighbours among these are taken together and give overlapping pairs, so that unknown
+words are found by their parts. ASCII letters and digits form words, other characters stand alone. The
+lexicon is a function argument, small by nature (`MAX_WORDS`), and goes to executors with the function.
 """
 
 from __future__ import annotations
 
+import math
+import pkgutil
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,76 +22,104 @@ from corvane.functions.text import STOP_WORDS_ZH
 from corvane.operators.hybrid import LOCATION_TERMS
 
 MAX_WORDS = 1_000_000
-# Terms of law that ship with the engine.
-LEGAL_TERMS = (
-    "管辖权异议 诉讼时效 举证责任 强制执行 最高人民法院 中级人民法院 人民法院 合议庭 违约责任 侵权责任 不当得利 表见代理 故意伤害 数额巨大 数罪并罚 自首立功 "
-    "格式条款 合同解除 善意第三人 不可抗力 股权转让 法人代表 注册资本 破产清算 商标侵权 专利无效 著作权登记 商业秘密 劳动合同 经济补偿 工伤认定 竞业限制 "
-    "行政复议 行政许可 行政处罚 强制措施 书证物证 鉴定意见 电子数据 证人证言 知识产权法院 专利侵权 被告 原告 一审 一审判决 上诉"
-).split()
-DEFAULT = frozenset((*LEGAL_TERMS, *LOCATION_TERMS, *STOP_WORDS_ZH))
+FREQUENCY = 10  # of a word that comes without one
 PIECE = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*|[㐀-䶿一-鿿〇豈-﫿]+|\S")
 HAN = re.compile(r"[㐀-䶿一-鿿〇豈-﫿]")
 
 
-def _match(run: str, words: frozenset[str], longest: int, backward: bool) -> list[str]:
-    out, n = [], len(run)
-    i = n if backward else 0
-    while i > 0 if backward else i < n:
-        for size in range(min(longest, i if backward else n - i), 0, -1):
-            word = run[i - size : i] if backward else run[i : i + size]
-            if size == 1 or word in words:
-                out.append(word)
-                i += -size if backward else size
-                break
-    return out[::-1] if backward else out
-
-
-def cut(text: str | None, words: frozenset[str] = DEFAULT, longest: int | None = None) -> list[str]:
-    longest = longest or max(map(len, words), default=1)
-    out: list[str] = []
-    for m in PIECE.finditer(text or ""):
-        piece = m[0]
-        if not HAN.match(piece):
-            out.append(piece)
-            continue
-        found = min((_match(piece, words, longest, b) for b in (True, False)), key=lambda ws: (len(ws), sum(len(w) == 1 for w in ws)))
-        loose = ""
-        for w in (*found, ""):
-            if len(w) == 1 and w not in words:
-                loose += w
+def _read(lines: Iterable[str]) -> dict[str, int]:
+    rows = (x.split() for x in lines if x.strip() and not x.startswith("#"))
+    return {r[0]: int(r[1]) for r in rows}
+
+
+#: The lexicon that comes with the engine, terms for places, and the Chinese stop words.
+DEFAULT = {**dict.fromkeys((*LOCATION_TERMS, *STOP_WORDS_ZH), 2 * FREQUENCY), **_read(pkgutil.get_data("corvane.functions", "lexicon.txt").decode().splitlines())}
+
+
+class Cutter:
+    """Segmentation by one lexicon: a mapping to frequencies, or words alone."""
+
+    def __init__(self, words: Mapping[str, int] | Iterable[str]):
+        known = dict(words) if isinstance(words, Mapping) else dict.fromkeys(words, FREQUENCY)
+        if len(known) > MAX_WORDS:
+            raise ValueError(f"a lexicon of over {MAX_WORDS} words")
+        total = math.log(sum(max(1, n) for n in known.values()) + 1)
+        self.weight = {w: math.log(max(1, n)) - total for w, n in known.items() if w}
+        self.unknown = -total - 1
+        self.longest = max(map(len, self.weight), default=1)
+
+    def likeliest(self, run: str) -> list[str]:
+        """The cut whose words' log probabilities sum highest; of equals that with the longest first word."""
+        n = len(run)
+        best, size = [0.0] * (n + 1), [1] * n
+        for i in range(n - 1, -1, -1):
+            best[i] = self.weight.get(run[i], self.unknown) + best[i + 1]
+            for k in range(2, min(self.longest, n - i) + 1):
+                w = self.weight.get(run[i : i + k])
+                if w is not None and w + best[i + k] >= best[i]:
+                    best[i], size[i] = w + best[i + k], k
+        out, i = [], 0
+        while i < n:
+            out.append(run[i : i + size[i]])
+            i += size[i]
+        return out
+
+    def __call__(self, text: str | None) -> list[str]:
+        out: list[str] = []
+        for m in PIECE.finditer(text or ""):
+            if not HAN.match(m[0]):
+                out.append(m[0])
                 continue
-            if loose:
-                out += [loose[i : i + 2] for i in range(len(loose) - 1)] or [loose]
-                loose = ""
-            if w:
-                out.append(w)
-    return out
+            loose = ""
+            for w in (*self.likeliest(m[0]), ""):
+                if w and w not in self.weight:
+                    loose += w
+                    continue
+                if loose:
+                    out += [loose[i : i + 2] for i in range(len(loose) - 1)] or [loose]
+                    loose = ""
+                if w:
+                    out.append(w)
+        return out
 
 
-def segmented(text: Column, words: Iterable[str] = DEFAULT) -> Column:
+@lru_cache(1)
+def _default() -> Cutter:
+    return Cutter(DEFAULT)
+
+
+def cut(text: str | None, words: Mapping[str, int] | Iterable[str] | None = None) -> list[str]:
+    return (_default() if words is None else Cutter(words))(text)
+
+
+def segmented(text: Column, words: Mapping[str, int] | Iterable[str] = DEFAULT) -> Column:
     """Words of each text, as an Arrow function."""
-    held = frozenset(words)
-    if len(held) > MAX_WORDS:
-        raise ValueError(f"a lexicon of over {MAX_WORDS} words")
-    longest = max(map(len, held), default=1)
+    cutter = Cutter(words)
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut(t, held, longest))
+        return texts.map(cutter)
 
     return run(text)
 
 
 def user_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """word, freq, tag of lines `word [freq] [tag]`; blank lines and those with # are left out.
+    """word, freq, tag of a file's lines."""
+    return lexicon_lines(spark.read.text(path))
+
+
+def lexicon_lines(lines: DataFrame) -> DataFrame:
+    """lines: value. word, freq, tag of lines `word [freq] [tag]`; blank lines and those with # are left out.
     The number of rows is the number of entries."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", r"^[ \t\r]+|[ \t\r]+$", "").alias("l")).where("l <> '' and not startswith(l, '#')")
+    own = lines.select(F.regexp_replace("value", r"^[ \t\r]+|[ \t\r]+$", "").alias("l")).where("l <> '' and not startswith(l, '#')")
     part = F.split("l", r"[ \t]+")
-    return lines.select(part[0].alias("word"), F.coalesce(F.get(part, 1).try_cast("int"), F.lit(10)).alias("freq"), F.coalesce(F.get(part, 2), F.lit("l")).alias("tag"))
+    return own.select(part[0].alias("word"), F.coalesce(F.get(part, 1).try_cast("int"), F.lit(FREQUENCY)).alias("freq"), F.coalesce(F.get(part, 2), F.lit("l")).alias("tag"))
 
 
-def with_user_words(lexicon: DataFrame, words: Sequence[str] | frozenset[str] = DEFAULT) -> frozenset[str]:
-    found = lexicon.select("word").distinct().limit(MAX_WORDS + 1).collect()
-    if len(found) > MAX_WORDS:
+def with_user_words(lexicon: DataFrame, words: Mapping[str, int] | Iterable[str] = DEFAULT) -> dict[str, int]:
+    """words with the entries of `user_lexicon`, which take the place of known ones."""
+    found = lexicon.groupBy("word").agg(F.max("freq").alias("freq")).limit(MAX_WORDS + 1).collect()
+    known = dict(words) if isinstance(words, Mapping) else dict.fromkeys(words, FREQUENCY)
+    if len(found) + len(known) > MAX_WORDS:
         raise ValueError(f"a lexicon of over {MAX_WORDS} words")
-    return frozenset(words) | {r[0] for r in found}
+    return known | {r.word: r.freq for r in found}

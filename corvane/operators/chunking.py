@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_BYTES, OVERLAP = 512, 50
-BREAKS = b"\n\r.!?"
+MARKS = (b"\n", b"\r", b".", b"!", b"?")
+CONTINUATION = bytes(range(0x80, 0xC0))
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -55,26 +56,29 @@ def chunks(docs: DataFrame, max_bytes: int = MAX_BYTES, overlap: int = OVERLAP,
     return cut.select("doc_id", "chunk_index", F.decode(F.expr("substring(__b, at.start + 1, at.end - at.start)"), "UTF-8").alias("content"), F.col("at.start").alias("byte_offset"))
 
 
+def _whole(part: bytes) -> int:
+    """Bytes of `part` before its last character's first byte: where it can be cut in front of that."""
+    return len(part.rstrip(CONTINUATION)) - 1
+
+
 def spans(b: bytes, max_bytes: int = MAX_BYTES, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
-    """(start, end) of each chunk of UTF-8 bytes."""
-    n, pos, size = len(b), 0, max(max_bytes, 1)
-
-    def back(i: int) -> int:
-        while 0 < i < n and b[i] & 0xC0 == 0x80:
-            i -= 1
-        return i
-
-    while pos < n:
-        end = back(min(pos + size, n))
-        if end <= pos:
-            end = min(pos + size, n)
-            while end < n and b[end] & 0xC0 == 0x80:
-                end += 1
-        if end < n:
-            end = next((j for j in range(end, pos + size // 2, -1) if b[j - 1] in BREAKS), end)
-        yield pos, end
-        after = back(end - overlap) if overlap > 0 and overlap < end < n else end
-        pos = after if after > pos else end
+    """(start, end) of each chunk of UTF-8 bytes, by the same slices as the fold."""
+    size, start = max(max_bytes, 1), 0
+    while rest := len(b) - start:
+        part = b[start : start + size + 4]
+        if rest <= size:
+            length = rest
+        else:
+            # a first character that is longer than a chunk is one all the same
+            length = _whole(part[: size + 1]) or size + len(part[size:]) - len(part[size:].lstrip(CONTINUATION))
+            if length < rest:
+                stop = 1 + max(part.rfind(mark, 0, length) for mark in MARKS)
+                length = stop if stop > size // 2 else length
+        yield start, start + length
+        step = 0
+        if 0 < overlap < length < rest:
+            step = max(0, _whole(part[: length - overlap + 1]))
+        start += step or length
 
 
 def chunks_arrow(docs: DataFrame, max_bytes: int = MAX_BYTES, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

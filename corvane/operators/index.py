@@ -18,11 +18,25 @@ def tokenised(chunks: DataFrame, tokens: Column | None = None) -> DataFrame:
     return chunks.select(*KEY, (word_index_tokens(F.col("content")) if tokens is None else index_tokens(tokens)).alias("tokens"))
 
 
+def counted(tokens: DataFrame) -> DataFrame:
+    """doc_id, chunk_index, dl, terms (term, tf): a row per chunk. Terms are counted where their chunk is,
+    as runs of its sorted tokens, so nothing is shuffled."""
+    runs = """transform(array(sort_array(tokens)), s ->
+        transform(array(filter(transform(s, (t, i) -> if(i = 0 OR t <> get(s, i - 1), i, -1)), i -> i >= 0)), at ->
+            transform(at, (a, k) -> named_struct('term', get(s, a), 'tf', coalesce(get(at, k + 1), size(s)) - a)))[0])[0]"""
+    return tokens.select(*KEY, F.size("tokens").alias("dl"), F.expr(runs).alias("terms"))
+
+
+def postings_of(rows: DataFrame) -> DataFrame:
+    """term, doc_id, chunk_index, tf of rows of `counted`."""
+    # not explode(): Catalyst would then put a filter on the array's size below, which makes the array a second time
+    found = rows.select(*KEY, F.explode_outer("terms").alias("t")).where("t is not null")
+    return found.select("t.term", *KEY, "t.tf")
+
+
 def postings(tokens: DataFrame) -> DataFrame:
     """term, doc_id, chunk_index, tf."""
-    # not explode(): Catalyst would then put a filter on the array's size below, which makes the tokens a second time
-    terms = tokens.select(*KEY, F.explode_outer("tokens").alias("term")).where("term is not null")
-    return terms.groupBy("term", *KEY).agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    return postings_of(counted(tokens))
 
 
 def chunk_stats(tokens: DataFrame) -> DataFrame:
@@ -48,8 +62,12 @@ class Index:
 
     @staticmethod
     def build(chunks: DataFrame, tokens: Column | None = None) -> Index:
-        rows = tokenised(chunks, tokens)
-        return Index(postings(rows), chunk_stats(rows))
+        return Index.of(counted(tokenised(chunks, tokens)))
+
+    @staticmethod
+    def of(rows: DataFrame) -> Index:
+        """Of rows of `counted`, best those of a table."""
+        return Index(postings_of(rows), rows.select(*KEY, "dl"))
 
     @property
     def corpus_stats(self) -> DataFrame:

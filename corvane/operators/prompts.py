@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import http.client
+import json
+import urllib.request
 from collections.abc import Callable, Iterable
 from typing import Protocol
 
@@ -13,6 +16,7 @@ from corvane.functions.text import contains_any
 # Words that tell a legal text; the headings of a prompt's parts and of the answer's sections.
 LEGAL_WORDS = "人民法院 检察院 原告 被告 判决 裁定 案号 （20 (20 合同法 刑法 民法 诉讼法 违约责任 侵权 上诉 起诉 答辩 审判长 审判员 合议庭".split()
 METADATA_HEADING, TEXT_HEADING, QUESTION_HEADING, QUESTION_LABEL = "【文档元数据】\n", "【法律文档内容】\n", "【用户问题】\n", "用户问题："
+TEMPERATURE, ANSWER_TOKENS = 0.3, 2048
 LEGAL_SECTIONS = ("案件概述", "法律分析", "结论", "参考来源")
 
 LEGAL_SYSTEM = "你负责解读裁判文书与法规。只依据所给材料作答：写明案号与出处，分点说明，先述案情后作分析；材料不足时直说。意见仅供参考。"
@@ -49,7 +53,7 @@ def request_body(system: Column, user: Column, model: str = "chat") -> Column:
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     return F.to_json(F.struct(
         F.lit(model).alias("model"), F.array(message("system", system), message("user", user)).alias("messages"),
-        F.lit(True).alias("stream"), F.lit(0.3).alias("temperature"), F.lit(2048).alias("max_tokens"),
+        F.lit(True).alias("stream"), F.lit(TEMPERATURE).alias("temperature"), F.lit(ANSWER_TOKENS).alias("max_tokens"),
     ))
 
 
@@ -87,8 +91,6 @@ class LineBuffer:
 
 
 def parse_delta(json_text: str) -> str:
-    import json
-
     try:
         found = json.loads(json_text)["choices"][0]["delta"]["content"]
     except (ValueError, KeyError, IndexError, TypeError):
@@ -108,13 +110,33 @@ class EchoProvider:
     ready = True
 
     def stream(self, system: str, user: str) -> Iterable[bytes]:
-        import json
-
         for c in user.rsplit("\n", 1)[-1]:
             yield b"data: " + json.dumps({"choices": [{"delta": {"content": c}}]}).encode() + b"\n"
         yield b"data: [DONE]\n"
 
 
+class HttpChat:
+    """A service that streams its answer: a POST of the request body with the key as bearer."""
+
+    def __init__(self, url: str, key: str | None, model: str = "chat", timeout: float = 300):
+        self.url, self.key, self.model, self.timeout = url, key or "", model, timeout
+
+    @property
+    def ready(self) -> bool:
+        return bool(self.key)
+
+    def stream(self, system: str, user: str) -> Iterable[bytes]:
+        messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
+        body = {"model": self.model, "messages": messages, "stream": True, "temperature": TEMPERATURE, "max_tokens": ANSWER_TOKENS}
+        headers = {"Content-Type": "application/json", "Accept": "text/event-stream", "Authorization": f"Bearer {self.key}"}
+        try:
+            with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), headers), timeout=self.timeout) as answer:
+                while piece := answer.read1(8192):
+                    yield piece
+        except http.client.HTTPException as e:  # a stream that breaks off
+            raise OSError(f"the answer breaks off: {e!r}") from e
+
+
 def generate(provider: ChatProvider | None, system: str, user: str, on_text: Callable[[str], None] | None = None) -> str:
     """The answer, passed on bit by bit. Without a provider a notice; an error after some text
     gives the text so far, an error before any is raised."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -12,15 +13,18 @@ from corvane.functions.metadata import court_level
 from corvane.functions.text import contains_any, latin1, two_places
 
 ALL = "全部"
+KEY_VARIABLE = "CORVANE_API_KEY"
 # Words of questions about all documents; the labels and texts of summaries, result
 # lines and contexts.
 AGGREGATE_WORDS = "这些案件 所有案件 全部案件 各案件 各个案件 每个案件 这些文档 所有文档 全部文档 各文档 这些文件 所有文件 哪些案件 汇总 统计 总共 一共".split()
 LABELS = {"case_number": "案号", "court": "法院", "case_type": "类型", "date": "日期", "procedure": "程序", "litigants": "当事人"}
-ROLLUP_TAIL = ("\n（以上为全部 ", " 个已导入文档的元数据汇总）\n")
-RESULT_LINE = ("【", "】", "  相关度: ", "  (BM25: ", " | 向量: ", ")")
+ROLLUP_TAIL = "\n（以上为全部 %d 个已导入文档的元数据汇总）\n"
+RESULT_LINE = "【%d】%s  相关度: %s  (BM25: %s | 向量: %s)"
 HEADER = "以下是与用户问题相关的文档内容：\n\n"
-SOURCE_LINE = ("【来源 ", "】", " (相关度: ", ")\n")
+SOURCE_LINE = "【来源 %d】%s (相关度: %s)\n"
 PREVIEW = 200
+#: What a summary of all documents may take of a prompt, in bytes.
+ROLLUP_BYTES = 1 << 20
 
 
 def filtered(results: DataFrame, metadata: DataFrame, case_type: str = ALL, level: str = ALL, year: str = ALL) -> DataFrame:
@@ -69,14 +73,24 @@ def _known() -> Column:
     return (F.col("case_number") != "") | (F.col("court") != "") | (F.col("date") != "")
 
 
-def metadata_rollup(metadata: DataFrame) -> DataFrame:
-    """One row: a line for each document with metadata, by id, and their number. The text is what
-    one prompt takes, so it is one row by nature."""
-    lines = metadata.where(_known()).select("doc_id", summary_line().alias("line"))
-    one = lines.agg(F.count(F.lit(1)).alias("n_docs"), F.array_sort(F.collect_list(F.struct("doc_id", "line"))).alias("l"))
-    body = F.array_join(F.transform("l", lambda x: F.concat(x["line"], F.lit("\n"))), "")
-    tail = F.concat(F.lit(ROLLUP_TAIL[0]), F.col("n_docs").cast("string"), F.lit(ROLLUP_TAIL[1]))
-    return one.select(F.when(F.col("n_docs") > 0, F.concat(body, tail)).otherwise("").alias("summary"), "n_docs")
+def rollup_lines(metadata: DataFrame) -> DataFrame:
+    """doc_id, line: one for each document with metadata, however many there are."""
+    return metadata.where(_known()).select("doc_id", summary_line().alias("line"))
+
+
+def metadata_rollup(metadata: DataFrame, max_bytes: int = ROLLUP_BYTES) -> DataFrame:
+    """One row for one prompt: the lines of the documents with metadata, by id, as far as they fit into
+    max_bytes, and the number of all of them. `rollup_lines` has every line."""
+    lines = rollup_lines(metadata)
+    # a line takes 5 bytes at least, so no more can fit; the first by id are found without sorting all
+    first = lines.orderBy("doc_id").limit(max_bytes // 5)
+    upto = F.sum(F.octet_length("line") + 1).over(W.orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0))
+    fitting = first.withColumn("upto", upto).where(F.col("upto") <= max_bytes)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    body, all_ = fitting.agg(text.alias("body")), lines.agg(F.count(F.lit(1)).alias("n_docs"))
+    tail = F.format_string(ROLLUP_TAIL, F.col("n_docs"))
+    # one row each
+    return body.crossJoin(all_).select(F.when(F.col("n_docs") > 0, F.concat("body", tail)).otherwise("").alias("summary"), "n_docs")
 
 
 def metadata_summary(results: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -89,9 +103,7 @@ def metadata_summary(results: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def result_lines(results: DataFrame) -> DataFrame:
     """rank, line, preview: the first 200 characters, `...` behind if the content has over 200 bytes."""
-    score = lambda c: two_places(F.col(c))
-    parts = (F.col("rank").cast("string"), F.col("doc_id").cast("string"), score("final_score"), score("bm25_score"), score("vector_score"))
-    line = F.concat(*[x for label, c in zip(RESULT_LINE, parts, strict=False) for x in (F.lit(label), c)], F.lit(RESULT_LINE[-1]))
+    line = F.format_string(RESULT_LINE, F.col("rank"), F.col("doc_id").cast("string"), *(two_places(F.col(c)) for c in ("final_score", "bm25_score", "vector_score")))
     preview = F.concat(F.substring("content", 1, PREVIEW), F.when(F.octet_length("content") > PREVIEW, "...").otherwise(""))
     return results.select("rank", line.alias("line"), preview.alias("preview"))
 
@@ -112,9 +124,8 @@ def build_context(results: DataFrame, max_tokens: int = 2000) -> DataFrame:
     sized = results.select("rank", "doc_id", "content", "final_score", F.octet_length("content").alias("n"))
     placed = sized.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int")).where(F.col("before") < budget)
     text = F.when(F.col("before") + F.col("n") > budget, F.concat(_head(F.col("content"), F.lit(budget) - F.col("before")), F.lit("..."))).otherwise(F.col("content"))
-    number = F.row_number().over(W.orderBy("rank")).cast("string")
-    labels = [F.lit(x) for x in SOURCE_LINE]
-    entry = F.concat(labels[0], number, labels[1], F.col("doc_id").cast("string"), labels[2], two_places(F.col("final_score")), labels[3], text, F.lit("\n\n"))
+    head = F.format_string(SOURCE_LINE, F.row_number().over(W.orderBy("rank")), F.col("doc_id").cast("string"), two_places(F.col("final_score")))
+    entry = F.concat(head, text, F.lit("\n\n"))
     entries = F.array_sort(F.collect_list(F.struct("rank", "entry")))
     return placed.select("rank", entry.alias("entry")).agg(F.concat(F.lit(HEADER), F.array_join(F.transform(entries, lambda x: x["entry"]), "")).alias("context"))
 
@@ -124,5 +135,10 @@ def is_api_key(key: Column) -> Column:
     return F.coalesce(key.rlike(r"\Ask-[a-zA-Z0-9\-]*\z") & (F.octet_length(key) >= 20), F.lit(False))
 
 
+def key_from_environment(*names: str) -> str:
+    """The first of these variables that is set and not blank; the empty string if none is."""
+    return next((v for n in names or (KEY_VARIABLE,) if (v := os.environ.get(n, "").strip())), "")
+
+
 def check_api_key(key: str) -> bool:
     return len(key) >= 20 and bool(re.fullmatch(r"sk-[a-zA-Z0-9\-]*", key))

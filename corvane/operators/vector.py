@@ -1,11 +1,14 @@
 """Exact cosine search, and embedding providers.
 
-One query runs on built-in expressions. Many queries are taken in blocks: a block of bounded size
-goes to every task, which multiplies it with its rows in numpy and keeps the best k a query.
+One query runs on built-in expressions. Many queries are taken in blocks: both sides are packed into rows
+that hold a block each, every block of queries meets every block of vectors in some task, which
+multiplies the two in numpy and keeps the best k a query. Nothing of either side reaches the driver.
 """
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
@@ -19,6 +22,7 @@ from pyspark.sql import types as T
 from corvane.functions.vectors import TINY, cosine
 
 BLOCK = 2048
+PER_CALL = 20
 
 
 def top_k(vectors: DataFrame, query: Sequence[float], k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -27,58 +31,59 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int = 5, id_col: str =
     return vectors.select(F.col(id_col), cosine(F.col(vec_col), asked).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of the right length; others as zeros, whose cosine is 0."""
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), dim))
-    for i, v in enumerate(rows):
-        if v is not None and len(v) == dim and None not in v:
-            out[i] = v
-    return out
+def _packed(rows: DataFrame, block: int, prefix: str) -> DataFrame:
+    """rows: id, vec. Blocks of up to `block` rows of one length: dim, ids (an array), values (doubles, row by row)."""
+    kind = T.StructType([T.StructField(f"{prefix}_dim", T.IntegerType()), T.StructField(f"{prefix}_ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField(f"{prefix}_values", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                vecs = [v if v is not None and None not in v else [] for v in part.column(1).to_pylist()]
+                for dim in sorted({len(v) for v in vecs}):
+                    some = [i for i, v in enumerate(vecs) if len(v) == dim]
+                    ids = part.column(0).take(pa.array(some, pa.int64()))
+                    values = np.array([vecs[i] for i in some], float).tobytes()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([dim], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([values], pa.binary())], names=kind.names
+                    )
+
+    return rows.mapInArrow(run, kind)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """queries: query_id, vec. Returns query_id, vec_id, similarity, rank. Queries are read to the
-    driver a block at a time."""
-    n_blocks = -(-queries.count() // block)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("vec"))
-    schema = T.StructType([queries.schema["query_id"], rows.schema["vec_id"], T.StructField("similarity", T.DoubleType())])
-    parts = []
-    for at in range(n_blocks):
-        own_block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == at
-        asked = sorted((r[0], r[1] or []) for r in queries.where(own_block).select("query_id", "vec").collect())
-        for dim in sorted({len(v) for _, v in asked}):
-            own = [(q, v) for q, v in asked if len(v) == dim]
-            parts.append(rows.mapInArrow(_block([q for q, _ in own], np.array([v for _, v in own], float).reshape(len(own), dim), k), schema))
-    if not parts:
-        parts = [queries.sparkSession.createDataFrame([], schema)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    """queries: query_id, vec. Returns query_id, vec_id, similarity, rank: for each query k of the vectors, those
+    of another length than the query's and null ones with a similarity of 0."""
+    rows = _packed(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")), block, "v")
+    asked = _packed(queries.select(F.col("query_id").alias("id"), F.col("vec")), block, "q")
+    schema = T.StructType([queries.schema["query_id"], T.StructField("vec_id", vectors.schema[id_col].dataType), T.StructField("similarity", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                v_dim, v_ids, v_values, q_dim, q_ids, q_values = (c[i] for c in batch.columns)
+                yield _best(v_dim.as_py(), v_ids.values, v_values.as_py(), q_dim.as_py(), q_ids.values, q_values.as_py(), k)
+
+    # a stated set of queries against all rows, in blocks
+    found = rows.crossJoin(asked).mapInArrow(run, schema)
     order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("vec_id", id_col)
 
 
-def _block(ids: list, asked: np.ndarray, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_norm = np.sqrt((asked * asked).sum(1))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = _matrix(batch.column(1), asked.shape[1])
-            size = np.outer(q_norm, np.sqrt((m * m).sum(1)))
-            # rounded, so that ties do not hang on the order in which products were summed
-            sim = np.round(np.where(size < TINY, 0.0, asked @ m.T / np.maximum(size, TINY)), 12)
-            keys = [tuple(x.values()) if isinstance(x, dict) else x for x in batch.column(0).to_pylist()]
-            order = np.array(sorted(range(len(keys)), key=lambda i: (False, 0) if keys[i] is None else (True, keys[i])), np.int64)
-            best = order[np.argsort(-sim[:, order], axis=1, kind="stable")[:, :k]]
-            n = best.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i in ids for _ in range(n)]), batch.column(0).take(pa.array(best.ravel())), pa.array(np.take_along_axis(sim, best, 1).ravel())],
-                names=["query_id", "vec_id", "similarity"],
-            )
-
-    return run
+def _best(v_dim: int, v_ids: pa.Array, v_values: bytes, q_dim: int, q_ids: pa.Array, q_values: bytes, k: int) -> pa.RecordBatch:
+    """The best k of a block of vectors for each of a block of queries."""
+    if v_dim == q_dim and v_dim:
+        m, asked = np.frombuffer(v_values).reshape(-1, v_dim), np.frombuffer(q_values).reshape(-1, q_dim)
+        size = np.outer(np.sqrt((asked * asked).sum(1)), np.sqrt((m * m).sum(1)))
+        # rounded, so that ties do not hang on the order in which products were summed
+        sim = np.round(np.where(size < TINY, 0.0, asked @ m.T / np.maximum(size, TINY)), 12)
+    else:
+        sim = np.zeros((len(q_ids), len(v_ids)))
+    keys = [tuple(x.values()) if isinstance(x, dict) else x for x in v_ids.to_pylist()]
+    order = np.array(sorted(range(len(keys)), key=lambda i: (False, 0) if keys[i] is None else (True, keys[i])), np.int64)
+    best = order[np.argsort(-sim[:, order], axis=1, kind="stable")[:, :k]]
+    at = np.repeat(np.arange(len(q_ids)), best.shape[1])
+    return pa.RecordBatch.from_arrays([q_ids.take(pa.array(at)), v_ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(sim, best, 1).ravel())], names=["query_id", "vec_id", "similarity"])
 
 
 class EmbeddingProvider(Protocol):
@@ -109,18 +114,60 @@ class HashingProvider:
         return out.tolist()
 
 
-def embed(chunks: DataFrame, provider: EmbeddingProvider, per_call: int = 20) -> DataFrame:
-    """doc_id, chunk_index, vec; the provider is called with per_call texts at a time."""
+class HttpProvider:
+    """Vectors from a service: a POST of {"model", "input": [texts]} with the key as bearer, answered by
+    {"data": [{"embedding": [...]}, ...]}, in the order of the texts or with `index`. Without a key there is
+    nothing to ask, and the answer is empty. A failing connection and an answer that is no JSON raise."""
+
+    def __init__(self, url: str, key: str | None, model: str = "text-embedding-3-small", timeout: float = 60):
+        self.url, self.key, self.model, self.timeout = url, key or "", model, timeout
+
+    @property
+    def ready(self) -> bool:
+        return bool(self.key)
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        if not texts or not self.key:
+            return []
+        body = json.dumps({"model": self.model, "input": texts}).encode()
+        asked = urllib.request.Request(self.url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+        with urllib.request.urlopen(asked, timeout=self.timeout) as answer:
+            found = json.loads(answer.read())
+        data = found.get("data") if isinstance(found, dict) else None
+        rows = [d for d in data if isinstance(d, dict)] if isinstance(data, list) else []
+        if all(isinstance(d.get("index"), int) for d in rows):
+            rows.sort(key=lambda d: d["index"])
+        return [[float(x) for x in d.get("embedding") or ()] for d in rows]
+
+
+def embed_one(provider: EmbeddingProvider, text: str) -> list[float]:
+    """The vector of one text; empty if the provider has none."""
+    return next(iter(provider.embed([text])), [])
+
+
+def embed(chunks: DataFrame, provider: EmbeddingProvider, per_call: int = PER_CALL) -> DataFrame:
+    """doc_id, chunk_index, vec; the provider is called with per_call texts at a time. Texts for which it has
+    no vectors have no row; vectors for some of a call's texts only are an error."""
     rows = chunks.select("doc_id", "chunk_index", "content")
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("vec", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            vecs = [v for i in range(0, len(texts), per_call) for v in provider.embed(texts[i : i + per_call])]
+            texts, vecs = [t or "" for t in batch.column(2).to_pylist()], []
+            for i in range(0, len(texts), per_call):
+                asked = texts[i : i + per_call]
+                got = provider.embed(asked) or [None] * len(asked)
+                if len(got) != len(asked):
+                    raise ValueError(f"{len(got)} vectors for {len(asked)} texts")
+                vecs += got
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vecs, pa.list_(pa.float64()))], names=["doc_id", "chunk_index", "vec"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).where("vec is not null")
+
+
+def add(vectors: DataFrame, more: DataFrame) -> DataFrame:
+    """vectors with more behind them; an id may come again."""
+    return vectors.unionByName(more)
 
 
 def missing(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -128,8 +175,11 @@ def missing(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.join(vectors.select("doc_id", "chunk_index"), ["doc_id", "chunk_index"], "left_anti")
 
 
+def current(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The vectors of chunks that are there."""
+    return vectors.join(chunks.select("doc_id", "chunk_index"), ["doc_id", "chunk_index"], "left_semi")
+
+
 def sync(chunks: DataFrame, vectors: DataFrame, provider: EmbeddingProvider) -> DataFrame:
     """The vectors of all chunks: those there are, without those of chunks that are gone, and new ones."""
-    kept = vectors.join(chunks.select("doc_id", "chunk_index"), ["doc_id", "chunk_index"], "left_semi")
-    return kept.unionByName(embed(missing(chunks, vectors), provider))
-
+    return add(current(chunks, vectors), embed(missing(chunks, vectors), provider))

@@ -5,19 +5,24 @@ Every step is a DataFrame; `search` takes a table of queries and gives a table o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+import logging
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.metadata import doc_metadata
-from corvane.functions.segment import DEFAULT, segmented
+from corvane.functions.segment import DEFAULT, segmented, user_lexicon, with_user_words
 from corvane.functions.text import STOP_WORDS, index_tokens, word_index_tokens
 from corvane.operators import bm25, hybrid, prompts, results, vector
 from corvane.operators.chunking import MAX_BYTES, OVERLAP, chunks, with_start_pos
-from corvane.operators.index import KEY, Index, chunk_stats, postings
+from corvane.operators.index import KEY, Index, counted
 from corvane.sources import files
+from corvane.sources.shared import fresh_path, materialize
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -28,7 +33,7 @@ class Settings:
     b: float = bm25.B
     weights: tuple[float, float] = (hybrid.BM25_WEIGHT, hybrid.VECTOR_WEIGHT)
     stop_words: tuple[str, ...] = STOP_WORDS
-    lexicon: frozenset[str] | None = None  # None: words between blanks; else segmentation
+    lexicon: Mapping[str, int] | None = None  # None: words between blanks; else segmentation
     k: int = 5
 
 
@@ -42,15 +47,16 @@ class Answer:
 
 @dataclass
 class Engine:
+    """Documents, chunks with their counted terms, metadata and vectors are tables below `path` (a folder of its own
+    in the shared folder, if none is given). Each `add` writes a batch to each of them, and a document's latest
+    batch counts, so a search reads what is stored and nothing is chunked or counted twice."""
+
     spark: SparkSession
     settings: Settings = field(default_factory=Settings)
     embedding: vector.EmbeddingProvider | None = None
     chat: prompts.ChatProvider | None = None
-    documents: DataFrame | None = None
-    chunks: DataFrame | None = None
-    index: Index | None = None
-    metadata: DataFrame | None = None
-    vectors: DataFrame | None = None
+    path: str | None = None
+    batch: int = 0
 
     def _tokens(self, text: Column) -> Column:
         if self.settings.lexicon is None:
@@ -59,34 +65,77 @@ class Engine:
 
     def add(self, docs: DataFrame) -> Engine:
         """docs: doc_id, text. Documents with a known id take the place of the old ones; rows
-        without id or text are left out."""
-        new = docs.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''").dropDuplicates(["doc_id"])
+        without id or text are left out. Of rows that repeat an id the least text counts."""
+        self.path = self.path or fresh_path(self.spark, "engine")
+        self.batch += 1
+        given = docs.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''")
+        self._write("documents", given.groupBy("doc_id").agg(F.min("text").alias("text")))
+        new = self.spark.read.parquet(f"{self.path}/documents/batch={self.batch}")
         cut = with_start_pos(chunks(new, self.settings.max_bytes, self.settings.overlap))
-        built = self._index(cut)
-        if self.index is None:
-            self.documents, self.chunks, self.index, self.metadata = new, cut, built, doc_metadata(new)
-        else:
-            rest = lambda df: df.join(new.select("doc_id"), "doc_id", "left_anti")
-            self.documents = rest(self.documents).unionByName(new)
-            self.chunks = rest(self.chunks).unionByName(cut)
-            self.metadata = rest(self.metadata).unionByName(doc_metadata(new))
-            self.index = self.index.upsert(built)
-            if self.vectors is not None:
-                self.vectors = rest(self.vectors)
+        rows = counted(cut.select(*KEY, self._tokens(F.col("content")).alias("tokens")))
+        self._write("chunks", cut)
+        self._write("terms", rows)
+        self._write("metadata", doc_metadata(new))
         return self
 
-    def _index(self, cut: DataFrame) -> Index:
-        rows = cut.select(*KEY, self._tokens(F.col("content")).alias("tokens"))
-        return Index(postings(rows), chunk_stats(rows))
+    def _write(self, name: str, df: DataFrame) -> None:
+        # overwritten by a second attempt at the same batch
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={self.batch}")
+
+    def _all(self, name: str) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}").where(F.col("batch") <= self.batch)
+
+    def _latest(self, name: str) -> DataFrame | None:
+        """Rows of each document's latest batch, with the batch."""
+        if not self.batch:
+            return None
+        rows = self._all(name)
+        if self.batch == 1:
+            return rows
+        last = self._all("documents").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+        return rows.join(last, ["doc_id", "batch"], "left_semi")
+
+    def _current(self, name: str) -> DataFrame | None:
+        rows = self._latest(name)
+        return None if rows is None else rows.drop("batch")
+
+    @property
+    def documents(self) -> DataFrame | None:
+        return self._current("documents")
+
+    @property
+    def chunks(self) -> DataFrame | None:
+        return self._current("chunks")
+
+    @property
+    def metadata(self) -> DataFrame | None:
+        return self._current("metadata")
+
+    @property
+    def index(self) -> Index | None:
+        rows = self._current("terms")
+        return None if rows is None else Index.of(rows)
+
+    def use_words(self, path: str) -> int:
+        """Takes a file of words `word [freq] [tag]` into the lexicon; the number of its entries, 0 for a file that is not
+        there. Documents that were added before keep their terms."""
+        try:
+            found = user_lexicon(self.spark, path)
+            n = found.count()
+        except AnalysisException:
+            return 0
+        self.settings.lexicon = with_user_words(found, DEFAULT if self.settings.lexicon is None else self.settings.lexicon)
+        return n
 
     def import_files(self, paths: Sequence[str], ocr: files.OcrProvider | None = None) -> DataFrame:
         """Adds what gives text; returns the import log."""
-        parsed = files.parse(files.read_files(self.spark, *paths), ocr)
+        parsed = materialize(files.parse(files.read_files(self.spark, *paths), ocr), "parsed")
         self.add(parsed.where("status = 'Success'"))
         return files.import_log(parsed, self.chunks.join(parsed.select("doc_id"), "doc_id", "left_semi"))
 
     def clear(self) -> Engine:
-        self.documents = self.chunks = self.index = self.metadata = self.vectors = None
+        """Forgets all documents; tables that were saved or loaded stay where they are."""
+        self.path, self.batch = None, 0
         return self
 
     def all_documents(self) -> DataFrame:
@@ -97,21 +146,43 @@ class Engine:
         return self.metadata.select("doc_id")
 
     def save(self, path: str) -> None:
-        self.index.save(f"{path}/index")
-        for name in ("documents", "chunks", "metadata", "vectors"):
-            if (df := getattr(self, name)) is not None:
-                df.write.mode("overwrite").parquet(f"{path}/{name}")
+        """What counts of each table, as one batch. It goes to another folder than the engine's own."""
+        if path == self.path:
+            raise ValueError("the engine's tables are there already")
+        for name in ("documents", "chunks", "terms", "metadata"):
+            self._current(name).write.mode("overwrite").parquet(f"{path}/{name}/batch=1")
+        stored = self.vectors
+        if stored is not None:
+            stored.withColumn("of", F.lit(1)).write.mode("overwrite").parquet(f"{path}/vectors")
 
     def load(self, path: str) -> Engine:
-        self.index = Index.load(self.spark, f"{path}/index")
-        self.documents, self.chunks, self.metadata = (self.spark.read.parquet(f"{path}/{n}") for n in ("documents", "chunks", "metadata"))
+        """Goes on with the tables at path; what is added is added there."""
+        self.path = path
+        self.batch = self.spark.read.option("basePath", f"{path}/documents").parquet(f"{path}/documents").agg(F.max("batch")).first()[0] or 0
         return self
 
+    def _vectors(self) -> DataFrame | None:
+        """doc_id, chunk_index, vec, of (the batch of the chunk), outdated ones too."""
+        try:
+            return self.spark.read.parquet(f"{self.path}/vectors") if self.path else None
+        except AnalysisException:  # there is none yet
+            return None
+
+    @property
+    def vectors(self) -> DataFrame | None:
+        """doc_id, chunk_index, vec of the chunks that are there."""
+        stored = self._vectors()
+        if stored is None or not self.batch:
+            return None
+        keys = self._latest("chunks").select(*KEY, F.col("batch").alias("of"))
+        return stored.join(keys, [*KEY, "of"], "left_semi").drop("of")
+
     def sync_vectors(self) -> DataFrame:
-        if self.vectors is None:
-            self.vectors = vector.embed(self.chunks, self.embedding)
-        else:
-            self.vectors = vector.sync(self.chunks, self.vectors, self.embedding)
+        """Embeds and stores what has no vector yet."""
+        cut, stored = self._latest("chunks").withColumnRenamed("batch", "of"), self._vectors()
+        todo = cut if stored is None else cut.join(stored.select(*KEY, "of"), [*KEY, "of"], "left_anti")
+        made = vector.embed(todo, self.embedding).join(todo.select(*KEY, "of"), list(KEY))
+        made.write.mode("append").parquet(f"{self.path}/vectors")
         return self.vectors
 
     def queries(self, texts: Iterable[str]) -> DataFrame:
@@ -120,23 +191,37 @@ class Engine:
         terms = rows.withColumn("terms", self._tokens(F.col("query")))
         return terms.withColumn("terms", hybrid.expand_terms(F.col("query"), F.col("terms")))
 
+    def _near(self, texts: Sequence[str], depth: int) -> DataFrame | None:
+        """The chunks next to each text by vectors. All that the provider is asked for is asked and stored here, so
+        whatever goes wrong with it goes wrong here: None, as without a provider."""
+        if self.embedding is None or not self.embedding.ready:
+            return None
+        try:
+            vecs = self.embedding.embed(list(texts))
+            if not vecs:
+                return None
+            if len(vecs) != len(texts):
+                raise ValueError(f"{len(vecs)} vectors for {len(texts)} texts")
+            asked = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs) if v], "query_id long, vec array<double>")
+            found = vector.search(self.sync_vectors().withColumn("vec_id", F.struct(*KEY)), asked, depth, vec_col="vec")
+            return materialize(found.select("query_id", "vec_id.doc_id", "vec_id.chunk_index", F.col("similarity").alias("vector_score")), "near")
+        except Exception as e:  # a provider may raise anything, on the driver or in a task
+            log.warning("no vectors, words alone: %s", e)
+            return None
+
     def search_many(self, texts: Sequence[str], k: int | None = None) -> DataFrame:
-        """query_id, rank, doc_id, chunk_index, content, bm25_score, vector_score, final_score."""
+        """query_id, rank, doc_id, chunk_index, content, bm25_score, vector_score, final_score. A query for which there
+        are no vector candidates is ranked by words alone, with their raw scores."""
         k = k or self.settings.k
-        asked = self.queries(texts)
-        words = bm25.search(self.index, asked, hybrid.depth(k), self.settings.k1, self.settings.b).drop("rank")
-        found = None
-        if self.embedding is not None and self.embedding.ready:
-            try:
-                vecs = self.embedding.embed(list(texts))
-                stored = self.sync_vectors().withColumn("vec_id", F.struct(*KEY))
-                near = vector.search(stored, self.spark.createDataFrame(list(enumerate(vecs)), "query_id long, vec array<double>"), hybrid.depth(k), vec_col="vec")
-                near = near.select("query_id", "vec_id.doc_id", "vec_id.chunk_index", F.col("similarity").alias("vector_score"))
-                found = hybrid.fuse(words, near, k, self.settings.weights)
-            except (OSError, ValueError):  # the provider failed: words alone
-                found = None
-        if found is None:
+        words = bm25.search(self.index, self.queries(texts), hybrid.depth(k), self.settings.k1, self.settings.b).drop("rank")
+        near = self._near(texts, hybrid.depth(k))
+        if near is None:
             found = hybrid.fallback(words, k)
+        else:
+            both = near.select("query_id").distinct()
+            columns = ["query_id", "rank", *KEY, "bm25_score", "vector_score", "final_score"]
+            fused = hybrid.fuse(words.join(both, "query_id", "left_semi"), near, k, self.settings.weights)
+            found = fused.select(*columns).unionByName(hybrid.fallback(words.join(both, "query_id", "left_anti"), k).select(*columns))
         return found.join(self.chunks.select(*KEY, "content"), list(KEY)).select("query_id", "rank", *KEY, "content", "bm25_score", "vector_score", "final_score")
 
     def search(self, query: str, k: int | None = None) -> DataFrame:
@@ -148,7 +233,7 @@ class Engine:
         query = query.strip()
         if not query:
             return None
-        if self.index is None:
+        if not self.batch or self.chunks.isEmpty():
             nothing = self.spark.createDataFrame([], "rank int, doc_id string")
             return Answer("没有已导入的文档", nothing, self.spark.createDataFrame([], "year string"), "")
         wide = self.spark.range(1).select(results.asks_aggregate(F.lit(query))).first()[0]
@@ -172,3 +257,10 @@ class Engine:
 def legal(spark: SparkSession, **options) -> Engine:
     """An engine for Chinese legal texts."""
     return Engine(spark, Settings(lexicon=DEFAULT), **options)
+
+
+def remote(spark: SparkSession, embeddings_url: str, chat_url: str, *variables: str, **options) -> Engine:
+    """An engine for Chinese legal texts with services for vectors and answers; their key is in the environment.
+    Without one it ranks by words, and answers are a notice."""
+    key = results.key_from_environment(*variables)
+    return legal(spark, embedding=vector.HttpProvider(embeddings_url, key), chat=prompts.HttpChat(chat_url, key), **options)

@@ -17,9 +17,10 @@ from corvane.functions.text import contains_any, index_tokens, word_index_tokens
 from corvane.functions.vectors import cosine
 from corvane.operators import bm25, hybrid, prompts, results, vector
 from corvane.operators.chunking import chunks, with_start_pos
-from corvane.operators.index import Index, corpus_stats, doc_freq, postings, tokenised
+from corvane.operators.index import Index, corpus_stats, counted, doc_freq, postings, tokenised
 from corvane.operators.index import chunk_stats as index_lengths
 from corvane.sources import files
+from corvane.sources.shared import materialize
 from corvane.sources.tables import table
 
 QUERY = "the thanedble attion ononble erstly ononble"
@@ -36,8 +37,8 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> Index:
-    rows = _tokens(spark, d).persist()  # postings, lengths and statistics read it in turn
-    return Index(postings(rows), index_lengths(rows))
+    """A table in the shared folder; postings, lengths and statistics read it in turn."""
+    return Index.of(materialize(counted(_tokens(spark, d)), "index"))
 
 
 def _one_query(spark: SparkSession, text: str = QUERY) -> DataFrame:
@@ -78,15 +79,15 @@ def tokens_filtered(spark, d):
 
 
 def term_freq(spark, d):
-    return _index(spark, d).postings.select("term", "doc_id", "tf")
+    return postings(_tokens(spark, d)).select("term", "doc_id", "tf")
 
 
 def doc_frequency(spark, d):
-    return doc_freq(_index(spark, d).postings)
+    return doc_freq(postings(_tokens(spark, d)))
 
 
 def chunk_stats(spark, d):
-    return _index(spark, d).chunk_stats.select("doc_id", "dl")
+    return index_lengths(_tokens(spark, d)).select("doc_id", "dl")
 
 
 def corpus_statistics(spark, d):
@@ -118,8 +119,8 @@ def bm25_score_single(spark, d):
 
 
 def bm25_chunks(spark, d):
-    rows = tokenised(chunks(_docs(spark, d))).persist()
-    found = bm25.search(Index(postings(rows), index_lengths(rows)), _one_query(spark), K)
+    idx = Index.of(materialize(counted(tokenised(chunks(_docs(spark, d)))), "index"))
+    found = bm25.search(idx, _one_query(spark), K)
     return found.select("doc_id", "chunk_index", _six("bm25_score").alias("bm25_score"))
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.segment import DEFAULT, cut
+from corvane.functions.segment import DEFAULT, Cutter
 from corvane.operators.vector import EmbeddingProvider, HashingProvider
 from corvane.sources.pdf import text_of
 
@@ -27,12 +27,11 @@ def register(spark: SparkSession, lexicon: Iterable[str] = DEFAULT, embedding: E
     for name, (kind, body) in TEXT_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS {kind} RETURN {body}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {COSINE}")
-    words, provider = frozenset(lexicon), embedding or HashingProvider()
-    longest = max(map(len, words), default=1)
+    cutter, provider = Cutter(lexicon), embedding or HashingProvider()
 
     @F.pandas_udf("array<string>")
     def lex_tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut(t, words, longest))
+        return texts.map(cutter)
 
     @F.pandas_udf("string")
     def pdf_text(contents: pd.Series) -> pd.Series:

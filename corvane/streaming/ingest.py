@@ -15,8 +15,8 @@ from corvane.operators.prompts import line_delta
 
 def append_batch(docs: DataFrame, batch_id: int, path: str) -> None:
     """Writes the batch's postings and lengths under batch=<id>; a later batch wins over earlier
-    ones when read."""
-    cut = chunks(docs.where("doc_id is not null and text is not null").dropDuplicates(["doc_id"]))
+    ones when read, and of rows of a batch that repeat an id the least text."""
+    cut = chunks(docs.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min("text").alias("text")))
     built = Index.build(cut)
     built.postings.write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
     built.chunk_stats.write.mode("overwrite").parquet(f"{path}/chunk_stats/batch={batch_id}")
