@@ -6,7 +6,7 @@ from corvane.functions.text import LOWER, STOP_WORDS, UPPER
 from corvane.operators import prompts
 from corvane.operators.hybrid import LOCATION_TERMS, LOCATION_WORDS
 from corvane.operators.results import AGGREGATE_WORDS, HEADER
-from corvane.plans.queries import JUDGMENT, KEYS, QUERY, QUESTION, SSE
+from corvane.plans.queries import JUDGMENT, KEYS, MORE_STOP_WORDS, NAMED, QUERY, QUESTION, SSE, WORD_LINES
 
 
 def _list(words) -> str:
@@ -85,9 +85,7 @@ def dear(k: int) -> str:
     return f"top AS (SELECT o_orderkey AS doc_id, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders QUALIFY rank <= {k})"
 
 
-HITS = (
-    "h AS (SELECT CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS rank, doc_id, text AS content, doc_id / 8 + 1 AS final_score FROM documents QUALIFY rank <= 20)"
-)
+HITS = "h AS (SELECT CAST(doc_id + 1 AS INTEGER) AS rank, doc_id, text AS content, doc_id / 8 + 1 AS final_score FROM documents{})"
 
 
 def has(c: str, words) -> str:
@@ -98,6 +96,9 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+BLANK = r"regexp_full_match(coalesce(text, ''), '[ \t\n\r\f\v]*')"
+#: The best chunks by words alone.
+FOUND = CHUNKS + f", tok AS (SELECT (doc_id, chunk_index) AS doc_id, {tokens('content')} AS t FROM c)" + STATS[len(TOK) :] + f", {ONE}, {SCORED}, {RANKED} "
 TURN = "CASE WHEN turn % 2 = 0 THEN text || ' 判决' ELSE text END"
 LEGAL_TAIL = "请依次写出以下各节：\n## 一、案件概述\n## 二、法律分析\n## 三、结论\n## 四、参考来源"
 GENERAL_TAIL = "请依据以上内容回答：\n1. 简明准确，分点作答\n2. 写明依据的来源编号\n3. 材料中没有的内容请直说"
@@ -140,14 +141,16 @@ ORACLE = {
     "case_type": f"WITH {JUDGED} SELECT doc_id, case_type, procedure FROM m",
     "litigants": f"WITH {JUDGED} SELECT doc_id, litigants FROM m",
     "doc_metadata": f"WITH {JUDGED} SELECT doc_id, case_number, court, date, case_type, litigants, procedure FROM kept",
-    "filter_conj": f"WITH {JUDGED}, {dear(200)} SELECT doc_id, rank FROM top JOIN kept USING (doc_id) WHERE case_type = '民事' AND contains(court, '高级') AND date LIKE '1995%'",
-    "year_facet": f"WITH {JUDGED}, {dear(20)} SELECT DISTINCT substr(date, 1, 4) AS year FROM top JOIN kept USING (doc_id) WHERE length(date) >= 4",
+    "filter_conj": f"WITH {JUDGED} SELECT doc_id, CAST(doc_id AS INTEGER) AS rank FROM kept WHERE case_type = '民事' AND contains(court, '高级') AND date LIKE '1995%'",
+    "year_facet": f"WITH {JUDGED} SELECT DISTINCT substr(date, 1, 4) AS year FROM kept WHERE length(date) >= 4",
     "per_doc_cap": "SELECT l_orderkey AS doc_id, l_linenumber AS rank FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) <= 2",
-    "metadata_rollup": f"WITH {JUDGED} SELECT string_agg({LINE}, '' ORDER BY doc_id) || chr(10) || '（以上为全部 ' || CAST(count(*) AS VARCHAR) || ' 个已导入文档的元数据汇总）' || chr(10) AS summary, count(*) AS n_docs FROM kept",
+    "metadata_rollup": f"WITH {JUDGED}, l AS (SELECT doc_id, {LINE} AS line FROM kept), u AS (SELECT *, sum(strlen(line)) OVER (ORDER BY doc_id) AS upto FROM l) "
+    "SELECT (SELECT coalesce(string_agg(line, '' ORDER BY doc_id), '') FROM u WHERE upto <= 1048576) || chr(10) || '（以上为全部 ' || CAST(count(*) AS VARCHAR) || ' 个已导入文档的元数据汇总）' || chr(10) AS summary, count(*) AS n_docs FROM l",
+    "rollup_lines": f"WITH {JUDGED} SELECT doc_id, rtrim({LINE}, chr(10)) AS line FROM kept",
     "metadata_summary": f"WITH {JUDGED}, {dear(20)} SELECT string_agg({LINE}, '' ORDER BY rank) AS summary FROM top JOIN kept USING (doc_id)",
-    "result_lines": f"WITH {HITS} SELECT rank, '【' || CAST(rank AS VARCHAR) || '】' || CAST(doc_id AS VARCHAR) || '  相关度: ' || printf('%.2f', final_score) || '  (BM25: 0.25 | 向量: 0.75)' AS line, "
+    "result_lines": f"WITH {HITS.format('')} SELECT rank, '【' || CAST(rank AS VARCHAR) || '】' || CAST(doc_id AS VARCHAR) || '  相关度: ' || printf('%.2f', final_score) || '  (BM25: 0.25 | 向量: 0.75)' AS line, "
     "left(content, 200) || CASE WHEN strlen(content) > 200 THEN '...' ELSE '' END AS preview FROM h",
-    "build_context": f"WITH {HITS}, p AS (SELECT *, hex(encode(content)) AS hx, strlen(content) AS n, coalesce(sum(strlen(content)) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h), "
+    "build_context": f"WITH {HITS.format(' ORDER BY doc_id LIMIT 20')}, p AS (SELECT *, hex(encode(content)) AS hx, strlen(content) AS n, coalesce(sum(strlen(content)) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h), "
     "k AS (SELECT *, CAST(8000 - before AS BIGINT) AS room FROM p WHERE before < 8000), "
     "e AS (SELECT rank, '【来源 ' || CAST(rank AS VARCHAR) || '】' || CAST(doc_id AS VARCHAR) || ' (相关度: ' || printf('%.2f', final_score) || ')' || chr(10) || CASE WHEN n <= room THEN content ELSE decode(unhex("
     "CASE WHEN regexp_matches(substr(hx, 2 * room + 1, 1), '[89AB]') THEN regexp_replace(substr(hx, 1, 2 * room), '[C-F][0-9A-F]([89AB][0-9A-F])*$', '') ELSE substr(hx, 1, 2 * room) END)) || '...' END || chr(10) || chr(10) AS entry FROM k) "
@@ -162,4 +165,21 @@ ORACLE = {
     "api_keys": f"SELECT c_custkey, regexp_full_match({KEYS}, 'sk-[a-zA-Z0-9-]*') AND strlen({KEYS}) >= 20 AS valid FROM customer",
     "stop_word_share": f"SELECT lang, CAST(sum(len({WORDS.format('text')})) AS BIGINT) AS n_tokens, CAST(sum(len({tokens('text')})) AS BIGINT) AS n_indexed FROM documents GROUP BY lang",
     "marked_documents": "SELECT doc_id FROM documents WHERE contains(text, 'password') OR contains(text, 'license') OR contains(text, 'Copyright')",
+    "file_texts": f"SELECT substr({NAMED.replace('STRING', 'VARCHAR')}, 5) AS doc_id, CASE WHEN {BLANK} THEN 'NoTextExtracted' ELSE 'Success' END AS status, CASE WHEN {BLANK} THEN 'None' ELSE 'TextFile' END AS source, coalesce(text, '') AS text FROM documents",
+    "file_chunks": CHUNKS + f"SELECT substr({NAMED.replace('STRING', 'VARCHAR')}, 5) AS doc_id, chunk_index, content, byte_offset FROM c WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE {BLANK})",
+    "pdf_texts": "SELECT CAST(p_partkey AS VARCHAR) || '.pdf' AS doc_id, 'Success' AS status, 'NativePdf' AS source, concat_ws(chr(10), p_name, p_brand || ' ' || p_type, p_brand, 'A()', '中文😀', 'packed') AS text FROM part",
+    "more_stop_words": f"SELECT doc_id, array_to_string(list_filter({tokens('text')}, lambda t: NOT list_contains({_list(MORE_STOP_WORDS)}, t)), ' ') AS tokens FROM documents",
+    "user_words": f"WITH l AS (SELECT trim({WORD_LINES.replace('STRING', 'VARCHAR')}, ' ' || chr(9)) AS l FROM nation), p AS (SELECT regexp_split_to_array(l, '[ \\t]+') AS p FROM l WHERE l <> '' AND NOT starts_with(l, '#')) "
+    "SELECT p[1] AS word, coalesce(TRY_CAST(p[2] AS INTEGER), 10) AS freq, coalesce(p[3], 'l') AS tag FROM p",
+    "index_cleared": "SELECT CAST(0 AS BIGINT) AS terms, CAST(0 AS BIGINT) AS chunks, CAST(0 AS BIGINT) AS docs",
+    "vectors_added": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT vec_id, list_transform(e, lambda x: -x) AS e FROM v), "
+    "w AS (SELECT * FROM v UNION ALL SELECT vec_id + 1000000000, e FROM n WHERE vec_id % 10 = 0) SELECT w.vec_id, round(list_cosine_similarity(q.e, w.e), 6) AS similarity FROM n q, w WHERE q.vec_id = 0 ORDER BY list_cosine_similarity(q.e, w.e) DESC, w.vec_id LIMIT 10",
+    "vectors_current": "SELECT vec_id AS doc_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 > 0)",
+    "engine_search": FOUND + "SELECT CAST(r AS INTEGER) AS rank, rk.doc_id[1] AS doc_id, rk.doc_id[2] AS chunk_index, content, round(s, 6) AS bm25_score, CAST(0 AS DOUBLE) AS vector_score, round(s, 6) AS final_score "
+    "FROM rk JOIN c ON c.doc_id = rk.doc_id[1] AND c.chunk_index = rk.doc_id[2] WHERE r <= 10",
+    "engine_fallback": FOUND + "SELECT provider, CAST(r AS INTEGER) AS rank, rk.doc_id[1] AS doc_id, round(s, 6) AS final_score FROM rk, (SELECT unnest(['Silent', 'Failing', 'LateFailing']) AS provider) WHERE r <= 10",
+    "engine_replaced": CHUNKS + "SELECT doc_id, chunk_index, content FROM c WHERE doc_id % 5 > 0 UNION ALL SELECT doc_id, 0, 'replaced ' || CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 5 = 0",
+    "engine_reloaded": CHUNKS + "SELECT doc_id, chunk_index, 64 AS dim FROM c",
+    "engine_answer": f"WITH {JUDGED}, tok AS (SELECT doc_id, {tokens('t')} AS t FROM j)" + STATS[len(TOK) :] + f", q AS (SELECT CAST(0 AS BIGINT) AS query_id, unnest({tokens(quoted('民事判决书 审判员'))}) AS term), {SCORED}, {RANKED}, best AS (SELECT * FROM rk WHERE r <= 20) "
+    "SELECT CAST(r AS INTEGER) AS rank, doc_id, round(s, 6) AS final_score, (SELECT string_agg(DISTINCT substr(date, 1, 4), ' ' ORDER BY substr(date, 1, 4)) FROM best JOIN kept USING (doc_id)) AS years FROM best JOIN kept USING (doc_id) WHERE case_type = '民事'",
 }

@@ -6,6 +6,8 @@ from orders and customers by one SQL expression that both engines read.
 
 from __future__ import annotations
 
+import base64
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +15,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import metadata as meta
-from corvane.functions.text import contains_any, index_tokens, word_index_tokens, word_tokens
+from corvane.functions.segment import lexicon_lines
+from corvane.functions.text import STOP_WORDS, contains_any, index_tokens, word_index_tokens, word_tokens
 from corvane.functions.vectors import cosine
 from corvane.operators import bm25, hybrid, prompts, results, vector
 from corvane.operators.chunking import chunks, with_start_pos
 from corvane.operators.index import Index, corpus_stats, counted, doc_freq, postings, tokenised
 from corvane.operators.index import chunk_stats as index_lengths
+from corvane.plans.engine import Engine
 from corvane.sources import files
-from corvane.sources.shared import materialize
+from corvane.sources.shared import fresh_path, materialize
 from corvane.sources.tables import table
 
 QUERY = "the thanedble attion ononble erstly ononble"
@@ -235,25 +239,23 @@ def doc_metadata(spark, d):
     return meta.doc_metadata(_judgments(spark, d))
 
 
-def _results(spark, d, k=20):
-    """The k judgments of the dearest orders, in place of a search's results."""
-    o = table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(k)
-    return o.select(F.row_number().over(W.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("final_score"))
+def _results(spark, d):
+    """A result for each order, in place of a search's."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").cast("int").alias("rank"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("final_score"))
 
 
-def _metadata_of(spark, d, found):
-    """Of the results' documents only."""
-    return meta.doc_metadata(_judgments(spark, d).join(found.select("doc_id"), "doc_id", "left_semi"))
+def _best(spark, d, k=20):
+    """The k dearest orders, as many results as a search has."""
+    o = table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(k)
+    return o.select(F.row_number().over(W.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("final_score"))
 
 
 def filter_conj(spark, d):
-    found = _results(spark, d, 200)
-    return results.filtered(found, _metadata_of(spark, d, found), "民事", "高级人民法院", "1995").select("doc_id", "rank")
+    return results.filtered(_results(spark, d), meta.doc_metadata(_judgments(spark, d)), "民事", "高级人民法院", "1995").select("doc_id", "rank")
 
 
 def year_facet(spark, d):
-    found = _results(spark, d)
-    return results.year_facet(found, _metadata_of(spark, d, found))
+    return results.year_facet(_results(spark, d), meta.doc_metadata(_judgments(spark, d)))
 
 
 def per_doc_cap(spark, d):
@@ -265,23 +267,27 @@ def metadata_rollup(spark, d):
     return results.metadata_rollup(meta.doc_metadata(_judgments(spark, d)))
 
 
+def rollup_lines(spark, d):
+    return results.rollup_lines(meta.doc_metadata(_judgments(spark, d)))
+
+
 def metadata_summary(spark, d):
-    found = _results(spark, d)
-    return results.metadata_summary(found, _metadata_of(spark, d, found))
+    found = _best(spark, d)
+    return results.metadata_summary(found, meta.doc_metadata(_judgments(spark, d).join(found.select("doc_id"), "doc_id", "left_semi")))
 
 
-def _hits(spark, d):
-    """Documents in the order of their ids, scored by length, in place of a search's results."""
-    rows = _docs(spark, d).orderBy("doc_id").limit(20)
-    return rows.select((F.row_number().over(W.orderBy("doc_id"))).alias("rank"), "doc_id", F.col("text").alias("content"), (F.col("doc_id") / 8 + 1).alias("final_score"), F.lit(0.25).alias("bm25_score"), F.lit(0.75).alias("vector_score"))
+def _hits(rows):
+    """Documents as results: ranked by their ids, with scores made from these."""
+    return rows.select((F.col("doc_id") + 1).cast("int").alias("rank"), "doc_id", F.col("text").alias("content"), (F.col("doc_id") / 8 + 1).alias("final_score"), F.lit(0.25).alias("bm25_score"), F.lit(0.75).alias("vector_score"))
 
 
 def result_lines(spark, d):
-    return results.result_lines(_hits(spark, d))
+    return results.result_lines(_hits(_docs(spark, d)))
 
 
 def build_context(spark, d):
-    return results.build_context(_hits(spark, d))
+    """Of as many results as a search has."""
+    return results.build_context(_hits(_docs(spark, d).orderBy("doc_id").limit(20)))
 
 
 def legal_route(spark, d):
@@ -334,6 +340,142 @@ def marked_documents(spark, d):
     return _docs(spark, d).where(contains_any(F.col("text"), ["password", "license", "Copyright"])).select("doc_id")
 
 
+# ---- files
+
+NAMED = "'/in/' || CAST(doc_id AS STRING) || (CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' WHEN 2 THEN '.json' ELSE '' END)"
+
+
+def _files(spark, d):
+    return _docs(spark, d).select(F.expr(NAMED).alias("path"), F.encode("text", "UTF-8").alias("content"))
+
+
+def file_texts(spark, d):
+    return files.parse(_files(spark, d)).select("doc_id", "status", "source", "text")
+
+
+def file_chunks(spark, d):
+    return chunks(files.parse(_files(spark, d)).where("status = 'Success'"))
+
+
+def _stream(body, filters: bytes) -> object:
+    return F.concat(F.lit(b"obj << /Filter [" + filters + b"] >>\nstream\n"), body, F.lit(b"\nendstream\nendobj\n"))
+
+
+def pdf_texts(spark, d):
+    """Parts as PDFs: literals, hexadecimal strings, arrays, moves, UTF-16, and streams packed in each way."""
+    text = lambda c: F.col(c).cast("binary")
+    shown = F.concat(F.lit(b"BT ("), text("p_name"), F.lit(b") Tj 0 -20 Td [("), text("p_brand"), F.lit(b") -30 ("), text("p_type"), F.lit(b")] TJ T* <"), F.hex(text("p_brand")).cast("binary"), F.lit(rb"> Tj (\101\(\)) ' ET"))
+    wide = F.concat(F.lit(b"BT <FEFF"), F.hex(F.encode(F.lit("中文😀"), "UTF-16BE")).cast("binary"), F.lit(b"> Tj ET"))
+    packed = zlib.compress(b"BT (packed) Tj ET")
+    more = F.when(F.col("p_partkey") % 3 == 0, _stream(F.lit(packed), b"/FlateDecode")).when(F.col("p_partkey") % 3 == 1, _stream(F.lit(base64.a85encode(packed) + b"~>"), b"/ASCII85Decode /FlateDecode"))
+    more = more.otherwise(_stream(F.lit(base64.a85encode(b"BT (packed) Tj ET") + b"~>"), b"/ASCII85Decode"))
+    content = F.concat(F.lit(b"%PDF-1.4\n1 0 "), _stream(shown, b""), F.lit(b"2 0 "), _stream(wide, b""), F.lit(b"3 0 "), more, F.lit(b"%%EOF"))
+    found = files.parse(table(spark, d, "part").select(F.concat(F.lit("/in/"), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("path"), content.alias("content")))
+    return found.select("doc_id", "status", "source", "text")
+
+
+# ---- words, index, vectors
+
+MORE_STOP_WORDS = ("ononble", "thanedble")
+WORD_LINES = "(CASE n_nationkey % 4 WHEN 0 THEN '# ' || n_name WHEN 1 THEN '  ' || replace(n_name, ' ', '_') || ' ' || CAST(n_nationkey AS STRING) || ' n ' WHEN 2 THEN replace(n_name, ' ', '_') || chr(9) || '7' ELSE replace(n_name, ' ', '_') END)"
+
+
+def more_stop_words(spark, d):
+    tokens = word_index_tokens(F.col("text"), [*STOP_WORDS, *MORE_STOP_WORDS])
+    return _docs(spark, d).select("doc_id", F.array_join(tokens, " ").alias("tokens"))
+
+
+def user_words(spark, d):
+    return lexicon_lines(table(spark, d, "nation").select(F.expr(WORD_LINES).alias("value")))
+
+
+def index_cleared(spark, d):
+    return _index(spark, d).clear().size()
+
+
+def vectors_added(spark, d):
+    """A tenth of the vectors once more, turned round and under other ids, and who is next to the first one's opposite."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    more = v.where("vec_id % 10 = 0").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), F.transform("embedding", lambda x: -x).alias("embedding"))
+    asked = [-x for x in v.where("vec_id = 0").select("embedding").first()[0]]
+    return vector.top_k(vector.add(v, more), asked, K).select("vec_id", _six("similarity").alias("similarity"))
+
+
+def vectors_current(spark, d):
+    have = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"))
+    cut = _docs(spark, d).where("doc_id % 3 > 0").select("doc_id", F.lit(0).alias("chunk_index"))
+    return vector.current(cut, have).select("doc_id")
+
+
+# ---- the engine as a whole
+
+def _engine(spark, docs, **options) -> Engine:
+    return Engine(spark, **options).add(docs)
+
+
+def _named(found):
+    return found.select("rank", "doc_id", "chunk_index", "content", *(_six(c).alias(c) for c in ("bm25_score", "vector_score", "final_score")))
+
+
+def engine_search(spark, d):
+    return _named(_engine(spark, _docs(spark, d)).search(QUERY, K))
+
+
+class Silent:
+    """A provider without vectors."""
+
+    ready = True
+
+    def embed(self, texts):
+        return []
+
+
+class Failing(Silent):
+    def embed(self, texts):
+        raise RuntimeError("no service")
+
+
+class LateFailing(Silent):
+    """Answers for the query, fails for the chunks, in the tasks."""
+
+    def embed(self, texts):
+        if texts != [QUERY]:
+            raise RuntimeError("service lost")
+        return [[1.0, 0.0]]
+
+
+def engine_fallback(spark, d):
+    """Whatever is wrong with the provider, words alone."""
+    parts = []
+    for provider in (Silent(), Failing(), LateFailing()):
+        found = _named(_engine(spark, _docs(spark, d), embedding=provider).search(QUERY, K))
+        parts.append(found.select(F.lit(type(provider).__name__).alias("provider"), "rank", "doc_id", "final_score"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def engine_replaced(spark, d):
+    """Chunks after every fifth document came again with another text, and a repeated id with two."""
+    again = _docs(spark, d).where("doc_id % 5 = 0").select("doc_id", F.concat(F.lit("replaced "), F.col("doc_id").cast("string")).alias("text"))
+    twice = again.unionByName(again.select("doc_id", F.concat("text", F.lit(" and more")).alias("text")))
+    return _engine(spark, _docs(spark, d)).add(twice).chunks.select("doc_id", "chunk_index", "content")
+
+
+def engine_reloaded(spark, d):
+    """Chunks that have vectors after the engine was stored and read by one whose provider is gone."""
+    path = fresh_path(spark, "engine-saved")
+    e = _engine(spark, _docs(spark, d), embedding=vector.HashingProvider())
+    e.sync_vectors()
+    e.save(path)
+    return Engine(spark, embedding=Failing()).load(path).sync_vectors().select("doc_id", "chunk_index", F.size("vec").alias("dim"))
+
+
+def engine_answer(spark, d):
+    """The results that an answer rests on, filtered, and the years to choose from."""
+    found = _engine(spark, _judgments(spark, d)).answer("民事判决书 审判员", case_type="民事")
+    years = found.years.agg(F.array_join(F.array_sort(F.collect_list("year")), " ").alias("years"))
+    return found.results.select("rank", "doc_id", _six("final_score").alias("final_score")).crossJoin(years)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pages_text": pages_text, "import_tally": import_tally, "chunks": chunk_table, "chunk_offsets": chunk_offsets, "tokens_filtered": tokens_filtered, "term_freq": term_freq,
     "doc_freq": doc_frequency, "chunk_stats": chunk_stats, "corpus_stats": corpus_statistics, "postings_lookup": postings_lookup, "bm25_topk": bm25_topk, "bm25_multi_query": bm25_multi_query,
@@ -342,5 +484,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "court": court, "judgment_date": judgment_date, "case_type": case_type, "litigants": litigants, "doc_metadata": doc_metadata, "filter_conj": filter_conj, "year_facet": year_facet,
     "per_doc_cap": per_doc_cap, "metadata_rollup": metadata_rollup, "metadata_summary": metadata_summary, "result_lines": result_lines, "build_context": build_context,
     "legal_route": legal_route, "prompt": prompt, "request_body": request_body, "sse_concat": sse_concat, "parse_delta": parse_delta, "api_keys": api_keys,
-    "stop_word_share": stop_word_share, "marked_documents": marked_documents,
+    "stop_word_share": stop_word_share, "marked_documents": marked_documents, "rollup_lines": rollup_lines, "file_texts": file_texts, "file_chunks": file_chunks, "pdf_texts": pdf_texts,
+    "more_stop_words": more_stop_words, "user_words": user_words, "index_cleared": index_cleared, "vectors_added": vectors_added, "vectors_current": vectors_current, "engine_search": engine_search,
+    "engine_fallback": engine_fallback, "engine_replaced": engine_replaced, "engine_reloaded": engine_reloaded, "engine_answer": engine_answer,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators.chunking import chunks
+from corvane.sources.ocr import NOTE, NOTES, cascade
 from corvane.sources.pdf import pdf_text
 
 EXTENSIONS = ("txt", "md", "pdf", "csv", "json", "xml")
@@ -28,23 +29,15 @@ class NoOcr:
 
 
 class Cascade:
-    """Engines in turn, until one gives text. Each is a function from bytes to the pages' texts;
-    pages that fail are None. Pages are joined by blank lines."""
+    """Engines in turn, until one gives text, within the task. Each is a function from bytes to the pages' texts;
+    pages that fail are None. Pages are joined by blank lines. `ocr.ProcessOcr` runs engines apart."""
 
     def __init__(self, *engines):
         self.engines = engines
 
     def read(self, pdf: bytes) -> tuple[str, str, str]:
-        notes = []
-        for engine in self.engines:
-            try:
-                text = "\n\n".join(p for p in engine(pdf) if p and p.strip())
-            except Exception as e:  # an engine's failure is the next one's turn
-                notes.append(f"{getattr(engine, '__name__', 'engine')}: {e}"[:300])
-                continue
-            if text.strip():
-                return "Success", text, ""
-        return "EmptyText", "", "; ".join(notes) or "no engine found text"
+        text, notes = cascade(pdf, self.engines)
+        return ("Success", text, "") if text else ("NoText", "", "; ".join(notes)[:NOTE] or NOTES["NoText"])
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:

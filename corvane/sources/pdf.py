@@ -23,13 +23,16 @@ def inflate(data: bytes) -> bytes:
         return stream.decompress(data) + stream.flush()
     except zlib.error:
         pass
-    stream, out = zlib.decompressobj(), b""
-    for i in range(len(data)):
+    # damaged: what comes before the damage, in pieces that are halved where they fail
+    stream, out, at, size = zlib.decompressobj(), [], 0, len(data)
+    while at < len(data) and size:
+        before = stream.copy()
         try:
-            out += stream.decompress(data[i : i + 1])
+            out.append(stream.decompress(data[at : at + size]))
+            at += size
         except zlib.error:
-            break
-    return out or data
+            stream, size = before, size // 2
+    return b"".join(out) or data
 
 
 def ascii85(data: bytes) -> bytes:

@@ -1,9 +1,11 @@
+import sys
 import zlib
 from base64 import a85encode
 
 from pyspark.sql import functions as F
 
-from corvane.sources import files, pdf
+from corvane.sources import files, ocr, pdf
+from corvane.sources.ocr import ProcessOcr
 
 
 def make_pdf(content: bytes, filters: str = "/FlateDecode") -> bytes:
@@ -77,7 +79,7 @@ def test_ocr_cascade():
         raise RuntimeError("no engine")
 
     assert files.Cascade(broken, lambda raw: ["one", None, "two"]).read(b"") == ("Success", "one\n\ntwo", "")
-    assert files.Cascade(broken).read(b"")[0] == "EmptyText"
+    assert files.Cascade(broken).read(b"")[0] == "NoText"
     assert files.NoOcr().read(b"")[0] == "ScriptNotFound"
 
 
@@ -85,3 +87,57 @@ def test_text_status(spark):
     df = spark.createDataFrame([(1, "x"), (2, " \n"), (3, None)], "id long, t string")
     assert [r.status for r in files.text_status(df, "id", "t").orderBy("id").collect()] == ["Success", "NoTextExtracted", "NoTextExtracted"]
     assert df.select(F.col("t").rlike(files.BLANK)).count() == 3
+
+
+def test_damaged_streams():
+    raw = bytes(i * i % 251 for i in range(50_000))
+    packed = zlib.compress(raw)
+    assert pdf.inflate(packed[: len(packed) // 2]) == zlib.decompressobj().decompress(packed[: len(packed) // 2])
+    for at in (200, len(packed) // 2, len(packed) - 8):
+        bad = bytearray(packed)
+        bad[at : at + 6] = b"\xff" * 6
+        want, stream = b"", zlib.decompressobj()
+        for i in range(len(bad)):
+            try:
+                want += stream.decompress(bytes(bad[i : i + 1]))
+            except zlib.error:
+                break
+        assert pdf.inflate(bytes(bad)) == (want or bytes(bad))
+
+
+def script(folder, body):
+    path = folder / "ocr.py"
+    path.write_text("import sys, time\nraw = sys.stdin.buffer.read()\n" + body)
+    return str(path)
+
+
+def test_ocr_process(tmp_path):
+    of = lambda body, **o: ProcessOcr([sys.executable], script(tmp_path, body), probe="pass", **o).read(b"%PDF-1.4")
+    assert of("print('read', len(raw))") == ("Success", "read 8\n", "")
+    assert of("print(' ')")[0] == "NoText"
+    status, _, note = of("sys.exit('x' * 500)")
+    assert status == "ProcessFailed" and note.endswith("x...") and len(note) < 330
+    assert of("sys.exit(3)") == ("ProcessFailed", "", "OCR failed")
+    assert of("time.sleep(30)", timeout=0.5)[0] == "TimedOut"
+    assert ProcessOcr([sys.executable], str(tmp_path / "none.py"), probe="pass").read(b"x")[0] == "ScriptNotFound"
+    assert ProcessOcr([sys.executable], probe="import no_such_module").read(b"x")[0] == "PythonNotFound"
+    assert ProcessOcr(["/no/python"], probe="pass").read(b"x")[0] == "PythonNotFound"
+    assert ProcessOcr([sys.executable], probe="import time; time.sleep(30)", probe_timeout=0.3).read(b"x")[0] == "PythonNotFound"
+    gone = ProcessOcr([sys.executable], script(tmp_path, ""), probe="pass")
+    gone.found = "/no/python"
+    assert gone.read(b"x")[0] == "PythonStartFailed" and gone.read(b"")[0] == "PdfNotFound"
+
+
+def test_ocr_engines_that_are_missing():
+    """The module as a program: engines that are not installed are passed over, and said to be."""
+    status, text, note = ProcessOcr([sys.executable], probe="pass").read(b"no pdf")
+    assert (status, text) == ("ProcessFailed", "") and "text_layer" in note
+    assert ocr.cascade(b"", [lambda raw: ["a ", None, " b"]]) == ("a\n\nb", [])
+
+
+def test_files_with_an_ocr_process(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "scan.pdf").write_bytes(b"%PDF-1.4 a picture")
+    reader = ProcessOcr([sys.executable], script(tmp_path, "print('from', len(raw), 'bytes')"), probe="pass")
+    row = files.parse(files.read_files(spark, str(tmp_path / "in")), reader).first()
+    assert (row.status, row.source, row.text) == ("Success", "Ocr", "from 18 bytes\n")
