@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from corvane.llm.common import arrow_batch, pick, slices
 
-CACHE, CACHED_CHARS, SHORT = 150_000, 64, 48
+CACHE, CACHED_CHARS, SHORT = 100_000, 64, 48
 WIDTH = 512  # codepoints of a block
 TOKENS = 1 << 18  # decoded at a time
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, SPACE, WHITE = range(7)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -13,11 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.sources.shared import clear_shared as clear_shared
+from corvane.sources.shared import drop_path as drop_path
+from corvane.sources.shared import drop_since as drop_since
+from corvane.sources.shared import fresh_path as fresh_path
+from corvane.sources.shared import materialize as materialize
+from corvane.sources.shared import shared_dir as shared_dir
+from corvane.sources.shared import shared_paths as shared_paths
+from corvane.sources.shared import written as written
 from corvane.sources.tables import table as table
 
 #: Python operators split their input into slices of about so many bytes of text, so that
 #: memory does not depend on how Spark cuts its Arrow batches.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Slices after which freed memory is given back.
+TRIM = 16
 #: Spark hands Python batches of at most so many bytes, which bounds what a task holds outside
 #: of the JVM's heap when texts are long. A session that sets less keeps its value.
 BATCH_BYTES = 4 << 20
@@ -67,73 +76,27 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return safe.select(*[F.col(f"__c{i}").alias(n) for i, n in zip(where, names, strict=True)])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. It is spark.checkpoint.dir; where
-    the session has none (tests, local mode), a folder of this machine takes its place."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_before.isDefined():
-            found = set_before.get()
-        else:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            found = "file://" + tempfile.mkdtemp(prefix="corvane-")
-            spark.sparkContext.setCheckpointDir(found)
-            found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
+def _trim() -> None:
+    """Gives memory that was freed back to the machine: workers stay, and the next operator's may be others' task."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
-#: What this process has put into the shared folder.
-_made: set[str] = set()
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/corvane/{label}-{uuid.uuid4().hex}"
-    _made.add(path)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _made.discard(path)
-
-
-def shared_paths() -> frozenset[str]:
-    """What this process has in the shared folder now."""
-    return frozenset(_made)
-
-
-def drop_since(spark: SparkSession, before: frozenset[str], *kept: str) -> None:
-    """Deletes what came to the shared folder since, but for paths to keep."""
-    for path in sorted(_made - before - {*kept}):
-        drop_path(spark, path)
-
-
-def clear_shared(spark: SparkSession) -> None:
-    """Deletes the intermediate tables of this process. DataFrames that operators returned may read
-    them, so it is for when these have been written or are no longer needed."""
-    for path in sorted(_made):
-        drop_path(spark, path)
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again. It cuts the lineage
-    there: a lost executor costs no more than the tasks that read the table."""
-    return written(df, label)[0]
+def _glibc():
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
 
 
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """The same, with the table's path, for those who drop it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+_libc = _glibc()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that one slice holds about `limit` bytes of `column` or one row."""
+    seen = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -144,8 +107,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             if total and total + n > limit:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
+                seen += 1
+                if seen % TRIM == 0:
+                    _trim()
             total += int(n)
         yield batch.slice(start)
+    _trim()
 
 
 def arrow_batch(columns: Sequence, schema: pa.Schema) -> pa.RecordBatch:

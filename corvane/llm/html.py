@@ -15,7 +15,7 @@ Pages of a host that repeat one article do not make it a template: a page's cont
 that of its text blocks which stands in the fewest of the host's pages, so copies count as one
 whatever the template around them, and a notice that is longer than the articles hides none of
 them. Short blocks (dates, counters) do not tell content apart: under `OWN` letters and digits, or
-a fiftieth of the page's longest block; a page of these alone is known by its longest. Text blocks
+a fiftieth of the page's longest block; a page of these alone is known by its longest, the first of equals. Text blocks
 within an article (paragraphs, headings, lists' items) are never taken for a template, as a
 passage that many articles quote is part of each of them.
 

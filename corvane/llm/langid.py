@@ -29,7 +29,7 @@ from corvane.llm.common import arrow_batch, numbered, pick, position, slices
 
 LETTER = regex.compile(r"\p{L}")
 GAP = b"    "  # between texts: no n-gram that counts spans it
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 @dataclass(frozen=True)
