@@ -1,5 +1,11 @@
-from corvane.operators import prompts, vector
-from corvane.plans.engine import Engine, legal
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import pytest
+
+from corvane.operators import prompts, results, vector
+from corvane.plans.engine import Engine, legal, remote
 from corvane.streaming.ingest import ingest, read_index
 
 CASES = {
@@ -78,3 +84,143 @@ def test_stream(spark, tmp_path):
     idx = read_index(spark, out)
     assert sorted((r.term, r.doc_id) for r in idx.postings.collect()) == [("beta", "b"), ("delta", "a"), ("epsilon", "a"), ("gamma", "b")]
     assert sorted((r.doc_id, r.dl) for r in idx.chunk_stats.collect()) == [("a", 2), ("b", 2)]
+
+
+QUERY = "诈骗罪 判决"
+
+
+class Provider:
+    """Counts what it is asked for; `late` makes it fail for chunks, in the tasks."""
+
+    ready = True
+
+    def __init__(self, late=False, vectors=True):
+        self.late, self.vectors = late, vectors
+
+    def embed(self, texts):
+        if not self.vectors:
+            return []
+        if self.late and texts != [QUERY]:
+            raise RuntimeError("lost")
+        return vector.HashingProvider().embed(texts)
+
+
+def test_words_alone_with_raw_scores(spark):
+    """No provider, one without a key, one that has no vectors, one that fails at once, late, or with vectors for some texts."""
+    want = [tuple(r) for r in engine(spark).search(QUERY).collect()]
+    assert want and all(r[-1] == r[-3] > 0 and r[-2] == 0 for r in want)
+
+    class Broken(Provider):
+        def embed(self, texts):
+            raise KeyError("anything")
+
+    class Short(Provider):
+        def embed(self, texts):
+            return super().embed(texts)[:1] if len(texts) > 1 else super().embed(texts)
+
+    for provider in (vector.HttpProvider("http://localhost:9", ""), vector.HttpProvider("http://localhost:9", "key", timeout=1), Provider(vectors=False), Broken(), Provider(late=True), Short()):
+        assert [tuple(r) for r in engine(spark, embedding=provider).search(QUERY).collect()] == want
+
+
+def test_queries_without_vectors_among_others(spark):
+    class Some(Provider):
+        def embed(self, texts):
+            return [[] if t == QUERY else v for t, v in zip(texts, super().embed(texts), strict=True)]
+
+    e = engine(spark, embedding=Some())
+    got = e.search_many([QUERY, CASES["admin"]]).collect()
+    assert [tuple(r)[2:] for r in got if r.query_id == 0] == [tuple(r)[1:] for r in engine(spark).search(QUERY).collect()]
+    assert any(r.vector_score > 0.99 for r in got if r.query_id == 1)
+
+
+def test_vectors_are_asked_for_once_and_survive(spark, tmp_path):
+    e = engine(spark, embedding=Provider())
+    before = {tuple(r) for r in e.sync_vectors().select("doc_id", "chunk_index").collect()}
+    e.embedding = Provider(late=True)  # nothing is left to ask for but the query
+    first = e.search(QUERY).collect()
+    assert first[0].vector_score > 0 and len(before) == e.chunks.count()
+    e.save(str(tmp_path / "e"))
+    again = legal(spark, embedding=Provider(late=True)).load(str(tmp_path / "e"))
+    assert [tuple(r) for r in again.search(QUERY).collect()] == [tuple(r) for r in first]
+    # a document that comes again has another vector; the others stay
+    again.embedding = Provider()
+    old = {r.doc_id: r.vec for r in again.vectors.collect()}
+    again.add(spark.createDataFrame([("civil", "民间借贷 纠纷 另一份")], "doc_id string, text string"))
+    assert "civil" not in {r.doc_id for r in again.vectors.collect()}
+    new = {r.doc_id: r.vec for r in again.sync_vectors().collect()}
+    assert new["admin"] == old["admin"] and new["civil"] != old["civil"] and again.vectors.count() == again.chunks.count()
+    with pytest.raises(ValueError, match="already"):
+        again.save(again.path)
+
+
+def test_repeated_ids_and_words_of_the_user(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "乙 text"), ("a", "甲 text"), ("b", "检索增强生成")], "doc_id string, text string").repartition(3)
+    assert {r.doc_id: r.text for r in legal(spark).add(docs).documents.collect()} == {"a": "乙 text", "b": "检索增强生成"}
+    words = tmp_path / "words.txt"
+    words.write_text("# mine\n检索增强 30\n生成\n", encoding="utf-8")
+    e = legal(spark)
+    assert e.use_words(str(words)) == 2 and e.use_words(str(tmp_path / "none.txt")) == 0
+    e.add(docs)
+    assert {r.term for r in e.index.postings.where("doc_id = 'b'").collect()} == {"检索增强", "生成"}
+    assert "检索增强" not in legal(spark).settings.lexicon
+
+
+class Service(BaseHTTPRequestHandler):
+    asked: list = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.asked.append((self.path, self.headers["Authorization"], body))
+        if self.path == "/fails":
+            self.send_error(500)
+            return
+        self.send_response(200)
+        self.end_headers()
+        if self.path == "/embeddings":
+            vecs = vector.HashingProvider().embed(body["input"])
+            data = [{"index": i, "embedding": v} for i, v in enumerate(vecs)][::-1]
+            self.wfile.write(json.dumps({"data": data}).encode())
+        elif self.path == "/junk":
+            self.wfile.write(b"no json")
+        else:
+            for c in ("见", "来源 1"):
+                self.wfile.write(b"data: " + json.dumps({"choices": [{"delta": {"content": c}}]}).encode() + b"\n\n")
+            self.wfile.write(b"data: [DONE]\n")
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture(scope="module")
+def service():
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_services(spark, service, monkeypatch):
+    monkeypatch.setenv("CORVANE_API_KEY", "sk-0123456789abcdefgh")
+    e = remote(spark, f"{service}/embeddings", f"{service}/chat")
+    e.add(spark.createDataFrame(list(CASES.items()), "doc_id string, text string"))
+    Service.asked.clear()
+    assert e.search(CASES["admin"], 3).first().vector_score > 0.99
+    assert all(key == "Bearer sk-0123456789abcdefgh" and len(body["input"]) <= vector.PER_CALL for _, key, body in Service.asked)
+    assert e.answer("诈骗罪 判决").text == "见来源 1"
+    path, _, body = Service.asked[-1]
+    assert path == "/chat" and body["stream"] is True and (body["temperature"], body["max_tokens"]) == (0.3, 2048) and [m["role"] for m in body["messages"]] == ["system", "user"]
+    provider = vector.HttpProvider(f"{service}/embeddings", "key")
+    assert vector.embed_one(provider, "一") == vector.HashingProvider().embed(["一"])[0] and provider.embed([]) == []
+    for bad in ("fails", "junk"):
+        with pytest.raises((OSError, ValueError)):
+            vector.HttpProvider(f"{service}/{bad}", "key").embed(["x"])
+    with pytest.raises(OSError):
+        prompts.generate(prompts.HttpChat(f"{service}/fails", "key"), "s", "u")
+
+
+def test_keys_of_the_environment(spark, monkeypatch):
+    monkeypatch.delenv("CORVANE_API_KEY", raising=False)
+    monkeypatch.setenv("OTHER_KEY", " k ")
+    assert results.key_from_environment() == "" and results.key_from_environment("NONE", "OTHER_KEY") == "k"
+    e = remote(spark, "http://localhost:9", "http://localhost:9")
+    assert not e.embedding.ready and not e.chat.ready and prompts.generate(e.chat, "s", "u").startswith("错误")

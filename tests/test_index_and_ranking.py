@@ -1,10 +1,13 @@
 import math
+import random
+from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.operators import bm25, hybrid, vector
-from corvane.operators.index import Index, corpus_stats, doc_freq
-from pyspark.sql import functions as F
+from corvane.operators.index import Index, corpus_stats, doc_freq, postings
 
 
 def index(spark, docs):
@@ -104,3 +107,25 @@ def test_expansion(spark):
     got = [r[0] for r in df.select(hybrid.expand_terms(F.col("q"), F.col("t"))).collect()]
     assert got == [["案子", "地址", "住所地", "住址", "所在地", "坐落于"], ["x"]]
     assert hybrid.depth(5) == 10 and hybrid.depth(20) == 40
+
+
+def test_terms_are_counted_in_the_row(spark):
+    rng = random.Random(1)
+    rows = [(f"d{i}", i % 3, [rng.choice("abcdé中") for _ in range(rng.choice([0, 1, 5, 200]))]) for i in range(40)] + [("none", 0, None)]
+    df = spark.createDataFrame(rows, "doc_id string, chunk_index int, tokens array<string>")
+    got = sorted(tuple(r) for r in postings(df).collect())
+    assert got == sorted((t, d, k, n) for d, k, ts in rows for t, n in Counter(ts or []).items())
+    assert "Exchange" not in postings(df)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_many_queries_with_struct_ids_against_brute_force(spark, block):
+    rng = np.random.default_rng(4)
+    vecs, asked = rng.normal(size=(60, 5)), rng.normal(size=(17, 5))
+    v = spark.createDataFrame([((f"d{i // 3}", i % 3), x.tolist()) for i, x in enumerate(vecs)], "id struct<doc_id:string,chunk_index:int>, vec array<double>").repartition(4)
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(asked)], "query_id long, vec array<double>").repartition(3)
+    got = vector.search(v, q, 4, id_col="id", vec_col="vec", block=block)
+    sim = (asked @ vecs.T) / np.outer(np.linalg.norm(asked, axis=1), np.linalg.norm(vecs, axis=1))
+    want = {(i, rank + 1): (f"d{k // 3}", k % 3) for i in range(17) for rank, k in enumerate(np.argsort(-sim[i])[:4])}
+    assert {(r.query_id, r.rank): tuple(r.id) for r in got.collect()} == want
+    assert vector.search(v, q.limit(0), 4, id_col="id", vec_col="vec").collect() == [] == vector.search(v.limit(0), q, 4, id_col="id", vec_col="vec").collect()

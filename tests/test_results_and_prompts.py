@@ -117,3 +117,15 @@ def test_stream_in_pieces():
         prompts.generate(Pieces(1, 0), "s", "u")
     assert prompts.generate(Pieces(1, 80), "s", "u") == "你"
     assert prompts.generate(None, "s", "u").startswith("错误")
+
+
+def test_rollup_fits_a_budget(spark):
+    rows = [(f"d{i:03}", f"（2024）京{i}民初1号", "", "", "", "", "") for i in range(50)]
+    meta = spark.createDataFrame(rows, "doc_id string, case_number string, court string, date string, case_type string, litigants string, procedure string").repartition(4)
+    lines = [r.line for r in results.rollup_lines(meta).orderBy("doc_id").collect()]
+    tail = "\n（以上为全部 50 个已导入文档的元数据汇总）\n"
+    assert tuple(results.metadata_rollup(meta).first()) == ("".join(x + "\n" for x in lines) + tail, 50)
+    size = sum(len(x.encode()) + 1 for x in lines[:7])
+    for budget, n in ((size, 7), (size - 1, 6), (3, 0)):
+        assert results.metadata_rollup(meta, budget).first().summary == "".join(x + "\n" for x in lines[:n]) + tail
+    assert tuple(results.metadata_rollup(meta.limit(0)).first()) == ("", 0)

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import metadata as meta
-from corvane.functions.segment import cut, segmented, user_lexicon, with_user_words
+from corvane.functions.segment import Cutter, cut, segmented, user_lexicon, with_user_words
 from corvane.functions.text import STOP_WORDS, STOP_WORDS_EN, STOP_WORDS_ZH, index_tokens, two_places, word_tokens
 
 
@@ -76,3 +78,27 @@ def test_chinese_numbers(spark, s, n):
 def test_court_levels(spark):
     df = spark.createDataFrame([("最高人民法院",), ("某高级人民法院",), ("某中级人民法院",), ("某区人民法院",), ("",), (None,)], "c string")
     assert [r[0] for r in df.select(meta.court_level(F.col("c"))).collect()] == ["最高", "高级", "中级", "基层", "", ""]
+
+
+def test_frequencies_decide():
+    """Of two ways to cut, the likelier one; with words alone the one with fewer."""
+    words = {"研究": 50, "研究生": 5, "生命": 50, "命": 2, "起源": 20}
+    assert cut("研究生命起源", words) == ["研究", "生命", "起源"]
+    assert cut("研究生命起源", {**words, "研究生": 50_000, "命": 50_000}) == ["研究生", "命", "起源"]
+    assert cut("研究生命起源", ["研究生", "生命", "研究", "起源"]) == ["研究", "生命", "起源"]
+    assert cut("未知字词研究", words) == ["未知", "知字", "字词", "研究"] and cut("研究甲", words) == ["研究", "甲"]
+
+
+def test_likeliest_of_all_cuts():
+    rng = random.Random(2)
+    for _ in range(200):
+        words = {"".join(rng.choice("甲乙丙") for _ in range(rng.randint(1, 4))): rng.randint(1, 100) for _ in range(8)}
+        run = "".join(rng.choice("甲乙丙") for _ in range(rng.randint(1, 9)))
+        c = Cutter(words)
+        value = lambda ws, c=c: sum(c.weight.get(w, c.unknown) for w in ws)
+        cuts = [[]]
+        for ch in run:  # every way to cut into words and single characters
+            cuts = [x for ws in cuts for x in ([*ws, ch], [*ws[:-1], ws[-1] + ch] if ws else [ch])]
+        best = max(value(ws) for ws in cuts if all(len(w) == 1 or w in words for w in ws))
+        got = c.likeliest(run)
+        assert "".join(got) == run and value(got) == pytest.approx(best)
