@@ -106,5 +106,36 @@ FROM b
 """
 
 
+#: CRC-32 by its table, which follows from the polynomial; the map's edit as a recursion over the slots that move,
+#: largest first, each to the shard that holds least.
+OP10_SQL = """
+WITH RECURSIVE tbl AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(0, 256)) AS i)),
+b AS (SELECT doc_id, coalesce(text, '') AS x, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '') AS k FROM documents),
+n AS (SELECT *, CAST('0x' || substr(sha1(k), 1, 15) AS BIGINT) AS h, row_number() OVER (PARTITION BY k) - 1 AS copy FROM b),
+c AS (
+  SELECT doc_id, CAST(strlen(x) + 8 AS BIGINT) AS size, CASE WHEN copy = 0 THEN h ELSE CAST('0x' || substr(sha1(h || ':' || copy), 1, 15) AS BIGINT) END AS h,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda d: CAST('0x' || d AS BIGINT))),
+                         lambda a, d: xor(a >> 8, t[xor(a & 255, d) + 1])), 4294967295) AS crc
+  FROM n, tbl),
+p AS (SELECT doc_id, size, crc, CAST(h % 4096 AS INTEGER) AS vslot, CAST(h // 4096 % 16 AS INTEGER) AS part FROM c),
+z AS (SELECT v AS vslot, v % 24 AS shard, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM (SELECT unnest(range(0, 4096)) AS v) LEFT JOIN p ON vslot = v GROUP BY v),
+u AS (SELECT *, sum(bytes) OVER (PARTITION BY shard ORDER BY bytes DESC, vslot ROWS UNBOUNDED PRECEDING) <= (SELECT sum(bytes) / 24 FROM z) AS stays FROM z),
+pool AS (SELECT vslot, bytes, row_number() OVER (ORDER BY bytes DESC, vslot) AS i FROM u WHERE NOT stays),
+m AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS vslot, CAST(NULL AS BIGINT) AS shard,
+         (SELECT list(w ORDER BY shard) FROM (SELECT shard, CAST(coalesce(sum(bytes) FILTER (stays), 0) AS BIGINT) AS w FROM u GROUP BY shard)) AS loads
+  UNION ALL
+  SELECT pool.i, pool.vslot, list_position(loads, list_min(loads)) - 1, list_transform(loads, lambda v, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN v + pool.bytes ELSE v END)
+  FROM m JOIN pool ON pool.i = m.i + 1),
+s AS (SELECT vslot, shard FROM u WHERE stays UNION ALL SELECT vslot, shard FROM m WHERE i > 0),
+g AS (SELECT p.vslot, part, shard, coalesce(sum(count(*)) OVER (PARTITION BY shard ORDER BY p.vslot, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p JOIN s ON s.vslot = p.vslot GROUP BY p.vslot, part, shard)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, CAST(NULL AS INTEGER) AS grown_shard, p.vslot,
+       CAST(before + row_number() OVER (PARTITION BY p.vslot, p.part ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS BIGINT) AS slot
+FROM p JOIN g ON g.vslot = p.vslot AND g.part = p.part
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op5_warc": OP5_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op5_warc": OP5_SQL, "op10_sharding": OP10_SQL}

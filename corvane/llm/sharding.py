@@ -16,13 +16,13 @@ number of records. Positions within a shard are the part's offset plus the rank
 slot has `PARTS`), so ranking is spread over all slots and parts.
 
 Defined results: a null text counts 8 bytes and has the checksum of the empty text; a null
-doc_id is hashed by its text alone. Equal rows take positions in any order among themselves. Empty
+doc_id is hashed by its text alone. Null and empty texts are equal. Equal rows take positions in any order among themselves. Empty
 tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,6 +31,11 @@ from corvane.llm.common import fresh_path, materialize, pick
 SLOTS, PARTS = 4096, 16
 
 
+def hashed(text: Column) -> Column:
+    """60 bits of a text's SHA-1, as any SQL has them."""
+    return F.conv(F.substring(F.sha1(text), 1, 15), 16, 10).cast("long")
+
+
 def records(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, size, text_crc32, h (a hash of id and text), chunk (the partition read)."""
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
@@ -38,7 +43,7 @@ def records(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64("doc_id", "text").alias("h"),
+        hashed(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))).alias("h"),
         F.spark_partition_id().alias("chunk"),
     )
 
@@ -52,9 +57,9 @@ def slotted(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("h", "chunk").orderBy("size"))
     copy = F.when(F.col("before").isNotNull(), F.col("before") + rank - 1).otherwise(0)
     numbered = rows.join(offsets, ["h", "chunk"], "left").withColumn("copy", copy)
-    mixed = F.when(F.col("copy") > 0, F.xxhash64("h", "copy")).otherwise(F.col("h"))
-    at = F.pmod(mixed, F.lit(slots)).cast("int").alias("vslot")
-    return numbered.select("doc_id", "size", "text_crc32", at, F.pmod(F.xxhash64(mixed), F.lit(PARTS)).cast("int").alias("part"))
+    mixed = F.when(F.col("copy") > 0, hashed(F.concat(F.col("h").cast("string"), F.lit(":"), F.col("copy").cast("string")))).otherwise(F.col("h"))
+    at = numbered.withColumn("h", mixed)
+    return at.select("doc_id", "size", "text_crc32", (F.col("h") % slots).cast("int").alias("vslot"), F.expr(f"cast((h div {slots}) % {PARTS} as int) as part"))
 
 
 def part_bytes(rows: DataFrame) -> DataFrame:

@@ -390,7 +390,7 @@ def verified(docs: DataFrame, keys: DataFrame, trees: DataFrame, like: Like, tex
     # a bit table of a fixed size lets few texts but the members' through to the join
     slot = F.pmod(F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("int"), F.lit(SLOTS))
     table = np.zeros(SLOTS, bool)
-    table[[r[0] for r in members.select(slot).distinct().collect()]] = True
+    table[members.select(slot.alias("s")).distinct().toArrow().column("s").to_numpy()] = True
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(table).tobytes())
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
