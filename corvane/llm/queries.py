@@ -74,7 +74,7 @@ WITH d AS (
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 i AS (
-  SELECT CAST(item_id AS VARCHAR) AS item, w, least(len(w), 10) AS n FROM (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, w, least(len(w), 10) AS n FROM (
     SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
   WHERE len(w) > 0),
 iw AS (
@@ -106,6 +106,89 @@ FROM b
 """
 
 
+def _bpe_sql(ranks: str, special: str | None = None) -> str:
+    """d (a row per document), r (its text, or what lies between special strings), pieces by the pattern, merges of each
+    different piece by rank, and tokens (the ids of each r). The pattern's look-ahead is a mark before the last blank of
+    a run that something follows."""
+    blank = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+    pattern = rf"[{blank}]+\x{{10FFFE}}|''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{blank}\p{{L}}\p{{N}}]+|[{blank}]+"
+    parts = f"unnest(string_split(t, '{special}'))" if special else "t"
+    return rf"""
+WITH RECURSIVE ranks AS (SELECT hex(from_base64(b)) AS hx, id FROM read_csv('{ranks}', delim = ' ', header = false, quote = '', escape = '', columns = {{'b': 'VARCHAR', 'id': 'INTEGER'}})),
+d AS (SELECT row_number() OVER () AS did, doc_id, coalesce(text, '') AS t FROM documents),
+r AS (SELECT row_number() OVER () AS rid, did, t FROM (SELECT did, {parts} AS t FROM d)),
+pieces AS (
+  SELECT rid, p, hex(encode(replace(x[p], chr(1114110), ''))) AS hx
+  FROM (SELECT rid, x, unnest(range(1, len(x) + 1)) AS p FROM (SELECT rid, regexp_extract_all(regexp_replace(t, '([{blank}])([{blank}][^{blank}])', '\1' || chr(1114110) || '\2', 'g'), '{pattern}') AS x FROM r))),
+m AS (
+  SELECT hx, CASE WHEN hx IN (SELECT hx FROM ranks) THEN [hx] ELSE regexp_extract_all(hx, '..') END AS parts FROM (SELECT DISTINCT hx FROM pieces)
+  UNION ALL
+  SELECT hx, list_concat(list_append(parts[: k - 1], parts[k] || parts[k + 1]), parts[k + 2 :])
+  FROM (SELECT m.hx, parts, min(CAST(id AS BIGINT) * 16777216 + i) % 16777216 AS k FROM (SELECT hx, parts, unnest(range(1, len(parts))) AS i FROM m) m JOIN ranks ON ranks.hx = parts[i] || parts[i + 1] GROUP BY m.hx, parts)),
+merged AS (SELECT hx, arg_min(parts, len(parts)) AS parts FROM m GROUP BY hx),
+coded AS (SELECT merged.hx, list(id ORDER BY i) AS ids FROM (SELECT hx, parts, unnest(range(1, len(parts) + 1)) AS i FROM merged) merged JOIN ranks ON ranks.hx = parts[i] GROUP BY merged.hx),
+found AS (SELECT rid, flatten(list(ids ORDER BY p)) AS ids FROM pieces JOIN coded USING (hx) GROUP BY rid),
+tokens AS (SELECT r.*, coalesce(ids, []) AS ids FROM r LEFT JOIN found USING (rid))
+"""
+
+
+OP4_SQL = _bpe_sql(RANKS, "<|endoftext|>") + """
+SELECT doc_id, CAST(strlen(t) AS BIGINT) AS n_bytes, n_tokens, n_tokens > 1024 AS over_limit
+FROM d JOIN (SELECT did, CAST(sum(len(ids)) + count(*) - 1 AS BIGINT) AS n_tokens FROM tokens GROUP BY did) USING (did)
+"""
+OP6_SQL = _bpe_sql(RANKS) + """
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, sha256(array_to_string(ids, ' ')) AS ids_sha256, sha256(d.t) AS decoded_sha256 FROM d JOIN tokens USING (did)
+"""
+
+
+# The primes of XXH64.
+XXH_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _op8_sql() -> str:
+    """XXH64 of each shingle by its definition, modulo 2^64 in 128 bits; majority bits, pairs of different
+    fingerprints, and who reaches whom."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in XXH_PRIMES)
+    low = lambda x: f"(({x}) & 18446744073709551615::UHUGEINT)"
+    let = lambda name, value, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    turn = lambda x, r: f"({low(f'{x} * {1 << r}::UHUGEINT')} + ({x} >> {64 - r}::UHUGEINT))"
+    mixed = lambda acc, k: let("q", low(f"{acc} + {low(f'{k} * {p2}')}"), low(f"{turn('q', 31)} * {p1}"))
+    merged = lambda h, k: let("r", f"xor({h}, {k})", low(f"{turn('r', 27)} * {p1} + {p4}"))
+    zero, seed = "0::UHUGEINT", 42
+    starts = [(seed + XXH_PRIMES[0] + XXH_PRIMES[1]) % 2**64, (seed + XXH_PRIMES[1]) % 2**64, seed, (seed - XXH_PRIMES[0]) % 2**64]
+    # stripes of 32 bytes: four sums, each of every fourth lane
+    sums = ", ".join(f"list_reduce(list_prepend({v}::UHUGEINT, [lanes[4 * j + {i + 1}] FOR j IN range(0, n // 32)]), lambda a, k: {mixed('a', 'k')}) AS v{i + 1}" for i, v in enumerate(starts))
+    wide = low(" + ".join(turn(f"v{i}", r) for i, r in ((1, 1), (2, 7), (3, 12), (4, 18))))
+    for i in range(1, 5):
+        wide = let(f"w{i}", f"xor({wide}, {mixed(zero, f'v{i}')})", low(f"w{i} * {p1} + {p4}"))
+    eights = f"list_reduce(list_prepend(h, lanes[n // 32 * 4 + 1 : n // 8]), lambda a, k: {merged('a', mixed(zero, 'k'))})"
+    four = let("r", f"xor(h, {low(f'(b[n // 8 * 8 + 1] + 256 * b[n // 8 * 8 + 2] + 65536 * b[n // 8 * 8 + 3] + 16777216 * b[n // 8 * 8 + 4]) * {p1}')})", low(f"{turn('r', 23)} * {p2} + {p3}"))
+    ones = f"list_reduce(list_prepend(h, b[n // 4 * 4 + 1 : n]), lambda a, k: {let('r', f'xor(a, {low(f'k * {p5}')})', low(f'{turn("r", 11)} * {p1}'))})"
+    last = let("x", f"xor(h, h >> 33::UHUGEINT)", let("y", low(f"x * {p2}"), let("z", "xor(y, y >> 29::UHUGEINT)", let("u", low(f"z * {p3}"), "xor(u, u >> 32::UHUGEINT)"))))
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, array_to_string(list_slice(w, p, p + 3), ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS p FROM d WHERE len(w) > 0)),
+e AS (SELECT g, list_transform(regexp_extract_all(hex(encode(g)), '..'), lambda x: CAST(CAST('0x' || x AS INTEGER) AS UHUGEINT)) AS b FROM (SELECT DISTINCT g FROM s)),
+l AS (SELECT g, b, len(b) AS n, [list_reduce(list_reverse(b[8 * j + 1 : 8 * j + 8]), lambda a, k: a * 256 + k) FOR j IN range(0, len(b) // 8)] AS lanes FROM e),
+a0 AS (SELECT *, {sums} FROM l),
+a1 AS (SELECT g, b, n, lanes, {low(f"CASE WHEN n >= 32 THEN {wide} ELSE {low(f'{seed}::UHUGEINT + {p5}')} END + CAST(n AS UHUGEINT)")} AS h FROM a0),
+a2 AS (SELECT g, b, n, {eights} AS h FROM a1),
+a3 AS (SELECT g, b, n, CASE WHEN n % 8 >= 4 THEN {four} ELSE h END AS h FROM a2),
+a4 AS (SELECT g, {ones} AS h FROM a3),
+hs AS (SELECT g, CAST({last} AS UBIGINT) AS h FROM a4),
+f AS (
+  SELECT rid, bit_or(CASE WHEN 2 * ones > total THEN (1::UBIGINT << k::UBIGINT) ELSE 0::UBIGINT END) AS fp
+  FROM (SELECT rid, k, count(*) AS total, count(*) FILTER ((h >> k::UBIGINT) & 1::UBIGINT = 1) AS ones FROM s JOIN hs USING (g), (SELECT unnest(range(0, 64)) AS k) GROUP BY rid, k) GROUP BY rid),
+r AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM d LEFT JOIN f USING (rid)),
+u AS (SELECT DISTINCT fp FROM r),
+j AS (SELECT x.fp AS a, y.fp AS b FROM u x, u y WHERE bit_count(xor(x.fp, y.fp)) <= 4),
+c AS (SELECT a, b FROM j UNION SELECT c.a, j.b FROM c JOIN j ON j.a = c.b),
+least_id AS (SELECT a AS fp, min(doc_id) AS component_id FROM c JOIN r ON r.fp = c.b GROUP BY a)
+SELECT doc_id, lower(lpad(to_hex(fp), 16, '0')) AS fingerprint, component_id FROM r JOIN least_id USING (fp)
+"""
+
+
 #: CRC-32 by its table, which follows from the polynomial; the map's edit as a recursion over the slots that move,
 #: largest first, each to the shard that holds least.
 OP10_SQL = """
@@ -138,4 +221,4 @@ FROM p JOIN g ON g.vslot = p.vslot AND g.part = p.part
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op5_warc": OP5_SQL, "op10_sharding": OP10_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op4_token_counts": OP4_SQL, "op5_warc": OP5_SQL, "op6_bpe": OP6_SQL, "op8_simhash": _op8_sql(), "op10_sharding": OP10_SQL}
