@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +72,11 @@ def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """The table alone."""
     return written(df, label)[0]
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What make() returns as a table; the tables that were written on the way to it go."""
+    there = shared_paths()
+    df, path = written(make(), label)
+    drop_since(spark, there, path)
+    return df
