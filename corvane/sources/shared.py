@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -26,30 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: What this process has put into the shared folder.
-_made: set[str] = set()
+#: What this process has put into the shared folder, and which of its threads did.
+_made: dict[str, int] = {}
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/corvane/{label}-{uuid.uuid4().hex}"
-    _made.add(path)
+    _made[path] = threading.get_ident()
     return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _made.discard(path)
+    _made.pop(path, None)
 
 
 def shared_paths() -> frozenset[str]:
-    """What this process has in the shared folder now."""
-    return frozenset(_made)
+    """What this thread has put into the shared folder and not dropped; others may be at work next to it."""
+    own = threading.get_ident()
+    return frozenset(p for p, who in list(_made.items()) if who == own)
 
 
 def drop_since(spark: SparkSession, before: frozenset[str], *kept: str) -> None:
     """Deletes what came to the shared folder since, but for paths to keep."""
-    for path in sorted(_made - before - {*kept}):
+    for path in sorted(shared_paths() - before - {*kept}):
         drop_path(spark, path)
 
 
