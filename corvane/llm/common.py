@@ -17,6 +17,7 @@ from corvane.sources.shared import drop_path as drop_path
 from corvane.sources.shared import drop_since as drop_since
 from corvane.sources.shared import fresh_path as fresh_path
 from corvane.sources.shared import materialize as materialize
+from corvane.sources.shared import settled as settled
 from corvane.sources.shared import shared_dir as shared_dir
 from corvane.sources.shared import shared_paths as shared_paths
 from corvane.sources.shared import written as written

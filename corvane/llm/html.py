@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import arrow_batch, materialize, pick, slices
+from corvane.llm.common import arrow_batch, materialize, pick, settled, slices
 
 BROADCAST = 1_000_000
 OWN, OWN_SHARE = 20, 0.02
@@ -329,7 +329,7 @@ def templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.1)
 
 def extract(pages: DataFrame, least_pages: int = 3, least_share: float = 0.1, broadcast: int = BROADCAST) -> DataFrame:
     """page_id, url, text, n_chars, n_template (template subtrees that the page lost); a row per row of pages."""
-    found = materialize(templates(pages, least_pages, least_share), "html-templates")
+    found = settled(pages.sparkSession, lambda: templates(pages, least_pages, least_share), "html-templates")
     rows = pick(pages, "page_id", "url", "html")
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_template", T.LongType())])
 

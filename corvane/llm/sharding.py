@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.llm.common import fresh_path, materialize, pick
+from corvane.llm.common import fresh_path, materialize, pick, settled
 
 SLOTS, PARTS = 4096, 16
 
@@ -141,7 +141,7 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str |
     """doc_id, size, text_crc32, vslot, shard, slot; law `bytes`. The map is stored at map_path
     (a new path by default): version 1, or the latest one there, and the edited version."""
     spark = docs.sparkSession
-    rows = materialize(slotted(materialize(records(docs, id_col, text_col), "shard-records"), slots), "shard-slotted")
+    rows = settled(spark, lambda: slotted(materialize(records(docs, id_col, text_col), "shard-records"), slots), "shard-slotted")
     parts = materialize(part_bytes(rows), "shard-parts")
     old = first_map(spark, shards, slots)
     if map_path is None:

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import arrow_batch, drop_path, materialize, pick, position, slices, written
+from corvane.llm.common import arrow_batch, drop_path, drop_since, materialize, pick, position, settled, shared_paths, slices, written
 
 BLOCK = 512
 BITS = 64
@@ -496,18 +496,26 @@ SIMILAR = Like(width=5, radius=80, lanes=4, jaccard=0.8)
 
 
 def classes(docs: DataFrame, like: Like = EXACT, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): doc_id, fp for each row of docs; fp, root for each fingerprint."""
-    if like.jaccard is not None:
+    """(rows, classes): doc_id, fp for each row of docs; fp, root for each fingerprint. Tables, and the only ones that stay."""
+    spark = docs.sparkSession
+    if like.jaccard is None:
+        rows = materialize(fingerprints(docs, like.width, like.seed, id_col, text_col), "simhash")
+    else:
         marked = materialize(sets_marked(docs, like, id_col, text_col), "simhash")
         rows = marked.select("doc_id", "fp")
-        points = materialize(marked.groupBy("fp").agg(F.first("level").alias("level"), F.first("rarest").alias("rarest")), "simhash-points")
-        found = verified(docs, points.select("fp"), connected(candidates(points, like), "simhash-near"), like, text_col)
-    else:
-        rows = materialize(fingerprints(docs, like.width, like.seed, id_col, text_col), "simhash")
-        points = materialize(rows.select("fp").distinct(), "simhash-points")
-        found = links(points, points.count(), like.radius)
-    trees = connected(found, "simhash")
-    return rows, points.join(trees, points.fp == trees.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+    def found() -> DataFrame:
+        if like.jaccard is None:
+            points = materialize(rows.select("fp").distinct(), "simhash-points")
+            near = links(points, points.count(), like.radius)
+        else:
+            points = materialize(marked.groupBy("fp").agg(F.first("level").alias("level"), F.first("rarest").alias("rarest")), "simhash-points")
+            near = settled(spark, lambda: connected(candidates(points, like), "simhash-near"), "simhash-near-trees")
+            near = verified(docs, points.select("fp"), near, like, text_col)
+        trees = connected(near, "simhash")
+        return points.select("fp").join(trees, points.fp == trees.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+    return rows, settled(spark, found, "simhash-classes")
 
 
 def components(docs: DataFrame, like: Like = EXACT, id_col="doc_id", text_col="text") -> DataFrame:
@@ -524,25 +532,28 @@ def components(docs: DataFrame, like: Like = EXACT, id_col="doc_id", text_col="t
 def dedup(docs: DataFrame, like: Like = EXACT, id_col="doc_id", text_col="text") -> DataFrame:
     """One row of each component, all columns: that with the least doc_id, rows without one
     last. Of rows that share it (repeated rows, null ids) one stays, the first by text."""
+    there = shared_paths()
     rows, found = classes(docs, like, id_col, text_col)
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("first")).join(found, "fp")
     best = least.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("k"))
-    keep = materialize(best.select(F.col("k.first").alias("__id"), F.col("k.fp").alias("__fp")), "simhash-keep")
+    keep, kept = written(best.select(F.col("k.first").alias("__id"), F.col("k.fp").alias("__fp")), "simhash-keep")
     names = docs.columns
     cols = [f"__c{i}" for i in range(len(names))]
     key, text = (cols[position(docs, c)] for c in (id_col, text_col))
     safe = docs.toDF(*cols)
-    odd = materialize(rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__odd")), "simhash-odd")
+    odd, odds = written(rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__odd")), "simhash-odd")
     # ids of rows that go are few, as a rule: a small table is broadcast by Spark, which leaves the texts where they are
     ids = rows.where("doc_id is not null").select(F.col("doc_id").alias("__id"))
-    gone = ids.join(keep.where("__id is not null").select("__id"), "__id", "left_anti").select("__id").unionByName(odd.where("__odd is not null").select(F.col("__odd").alias("__id")))
-    gone = materialize(gone.distinct(), "simhash-gone")
+    lost = ids.join(keep.where("__id is not null").select("__id"), "__id", "left_anti").select("__id").unionByName(odd.where("__odd is not null").select(F.col("__odd").alias("__id")))
+    gone, path = written(lost.distinct(), "simhash-gone")
+    kind = rows.schema["fp"].dataType
+    drop_since(docs.sparkSession, there, kept, odds, path)
     single = safe.where(F.col(key).isNotNull()).join(gone, safe[key] == gone["__id"], "left_anti")
     if odd.isEmpty():
         return single.toDF(*names)
     # ids that are null or shared do not name a row; these rows are matched by fingerprint too
     several = safe.where(F.col(key).isNull()).unionByName(safe.join(odd.where("__odd is not null"), safe[key] == F.col("__odd"), "left_semi"))
-    schema = T.StructType([*several.schema.fields, T.StructField("__fp", rows.schema["fp"].dataType)])
+    schema = T.StructType([*several.schema.fields, T.StructField("__fp", kind)])
     at = cols.index(text)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
