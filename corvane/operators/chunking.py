@@ -25,7 +25,7 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def _fold(size: int, overlap: int) -> str:
-    """SQL for the chunks' (start, end) in bytes of column __b, of __n bytes. w: the slice that a
+    """SQL for the chunks' (start, end, bytes of the chunks before) in bytes of column __b, of __n bytes. w: the slice that a
     step looks at, a character per byte; safe: where it ends without splitting a character; stop:
     behind the last break up to there; e: the chunk's length; back: where the next one begins."""
     half, cont = size // 2, r"[\\x80-\\xBF]"
@@ -37,23 +37,25 @@ def _fold(size: int, overlap: int) -> str:
             _let("stop", r"length(regexp_extract(substring(w, 1, safe), '(?s)^.*[\\n\\r.!?]', 0))",
                 _let("e", f"if(s.pos + safe < __n and stop > {half}, stop, safe)",
                     _let("back", f"if({overlap} > 0 and s.pos + e < __n and e > {overlap}, {whole(f'e - {overlap}')}, 0)",
-                        "named_struct('pos', s.pos + if(back > 0, back, e), 'out', array_append(s.out, named_struct('start', s.pos, 'end', s.pos + e)))")))),
+                        "named_struct('pos', s.pos + if(back > 0, back, e), 'sum', s.sum + e, 'out', array_append(s.out, named_struct('start', s.pos, 'end', s.pos + e, 'before', s.sum)))")))),
     )
     return f"""aggregate(
         sequence(1, cast(ceil(__n / {max(1, half - overlap - 3)}D) as int) + 1),
-        named_struct('pos', 0, 'out', cast(array() as array<struct<start:int,end:int>>)),
+        named_struct('pos', 0, 'sum', 0, 'out', cast(array() as array<struct<start:int,end:int,before:int>>)),
         (s, i) -> if(s.pos >= __n, s, {step}),
         s -> s.out)"""
 
 
-def chunks(docs: DataFrame, max_bytes: int = MAX_BYTES, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, chunk_index, content, byte_offset. Null and empty texts have no chunks."""
+def chunks(docs: DataFrame, max_bytes: int = MAX_BYTES, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text", start_pos: bool = False) -> DataFrame:
+    """doc_id, chunk_index, content, byte_offset and, if asked for, start_pos (as `with_start_pos` has it, without its
+    shuffle). Null and empty texts have no chunks."""
     size = max(max_bytes, 1)
     if size < 2 * (overlap + 4):
-        return chunks_arrow(docs, max_bytes, overlap, id_col, text_col)
+        return chunks_arrow(docs, max_bytes, overlap, id_col, text_col, start_pos)
     coded = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("__b"))
     cut = coded.withColumn("__n", F.octet_length("__b")).where("__n > 0").select("doc_id", "__b", F.posexplode(F.expr(_fold(size, overlap))).alias("chunk_index", "at"))
-    return cut.select("doc_id", "chunk_index", F.decode(F.expr("substring(__b, at.start + 1, at.end - at.start)"), "UTF-8").alias("content"), F.col("at.start").alias("byte_offset"))
+    content = F.decode(F.expr("substring(__b, at.start + 1, at.end - at.start)"), "UTF-8").alias("content")
+    return cut.select("doc_id", "chunk_index", content, F.col("at.start").alias("byte_offset"), *([F.col("at.before").alias("start_pos")] if start_pos else []))
 
 
 def _whole(part: bytes) -> int:
@@ -81,23 +83,23 @@ def spans(b: bytes, max_bytes: int = MAX_BYTES, overlap: int = OVERLAP) -> Itera
         start += step or length
 
 
-def chunks_arrow(docs: DataFrame, max_bytes: int = MAX_BYTES, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunks_arrow(docs: DataFrame, max_bytes: int = MAX_BYTES, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text", start_pos: bool = False) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = ["chunk_index", "content", "byte_offset", *(["start_pos"] if start_pos else [])]
+    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(", ".join(f"{n} {'string' if n == 'content' else 'int'}" for n in names)).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, index, content, start = [], [], [], []
+            at, out = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                b = (text or "").encode()
+                b, before = (text or "").encode(), 0
                 for k, (a, z) in enumerate(spans(b, max_bytes, overlap)):
                     at.append(row)
-                    index.append(k)
-                    content.append(b[a:z].decode())
-                    start.append(a)
+                    out.append((k, b[a:z].decode(), a, before))
+                    before += z - a
             ids = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(index, pa.int32()), pa.array(content, pa.string()), pa.array(start, pa.int32())], names=["doc_id", "chunk_index", "content", "byte_offset"])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([o[i] for o in out], pa.string() if n == "content" else pa.int32()) for i, n in enumerate(names))], names=["doc_id", *names])
 
-    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("chunk_index int, content string, byte_offset int").fields])
     return rows.mapInArrow(run, schema)
 
 

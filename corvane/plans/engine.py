@@ -17,7 +17,7 @@ from corvane.functions.metadata import doc_metadata
 from corvane.functions.segment import DEFAULT, segmented, user_lexicon, with_user_words
 from corvane.functions.text import STOP_WORDS, index_tokens, word_index_tokens
 from corvane.operators import bm25, hybrid, prompts, results, vector
-from corvane.operators.chunking import MAX_BYTES, OVERLAP, chunks, with_start_pos
+from corvane.operators.chunking import MAX_BYTES, OVERLAP, chunks
 from corvane.operators.index import KEY, Index, counted
 from corvane.sources import files
 from corvane.sources.shared import fresh_path, materialize
@@ -71,7 +71,7 @@ class Engine:
         given = docs.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''")
         self._write("documents", given.groupBy("doc_id").agg(F.min("text").alias("text")))
         new = self.spark.read.parquet(f"{self.path}/documents/batch={self.batch}")
-        cut = with_start_pos(chunks(new, self.settings.max_bytes, self.settings.overlap))
+        cut = chunks(new, self.settings.max_bytes, self.settings.overlap, start_pos=True)
         rows = counted(cut.select(*KEY, self._tokens(F.col("content")).alias("tokens")))
         self._write("chunks", cut)
         self._write("terms", rows)

@@ -19,7 +19,7 @@ from corvane.functions.segment import lexicon_lines
 from corvane.functions.text import STOP_WORDS, contains_any, index_tokens, word_index_tokens, word_tokens
 from corvane.functions.vectors import cosine
 from corvane.operators import bm25, hybrid, prompts, results, vector
-from corvane.operators.chunking import chunks, with_start_pos
+from corvane.operators.chunking import chunks
 from corvane.operators.index import Index, corpus_stats, counted, doc_freq, postings, tokenised
 from corvane.operators.index import chunk_stats as index_lengths
 from corvane.plans.engine import Engine
@@ -75,7 +75,7 @@ def chunk_table(spark, d):
 
 
 def chunk_offsets(spark, d):
-    return with_start_pos(chunks(_docs(spark, d))).select("doc_id", "chunk_index", "start_pos", "byte_offset")
+    return chunks(_docs(spark, d), start_pos=True).select("doc_id", "chunk_index", "start_pos", "byte_offset")
 
 
 def tokens_filtered(spark, d):

@@ -85,3 +85,13 @@ def test_partitioning_does_not_matter(spark):
     want = sorted(map(tuple, chunks(df).collect()))
     for n in (1, 7):
         assert sorted(map(tuple, chunks(df.repartition(n)).collect())) == want
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(512, 50), (40, 30)])
+def test_start_pos_without_a_shuffle(spark, size, overlap):
+    df = rows(spark, TEXTS)
+    want = sorted(tuple(r) for r in with_start_pos(chunks(df, size, overlap)).collect())
+    for way in (chunks, chunks_arrow):
+        got = way(df, size, overlap, start_pos=True)
+        assert sorted(tuple(r) for r in got.collect()) == want
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
