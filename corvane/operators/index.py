@@ -28,15 +28,15 @@ def counted(tokens: DataFrame) -> DataFrame:
 
 
 def postings_of(rows: DataFrame) -> DataFrame:
-    """term, doc_id, chunk_index, tf of rows of `counted`."""
+    """term, doc_id, chunk_index, tf, dl of rows of `counted`."""
     # not explode(): Catalyst would then put a filter on the array's size below, which makes the array a second time
-    found = rows.select(*KEY, F.explode_outer("terms").alias("t")).where("t is not null")
-    return found.select("t.term", *KEY, "t.tf")
+    found = rows.select(*KEY, "dl", F.explode_outer("terms").alias("t")).where("t is not null")
+    return found.select("t.term", *KEY, "t.tf", "dl")
 
 
 def postings(tokens: DataFrame) -> DataFrame:
     """term, doc_id, chunk_index, tf."""
-    return postings_of(counted(tokens))
+    return postings_of(counted(tokens)).drop("dl")
 
 
 def chunk_stats(tokens: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def doc_freq(posts: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """postings(term, doc_id, chunk_index, tf) and chunk_stats(doc_id, chunk_index, dl)."""
+    """postings(term, doc_id, chunk_index, tf and, as a rule, dl) and chunk_stats(doc_id, chunk_index, dl)."""
 
     postings: DataFrame
     chunk_stats: DataFrame
@@ -78,7 +78,7 @@ class Index:
 
     def doc_length(self, keys: DataFrame) -> DataFrame:
         """keys with dl; 0 for unknown chunks."""
-        return keys.join(self.chunk_stats, list(KEY), "left").na.fill({"dl": 0})
+        return keys.drop("dl").join(self.chunk_stats, list(KEY), "left").na.fill({"dl": 0})
 
     def size(self) -> DataFrame:
         """One row: distinct terms, chunks, documents."""
@@ -99,7 +99,8 @@ class Index:
         """Documents of other take the place of those with the same id."""
         gone = other.chunk_stats.select("doc_id").distinct()
         kept = Index(self.postings.join(gone, "doc_id", "left_anti"), self.chunk_stats.join(gone, "doc_id", "left_anti"))
-        return Index(kept.postings.unionByName(other.postings), kept.chunk_stats.unionByName(other.chunk_stats))
+        both = [c for c in kept.postings.columns if c in other.postings.columns]
+        return Index(kept.postings.select(both).unionByName(other.postings.select(both)), kept.chunk_stats.unionByName(other.chunk_stats))
 
     def clear(self) -> Index:
         return Index(self.postings.limit(0), self.chunk_stats.limit(0))

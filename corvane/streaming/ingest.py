@@ -33,7 +33,7 @@ def read_index(spark: SparkSession, path: str) -> Index:
     stats = spark.read.option("basePath", f"{path}/chunk_stats").parquet(f"{path}/chunk_stats")
     posts = spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings")
     latest = stats.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return Index(posts.join(latest, ["doc_id", "batch"], "left_semi").select("term", *KEY, "tf"), stats.join(latest, ["doc_id", "batch"], "left_semi").select(*KEY, "dl"))
+    return Index(posts.join(latest, ["doc_id", "batch"], "left_semi").select("term", *KEY, "tf", "dl"), stats.join(latest, ["doc_id", "batch"], "left_semi").select(*KEY, "dl"))
 
 
 def deltas(lines: DataFrame) -> DataFrame:
