@@ -182,4 +182,5 @@ ORACLE = {
     "engine_reloaded": CHUNKS + "SELECT doc_id, chunk_index, 64 AS dim FROM c",
     "engine_answer": f"WITH {JUDGED}, tok AS (SELECT doc_id, {tokens('t')} AS t FROM j)" + STATS[len(TOK) :] + f", q AS (SELECT CAST(0 AS BIGINT) AS query_id, unnest({tokens(quoted('民事判决书 审判员'))}) AS term), {SCORED}, {RANKED}, best AS (SELECT * FROM rk WHERE r <= 20) "
     "SELECT CAST(r AS INTEGER) AS rank, doc_id, round(s, 6) AS final_score, (SELECT string_agg(DISTINCT substr(date, 1, 4), ' ' ORDER BY substr(date, 1, 4)) FROM best JOIN kept USING (doc_id)) AS years FROM best JOIN kept USING (doc_id) WHERE case_type = '民事'",
+    "sql_functions": f"SELECT doc_id, array_to_string({WORDS.format('text')}, ' ') AS words, translate(text, '{UPPER}', '{LOWER}') AS low, CAST(0 AS INTEGER) AS none FROM documents",
 }

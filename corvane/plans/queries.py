@@ -23,6 +23,7 @@ from corvane.operators.chunking import chunks
 from corvane.operators.index import Index, corpus_stats, counted, doc_freq, postings, tokenised
 from corvane.operators.index import chunk_stats as index_lengths
 from corvane.plans.engine import Engine
+from corvane.plans.sql import register
 from corvane.sources import files
 from corvane.sources.shared import fresh_path, materialize
 from corvane.sources.tables import table
@@ -407,6 +408,12 @@ def vectors_current(spark, d):
     return vector.current(cut, have).select("doc_id")
 
 
+def sql_functions(spark, d):
+    """Functions that are registered for SQL."""
+    register(spark)
+    return _docs(spark, d).selectExpr("doc_id", "array_join(word_tokens(text), ' ') AS words", "ascii_lower(text) AS low", "lex_tokens(substring(text, 1, 0)) AS none").select("doc_id", "words", "low", F.size("none").alias("none"))
+
+
 # ---- the engine as a whole
 
 def _engine(spark, docs, **options) -> Engine:
@@ -486,5 +493,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "legal_route": legal_route, "prompt": prompt, "request_body": request_body, "sse_concat": sse_concat, "parse_delta": parse_delta, "api_keys": api_keys,
     "stop_word_share": stop_word_share, "marked_documents": marked_documents, "rollup_lines": rollup_lines, "file_texts": file_texts, "file_chunks": file_chunks, "pdf_texts": pdf_texts,
     "more_stop_words": more_stop_words, "user_words": user_words, "index_cleared": index_cleared, "vectors_added": vectors_added, "vectors_current": vectors_current, "engine_search": engine_search,
-    "engine_fallback": engine_fallback, "engine_replaced": engine_replaced, "engine_reloaded": engine_reloaded, "engine_answer": engine_answer,
+    "engine_fallback": engine_fallback, "engine_replaced": engine_replaced, "engine_reloaded": engine_reloaded, "engine_answer": engine_answer, "sql_functions": sql_functions,
 }
