@@ -128,10 +128,14 @@ class Engine:
         return n
 
     def import_files(self, paths: Sequence[str], ocr: files.OcrProvider | None = None) -> DataFrame:
-        """Adds what gives text; returns the import log."""
-        parsed = materialize(files.parse(files.read_files(self.spark, *paths), ocr), "parsed")
+        """Adds what gives text; returns the import log, with a row for each path that is not there."""
+        there = [p for p in paths if files.is_there(self.spark, p)]
+        log = files.missing_files(self.spark, [p for p in paths if p not in there], self.spark.createDataFrame([], "doc_id string"))
+        if not there:
+            return log
+        parsed = materialize(files.parse(files.read_files(self.spark, *there), ocr), "parsed")
         self.add(parsed.where("status = 'Success'"))
-        return files.import_log(parsed, self.chunks.join(parsed.select("doc_id"), "doc_id", "left_semi"))
+        return files.import_log(parsed, self.chunks.join(parsed.select("doc_id"), "doc_id", "left_semi")).unionByName(log)
 
     def clear(self) -> Engine:
         """Forgets all documents; tables that were saved or loaded stay where they are."""

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from typing import Protocol
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,14 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "content")
 
 
+def is_there(spark: SparkSession, path: str) -> bool:
+    try:
+        read_files(spark, path)
+    except AnalysisException:
+        return False
+    return True
+
+
 def parse(files: DataFrame, ocr: OcrProvider | None = None) -> DataFrame:
     """doc_id (the file's name), text, status, source, diagnostic. PDFs give their text layer or,
     if it is blank, what OCR finds; every other file is text as it stands."""
@@ -100,4 +109,5 @@ def missing_files(spark: SparkSession, wanted: Sequence[str], found: DataFrame)
     """The log's rows of paths that are not there."""
     asked = spark.createDataFrame([(w,) for w in wanted], "path string").select(F.element_at(F.split("path", "/"), -1).alias("doc_id"))
     gone = asked.join(found.select("doc_id"), "doc_id", "left_anti")
-    return gone.select("doc_id", F.lit(False).alias("imported"), F.lit(0).alias("chunks_added"), F.lit("None").alias("source"), F.lit("the file cannot be read").alias("diagnostic"))
+    note = "the file cannot be read"
+    return gone.select("doc_id", F.lit(False).alias("imported"), F.lit(0).alias("chunks_added"), F.lit("None").alias("source"), F.lit(note).alias("diagnostic"))

@@ -71,8 +71,9 @@ def test_import(spark, tmp_path):
         (tmp_path / f"{name}.txt").write_text(text, encoding="utf-8")
     (tmp_path / "blank.txt").write_text(" ", encoding="utf-8")
     e = Engine(spark)
-    log = {r.doc_id: r.imported for r in e.import_files([str(tmp_path)]).collect()}
-    assert log == {"civil.txt": True, "criminal.txt": True, "admin.txt": True, "blank.txt": False}
+    log = {r.doc_id: r.imported for r in e.import_files([str(tmp_path), str(tmp_path / "no" / "gone.txt")]).collect()}
+    assert log == {"civil.txt": True, "criminal.txt": True, "admin.txt": True, "blank.txt": False, "gone.txt": False}
+    assert [r.diagnostic for r in Engine(spark).import_files(["/no/such/file.txt"]).collect()] == ["the file cannot be read"]
 
 
 def test_stream(spark, tmp_path):
