@@ -22,33 +22,20 @@ def rows(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-def reference(text, size=512, overlap=50):
-    """Byte by byte."""
-    b, pos, out = (text or "").encode(), 0, []
-
-    def boundary(i):
-        while i < len(b) and i > 0 and b[i] & 0xC0 == 0x80:
-            i -= 1
-        return i
-
-    while pos < len(b):
-        end = min(pos + size, len(b))
-        safe = boundary(end)
-        if safe <= pos:
-            safe = end
-            while safe < len(b) and b[safe] & 0xC0 == 0x80:
-                safe += 1
-        end = safe
+def by_rule(text, size=512, overlap=50):
+    """By what the rule says of all places at once: where characters begin, and where breaks are."""
+    b = (text or "").encode()
+    begins = {i for i in range(len(b)) if not 0x80 <= b[i] < 0xC0} | {len(b)}
+    breaks = {i + 1 for i, c in enumerate(b) if c in b"\n\r.!?"}
+    out, at = [], 0
+    while at < len(b):
+        whole = [i for i in begins if at < i <= at + size]
+        end = max(whole) if whole else min(i for i in begins if i > at)
         if end < len(b):
-            j = end
-            while j > pos + size // 2:
-                if chr(b[j - 1]) in "\n\r.!?":
-                    end = j
-                    break
-                j -= 1
-        out.append((pos, end))
-        nxt = boundary(end - overlap) if overlap > 0 and end < len(b) and end > overlap else end
-        pos = nxt if nxt > pos else end
+            end = max([i for i in breaks if at + size // 2 < i <= end], default=end)
+        out.append((at, end))
+        shared = [i for i in begins if at < i <= end - overlap] if 0 < overlap < end < len(b) else []
+        at = max(shared, default=end)
     return out
 
 
@@ -59,11 +46,11 @@ def test_golden_byte_ranges(spark):
 
 
 @pytest.mark.parametrize(("size", "overlap"), [(512, 50), (128, 20), (40, 30), (1, 0)])
-def test_native_equals_arrow_equals_reference(spark, size, overlap):
+def test_native_equals_arrow_equals_the_rule(spark, size, overlap):
     texts = TEXTS if size > 1 else TEXTS[3:4]
     native = sorted(map(tuple, chunks(rows(spark, texts), size, overlap).collect()))
     assert native == sorted(map(tuple, chunks_arrow(rows(spark, texts), size, overlap).collect()))
-    want = [(i, k, (t or "").encode()[a:z].decode(), a) for i, t in enumerate(texts) for k, (a, z) in enumerate(reference(t, size, overlap))]
+    want = [(i, k, (t or "").encode()[a:z].decode(), a) for i, t in enumerate(texts) for k, (a, z) in enumerate(by_rule(t, size, overlap))]
     assert native == want
 
 
@@ -72,7 +59,7 @@ def test_native_equals_arrow_equals_reference(spark, size, overlap):
 def test_spans_never_split_characters(text, size, overlap):
     b = text.encode()
     got = list(spans(b, size, overlap))
-    assert got == reference(text, size, overlap)
+    assert got == by_rule(text, size, overlap)
     covered = set()
     for a, z in got:
         b[a:z].decode()
