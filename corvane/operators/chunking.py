@@ -24,11 +24,12 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _fold(size: int, overlap: int) -> str:
-    """SQL for the chunks' (start, end, bytes of the chunks before) in bytes of column __b, of __n bytes. w: the slice that a
+def _fold(size: int, overlap: int, start_pos: bool) -> str:
+    """SQL for the chunks' (start, end and, if asked for, bytes of the chunks before) in bytes of column __b, of __n bytes. w: the slice that a
     step looks at, a character per byte; safe: where it ends without splitting a character; stop:
     behind the last break up to there; e: the chunk's length; back: where the next one begins."""
     half, cont = size // 2, r"[\\x80-\\xBF]"
+    first, more, before, kind = ("'sum', 0, ", "'sum', s.sum + e, ", ", 'before', s.sum", ",before:int") if start_pos else ("", "", "", "")
     whole = lambda n: f"length(regexp_replace(substring(w, 1, {n} + 1), '{cont}+\\\\z', '')) - 1"
     forward = f"{size} + length(regexp_extract(substring(w, {size} + 1, 4), '^{cont}*', 0))"
     step = _let(
@@ -37,11 +38,11 @@ def _fold(size: int, overlap: int) -> str:
             _let("stop", r"length(regexp_extract(substring(w, 1, safe), '(?s)^.*[\\n\\r.!?]', 0))",
                 _let("e", f"if(s.pos + safe < __n and stop > {half}, stop, safe)",
                     _let("back", f"if({overlap} > 0 and s.pos + e < __n and e > {overlap}, {whole(f'e - {overlap}')}, 0)",
-                        "named_struct('pos', s.pos + if(back > 0, back, e), 'sum', s.sum + e, 'out', array_append(s.out, named_struct('start', s.pos, 'end', s.pos + e, 'before', s.sum)))")))),
+                        f"named_struct('pos', s.pos + if(back > 0, back, e), {more}'out', array_append(s.out, named_struct('start', s.pos, 'end', s.pos + e{before})))")))),
     )
     return f"""aggregate(
         sequence(1, cast(ceil(__n / {max(1, half - overlap - 3)}D) as int) + 1),
-        named_struct('pos', 0, 'sum', 0, 'out', cast(array() as array<struct<start:int,end:int,before:int>>)),
+        named_struct('pos', 0, {first}'out', cast(array() as array<struct<start:int,end:int{kind}>>)),
         (s, i) -> if(s.pos >= __n, s, {step}),
         s -> s.out)"""
 
@@ -53,7 +54,7 @@ def chunks(docs: DataFrame, max_bytes: int = MAX_BYTES, overlap: int = OVERLAP,
     if size < 2 * (overlap + 4):
         return chunks_arrow(docs, max_bytes, overlap, id_col, text_col, start_pos)
     coded = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("__b"))
-    cut = coded.withColumn("__n", F.octet_length("__b")).where("__n > 0").select("doc_id", "__b", F.posexplode(F.expr(_fold(size, overlap))).alias("chunk_index", "at"))
+    cut = coded.withColumn("__n", F.octet_length("__b")).where("__n > 0").select("doc_id", "__b", F.posexplode(F.expr(_fold(size, overlap, start_pos))).alias("chunk_index", "at"))
     content = F.decode(F.expr("substring(__b, at.start + 1, at.end - at.start)"), "UTF-8").alias("content")
     return cut.select("doc_id", "chunk_index", content, F.col("at.start").alias("byte_offset"), *([F.col("at.before").alias("start_pos")] if start_pos else []))
 
