@@ -1,5 +1,12 @@
+import base64
+import hashlib
+import re
+from collections import Counter
+
 import corpus_pipeline
+import public_tokenizers
 import pytest
+import tiktoken
 
 from corvane.llm import bpe, decontaminate, langid, queries, secrets, simhash
 from corvane.llm.common import _bytes, clear_shared, materialize, pick
@@ -117,3 +124,72 @@ def test_run_on_odd_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
     got = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
     assert len(got) == len({t for _, t in rows if t and t != "½ ²"}) - 1
+
+
+def least_of_similar(rows):
+    """The least id of those that a text reaches through pairs of a Jaccard similarity of 0.8, by all pairs."""
+    sets = []
+    for _, text in rows:
+        w = text.encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return {rows[root(i)][0] for i in range(len(rows))}
+
+
+def without_windows(text, windows):
+    """The text without words in windows of the benchmark, and without what stands between these; None if most are."""
+    found = [m for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))]
+    words = [m[0] for m in found]
+    hit = [False] * len(words)
+    for n in {len(w) for w in windows}:
+        for i in range(len(words) - n + 1):
+            if tuple(words[i : i + n]) in windows:
+                hit[i : i + n] = [True] * n
+    if sum(hit) > 0.5 * len(words):
+        return None
+    out, at = "", 0
+    for k, m in enumerate(found):
+        if hit[k] and (k == 0 or not hit[k - 1]):
+            out += text[at : m.start()]
+        if hit[k]:
+            at = m.end()
+    return out + text[at:]
+
+
+def test_run_against_brute_force(spark):
+    """All stages once more, without Spark but for the language model's training."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.text is not None)
+    model = langid.train(docs, langid.may_learn())
+    langs, probs = langid.judge([t for _, t in rows], model)
+    rows = [r for r, x, p in zip(rows, langs, probs, strict=True) if x != "und" and p >= model.settings.min_confidence]
+    kept = least_of_similar(rows)
+    windows = set()
+    for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
+        w = [x.decode() for x in decontaminate.words(r.text)]
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    rows = [(d, clean) for d, t in rows if d in kept and (clean := without_windows(t, windows)) is not None]
+    found = {d: secrets.examine(t) for d, t in rows}
+    histogram = Counter((c, b) for _, cands in found.values() for _, _, c, b in cands)
+    least = secrets.thresholds([(c, b, n) for (c, b), n in histogram.items()])
+    with open(queries.RANKS, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for d, t in rows:
+        base, cands = found[d]
+        t = secrets.replaced(t, sorted(base + [(a, 3, z) for a, z, c, p in cands if p < least[c]]), "[{}]")
+        ids = library.encode_ordinary(t)
+        want[d] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, DATA).collect()}
+    assert got == want and 100 < len(want) < 200
