@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, gif, html, langid, secrets, sharding, simhash, token_counts, warc
+from corvane.llm import bpe, decontaminate, gif, html, langid, runs, secrets, sharding, simhash, superkmers, token_counts, warc
 from corvane.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -62,8 +62,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op11_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.runs(table(spark, sf_dir, "documents"), plant=True)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_html, op2_secrets, op3_decontaminate, op4_token_counts, op5_warc, op6_bpe, op7_langid, op8_simhash, op9_gif, op10_sharding)
+    own = (op1_html, op2_secrets, op3_decontaminate, op4_token_counts, op5_warc, op6_bpe, op7_langid, op8_simhash, op9_gif, op10_sharding, op11_superkmers, op12_runs)
     return {f.__name__: f for f in own}
 
 
@@ -220,5 +229,58 @@ FROM p JOIN g ON g.vslot = p.vslot AND g.part = p.part
 """
 
 
+#: Each window as its words; what is there twice covers its places.
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, p, array_to_string(list_slice(w, p, p + 34), ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+r AS (SELECT s FROM g GROUP BY s HAVING count(*) > 1),
+c AS (SELECT DISTINCT rid, unnest(range(p, p + 35)) AS k FROM (SELECT rid, p FROM g SEMI JOIN r USING (s))),
+x AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+l AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS kept FROM x ANTI JOIN c USING (rid, k) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN l USING (rid)
+"""
+
+
+#: CRC-32 by its table; words by number; periods q for which some grid point's next q words seem to repeat (words at a few
+#: places are looked at), and of these each stretch over which words q apart are equal.
+OP12_SQL = r"""
+WITH tbl AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(0, 256)) AS i)),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         coalesce(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+                                  lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295), 1) AS h
+  FROM documents, tbl),
+z AS (SELECT rid, doc_id, w, CAST(len(w) AS BIGINT) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 AS g FROM d),
+y AS (SELECT *, CASE WHEN planted THEN g % n END AS a FROM z),
+e AS (SELECT *, CASE WHEN planted THEN 1 + (n - a) // (3 + g % 8) END AS p FROM y),
+src AS (SELECT rid, i, CASE WHEN planted AND i >= a THEN a + (i - a) % p ELSE i END AS j FROM (SELECT rid, planted, a, p, unnest(range(0, n)) AS i FROM e)),
+orig AS (SELECT rid, unnest(range(0, n)) AS j, unnest(w) AS word FROM e),
+num AS (SELECT word, row_number() OVER () AS v FROM (SELECT DISTINCT word FROM orig)),
+x AS (SELECT src.rid, i, word, v FROM src JOIN orig ON orig.rid = src.rid AND orig.j = src.j JOIN num USING (word)),
+per AS (SELECT rid, n, unnest(range(1, n // 3 + 1)) AS q FROM e WHERE n >= 24),
+pts AS (SELECT rid, q, unnest(range(0, n - 2 * q + 1, q)) AS s FROM per),
+c1 AS (SELECT pts.rid, q, s FROM pts JOIN x a ON a.rid = pts.rid AND a.i = s JOIN x b ON b.rid = pts.rid AND b.i = s + q WHERE a.v = b.v),
+c2 AS (SELECT c1.rid, q, s FROM c1 JOIN x a ON a.rid = c1.rid AND a.i = s + q // 2 JOIN x b ON b.rid = c1.rid AND b.i = s + q // 2 + q WHERE a.v = b.v),
+c3 AS (SELECT c2.rid, q, s FROM c2 JOIN x a ON a.rid = c2.rid AND a.i = s + q // 3 JOIN x b ON b.rid = c2.rid AND b.i = s + q // 3 + q WHERE a.v = b.v),
+c4 AS (SELECT c3.rid, q, s FROM c3 JOIN x a ON a.rid = c3.rid AND a.i = s + q - 1 JOIN x b ON b.rid = c3.rid AND b.i = s + 2 * q - 1 WHERE a.v = b.v),
+c5 AS (SELECT DISTINCT c4.rid, q FROM c4 JOIN x a ON a.rid = c4.rid AND a.i = s + 2 * q // 3 JOIN x b ON b.rid = c4.rid AND b.i = s + 2 * q // 3 + q WHERE a.v = b.v),
+eq AS (SELECT c5.rid, q, a.i, a.i - row_number() OVER (PARTITION BY c5.rid, q ORDER BY a.i) AS island FROM c5 JOIN x a ON a.rid = c5.rid JOIN x b ON b.rid = c5.rid AND b.i = a.i + q WHERE a.v = b.v),
+st AS (SELECT rid, q, min(i) AS start, max(i) + 1 + q - min(i) AS length FROM eq GROUP BY rid, q, island HAVING max(i) + 1 + q - min(i) >= greatest(24, 3 * q)),
+run AS (SELECT rid, start, length, min(q) AS period FROM st GROUP BY rid, start, length),
+f AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM run GROUP BY rid),
+top AS (
+  SELECT r.rid, r.start, r.length, r.period FROM run r JOIN (SELECT rid, max(CAST(length AS DOUBLE) / period) AS most FROM run GROUP BY rid) m ON m.rid = r.rid
+  WHERE CAST(length AS DOUBLE) / period = most QUALIFY row_number() OVER (PARTITION BY r.rid ORDER BY start, period) = 1),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM run),
+l AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM e LEFT JOIN f USING (rid) LEFT JOIN top USING (rid) LEFT JOIN l USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op4_token_counts": OP4_SQL, "op5_warc": OP5_SQL, "op6_bpe": OP6_SQL, "op8_simhash": _op8_sql(), "op10_sharding": OP10_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op4_token_counts": OP4_SQL, "op5_warc": OP5_SQL, "op6_bpe": OP6_SQL, "op8_simhash": _op8_sql(), "op10_sharding": OP10_SQL, "op11_superkmers": OP11_SQL, "op12_runs": OP12_SQL}

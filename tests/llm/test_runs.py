@@ -1,0 +1,132 @@
+"""Periodic runs against a plain search by definition."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corvane.llm import runs as R
+
+BLANK = " \t\n\v\f\r"
+
+
+def split(t):
+    return "".join(" " if c in BLANK else c for c in t or "").split(" ") if t else []
+
+
+def brute_runs(w, least=24):
+    found = {}
+    n = len(w)
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i < n - q:
+            j = i
+            while j < n - q and w[j] == w[j + q]:
+                j += 1
+            if j + q - i >= max(least, 3 * q):
+                found.setdefault((i, j + q - i), q)
+            i = j + 1
+    return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def brute(doc_id, text, least=24, plant=True):
+    w = [x for x in split(text) if x]
+    n = len(w)
+    if plant and doc_id is not None and n:
+        h = zlib.crc32(str(doc_id).encode())
+        if h % 10 == 0:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    found = brute_runs(w, least)
+    top = None
+    for s, length, q in found:
+        if top is None or length * top[2] > top[1] * q:
+            top = (s, length, q)
+    dropped = {i for s, length, q in found for i in range(s + q, s + length)}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    lines = "".join(f"{s},{length},{q}\n" for s, length, q in found)
+    return (doc_id, n, len(found), *(top + (1000 * top[1] // top[2],) if top else (None,) * 4), sha(lines), sha(" ".join(x for i, x in enumerate(w) if i not in dropped)))
+
+
+def generated(seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(60):
+        vocab = [f"w{k}" for k in range(rng.choice([1, 2, 3, 30, 300]))]
+        text = []
+        for _ in range(rng.randrange(0, 5)):
+            text += rng.choices(vocab, k=rng.randrange(0, 40))
+            text += rng.choices(vocab, k=rng.randrange(1, 12)) * rng.randrange(0, 12)
+        rows.append((i * 7, "".join(x + rng.choice([" ", "\n", " \t "]) for x in text)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("least", [1, 24])
+def test_equals_brute_force(seed, least):
+    texts = [[x for x in split(t) if x] for _, t in generated(seed)] + [[], ["a"] * 3, ["a", "b"] * 40]
+    for some in (texts, texts[:1], []):
+        found = R.periodic(R.numbers([[x.encode() for x in t] for t in some]), least)
+        assert [list(map(tuple, f.tolist())) for f in found] == [brute_runs(t, least) for t in some]
+
+
+def test_small_blocks_and_failing_hashes(monkeypatch):
+    texts = [[x for x in split(t) if x] for _, t in generated(3)]
+    want = [brute_runs(t) for t in texts]
+    coded = R.numbers([[x.encode() for x in t] for t in texts])
+    monkeypatch.setattr(R, "BLOCK", 50)
+    assert [list(map(tuple, f.tolist())) for f in R.periodic(coded)] == want
+    monkeypatch.setattr(R, "_mixed", lambda x: np.zeros(len(x), np.uint64))  # all hashes are equal
+    assert [list(map(tuple, f.tolist())) for f in R.periodic(coded)] == want
+
+
+def test_fibonacci_words_and_powers():
+    a, b = "a", "ab"
+    for _ in range(14):
+        a, b = b, b + a
+    for text in (b, "a" * 3000, "ab" * 1000 + "abc" * 500, "ab" * 50 + "b" + "ab" * 50):
+        found = R.periodic(R.numbers([[c.encode() for c in text]]))[0]
+        assert list(map(tuple, found.tolist())) == brute_runs(list(text))
+
+
+def test_ties_of_the_highest_exponent():
+    rows = np.array([[0, 30, 10], [50, 60, 20], [200, 31, 10], [300, 62, 20]], np.int64)
+    assert R.best(rows) == (200, 31, 10, 3100)
+    big = 10**15
+    assert R.best(np.array([[0, 3 * big, big], [9, 3 * big + 1, big]], np.int64))[0] == 9
+
+
+CELLS = "doc_id n_words n_runs start length period exponent_milli runs_sha256 collapsed_sha256".split()
+
+
+def test_table(spark):
+    rows = generated(1) + [(None, None), (None, "a " * 90), (1, ""), (2, "  \n "), (3, None), (0, "x " * 100), (0, "x " * 100)]
+    rows += [(i, " ".join(f"v{k}" for k in range(300))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = R.runs(df, plant=True).select(*CELLS).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted((brute(*r) for r in rows), key=repr)
+    plain = R.runs(df).select(*CELLS).collect()
+    assert sorted(map(tuple, plain), key=repr) == sorted((brute(*r, plant=False) for r in rows), key=repr)
+    assert R.runs(df.limit(0)).collect() == []
+
+
+def test_collapse_keeps_other_columns_and_texts_without_runs(spark):
+    rows = [(1, "keep  this\n as it is ", 99, "x"), (2, "one two " * 30 + "end", 7, "y"), (None, None, None, None), (3, "", 0, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, Text string")
+    with_clash = df.select("*", F.lit(1).alias("doc_id"))
+    got = R.collapse(with_clash)
+    assert got.columns == ["doc_id", "text", "n_chars", "Text", "doc_id"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, rows[0][1], 99, "x", 1), (2, "one two end", 11, "y", 1), (None, None, None, None, 1), (3, "", 0, "z", 1)], key=repr)
+
+
+def test_long_texts(spark):
+    rng = random.Random(4)
+    text = " ".join(rng.choices([f"w{k}" for k in range(500)], k=60_000)) + " tail of it" * 5000
+    got = R.runs(spark.createDataFrame([(1, text), (2, "a " * 100_000)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_runs, r.length, r.period) for r in got] == [(1, 15_000, 3), (1, 100_000, 1)]
+    assert got[0].start == 60_000 and got[0].exponent_milli == 5_000_000
