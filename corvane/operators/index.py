@@ -55,10 +55,13 @@ def doc_freq(posts: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """postings(term, doc_id, chunk_index, tf and, as a rule, dl) and chunk_stats(doc_id, chunk_index, dl)."""
+    """postings(term, doc_id, chunk_index, tf and, as a rule, dl) and chunk_stats(doc_id, chunk_index, dl); where they are
+    stored, totals(n, avgdl) and terms(term, df) too, which are counted else."""
 
     postings: DataFrame
     chunk_stats: DataFrame
+    totals: DataFrame | None = None
+    terms: DataFrame | None = None
 
     @staticmethod
     def build(chunks: DataFrame, tokens: Column | None = None) -> Index:
@@ -71,7 +74,11 @@ class Index:
 
     @property
     def corpus_stats(self) -> DataFrame:
-        return corpus_stats(self.chunk_stats)
+        return corpus_stats(self.chunk_stats) if self.totals is None else self.totals
+
+    def doc_freq(self, matched: DataFrame) -> DataFrame:
+        """term, df of terms whose postings are all in `matched`."""
+        return doc_freq(matched) if self.terms is None else self.terms
 
     def lookup(self, *terms: str) -> DataFrame:
         return self.postings.where(F.col("term").isin(list(terms)))

@@ -19,6 +19,7 @@ from corvane.functions.text import STOP_WORDS, index_tokens, word_index_tokens
 from corvane.operators import bm25, hybrid, prompts, results, vector
 from corvane.operators.chunking import MAX_BYTES, OVERLAP, chunks
 from corvane.operators.index import KEY, Index, counted
+from corvane.operators.stored import StoredIndex
 from corvane.sources import files
 from corvane.sources.shared import fresh_path, materialize
 
@@ -47,53 +48,75 @@ class Answer:
 
 @dataclass
 class Engine:
-    """Documents, chunks with their counted terms, metadata and vectors are tables below `path` (a folder of its own
-    in the shared folder, if none is given). Each `add` writes a batch to each of them, and a document's latest
-    batch counts, so a search reads what is stored and nothing is chunked or counted twice."""
+    """Documents, chunks, the index (`stored.StoredIndex`), metadata and vectors are tables below `path` (a folder of its own
+    in the shared folder, if none is given). Each `add` writes a batch to each of them, the index last: with it the batch
+    counts. A search reads what is stored: of the postings those of its terms, the statistics as they were summed."""
 
     spark: SparkSession
     settings: Settings = field(default_factory=Settings)
     embedding: vector.EmbeddingProvider | None = None
     chat: prompts.ChatProvider | None = None
     path: str | None = None
-    batch: int = 0
+
+    @property
+    def stored(self) -> StoredIndex:
+        return StoredIndex(self.spark, f"{self.path}/index")
+
+    @property
+    def empty(self) -> bool:
+        return self.path is None or not self.stored.batches()
 
     def _tokens(self, text: Column) -> Column:
         if self.settings.lexicon is None:
             return word_index_tokens(text, self.settings.stop_words)
         return index_tokens(segmented(F.coalesce(text, F.lit("")), self.settings.lexicon), self.settings.stop_words)
 
-    def add(self, docs: DataFrame) -> Engine:
+    def add(self, docs: DataFrame, source: str = "") -> Engine:
         """docs: doc_id, text. Documents with a known id take the place of the old ones; rows
-        without id or text are left out. Of rows that repeat an id the least text counts."""
+        without id or text are left out. Of rows that repeat an id the least text counts. source names what they come
+        from; what has been added under a name is not added again."""
         self.path = self.path or fresh_path(self.spark, "engine")
-        self.batch += 1
+        if source and source in self.stored.sources():
+            return self
         given = docs.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''")
-        self._write("documents", given.groupBy("doc_id").agg(F.min("text").alias("text")))
-        new = self.spark.read.parquet(f"{self.path}/documents/batch={self.batch}")
+        given = given.groupBy("doc_id").agg(F.min("text").alias("text"))
+        batch = self._begin(given)
+        new = self.spark.read.schema(given.schema).parquet(self._folder("documents", batch))
         cut = chunks(new, self.settings.max_bytes, self.settings.overlap, start_pos=True)
-        rows = counted(cut.select(*KEY, self._tokens(F.col("content")).alias("tokens")))
-        self._write("chunks", cut)
-        self._write("terms", rows)
-        self._write("metadata", doc_metadata(new))
+        cut.sortWithinPartitions(*KEY).write.mode("overwrite").parquet(self._folder("chunks", batch))
+        doc_metadata(new).write.mode("overwrite").parquet(self._folder("metadata", batch))
+        stored = self.spark.read.schema(cut.schema).parquet(self._folder("chunks", batch))
+        self.stored.add(counted(stored.select(*KEY, self._tokens(F.col("content")).alias("tokens"))), batch, source)
         return self
 
-    def _write(self, name: str, df: DataFrame) -> None:
-        # overwritten by a second attempt at the same batch
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={self.batch}")
-
-    def _all(self, name: str) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}").where(F.col("batch") <= self.batch)
+    def _folder(self, name: str, batch: int) -> str:
+        return f"{self.path}/{name}/batch={batch}"
+
+    def _begin(self, given: DataFrame) -> int:
+        """Writes the documents of a new batch; its number. A number that another writer has taken is not taken again."""
+        found = self._all("documents")
+        batch = max(self.stored.next_batch(), 1 + ((found.agg(F.max("batch")).first()[0] or 0) if found is not None else 0))
+        for last in (False,) * 9 + (True,):
+            try:
+                given.write.mode("errorifexists").parquet(self._folder("documents", batch))
+                return batch
+            except AnalysisException:
+                if last:
+                    raise
+                batch += 1
+        raise AssertionError
+
+    def _all(self, name: str) -> DataFrame | None:
+        try:
+            return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
+        except AnalysisException:  # there is none yet
+            return None
 
     def _latest(self, name: str) -> DataFrame | None:
-        """Rows of each document's latest batch, with the batch."""
-        if not self.batch:
+        """Rows of documents that no later batch has replaced, with the batch."""
+        if self.path is None or not (whole := self.stored.batches()):
             return None
-        rows = self._all(name)
-        if self.batch == 1:
-            return rows
-        last = self._all("documents").groupBy("doc_id").agg(F.max("batch").alias("batch"))
-        return rows.join(last, ["doc_id", "batch"], "left_semi")
+        return self.stored.live(self._all(name).where(F.col("batch").isin(whole)))
 
     def _current(self, name: str) -> DataFrame | None:
         rows = self._latest(name)
@@ -113,8 +136,7 @@ class Engine:
 
     @property
     def index(self) -> Index | None:
-        rows = self._current("terms")
-        return None if rows is None else Index.of(rows)
+        return None if self.empty else self.stored.index()
 
     def use_words(self, path: str) -> int:
         """Takes a file of words `word [freq] [tag]` into the lexicon; the number of its entries, 0 for a file that is not
@@ -139,7 +161,7 @@ class Engine:
 
     def clear(self) -> Engine:
         """Forgets all documents; tables that were saved or loaded stay where they are."""
-        self.path, self.batch = None, 0
+        self.path = None
         return self
 
     def all_documents(self) -> DataFrame:
@@ -153,30 +175,28 @@ class Engine:
         """What counts of each table, as one batch. It goes to another folder than the engine's own."""
         if path == self.path:
             raise ValueError("the engine's tables are there already")
-        for name in ("documents", "chunks", "terms", "metadata"):
-            self._current(name).write.mode("overwrite").parquet(f"{path}/{name}/batch=1")
+        for name in ("documents", "chunks", "metadata"):
+            rows = self._current(name)
+            (rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY) if name == "chunks" else rows).write.mode("overwrite").parquet(f"{path}/{name}/batch=1")
         stored = self.vectors
         if stored is not None:
             stored.withColumn("of", F.lit(1)).write.mode("overwrite").parquet(f"{path}/vectors")
+        self.stored.merged(f"{path}/index")
 
     def load(self, path: str) -> Engine:
         """Goes on with the tables at path; what is added is added there."""
         self.path = path
-        self.batch = self.spark.read.option("basePath", f"{path}/documents").parquet(f"{path}/documents").agg(F.max("batch")).first()[0] or 0
         return self
 
     def _vectors(self) -> DataFrame | None:
         """doc_id, chunk_index, vec, of (the batch of the chunk), outdated ones too."""
-        try:
-            return self.spark.read.parquet(f"{self.path}/vectors") if self.path else None
-        except AnalysisException:  # there is none yet
-            return None
+        return self._all("vectors") if self.path else None
 
     @property
     def vectors(self) -> DataFrame | None:
         """doc_id, chunk_index, vec of the chunks that are there."""
         stored = self._vectors()
-        if stored is None or not self.batch:
+        if stored is None or self.empty:
             return None
         keys = self._latest("chunks").select(*KEY, F.col("batch").alias("of"))
         return stored.join(keys, [*KEY, "of"], "left_semi").drop("of")
@@ -226,7 +246,10 @@ class Engine:
             columns = ["query_id", "rank", *KEY, "bm25_score", "vector_score", "final_score"]
             fused = hybrid.fuse(words.join(both, "query_id", "left_semi"), near, k, self.settings.weights)
             found = fused.select(*columns).unionByName(hybrid.fallback(words.join(both, "query_id", "left_anti"), k).select(*columns))
-        return found.join(self.chunks.select(*KEY, "content"), list(KEY)).select("query_id", "rank", *KEY, "content", "bm25_score", "vector_score", "final_score")
+        found, cut = materialize(found, "found"), self.chunks.select(*KEY, "content")
+        if len(texts) * k <= bm25.FEW_TERMS:  # few ids reach the chunks' scan
+            cut = cut.where(F.col("doc_id").isin([r[0] for r in found.select("doc_id").distinct().collect()]))
+        return found.join(cut, list(KEY)).select("query_id", "rank", *KEY, "content", "bm25_score", "vector_score", "final_score")
 
     def search(self, query: str, k: int | None = None) -> DataFrame:
         return self.search_many([query], k).drop("query_id").orderBy("rank")
@@ -237,7 +260,7 @@ class Engine:
         query = query.strip()
         if not query:
             return None
-        if not self.batch or self.chunks.isEmpty():
+        if self.empty or self.chunks.isEmpty():
             nothing = self.spark.createDataFrame([], "rank int, doc_id string")
             return Answer("没有已导入的文档", nothing, self.spark.createDataFrame([], "year string"), "")
         wide = self.spark.range(1).select(results.asks_aggregate(F.lit(query))).first()[0]

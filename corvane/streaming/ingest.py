@@ -1,6 +1,6 @@
-"""Documents as a stream: each micro-batch is chunked and indexed, and takes the place of earlier
-versions of its documents. Tables are versioned folders, so a batch that is run again after a
-failure writes the same version."""
+"""Documents as a stream: each micro-batch becomes a batch of an engine's tables, and takes the place of earlier
+versions of its documents. A batch is named by the stream's checkpoint and its number there, so one that is run again
+after a failure is added once."""
 
 from __future__ import annotations
 
@@ -8,32 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corvane.operators.chunking import chunks
-from corvane.operators.index import KEY, Index
+from corvane.operators.index import Index
 from corvane.operators.prompts import line_delta
+from corvane.plans.engine import Engine
 
 
-def append_batch(docs: DataFrame, batch_id: int, path: str) -> None:
-    """Writes the batch's postings and lengths under batch=<id>; a later batch wins over earlier
-    ones when read, and of rows of a batch that repeat an id the least text."""
-    cut = chunks(docs.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min("text").alias("text")))
-    built = Index.build(cut)
-    built.postings.write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
-    built.chunk_stats.write.mode("overwrite").parquet(f"{path}/chunk_stats/batch={batch_id}")
+def ingest(docs: DataFrame, engine: Engine | str, checkpoint: str, **trigger) -> StreamingQuery:
+    """docs: a stream of doc_id, text. engine: one with a path, or the path of one with default settings."""
 
+    def add(df: DataFrame, batch: int) -> None:
+        own = Engine(df.sparkSession, path=engine) if isinstance(engine, str) else engine
+        own.add(df, f"{checkpoint}#{batch}")
 
-def ingest(docs: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """docs: a stream of doc_id, text."""
-    write = lambda df, i: append_batch(df, i, path)
-    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    """The index of each document's latest batch."""
-    stats = spark.read.option("basePath", f"{path}/chunk_stats").parquet(f"{path}/chunk_stats")
-    posts = spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings")
-    latest = stats.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return Index(posts.join(latest, ["doc_id", "batch"], "left_semi").select("term", *KEY, "tf", "dl"), stats.join(latest, ["doc_id", "batch"], "left_semi").select(*KEY, "dl"))
+    """The index of what is there now."""
+    return Engine(spark, path=path).index
 
 
 def deltas(lines: DataFrame) -> DataFrame:
