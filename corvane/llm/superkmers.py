@@ -5,13 +5,13 @@ minimiser is the least of its shingles of MMER words by a hash, the leftmost of
 windows with the same minimiser form a super-k-mer and travel as one packed string (their words, joined by
 one space) to the minimiser's bucket, as equal windows do. There the windows of all super-k-mers of a
 bucket are sorted and counted exactly: by a hash, and those of equal hash by their words. A bucket with one
-super-k-mer holds no repeated window.
+super-k-mer holds no repeated window, so buckets are counted by their numbers first and such a one stays where it is.
 
 Equal texts are one: a text is named by 96 bits of its SHA-256, is scanned once, and of a text that is
 there twice or more every window is repeated. So a large group of exact copies is counted before it is shuffled.
 
 Hot buckets. Shingles that occur too often (lines that many texts share) would make hot buckets. A first pass
-counts all shingles of all texts in a table of TABLE counters a task; a task reports counters that hold 2^-17
+counts all shingles of all texts in a table of 2^TABLE counters a task; a task reports counters that hold 2^-17
 of its shingles, so all that hold 2^-16 of the corpus's are known, 2^17 at most. These are ordered behind all others, so
 that a window takes another shingle for its minimiser if it has one; what is left are windows that consist
 of hot shingles only, and their buckets are dealt out in parts. A part tells which of its windows
@@ -140,7 +140,7 @@ def _counted(rows: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             texts = [words(t) for t in batch.column(0).to_pylist()]
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            slots = (shingles([w for ws in texts for w in ws]) & np.uint64(size - 1)).astype(np.int64)
+            slots = _slot(shingles([w for ws in texts for w in ws]))
             end = np.repeat(np.cumsum(sizes), sizes)[: len(slots)]
             np.add.at(table, slots[np.arange(len(slots)) + MMER <= end], 1)
         total = int(table.sum())
@@ -164,33 +164,75 @@ _PACKED = T.StructType().add("k", T.LongType()).add("bucket", T.LongType()).add(
 _SCHEMA = pa.schema([("k", pa.int64()), ("bucket", pa.int64()), ("digest", pa.binary()), ("start", pa.int32()), ("known", pa.int64()), ("packed", pa.binary())])
 
 
+def _parts(hot: dict[int, int]) -> np.ndarray:
+    """Of each counter the number of parts of its buckets, 0 if it isn't hot."""
+    parts = np.zeros(1 << TABLE, np.int64)
+    if hot:
+        parts[list(hot)] = [-(-n // PART) for n in hot.values()]
+    return parts
+
+
+def _slot(values: np.ndarray) -> np.ndarray:
+    return (values & np.uint64((1 << TABLE) - 1)).astype(np.int64)
+
+
+def _long(column: pa.Array, window: int) -> list[list[bytes]]:
+    """The words of texts that have a window."""
+    found = [words(t) for t in column.to_pylist()]
+    return [ws if len(ws) >= window else [] for ws in found]
+
+
+def _shared(texts: DataFrame, window: int, hot: dict[int, int]) -> DataFrame:
+    """digest, shared: of each different text the buckets, hot ones apart, to which another super-k-mer goes. It is settled on the
+    buckets' numbers alone, so that only what may hold a repeated window is packed and moved."""
+    held = texts.sparkSession.sparkContext.broadcast(hot)
+    schema = pa.schema([("digest", pa.binary()), ("k", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = _parts(held.value)
+        for batch in slices(batches, "text"):
+            text, _, value, _, _ = super_kmers(_long(batch.column(1), window), window, parts > 0)
+            cold = parts[_slot(value)] == 0
+            digests = batch.column(0).take(pa.array(text[cold]))
+            yield arrow_batch([digests, pa.array(value[cold].view(np.int64))], schema)
+
+    keys = texts.mapInArrow(run, "digest binary, k long")
+    several = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    return keys.join(several, "k", "left_semi").groupBy("digest").agg(F.collect_set("k").alias("shared"))
+
+
 def _travelling(texts: DataFrame, window: int, hot: dict[int, int]) -> DataFrame:
-    """The super-k-mers of different texts. k is where they go: the bucket, of a hot one a part; bucket is set for the hot."""
-    shared = texts.sparkSession.sparkContext.broadcast(hot)
+    """The super-k-mers that are not alone in their bucket. k is where they go: the bucket, of a hot one a part; bucket is set for the hot."""
+    held = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = np.zeros(1 << TABLE, np.int64)
-        if shared.value:
-            parts[list(shared.value)] = [-(-n // PART) for n in shared.value.values()]
+        parts = _parts(held.value)
         for batch in slices(batches, "text"):
-            own = [words(t) for t in batch.column(1).to_pylist()]
-            own = [ws if len(ws) >= window else [] for ws in own]
+            own = _long(batch.column(1), window)
             text, start, value, begin, end = super_kmers(own, window, parts > 0)
+            several = parts[_slot(value)] > 0
+            lists = batch.column(3)
+            keys, of = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), pa.compute.list_parent_indices(lists).to_numpy()
+            if len(keys):
+                # a text's buckets are looked up among its own
+                name = lambda t, v: _mixed(v + _mixed(t.astype(np.uint64) * _BASE))
+                several |= np.isin(name(text, value), name(of, keys))
+            text, start, value, begin, end = text[several], start[several], value[several], begin[several], end[several]
             flat = [w for ws in own for w in ws]
             joined = b" ".join(flat)
             at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1)))
             packed = [joined[a:z] for a, z in zip(at[begin].tolist(), (at[end] - 1).tolist())]
-            slot = (value & np.uint64((1 << TABLE) - 1)).astype(np.int64)
-            many = parts[slot] > 0
+            many = parts[_slot(value)]
             # the part goes by the text and place, so that copies of one super-k-mer spread
             digests = batch.column(0).to_pylist()
-            salt = np.fromiter((int.from_bytes(d[:8], "little") for d in digests), np.uint64, len(digests))[text] if len(text) else np.zeros(0, np.uint64)
-            salt = _mixed(salt + start.astype(np.uint64)) % np.maximum(parts[slot], 1).astype(np.uint64)
-            k = np.where(many, _mixed(value + salt * _BASE), value).view(np.int64)
-            bucket = pa.array(value.view(np.int64), mask=~many)
-            yield arrow_batch([pa.array(k), bucket, pa.array([digests[i] for i in text.tolist()], pa.binary()), pa.array(start.astype(np.int32)), pa.nulls(len(k), pa.int64()), pa.array(packed, pa.binary())], _SCHEMA)
-
-    return texts.mapInArrow(run, _PACKED)
+            salt = np.fromiter((int.from_bytes(d[:8], "little") for d in digests), np.uint64, len(digests))[text]
+            salt = _mixed(salt + start.astype(np.uint64)) % np.maximum(many, 1).astype(np.uint64)
+            k = np.where(many > 0, _mixed(value + salt * _BASE), value).view(np.int64)
+            bucket = pa.array(value.view(np.int64), mask=many == 0)
+            names = batch.column(0).take(pa.array(text))
+            yield arrow_batch([pa.array(k), bucket, names, pa.array(start.astype(np.int32)), pa.nulls(len(k), pa.int64()), pa.array(packed, pa.binary())], _SCHEMA)
+
+    return texts.join(_shared(texts, window, hot), "digest", "left").mapInArrow(run, _PACKED)
 
 
 def _windows(packed: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
