@@ -12,7 +12,7 @@ there twice or more every window is repeated. So a large group of exact copies i
 
 Hot buckets. Shingles that occur too often (lines that many texts share) would make hot buckets. A first pass
 counts all shingles of all texts in a table of 2^TABLE counters a task; a task reports counters that hold 2^-17
-of its shingles, so all that hold 2^-16 of the corpus's are known, 2^17 at most. These are ordered behind all others, so
+of its shingles (and LEAST, which matters for small tasks), so all that hold 2^-16 of the corpus's are known, 2^17 at most. These are ordered behind all others, so
 that a window takes another shingle for its minimiser if it has one; what is left are windows that consist
 of hot shingles only, and their buckets are dealt out in parts. A part tells which of its windows
 are there twice and hands one of each different super-k-mer on to the whole bucket. Within a task memory is bounded by the different
@@ -42,8 +42,8 @@ from corvane.llm.common import arrow_batch, count_position, numbered, pick, posi
 WINDOW, MMER = 35, 4
 #: Counters of the table of shingles, and the share of all that makes one hot; as 2 to this power.
 TABLE, SHARE = 20, 17
-#: A shingle is not hot with fewer occurrences; rows of a part of a hot bucket.
-HOT, PART = 2000, 4000
+#: A shingle is not hot with fewer occurrences, and a task tells none that it has fewer of; rows of a part of a hot bucket.
+HOT, LEAST, PART = 2000, 8, 4000
 #: Bytes of one bucket's packed strings that are held before they are brought down to the different ones.
 POOL = 8 << 20
 #: Windows of a super-k-mer, as many as a mask has bits.
@@ -145,7 +145,7 @@ def _counted(rows: DataFrame) -> DataFrame:
             np.add.at(table, slots[np.arange(len(slots)) + MMER <= end], 1)
         total = int(table.sum())
         if total:
-            told = np.flatnonzero(table >= max(2, total >> SHARE))
+            told = np.flatnonzero(table >= max(LEAST, total >> SHARE))
             kind = pa.schema([("slot", pa.int32()), ("n", pa.int64())])
             yield arrow_batch([[*told.tolist(), None], [*table[told].tolist(), total]], kind)
 

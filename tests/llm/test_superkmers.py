@@ -75,6 +75,7 @@ def test_equals_brute_force(spark, seed):
 def test_hot_buckets(spark, monkeypatch, seed, part, pool, vocabulary):
     """Nearly every shingle hot, buckets in many parts, and pools that must be brought down in between."""
     monkeypatch.setattr(S, "HOT", 3)
+    monkeypatch.setattr(S, "LEAST", 2)
     monkeypatch.setattr(S, "PART", part)
     monkeypatch.setattr(S, "POOL", pool)
     rows = generated(seed, 40, vocabulary)
