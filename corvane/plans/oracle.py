@@ -96,6 +96,8 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: Documents of which a fifth has been replaced.
+GROWN = STATS.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'replaced ' || CAST(doc_id AS VARCHAR) || 'x again' ELSE text END AS text FROM documents)", 1)
 BLANK = r"regexp_full_match(coalesce(text, ''), '[ \t\n\r\f\v]*')"
 #: The best chunks by words alone.
 FOUND = CHUNKS + f", tok AS (SELECT (doc_id, chunk_index) AS doc_id, {tokens('content')} AS t FROM c)" + STATS[len(TOK) :] + f", {ONE}, {SCORED}, {RANKED} "
@@ -177,6 +179,12 @@ ORACLE = {
     "vectors_current": "SELECT vec_id AS doc_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 > 0)",
     "engine_search": FOUND + "SELECT CAST(r AS INTEGER) AS rank, rk.doc_id[1] AS doc_id, rk.doc_id[2] AS chunk_index, content, round(s, 6) AS bm25_score, CAST(0 AS DOUBLE) AS vector_score, round(s, 6) AS final_score "
     "FROM rk JOIN c ON c.doc_id = rk.doc_id[1] AND c.chunk_index = rk.doc_id[2] WHERE r <= 10",
+    "bm25_pruned": f"WITH {STATS}, {MANY}, {SCORED}, {RANKED} SELECT query_id, doc_id, round(s, 6) AS bm25_score FROM rk WHERE r <= 5",
+    "stored_doc_freq": f"WITH {GROWN} SELECT term, CAST(df AS BIGINT) AS df FROM dfs",
+    "stored_stats": f"WITH {GROWN} SELECT CAST(n AS BIGINT) AS n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM dfs) AS terms, (SELECT count(*) FROM documents) AS docs FROM cs",
+    "stored_lookup": f"WITH {GROWN} SELECT term, doc_id, tf, dl FROM post JOIN st USING (doc_id) WHERE term IN ('ononble', 'replaced')",
+    "engine_batches": FOUND + "SELECT CAST(r AS INTEGER) AS rank, rk.doc_id[1] AS doc_id, rk.doc_id[2] AS chunk_index, content, round(s, 6) AS bm25_score, CAST(0 AS DOUBLE) AS vector_score, round(s, 6) AS final_score "
+    "FROM rk JOIN c ON c.doc_id = rk.doc_id[1] AND c.chunk_index = rk.doc_id[2] WHERE r <= 10",
     "engine_fallback": FOUND + "SELECT provider, CAST(r AS INTEGER) AS rank, rk.doc_id[1] AS doc_id, round(s, 6) AS final_score FROM rk, (SELECT unnest(['Silent', 'Failing', 'LateFailing']) AS provider) WHERE r <= 10",
     "engine_replaced": CHUNKS + "SELECT doc_id, chunk_index, content FROM c WHERE doc_id % 5 > 0 UNION ALL SELECT doc_id, 0, 'replaced ' || CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 5 = 0",
     "engine_reloaded": CHUNKS + "SELECT doc_id, chunk_index, 64 AS dim FROM c",

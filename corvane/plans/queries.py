@@ -22,6 +22,7 @@ from corvane.operators import bm25, hybrid, prompts, results, vector
 from corvane.operators.chunking import chunks
 from corvane.operators.index import Index, corpus_stats, counted, doc_freq, postings, tokenised
 from corvane.operators.index import chunk_stats as index_lengths
+from corvane.operators.stored import StoredIndex
 from corvane.plans.engine import Engine
 from corvane.plans.sql import register
 from corvane.sources import files
@@ -129,6 +130,37 @@ def bm25_chunks(spark, d):
     return found.select("doc_id", "chunk_index", _six("bm25_score").alias("bm25_score"))
 
 
+def _stored(spark, d, **options) -> StoredIndex:
+    return StoredIndex(spark, fresh_path(spark, "stored-index"), **options)
+
+
+def bm25_pruned(spark, d):
+    """The benchmark as queries against an index on disk, blocks skipped by their bounds."""
+    return bm25.search_pruned(_stored(spark, d).add(counted(_tokens(spark, d)), 1), _benchmark_queries(spark, d), 5).found.select("query_id", "doc_id", _six("bm25_score").alias("bm25_score"))
+
+
+def _grown(spark, d) -> StoredIndex:
+    """An index of three batches, the last of which replaces a fifth of the documents."""
+    index, rows = _stored(spark, d), _docs(spark, d)
+    again = F.concat(F.lit("replaced "), F.col("doc_id").cast("string"), F.lit("x again")).alias("text")
+    for batch, part in enumerate((rows.where("doc_id % 3 < 2"), rows.where("doc_id % 3 = 2"), rows.where("doc_id % 5 = 0").select("doc_id", again)), 1):
+        index.add(counted(part.select("doc_id", F.lit(0).alias("chunk_index"), word_index_tokens(F.col("text")).alias("tokens"))), batch)
+    return index
+
+
+def stored_doc_freq(spark, d):
+    return _grown(spark, d).doc_freq
+
+
+def stored_stats(spark, d):
+    index = _grown(spark, d)
+    return index.corpus_stats.crossJoin(index.size().select("terms", "docs")).select("n", F.round("avgdl", 6).alias("avgdl"), "terms", "docs")
+
+
+def stored_lookup(spark, d):
+    return _grown(spark, d).index().lookup("ononble", "replaced").select("term", "doc_id", "tf", "dl")
+
+
 def cosine_pairs(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
@@ -451,6 +483,15 @@ class LateFailing(Silent):
         return [[1.0, 0.0]]
 
 
+def engine_batches(spark, d):
+    """The same search after the documents came in four batches, half of them with another text first."""
+    e, rows = Engine(spark), _docs(spark, d)
+    e.add(rows.where("doc_id % 2 = 0").select("doc_id", F.concat("text", F.lit(" "), F.lit(QUERY)).alias("text")))
+    for part in range(3):
+        e.add(rows.where(f"doc_id % 3 = {part}"))
+    return _named(e.search(QUERY, K))
+
+
 def engine_fallback(spark, d):
     """Whatever is wrong with the provider, words alone."""
     parts = []
@@ -493,5 +534,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "legal_route": legal_route, "prompt": prompt, "request_body": request_body, "sse_concat": sse_concat, "parse_delta": parse_delta, "api_keys": api_keys,
     "stop_word_share": stop_word_share, "marked_documents": marked_documents, "rollup_lines": rollup_lines, "file_texts": file_texts, "file_chunks": file_chunks, "pdf_texts": pdf_texts,
     "more_stop_words": more_stop_words, "user_words": user_words, "index_cleared": index_cleared, "vectors_added": vectors_added, "vectors_current": vectors_current, "engine_search": engine_search,
-    "engine_fallback": engine_fallback, "engine_replaced": engine_replaced, "engine_reloaded": engine_reloaded, "engine_answer": engine_answer, "sql_functions": sql_functions,
+    "engine_fallback": engine_fallback, "engine_replaced": engine_replaced, "engine_reloaded": engine_reloaded, "engine_answer": engine_answer, "sql_functions": sql_functions, "engine_batches": engine_batches, "bm25_pruned": bm25_pruned, "stored_doc_freq": stored_doc_freq, "stored_stats": stored_stats,
+    "stored_lookup": stored_lookup,
 }
