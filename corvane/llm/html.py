@@ -8,8 +8,11 @@ sidebars, notices, adverts, forms and scripts go by element, role and class, whe
 pages to show a template or an element differs from page to page. Reader comments go by their names, always.
 
 Then the article is chosen: the main element; or else article elements, if they hold at least
-`ARTICLE_SHARE` of the characters that are left (teasers next to a story do not); in either case with the
-first-level headings before it. Else it is what stands outside of article elements.
+`ARTICLE_SHARE` of the characters that are left and, where there are several, the largest holds more than stands outside of all
+(teasers next to a story do not); in either case with the first-level headings before it. Else it is what stands outside of
+article elements. Class names do not hide an article that is longer than all else that is left, and what goes for its
+class alone stays if nothing else does, unless it is named a menu, sidebar, footer or the like. A form goes, but for an
+article within it, or paragraphs of `FORM_TEXT` characters where the whole page is one.
 
 Pages of a host that repeat one article do not make it a template: a page's content is known by
 that of its text blocks which stands in the fewest of the host's pages, so copies count as one
@@ -25,7 +28,8 @@ least_share), so hosts with any number of pages are alike. It is broadcast up to
 hashes; beyond that, pages are joined to their host's hashes.
 
 Defined results: a null or empty html has an empty text. A null url counts as a host of its own
-name. Broken markup is read as browsers do, roughly: unclosed elements end with their parents.
+name, and a null page_id is kept as it is. An empty table has an empty result. Broken markup is read as browsers do, roughly: unclosed elements end with their parents, in
+time that grows with the page's length alone.
 Repeated rows count once and come back repeated. Extra columns are ignored.
 """
 
@@ -47,6 +51,7 @@ from corvane.llm.common import arrow_batch, materialize, pick, settled, slices
 BROADCAST = 1_000_000
 OWN, OWN_SHARE = 20, 0.02
 ARTICLE_SHARE = 0.2
+FORM_TEXT = 200
 TOKEN = re.compile(
     r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL
 )
@@ -63,16 +68,18 @@ BLOCK = frozenset(
 )
 TEXT_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption summary address tr tbody thead tfoot".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-DROPPED = frozenset("head script style noscript template nav footer aside form button select textarea iframe svg object canvas menu dialog input datalist audio video map math".split())
+DROPPED = frozenset("head script style noscript template nav footer aside button select textarea iframe svg object canvas menu dialog input datalist audio video map math".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 NOISE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget ad ads adv advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr "
     "notice popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations pagination pager toolbar login "
     "search skip hidden outbrain taboola".split()
 )
 #: Such names never hold the article; those of NOISE may, if nothing else is left (a layout's class, say).
-NEVER = frozenset("comment comments disqus respond reply replies ad ads adv advert adverts advertisement adsense sponsored cookie cookies consent gdpr popup newsletter outbrain taboola".split())
+NEVER = frozenset("comment comments commentlist commentarea commentbox commentform commentsection discussion discussions talkback guestbook disqus respond reply replies ad ads adv advert adverts advertisement adsense sponsored cookie cookies consent gdpr popup newsletter outbrain taboola".split())
+#: And neither do elements whose names end in these.
+BARE = frozenset("nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar pagination pager login share sharing social".split())
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"),
             "tbody": ("tr", "td", "th", "tbody", "thead", "tfoot"), "thead": ("tr", "td", "th", "tbody", "thead", "tfoot"), "tfoot": ("tr", "td", "th", "tbody", "thead", "tfoot")}
@@ -89,16 +96,20 @@ def _hash(text: str) -> int:
 
 
 class Element:
-    """drop: goes for what it is; gone: it or an element around it does; doubtful: so does its class or
-    one around it; header, article, main: within such (an article may be a main element)."""
+    """around: the block that it stands in, None for the page; drop: goes for what it is; gone: it or an element around it does; doubtful:
+    so does its class or one around it; bare: and that names a menu or the like; header, form, main: within such; article: the outermost
+    one that it is in (an article may be a main element)."""
 
-    __slots__ = ("tag", "parent", "drop", "gone", "doubtful", "header", "article", "main", "parts", "key", "word")
+    __slots__ = ("tag", "around", "drop", "gone", "doubtful", "bare", "header", "form", "article", "main", "parts", "key", "word")
 
-    def __init__(self, tag: str, parent: Element | None, word: str):
-        self.tag, self.parent, self.word = tag, parent, word
+    def __init__(self, tag: str, parent: Element | None, around: Element | None, word: str):
+        self.tag, self.around, self.word = tag, around, word
         self.drop, self.key, self.parts = False, 0, []
-        self.gone, self.doubtful, self.article, self.main = (parent.gone, parent.doubtful, parent.article, parent.main) if parent else (False, False, False, False)
-        self.header = tag == "header" or bool(parent and parent.header)
+        self.gone = self.doubtful = self.bare = self.main = self.header = self.form = False
+        self.article: Element | None = None
+        if parent:
+            self.gone, self.doubtful, self.bare, self.main, self.header, self.form, self.article = parent.gone, parent.doubtful, parent.bare, parent.main, parent.header, parent.form, parent.article
+        self.header |= tag == "header"
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -122,10 +133,17 @@ def _is_noise(element: Element, attrs: dict[str, str]) -> bool:
 
 def _names(element: Element, attrs: dict[str, str]) -> set[str]:
     """Words in class and id. Names like has-sidebar tell of what is next to the element."""
+    return {w.lower() for n in _own_names(element, attrs) for w in (n, *WORDS.findall(n))}
+
+
+def _own_names(element: Element, attrs: dict[str, str]) -> list[str]:
     if not attrs or element.tag in ("html", "body", "main"):
-        return set()
-    names = [n for n in f"{attrs.get('class', '')} {attrs.get('id', '')}".split() if not n.lower().startswith(("has-", "with-", "no-", "without-"))]
-    return {w.lower() for n in names for w in (n, *WORDS.findall(n))}
+        return []
+    return [n for n in f"{attrs.get('class', '')} {attrs.get('id', '')}".split() if not n.lower().startswith(("has-", "with-", "no-", "without-"))]
+
+
+def _ends_bare(name: str) -> bool:
+    return name.lower() in BARE or bool((found := WORDS.findall(name)) and found[-1].lower() in BARE)
 
 
 class Page:
@@ -137,10 +155,18 @@ class Page:
         self._parse(source)
 
     def _parse(self, s: str) -> None:
-        root = Element("", None, "")
+        root = Element("", None, None, "")
         open_, now = [root], []
         held: list[list[str]] = []
         block_of = root
+        # where elements of each tag, scopes and blocks stand in open_, so that none is looked for
+        where: dict[str, list[int]] = {}
+        scopes, blocks = [0], [0]
+
+        def deepest(tag: str) -> int:
+            """Of the open elements of a tag; 0 if there is none."""
+            found = where.get(tag)
+            return found[-1] if found else 0
 
         def flush() -> None:
             if held:  # within an inline element that goes
@@ -157,9 +183,13 @@ class Page:
             nonlocal block_of
             while len(open_) > depth:
                 e = open_.pop()
+                where[e.tag].pop()
+                if e.tag in SCOPE:
+                    scopes.pop()
                 if e.tag in BLOCK:
                     flush()
-                    block_of = next(x for x in reversed(open_) if x.tag in BLOCK or x is root)
+                    blocks.pop()
+                    block_of = open_[blocks[-1]]
                     if e.parts:
                         e.key = _hash("\0".join([e.tag, e.word, *e.parts]))
                         block_of.parts.append(str(e.key))
@@ -167,26 +197,26 @@ class Page:
                     now.clear()
                     now.extend(held.pop())
 
-        at, n, find = 0, len(s), TOKEN.search
+        at, n, find, last = 0, len(s), TOKEN.search, s.rfind(">") + 1
         while at < n:
-            m = find(s, at)
+            m = find(s, at, last)  # behind the last > there is no tag
             if m is None:
-                now.append(s[at:])
+                rest = s.find("<!--", max(at, last))
+                now.append(s[at:] if rest < 0 else s[at:rest])
                 break
             if m.start() > at:
                 now.append(s[at : m.start()])
             at = m.end()
             tag = m[2] or m[5]
             if not tag:
+                if s.startswith("<!--", m.start()) and not m[0].endswith(("-->", "--!>")) and m[0] != "<!-->":
+                    break  # a comment that does not end
                 continue
             tag = tag.lower()
             if m[1] or m[4]:
-                for depth in range(len(open_) - 1, 0, -1):
-                    if open_[depth].tag == tag:
-                        close(depth)
-                        break
-                    if tag not in SCOPE and open_[depth].tag in SCOPE and tag not in BLOCK:
-                        break
+                depth = deepest(tag)
+                if depth and (tag in SCOPE or tag in BLOCK or depth > scopes[-1]):
+                    close(depth)
                 continue
             if open_[-1].tag == "head" and tag not in IN_HEAD:
                 close(len(open_) - 1)
@@ -194,33 +224,33 @@ class Page:
                 now.append(" ")
                 continue
             if tag in ENDS_P:
-                for depth in range(len(open_) - 1, 0, -1):
-                    if open_[depth].tag == "p":
-                        close(depth)
-                        break
-                    if open_[depth].tag in SCOPE:
-                        break
+                depth = deepest("p")
+                if depth > scopes[-1]:
+                    close(depth)
             for other in SIBLINGS.get(tag, ()):
-                for depth in range(len(open_) - 1, 0, -1):
-                    if open_[depth].tag == other:
-                        close(depth)
-                        break
-                    if open_[depth].tag in SCOPE and open_[depth].tag not in SIBLINGS:
-                        break
+                depth = deepest(other)
+                if depth > scopes[-1]:
+                    close(depth)
             if tag in VOID:
                 if tag == "hr":
                     flush()
                 continue
             attrs = _attributes(m[3] or m[6]) if (m[3] or m[6] or "").strip(" \t\r\n/") else {}
-            e = Element(tag, open_[-1], attrs.get("class", ""))
+            e = Element(tag, open_[-1], None if block_of is root else block_of, attrs.get("class", ""))
+            outside = e.article is None
             e.main = e.main or tag == "main" or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
-            e.article = e.article or e.main or tag == "article" or attrs.get("role") == "article"
+            if outside and (e.main or tag == "article" or attrs.get("role") == "article"):
+                e.article = e
+            e.form = e.form or tag == "form" or attrs.get("role") == "form"
             names = _names(e, attrs)
+            if not outside:
+                names.discard("discussion")  # a part of a paper, say
             # a piece of opinion may be called a comment
             e.drop = _is_noise(e, attrs) or bool(names & NEVER) and tag != "article"
             e.gone = e.gone or e.drop
             named = bool(names & (NOISE | NEVER))
             e.doubtful = e.doubtful or named
+            e.bare = e.bare or named and (bool(names & NEVER) and tag != "article" or any(map(_ends_bare, _own_names(e, attrs))))
             e.drop = e.drop or named and tag not in BLOCK
             if tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(s, at)
@@ -234,9 +264,13 @@ class Page:
                 flush()
                 block_of = e
                 self.elements.append(e)
+                blocks.append(len(open_))
             elif e.drop:  # an inline element that goes: its text does not reach the block
                 held.append(list(now))
                 now.clear()
+            if tag in SCOPE:
+                scopes.append(len(open_))
+            where.setdefault(tag, []).append(len(open_))
             open_.append(e)
         close(1)
         flush()
@@ -251,34 +285,50 @@ class Page:
         known: dict[Element | None, bool] = {None: False}
         lost = 0
         for e in self.elements if template else ():  # in page order, so a parent's turn is before its children's
-            inside = known[self._around(e)]
+            inside = known[e.around]
             known[e] = inside or (e.key in template and self.candidate(e))
             lost += known[e] and not inside
 
         left = [(e, text) for e, text in self.blocks if not e.gone and not (e.header and e.tag not in HEADINGS) and not known.get(e)]
-        return self.article_in([b for b in left if not b[0].doubtful]) or self.article_in(left), lost
-
-    def _around(self, e: Element) -> Element | None:
-        """The block around an element, None for the page."""
-        at = e.parent
-        while at is not None and at.tag not in BLOCK:
-            at = at.parent
-        return at
+        left = self.outside_forms(left)
+        clear = [b for b in left if not b[0].doubtful]
+        named = [b for b in left if b[0].doubtful and not b[0].bare]
+        articles = [b for b in named if b[0].article]
+        if not any(e.article for e, _ in clear) and self.size(articles) > self.size(clear):
+            return self.article_in(articles), lost
+        return self.article_in(clear) or self.article_in(named), lost
 
     @staticmethod
-    def article_in(left: list[tuple[Element, str]]) -> list[str]:
+    def size(left: list[tuple[Element, str]]) -> int:
+        return sum(len(t) for _, t in left)
+
+    @classmethod
+    def outside_forms(cls, left: list[tuple[Element, str]]) -> list[tuple[Element, str]]:
+        """Without forms, but for articles within them; a page that is a form keeps its text."""
+        kept = [b for b in left if not b[0].form or b[0].article and b[0].article.form]
+        return left if not kept and cls.size([b for b in left if b[0].tag in TEXT_BLOCK]) >= FORM_TEXT else kept
+
+    @classmethod
+    def article_in(cls, left: list[tuple[Element, str]]) -> list[str]:
         """A page's main element is its article; article elements are if they have the weight."""
-        inside = [e.main for e, _ in left] if any(e.main for e, _ in left) else [e.article for e, _ in left]
-        inner, total = sum(len(t) for (_, t), own in zip(left, inside, strict=True) if own), sum(len(t) for _, t in left)
-        if not inner:
+        main = any(e.main for e, _ in left)
+        inside = [e.main if main else e.article is not None for e, _ in left]
+        if not any(inside):
             return [t for _, t in left]
-        if not any(e.main for e, _ in left) and inner < ARTICLE_SHARE * total:
-            return [t for (_, t), own in zip(left, inside, strict=True) if not own]
+        if not main:
+            sizes: dict[Element, int] = {}
+            for e, t in left:
+                if e.article:
+                    sizes[e.article] = sizes.get(e.article, 0) + len(t)
+            total = cls.size(left)
+            outside = total - sum(sizes.values())
+            if total - outside < ARTICLE_SHARE * total or len(sizes) > 1 and outside > max(sizes.values()):
+                return [t for (_, t), own in zip(left, inside, strict=True) if not own]
         first = inside.index(True)
         return [t for i, (e, t) in enumerate(left) if inside[i] or i < first and e.tag == "h1"]
 
     def candidate(self, e: Element) -> bool:
-        return bool(e.key) and e.tag not in ("html", "body", "article", "main") and not (e.article and e.tag in TEXT_BLOCK)
+        return bool(e.key) and e.tag not in ("html", "body", "article", "main") and not (e.article is not None and e.tag in TEXT_BLOCK)
 
     def keys(self) -> set[int]:
         return {e.key for e in self.elements if self.candidate(e)}
@@ -338,7 +388,7 @@ def extract(pages: DataFrame, least_pages: int = 3, least_share: float = 0.1, br
         return arrow_batch([batch.column(0), batch.column(1), [t for t, _ in found], [len(t) for t, _ in found], [n for _, n in found]], fields)
 
     if found.count() <= broadcast:
-        # a size that has been looked at: 16 bytes each
+        # a size that has been looked at: some 100 MB in a worker at most
         held = pages.sparkSession.sparkContext.broadcast(_by_host(found))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

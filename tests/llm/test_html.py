@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -112,6 +113,67 @@ def test_choice_of_the_article(source, want):
     assert text_of(source) == want
 
 
+STORY = "The story is told at length, and goes on from there. "
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        # a story next to cards that are articles, each of a quarter of the text
+        (f"<body><h1>T</h1><div id=content><p>{STORY}</p><p>{STORY}</p><p>{STORY}</p></div><article><p>{STORY}{STORY}</p></article><article><p>{STORY}</p></article>", "T\n" + "\n".join([STORY.strip()] * 3)),
+        (f"<body><article class='post notice-board'><h1>T</h1><p>{STORY}</p></article><p>Around it</p>", f"T\n{STORY.strip()}"),
+        (f"<body><div class='search-results-page widget'><article><p>{STORY}</p></article></div><p>Cookie policy text</p>", STORY.strip()),
+        (f"<body><article><p>Short.</p></article><div class=related><article><p>{STORY}</p></article></div>", "Short."),
+        (f"<body><form id=aspnet><div><p>{STORY * 5}</p><input name=x></div></form>", (STORY * 5).strip()),
+        (f"<body><form><article><p>{STORY}</p><form><p>Sign up</p></form></article><p>Search here</p></form>", f"{STORY.strip()}\nSign up"),
+        (f"<body><p>Text</p><form><p>{STORY * 5}</p></form>", "Text"),
+        (f"<body><article><p>{STORY}</p><form><p>Sign up</p></form></article>", STORY.strip()),
+        ("<body><form><p>Name</p><p>Mail</p></form>", ""),
+        ("<body><div class=menu><a href=/>Home</a> <a href=/a>About</a></div>", ""),
+        ("<body><div id=main-nav>Home</div><div class=sideBar><p>Side</p></div><div class='left sidebar'><p>Side</p></div>", ""),
+        (f"<body><div class=post><p>{STORY}</p></div><div class=discussion><p>First!</p></div><ol class=commentlist><li>Second</ol>", STORY.strip()),
+        (f"<body><article><p>{STORY}</p><section id=discussion><h2>Discussion</h2><p>We find.</p></section></article>", f"{STORY.strip()}\nDiscussion\nWe find."),
+    ],
+)
+def test_stories_stay_and_boxes_go(source, want):
+    assert text_of(source) == want
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<p>a<!-- no end <p>b</p> > c", "a"),
+        ("<p>a<!-- no end", "a"),
+        ("<p>a</p>b <!", "a\nb <!"),
+        ("<p>a<!--->b<!-->c<!-- d --!>e", "abce"),
+        ("x <a <a <b", "x <a <a <b"),
+        ("<table><tr><td>a<table><tr><td>b</table>c<td>d</table>", "a\nb\nc\nd"),
+        ("<ul><li>a<ul><li>b</ul>c<li>d</ul>", "a\nb\nc\nd"),
+        ("<p><b>a<div>b</p>c</b></div>d", "a\nbc\nd"),
+    ],
+)
+def test_broken_markup(source, want):
+    assert text_of(source) == want
+
+
+BROKEN = ["<a ", "<script ", "<b><p>x</p>", "<p>x", "<b>x", "<div>x", "<i class=ad>x", "<li>x<b>", "</p>", "<!-- ", "<td>x<p>", "<a '>", '<a "', "&amp", "<", "<div><i>", "<title>", "<form><p>x"]
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+def test_time_grows_with_the_length_alone(piece):
+    """Some 0.6 MB of each; what takes the square of that takes minutes."""
+    for source in (piece * (600_000 // len(piece)), "<b>" * 20_000 + "<p>x</p>" * 20_000, piece * (300_000 // len(piece)) + ">"):
+        start = time.process_time()
+        text_of(source)
+        assert time.process_time() - start < 10
+
+
+def test_a_page_without_an_id(spark):
+    rows = [(None, "http://a.org", "<p>a"), (1, None, None), (None, None, "<p>a")]
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
+    assert got == sorted([(None, "http://a.org", "a", 1), (1, None, "", 0), (None, None, "a", 1)], key=repr)
+
+
 def planted(seed, hosts=6, pages=14):
     """Sites whose boxes have no telling names: (page, its story, how many boxes the page has)."""
     rng = random.Random(seed)
