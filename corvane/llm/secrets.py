@@ -26,7 +26,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -180,10 +182,13 @@ def examine(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[in
         return [], []
     runs = [m.span() for m in RUN.finditer(text)]
     base = sorted(base_spans(text) + hex_spans(text, runs))
+    starts = [s for s, _, _ in base]
+    ends = list(accumulate((e for _, _, e in base), max))  # the last end among the first spans
     out = []
     for a, z in runs:
         for i, j in sorted(parts(text[a:z])):
-            if not any(s < a + j and a + i < e for s, _, e in base):
+            before = bisect_left(starts, a + j)
+            if not before or ends[before - 1] <= a + i:
                 found = candidate(text[a + i : a + j])
                 if found:
                     out.append((a + i, a + j, *found))

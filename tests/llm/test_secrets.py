@@ -159,3 +159,15 @@ def test_keys_are_kept_and_names_cleared():
     share = {at: sum(v) / len(v) for at, v in kept.items()}
     assert all(share[n, True] >= 0.98 for n in S.LENGTHS)
     assert all(share[n, False] <= (0.06 if n < 32 else 0.01) for n in S.LENGTHS)
+
+
+def test_many_secrets_in_a_text_take_time_in_proportion():
+    import time
+
+    rng = random.Random(8)
+    key = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32))
+    text = " ".join(f"password={key()} {key()} AKIA{key().upper()}" for _ in range(8000))
+    start = time.process_time()
+    base, found = S.examine(text)
+    assert len(base) >= 16_000 and time.process_time() - start < 20
+    assert all(not (s < z and a < e) for a, z, *_ in found[:200] for s, _, e in base)
