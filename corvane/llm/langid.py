@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import arrow_batch, numbered, pick, position, slices
@@ -171,9 +171,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], s: Settings) -> Model |
 
 
 def train(docs: DataFrame, eligible: Column, s: Settings = Settings(), id_col="doc_id", text_col="text", lang_col="lang") -> Model | None:
-    """Learns from at most about s.max_docs eligible rows, as many of each language; which
-    ones depends on a hash of doc_id alone. Executors turn the whole texts into counts of at
-    most s.buckets buckets, so that what reaches the driver is bounded."""
+    """Learns from s.max_docs different eligible rows at most, as many of each language: those with the least hashes of doc_id and
+    text. Executors turn the whole texts into counts of at most s.buckets buckets, so that what reaches the driver is bounded."""
     rows = pick(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang")
     rows = rows.where(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull())
     per_lang = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
@@ -183,7 +182,12 @@ def train(docs: DataFrame, eligible: Column, s: Settings = Settings(), id_col="d
         raise ValueError(f"{len(per_lang)} languages; lang is not a language column")
     each = max(1, s.max_docs // len(per_lang))
     share = F.create_map(*[F.lit(v) for lang, n in per_lang.items() for v in (lang, min(1.0, each / n))])
-    sampled = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("lang", "text")
+    # about twice as many by their hashes alone; of these, without repeats, the first of each language
+    mark = F.xxhash64("doc_id", "text", F.lit(s.seed))
+    few = rows.withColumn("mark", mark).where(F.pmod("mark", F.lit(1 << 30)) < 2 * share[F.col("lang")] * (1 << 30))
+    few = few.groupBy("lang", "mark").agg(F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("mark", F.lit(1 << 30)), "mark")
+    sampled = few.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

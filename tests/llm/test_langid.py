@@ -63,3 +63,17 @@ def test_held_out_rows_are_never_learned_from(spark):
     df = spark.range(300).select(F.col("id").alias("doc_id"), L.may_learn("id").alias("may"))
     assert all(r.may == (zlib.crc32(str(r.doc_id).encode()) % 3 != 1) for r in df.collect())
     assert spark.createDataFrame([(None,)], "doc_id long").select(L.may_learn()).first()[0] is False
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    """Rows of one id, rows that repeat as a whole, and many languages."""
+    taken = []
+    monkeypatch.setattr(L, "fit", lambda got, s: taken.append([r[0] for r in got]))
+    same_id = [(7, f"text number {chr(97 + i % 26)} {i}", "en") for i in range(5000)]
+    again = [(i % 3, "das ist der eine Text", "de") for i in range(5000)]
+    few = [(i, f"la casa {i}", "es") for i in range(5)]
+    for rows_ in (same_id, same_id + again + few):
+        L.train(rows(spark, rows_), F.lit(True), L.Settings(max_docs=300))
+    assert 200 <= len(taken[0]) <= 300
+    n = {lang: taken[1].count(lang) for lang in set(taken[1])}
+    assert n["en"] == 100 and 1 <= n.get("de", 3) <= 3 and n["es"] <= 5
