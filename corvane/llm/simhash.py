@@ -18,7 +18,7 @@ that similarity the rarest fifth and one more of the shingles of each hold one o
 the order that all sets are sorted in. So a tile is made of the texts that hold a shingle among their
 rarest, by the counts of a table of fixed size over the whole corpus; tiles are compared as above,
 with fingerprints of several lanes of 64 bits over distinct shingles, and a radius that such a pair is
-beyond less than once in ten million times. Texts that candidate links hold together are then compared
+beyond less than once in 10^12 times. Texts that candidate links hold together are then compared
 by their very shingles (`verified`), and only pairs that have the similarity are links. A text is in
 as many tiles as a fifth of its shingles, whatever the size of the corpus.
 
@@ -491,8 +491,9 @@ class Like:
 EXACT = Like()
 #: Texts whose sets of shingles of five words have a Jaccard similarity of 0.8 or more. At 0.8 sets of
 #: equal size stand at an angle of 0.152 pi, so 256 bits differ in 39 on average (deviation 5.7), and in
-#: 48 (6.2) for the smallest such sets, of 4 and 5 shingles; 80 is 5.2 deviations or more away.
-SIMILAR = Like(width=5, radius=80, lanes=4, jaccard=0.8)
+#: 48 (6.2) for the smallest such sets, of 4 and 5 shingles, whose bits differ with probability 3/16. By the binomial
+#: distribution more than 104 of these differ with probability 2e-16; unrelated texts differ in 128 (8) bits.
+SIMILAR = Like(width=5, radius=104, lanes=4, jaccard=0.8)
 
 
 def classes(docs: DataFrame, like: Like = EXACT, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame]:
