@@ -2,8 +2,9 @@
 
 A lexicon maps words to frequencies. Characters that no word covers are words of their own, less likely than
 any known one; neighbours among these are taken together and give overlapping pairs, so that unknown
-words are found by their parts. ASCII letters and digits form words, other characters stand alone. The
-lexicon is a function argument, small by nature (`MAX_WORDS`), and goes to executors with the function.
+words are found by their parts; or, where a `Positions` model is given, by the likeliest places of its word
+boundaries. ASCII letters and digits form words, other characters stand alone. The lexicon is small by nature (`MAX_WORDS`)
+and goes to executors once, as a broadcast. `operators.lexicon` learns both from a corpus.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from collections.abc import Iterable, Mapping
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,9 @@ from corvane.operators.hybrid import LOCATION_TERMS
 MAX_WORDS = 1_000_000
 FREQUENCY = 10  # of a word that comes without one
 PIECE = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*|[㐀-䶿一-鿿〇豈-﫿]+|\S")
+HAN_RUN = "[㐀-䶿一-鿿〇豈-﫿]+"
+#: Of a character in a word: first, inner, last, alone.
+STATES = "BMES"
 HAN = re.compile(r"[㐀-䶿一-鿿〇豈-﫿]")
 
 
@@ -36,10 +41,66 @@ def _read(lines: Iterable[str]) -> dict[str, int]:
 DEFAULT = {**dict.fromkeys((*LOCATION_TERMS, *STOP_WORDS_ZH), 2 * FREQUENCY), **_read(pkgutil.get_data("corvane.functions", "lexicon.txt").decode().splitlines())}
 
 
+class Positions:
+    """A hidden Markov model of characters' places in words. Runs are decoded many at a time: a step of the Viterbi algorithm is
+    taken for all of them at once."""
+
+    def __init__(self, emit: dict[str, np.ndarray], other: np.ndarray, step: np.ndarray, start: np.ndarray):
+        """Log probabilities by state; other: of characters that are not known."""
+        self.emit, self.other, self.step, self.start = emit, other, step, start
+
+    @classmethod
+    def of(cls, emit: Mapping[str, Iterable[int]], step: np.ndarray, start: np.ndarray) -> Positions:
+        """Of counts; one is added to each of a character. Steps that words do not have (B to B, say) stay impossible."""
+        rows = {c: np.array(list(n), float) for c, n in emit.items()}
+        total = sum(rows.values(), np.zeros(4)) + len(rows) + 1
+        may = np.array([[0, 1, 1, 0], [0, 1, 1, 0], [1, 0, 0, 1], [1, 0, 0, 1]], float)
+        with np.errstate(divide="ignore"):
+            steps = (np.asarray(step, float) + 1) * may
+            begin = (np.asarray(start, float) + 1) * np.array([1, 0, 0, 1.0])
+            return cls({c: np.log((n + 1) / total) for c, n in rows.items()}, np.log(1 / total), np.log(steps / steps.sum(1, keepdims=True)), np.log(begin / begin.sum()))
+
+    def states(self, runs: list[str]) -> list[str]:
+        """The likeliest states of each run's characters; a run ends with E or S. Of equals the first in the order B, M, E, S."""
+        order = sorted(range(len(runs)), key=lambda i: -len(runs[i]))
+        longest = len(runs[order[0]]) if runs else 0
+        if not longest:
+            return [""] * len(runs)
+        counts = np.array([len(runs[i]) for i in order])
+        score = np.zeros((len(runs), 4))
+        back = np.zeros((longest, len(runs), 4), np.int8)
+        last = np.zeros((len(runs), 4))
+        for t in range(longest):
+            n = int((counts > t).sum())  # of the runs that have a character here
+            seen = np.stack([self.emit.get(runs[i][t], self.other) for i in order[:n]])
+            if t == 0:
+                score[:n] = self.start + seen
+            else:
+                ways = score[:n, :, None] + self.step[None]
+                back[t, :n] = ways.argmax(1)
+                score[:n] = ways.max(1) + seen
+            ends = np.flatnonzero(counts[:n] == t + 1)
+            last[ends] = score[ends]
+        last[:, [0, 1]] = -np.inf
+        out = [""] * len(runs)
+        for k, i in enumerate(order):
+            if counts[k]:
+                path = [int(last[k].argmax())]
+                for t in range(counts[k] - 1, 0, -1):
+                    path.append(int(back[t, k, path[-1]]))
+                out[i] = "".join(STATES[s] for s in reversed(path))
+        return out
+
+    def cut(self, runs: list[str]) -> list[list[str]]:
+        """The words of each run."""
+        return [re.findall(r".", run, re.DOTALL) if not states else [run[m.start() : m.end()] for m in re.finditer(r"S|BM*E", states)] for run, states in zip(runs, self.states(runs))]
+
+
 class Cutter:
-    """Segmentation by one lexicon: a mapping to frequencies, or words alone."""
+    """Segmentation by one lexicon: a mapping to frequencies, or words alone; unknown runs by a model, or as pairs."""
 
-    def __init__(self, words: Mapping[str, int] | Iterable[str]):
+    def __init__(self, words: Mapping[str, int] | Iterable[str], model: Positions | None = None):
+        self.model = model
         known = dict(words) if isinstance(words, Mapping) else dict.fromkeys(words, FREQUENCY)
         if len(known) > MAX_WORDS:
             raise ValueError(f"a lexicon of over {MAX_WORDS} words")
@@ -65,7 +126,19 @@ class Cutter:
         return out
 
     def __call__(self, text: str | None) -> list[str]:
-        out: list[str] = []
+        return self.many([text])[0]
+
+    def many(self, texts: Iterable[str | None]) -> list[list[str]]:
+        """The words of each text; unknown runs of all are cut together."""
+        found, loose = [self._parts(t) for t in texts], []
+        for parts in found:
+            loose += [p for p in parts if isinstance(p, list)]
+        cuts = iter(self.model.cut([p[0] for p in loose]) if self.model else [[p[0][i : i + 2] for i in range(len(p[0]) - 1)] or [p[0]] for p in loose])
+        return [[w for p in parts for w in (next(cuts) if isinstance(p, list) else (p,))] for parts in found]
+
+    def _parts(self, text: str | None) -> list[str | list[str]]:
+        """Words, and unknown runs as lists of one."""
+        out: list[str | list[str]] = []
         for m in PIECE.finditer(text or ""):
             if not HAN.match(m[0]):
                 out.append(m[0])
@@ -76,7 +149,7 @@ class Cutter:
                     loose += w
                     continue
                 if loose:
-                    out += [loose[i : i + 2] for i in range(len(loose) - 1)] or [loose]
+                    out.append([loose])
                     loose = ""
                 if w:
                     out.append(w)
@@ -92,13 +165,14 @@ def cut(text: str | None, words: Mapping[str, int] | Iterable[str] | None = None
     return (_default() if words is None else Cutter(words))(text)
 
 
-def segmented(text: Column, words: Mapping[str, int] | Iterable[str] = DEFAULT) -> Column:
-    """Words of each text, as an Arrow function."""
-    cutter = Cutter(words)
+def segmented(text: Column, words: Mapping[str, int] | Iterable[str] = DEFAULT, model: Positions | None = None) -> Column:
+    """Words of each text, as an Arrow function. The lexicon goes out as a broadcast; each worker keeps one cutter."""
+    spark = SparkSession.getActiveSession()
+    held = spark.sparkContext.broadcast(Cutter(words, model))
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(cutter)
+        return pd.Series(held.value.many(texts), dtype=object)
 
     return run(text)
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.metadata import doc_metadata
-from corvane.functions.segment import DEFAULT, segmented, user_lexicon, with_user_words
+from corvane.functions.segment import DEFAULT, Positions, segmented, user_lexicon, with_user_words
 from corvane.functions.text import STOP_WORDS, index_tokens, word_index_tokens
 from corvane.operators import bm25, hybrid, prompts, results, vector
 from corvane.operators.chunking import MAX_BYTES, OVERLAP, chunks
@@ -35,6 +35,7 @@ class Settings:
     weights: tuple[float, float] = (hybrid.BM25_WEIGHT, hybrid.VECTOR_WEIGHT)
     stop_words: tuple[str, ...] = STOP_WORDS
     lexicon: Mapping[str, int] | None = None  # None: words between blanks; else segmentation
+    positions: Positions | None = None  # cuts what the lexicon does not know
     k: int = 5
 
 
@@ -69,7 +70,7 @@ class Engine:
     def _tokens(self, text: Column) -> Column:
         if self.settings.lexicon is None:
             return word_index_tokens(text, self.settings.stop_words)
-        return index_tokens(segmented(F.coalesce(text, F.lit("")), self.settings.lexicon), self.settings.stop_words)
+        return index_tokens(segmented(F.coalesce(text, F.lit("")), self.settings.lexicon, self.settings.positions), self.settings.stop_words)
 
     def add(self, docs: DataFrame, source: str = "") -> Engine:
         """docs: doc_id, text. Documents with a known id take the place of the old ones; rows

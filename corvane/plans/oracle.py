@@ -6,7 +6,7 @@ from corvane.functions.text import LOWER, STOP_WORDS, UPPER
 from corvane.operators import prompts
 from corvane.operators.hybrid import LOCATION_TERMS, LOCATION_WORDS
 from corvane.operators.results import AGGREGATE_WORDS, HEADER
-from corvane.plans.queries import JUDGMENT, KEYS, MORE_STOP_WORDS, NAMED, QUERY, QUESTION, SSE, WORD_LINES
+from corvane.plans.queries import HAN_PARTS, JUDGMENT, KEYS, MORE_STOP_WORDS, NAMED, QUERY, QUESTION, SSE, WORD_LINES
 
 
 def _list(words) -> str:
@@ -190,5 +190,21 @@ ORACLE = {
     "engine_reloaded": CHUNKS + "SELECT doc_id, chunk_index, 64 AS dim FROM c",
     "engine_answer": f"WITH {JUDGED}, tok AS (SELECT doc_id, {tokens('t')} AS t FROM j)" + STATS[len(TOK) :] + f", q AS (SELECT CAST(0 AS BIGINT) AS query_id, unnest({tokens(quoted('民事判决书 审判员'))}) AS term), {SCORED}, {RANKED}, best AS (SELECT * FROM rk WHERE r <= 20) "
     "SELECT CAST(r AS INTEGER) AS rank, doc_id, round(s, 6) AS final_score, (SELECT string_agg(DISTINCT substr(date, 1, 4), ' ' ORDER BY substr(date, 1, 4)) FROM best JOIN kept USING (doc_id)) AS years FROM best JOIN kept USING (doc_id) WHERE case_type = '民事'",
-    "sql_functions": f"SELECT doc_id, array_to_string({WORDS.format('text')}, ' ') AS words, translate(text, '{UPPER}', '{LOWER}') AS low, CAST(0 AS INTEGER) AS none FROM documents",
+    "sql_functions": f"SELECT doc_id, array_to_string({WORDS.format('text')}, ' ') AS words, translate(text, '{UPPER}', '{LOWER}') AS low, array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+(?:\\.[0-9]+)*|[^\\s]'), ' ') AS pieces, "
+    "trim(regexp_replace(split_part(text, '.', 1), '[^A-Za-z ]', '', 'g')) AS shown, CAST(64 AS INTEGER) AS dim FROM documents",
+    "user_words_cut": f"SELECT c_custkey, {" || ' ' || ".join(HAN_PARTS).replace('STRING', 'VARCHAR')} AS words FROM customer",
+    "segment_counts": f"WITH w AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), "
+    "i AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM w), "
+    "c AS (SELECT doc_id, p, k, substr(x, k, 1) AS c, CASE WHEN length(x) = 1 THEN 'S' WHEN k = 1 THEN 'B' WHEN k = length(x) THEN 'E' ELSE 'M' END AS s FROM (SELECT doc_id, p, x, unnest(range(1, length(x) + 1)) AS k FROM i)), "
+    "f AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY p, k) AS nx, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) AS seq FROM c) "
+    "SELECT 'emit' AS kind, s AS state, c AS symbol, count(*) AS n FROM f GROUP BY s, c UNION ALL SELECT 'step', s, nx, count(*) FROM f WHERE nx IS NOT NULL GROUP BY s, nx UNION ALL SELECT 'start', s, '', count(*) FROM f WHERE seq = 1 GROUP BY s",
+    "word_candidates": f"WITH j AS (SELECT {JUDGMENT} AS t FROM orders), r AS (SELECT unnest(regexp_extract_all(t, '[\u3400-\u4dbf\u4e00-\u9fff\u3007\uf900-\ufaff]+')) AS run FROM j), "
+    "s AS (SELECT substr(run, a, z) AS word, CASE WHEN a > 1 THEN substr(run, a - 1, 1) ELSE '' END AS l, substr(run, a + z, 1) AS r FROM (SELECT run, a, unnest(range(1, least(4, length(run) - a + 1) + 1)) AS z FROM (SELECT run, unnest(range(1, length(run) + 1)) AS a FROM r))), "
+    "e AS (SELECT word, count(*) AS n FROM s GROUP BY word), u AS (SELECT sum(n) AS total FROM e WHERE length(word) = 1), "
+    "m AS (SELECT word, min(ln(n * total / (na * nb))) AS cohesion FROM (SELECT x.word, CAST(x.n AS DOUBLE) AS n, CAST(a.n AS DOUBLE) AS na, CAST(b.n AS DOUBLE) AS nb, CAST(total AS DOUBLE) AS total FROM (SELECT word, n, unnest(range(1, length(word))) AS c FROM e WHERE n >= 20 AND length(word) > 1) x "
+    "JOIN e a ON a.word = substr(x.word, 1, c) JOIN e b ON b.word = substr(x.word, c + 1), u) GROUP BY word), "
+    "hl AS (SELECT word, ln(sum(k)) - sum(CASE WHEN l = '' THEN 0 ELSE k * ln(k) END) / sum(k) AS h FROM (SELECT word, l, CAST(count(*) AS DOUBLE) AS k FROM s GROUP BY word, l) GROUP BY word), "
+    "hr AS (SELECT word, ln(sum(k)) - sum(CASE WHEN r = '' THEN 0 ELSE k * ln(k) END) / sum(k) AS h FROM (SELECT word, r, CAST(count(*) AS DOUBLE) AS k FROM s GROUP BY word, r) GROUP BY word) "
+    "SELECT word, n, round(cohesion, 6) AS cohesion, round(least(hl.h, hr.h), 6) AS branching FROM e JOIN m USING (word) JOIN hl USING (word) JOIN hr USING (word) WHERE cohesion >= 2 AND least(hl.h, hr.h) >= 0.7 "
+    "UNION ALL SELECT word, n, NULL, NULL FROM e WHERE length(word) = 1",
 }

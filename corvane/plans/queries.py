@@ -15,10 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import metadata as meta
-from corvane.functions.segment import lexicon_lines
+from corvane.functions.segment import lexicon_lines, segmented, with_user_words
 from corvane.functions.text import STOP_WORDS, contains_any, index_tokens, word_index_tokens, word_tokens
 from corvane.functions.vectors import cosine
-from corvane.operators import bm25, hybrid, prompts, results, vector
+from corvane.operators import bm25, hybrid, lexicon, prompts, results, vector
 from corvane.operators.chunking import chunks
 from corvane.operators.index import Index, corpus_stats, counted, doc_freq, postings, tokenised
 from corvane.operators.index import chunk_stats as index_lengths
@@ -443,7 +443,34 @@ def vectors_current(spark, d):
 def sql_functions(spark, d):
     """Functions that are registered for SQL."""
     register(spark)
-    return _docs(spark, d).selectExpr("doc_id", "array_join(word_tokens(text), ' ') AS words", "ascii_lower(text) AS low", "lex_tokens(substring(text, 1, 0)) AS none").select("doc_id", "words", "low", F.size("none").alias("none"))
+    body = F.concat(F.lit("BT ("), F.expr("regexp_replace(substring_index(text, '.', 1), '[^A-Za-z ]', '')"), F.lit(") Tj ET"))
+    pdf = F.concat(F.lit(b"%PDF-1.4\n1 0 "), _stream(F.encode(body, "UTF-8"), b""), F.lit(b"%%EOF"))
+    return _docs(spark, d).withColumn("pdf", pdf).selectExpr("doc_id", "array_join(word_tokens(text), ' ') AS words", "ascii_lower(text) AS low", "array_join(lex_tokens(text), ' ') AS pieces", "pdf_text(pdf) AS shown", "size(embed(text)) AS dim")
+
+
+#: Words that a user's file has, one of each nation, and texts of these and of words of the lexicon.
+HAN_NUMBER = "translate(CAST({} AS STRING), '0123456789', '零壹贰叁肆伍陆柒捌玖')"
+HAN_LINES = "('丙' || " + HAN_NUMBER.format("n_nationkey") + " || '丁' || ' ' || CAST(n_nationkey + 5 AS STRING) || ' nz')"
+HAN_PARTS = ("'原告'", "'丙' || " + HAN_NUMBER.format("c_nationkey") + " || '丁'", "'审理'", "'丙' || " + HAN_NUMBER.format("(c_nationkey + 7) % 25") + " || '丁'", "'，'", "'被告'", "'ab9'", "'丙' || " + HAN_NUMBER.format("c_custkey % 25") + " || '丁'")
+
+
+def user_words_cut(spark, d):
+    """Texts without blanks, cut by a lexicon with a user's words."""
+    words = with_user_words(lexicon_lines(table(spark, d, "nation").select(F.expr(HAN_LINES).alias("value"))))
+    text = F.expr(" || ".join(HAN_PARTS))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(segmented(text, words), " ").alias("words"))
+
+
+def segment_counts(spark, d):
+    """How often characters begin, continue, end or are the words of documents."""
+    rows = _docs(spark, d)
+    return lexicon.position_counts(rows, word_tokens(F.col("text")))
+
+
+def word_candidates(spark, d):
+    """Words of the judgments, found by counts, cohesion and branching alone."""
+    found = lexicon.candidates(lexicon.runs(_judgments(spark, d)), longest=4, least=20)
+    return found.select("word", "n", _six("cohesion").alias("cohesion"), _six("branching").alias("branching"))
 
 
 # ---- the engine as a whole
@@ -535,5 +562,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stop_word_share": stop_word_share, "marked_documents": marked_documents, "rollup_lines": rollup_lines, "file_texts": file_texts, "file_chunks": file_chunks, "pdf_texts": pdf_texts,
     "more_stop_words": more_stop_words, "user_words": user_words, "index_cleared": index_cleared, "vectors_added": vectors_added, "vectors_current": vectors_current, "engine_search": engine_search,
     "engine_fallback": engine_fallback, "engine_replaced": engine_replaced, "engine_reloaded": engine_reloaded, "engine_answer": engine_answer, "sql_functions": sql_functions, "engine_batches": engine_batches, "bm25_pruned": bm25_pruned, "stored_doc_freq": stored_doc_freq, "stored_stats": stored_stats,
-    "stored_lookup": stored_lookup,
+    "stored_lookup": stored_lookup, "user_words_cut": user_words_cut, "segment_counts": segment_counts, "word_candidates": word_candidates,
 }

@@ -27,11 +27,11 @@ def register(spark: SparkSession, lexicon: Iterable[str] = DEFAULT, embedding: E
     for name, (kind, body) in TEXT_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS {kind} RETURN {body}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {COSINE}")
-    cutter, provider = Cutter(lexicon), embedding or HashingProvider()
+    held, provider = spark.sparkContext.broadcast(Cutter(lexicon)), embedding or HashingProvider()
 
     @F.pandas_udf("array<string>")
     def lex_tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(cutter)
+        return pd.Series(held.value.many(texts), dtype=object)
 
     @F.pandas_udf("string")
     def pdf_text(contents: pd.Series) -> pd.Series:
