@@ -2,12 +2,14 @@
 
 One query runs on built-in expressions. Many queries are taken in blocks: both sides are packed into rows
 that hold a block each, every block of queries meets every block of vectors in some task, which
-multiplies the two in numpy and keeps the best k a query. Nothing of either side reaches the driver.
+multiplies the two in numpy, where the block's directions allow for one of the best k, and keeps the best k a query over
+all its blocks. Of the vectors a bounded number of pivots reaches the driver, of the queries nothing.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import urllib.request
 from collections.abc import Iterator, Sequence
 from typing import Protocol
@@ -20,8 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions.vectors import TINY, cosine
+from corvane.sources.shared import materialize
 
 BLOCK = 2048
+#: Groups of vectors by direction; rows of results that a task holds.
+TILES, HELD = 256, 2_000_000
 PER_CALL = 20
 
 
@@ -32,8 +37,10 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int = 5, id_col: str =
 
 
 def _packed(rows: DataFrame, block: int, prefix: str) -> DataFrame:
-    """rows: id, vec. Blocks of up to `block` rows of one length: dim, ids (an array), values (doubles, row by row)."""
-    kind = T.StructType([T.StructField(f"{prefix}_dim", T.IntegerType()), T.StructField(f"{prefix}_ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField(f"{prefix}_values", T.BinaryType())])
+    """rows: id, vec. Blocks of up to `block` rows of one length, in the order they come: dim, ids (an array), values (doubles, row by
+    row), and a cone that holds their directions: its axis and the cosine of its half angle."""
+    kinds = f"{prefix}_dim int, {prefix}_values binary, {prefix}_axis binary, {prefix}_cone double"
+    kind = T.StructType([T.StructField(f"{prefix}_ids", T.ArrayType(rows.schema["id"].dataType)), *T.StructType.fromDDL(kinds).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,49 +50,143 @@ def _packed(rows: DataFrame, block: int, prefix: str) -> DataFrame:
                 for dim in sorted({len(v) for v in vecs}):
                     some = [i for i, v in enumerate(vecs) if len(v) == dim]
                     ids = part.column(0).take(pa.array(some, pa.int64()))
-                    values = np.array([vecs[i] for i in some], float).tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([dim], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([values], pa.binary())], names=kind.names
-                    )
+                    values = np.array([vecs[i] for i in some], float).reshape(len(some), dim)
+                    axis, half = _cone(values)
+                    cells = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x], k) for x, k in ((dim, pa.int32()), (values.tobytes(), pa.binary()), (axis.tobytes(), pa.binary()), (half, pa.float64())))]
+                    yield pa.RecordBatch.from_arrays(cells, names=kind.names)
 
     return rows.mapInArrow(run, kind)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+def _cone(values: np.ndarray) -> tuple[np.ndarray, float]:
+    """Axis and half angle of a cone around rows; half a turn if one of them has no direction."""
+    size = np.sqrt((values * values).sum(1))
+    if not values.shape[1] or not np.isfinite(size).all() or (size < TINY).any():
+        return np.zeros(values.shape[1]), math.pi
+    units = values / size[:, None]
+    axis = units.sum(0)
+    length = math.sqrt(axis @ axis)
+    if length < 1e-9:
+        return np.zeros(values.shape[1]), math.pi
+    return axis / length, float(np.arccos(np.clip(units @ (axis / length), -1, 1)).max())
+
+
+def _by_direction(rows: DataFrame, tiles: int) -> DataFrame:
+    """rows: id, vec, dealt so that vectors next to one of `tiles` pivots stand together. Pivots are vectors with the least hashes."""
+    mark = F.xxhash64(F.col("id").cast("string") if not isinstance(rows.schema["id"].dataType, T.StructType) else F.to_json("id"))
+    usable = rows.where("vec is not null and size(vec) > 0 and not exists(vec, x -> x is null)")
+    found = [np.array(r.vec, float) for r in usable.orderBy(mark, F.to_json("vec")).select("vec").limit(tiles).collect()]
+    pivots = [p / n for p in found if (n := math.sqrt(p @ p)) > TINY and len(p) == len(found[0])]
+    if not pivots:
+        return rows
+    held = rows.sparkSession.sparkContext.broadcast(np.array(pivots))
+    kind = T.StructType([*rows.schema.fields, T.StructField("tile", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vecs = batch.column(1).to_pylist()
+            good = [i for i, v in enumerate(vecs) if v is not None and len(v) == held.value.shape[1] and None not in v]
+            tile = np.full(len(vecs), -1, np.int32)
+            if good:
+                tile[good] = (np.array([vecs[i] for i in good], float) @ held.value.T).argmax(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tile)], names=kind.names)
+
+    # by range, so that a tile of many vectors is dealt to several tasks
+    return rows.mapInArrow(run, kind).repartitionByRange("tile", mark).sortWithinPartitions("tile").select("id", "vec")
+
+
+class Best:
+    """The best k of the vectors that a block of queries has met so far, ties by id."""
+
+    def __init__(self, ids: pa.Array, k: int):
+        self.ids, self.k = ids, k
+        self.rows: list[list[tuple]] = [[] for _ in range(len(ids))]
+        self.least = np.full(len(ids), -np.inf)  # what a vector must have to be looked at
+
+    def offer(self, query: np.ndarray, sims: np.ndarray, ids: list) -> None:
+        """Similarities of vectors, by their place in ids, for some of the queries; (query, vector) side by side."""
+        for at, q in enumerate(query.tolist()):
+            own = np.flatnonzero(sims[at] >= self.least[q])
+            if len(own) > self.k:  # those that may be among the best k: all that reach the k-th
+                limit = np.partition(sims[at][own], -self.k)[-self.k]
+                own = own[sims[at][own] >= limit]
+            if len(own):
+                new = [(-s, _rank(ids[i]), ids[i]) for s, i in zip(sims[at][own].tolist(), own.tolist())]
+                self.rows[q] = sorted(self.rows[q] + new, key=lambda r: r[:2])[: self.k]
+                if len(self.rows[q]) == self.k:
+                    self.least[q] = -self.rows[q][-1][0]
+
+    def batch(self, kind: pa.DataType) -> pa.RecordBatch:
+        at = [i for i, rows in enumerate(self.rows) for _ in rows]
+        flat = [r for rows in self.rows for r in rows]
+        return pa.RecordBatch.from_arrays([self.ids.take(pa.array(at, pa.int64())), pa.array([r[2] for r in flat], kind), pa.array([-r[0] for r in flat], pa.float64())], names=["query_id", "vec_id", "similarity"])
+
+
+def _rank(x: object) -> tuple:
+    """Null first, as Spark sorts."""
+    if isinstance(x, dict):
+        return (True, tuple(map(_rank, x.values())))
+    return (False,) if x is None else (True, x)
+
+
+def compared(v_dim: int, v_values: bytes, v_axis: bytes, v_half: float, v_ids: list, q_dim: int, q_values: bytes, best: Best) -> tuple[int, int]:
+    """Offers a block of vectors to a block of queries. A query is left out if the cone of the block cannot hold a vector as
+    near as its k-th best: for a vector v in the cone, the angle between q and v is at least that between q and the axis less half the cone's.
+    (queries compared, queries left out)."""
+    n = len(best.ids)
+    if v_dim != q_dim or not v_dim:
+        some = np.flatnonzero(best.least <= 0)
+        best.offer(some, np.zeros((len(some), len(v_ids))), v_ids)
+        return len(some), n - len(some)
+    asked = np.frombuffer(q_values).reshape(-1, q_dim)
+    size = np.sqrt((asked * asked).sum(1))
+    some = np.arange(n)
+    if v_half < math.pi:
+        angle = np.arccos(np.clip(asked @ np.frombuffer(v_axis) / np.maximum(size, TINY), -1, 1))
+        most = np.where(size < TINY, 0.0, np.cos(np.maximum(0.0, angle - v_half)))
+        some = np.flatnonzero(most + 1e-7 >= best.least)
+    if len(some):
+        m = np.frombuffer(v_values).reshape(-1, v_dim)
+        sizes = np.outer(size[some], np.sqrt((m * m).sum(1)))
+        # rounded, so that ties do not hang on the order in which products were summed
+        best.offer(some, np.round(np.where(sizes < TINY, 0.0, asked[some] @ m.T / np.maximum(sizes, TINY)), 12), v_ids)
+    return len(some), n - len(some)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, tiles: int = TILES) -> DataFrame:
     """queries: query_id, vec. Returns query_id, vec_id, similarity, rank: for each query k of the vectors, those
-    of another length than the query's and null ones with a similarity of 0."""
-    rows = _packed(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")), block, "v")
-    asked = _packed(queries.select(F.col("query_id").alias("id"), F.col("vec")), block, "q")
+    of another length than the query's and null ones with a similarity of 0. Vectors that point the same way stand in one block
+    (`tiles` of them; 0: as they come), and a block is left out for the queries that it holds nothing for; a task keeps
+    the best k of each query and hands on these alone."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    # tables, so that neither side is made again for each part of the other
+    blocks = materialize(_packed(_by_direction(rows, tiles) if tiles else rows, block, "v"), "vector-blocks")
+    asked = materialize(_packed(queries.select(F.col("query_id").alias("id"), F.col("vec")), block, "q").drop("q_axis", "q_cone").withColumn("q_no", F.monotonically_increasing_id()), "vector-queries")
     schema = T.StructType([queries.schema["query_id"], T.StructField("vec_id", vectors.schema[id_col].dataType), T.StructField("similarity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, Best] = {}
+        kind = None
         for batch in batches:
+            cell = dict(zip(batch.schema.names, batch.columns))
+            kind = cell["v_ids"].type.value_type
             for i in range(batch.num_rows):
-                v_dim, v_ids, v_values, q_dim, q_ids, q_values = (c[i] for c in batch.columns)
-                yield _best(v_dim.as_py(), v_ids.values, v_values.as_py(), q_dim.as_py(), q_ids.values, q_values.as_py(), k)
+                q_ids, q_values, q_dim = cell["q_ids"][i].values, cell["q_values"][i].as_py(), cell["q_dim"][i].as_py()
+                name = cell["q_no"][i].as_py()
+                if name not in best:
+                    if sum(len(b.ids) for b in best.values()) * k > HELD:
+                        yield from (b.batch(kind) for b in best.values())
+                        best.clear()
+                    best[name] = Best(q_ids, k)
+                compared(cell["v_dim"][i].as_py(), cell["v_values"][i].as_py(), cell["v_axis"][i].as_py(), cell["v_cone"][i].as_py(), cell["v_ids"][i].values.to_pylist(), q_dim, q_values, best[name])
+        yield from (b.batch(kind) for b in best.values())
 
     # a stated set of queries against all rows, in blocks
-    found = rows.crossJoin(asked).mapInArrow(run, schema)
+    found = blocks.crossJoin(asked).mapInArrow(run, schema)
     order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("vec_id", id_col)
 
 
-def _best(v_dim: int, v_ids: pa.Array, v_values: bytes, q_dim: int, q_ids: pa.Array, q_values: bytes, k: int) -> pa.RecordBatch:
-    """The best k of a block of vectors for each of a block of queries."""
-    if v_dim == q_dim and v_dim:
-        m, asked = np.frombuffer(v_values).reshape(-1, v_dim), np.frombuffer(q_values).reshape(-1, q_dim)
-        size = np.outer(np.sqrt((asked * asked).sum(1)), np.sqrt((m * m).sum(1)))
-        # rounded, so that ties do not hang on the order in which products were summed
-        sim = np.round(np.where(size < TINY, 0.0, asked @ m.T / np.maximum(size, TINY)), 12)
-    else:
-        sim = np.zeros((len(q_ids), len(v_ids)))
-    keys = [tuple(x.values()) if isinstance(x, dict) else x for x in v_ids.to_pylist()]
-    order = np.array(sorted(range(len(keys)), key=lambda i: (False, 0) if keys[i] is None else (True, keys[i])), np.int64)
-    best = order[np.argsort(-sim[:, order], axis=1, kind="stable")[:, :k]]
-    at = np.repeat(np.arange(len(q_ids)), best.shape[1])
-    return pa.RecordBatch.from_arrays([q_ids.take(pa.array(at)), v_ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(sim, best, 1).ravel())], names=["query_id", "vec_id", "similarity"])
-
-
 class EmbeddingProvider(Protocol):
     """Turns texts into vectors. `ready` is false if there is no way to (no key, say)."""
 

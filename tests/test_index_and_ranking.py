@@ -129,3 +129,67 @@ def test_many_queries_with_struct_ids_against_brute_force(spark, block):
     want = {(i, rank + 1): (f"d{k // 3}", k % 3) for i in range(17) for rank, k in enumerate(np.argsort(-sim[i])[:4])}
     assert {(r.query_id, r.rank): tuple(r.id) for r in got.collect()} == want
     assert vector.search(v, q.limit(0), 4, id_col="id", vec_col="vec").collect() == [] == vector.search(v.limit(0), q, 4, id_col="id", vec_col="vec").collect()
+
+
+def nearest(vectors, queries, k):
+    """By a plain loop."""
+    out = []
+    for q, a in queries:
+        sims = []
+        for v, b in vectors:
+            if a is None or b is None or len(a) != len(b) or None in a or None in b or not a:
+                s = 0.0
+            else:
+                n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+                s = 0.0 if n < 1e-12 else sum(x * y for x, y in zip(a, b)) / n
+            sims.append((-round(s, 10), v is not None, v if v is not None else 0))
+        out += [(q, r, v if some else None, -s) for r, (s, some, v) in enumerate(sorted(sims)[:k], 1)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("tiles", "block", "held"), [(0, 2048, 10**6), (5, 7, 10**6), (50, 20, 30)])
+def test_pruned_search_equals_a_loop(spark, monkeypatch, tiles, block, held):
+    """Clusters, ties, opposite vectors, zeros, nulls, other lengths and repeated queries."""
+    monkeypatch.setattr(vector, "HELD", held)
+    rng = np.random.default_rng(tiles)
+    centers = rng.normal(size=(6, 8))
+    vecs = [(i, (centers[i % 6] + 0.1 * rng.normal(size=8)).round(6).tolist()) for i in range(150)]
+    vecs += [(200 + i, vecs[i][1]) for i in range(10)] + [(300, (-centers[0]).tolist()), (301, [0.0] * 8), (302, None), (303, [1.0]), (304, []), (305, [None] * 8), (None, vecs[0][1])]
+    asked = [(i, v) for i, v in vecs[:12]] + [(400, (-centers[1]).tolist()), (401, [0.0] * 8), (402, None), (403, [1.0]), (404, (centers[2] * 1e-3).tolist())]
+    asked += asked[:1]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id long, vec array<double>").coalesce(1)
+    k = 4
+    got = vector.search(df, q, k, block=block, tiles=tiles)
+    once = {}
+    for r in got.collect():
+        once.setdefault((r.query_id, r["rank"]), (r.query_id, r["rank"], r.vec_id, round(r.similarity, 10)))
+    want = {(w[0], w[1]): w for w in nearest(vecs, asked[1:], k)}
+    same = {key for key in want if key[0] not in (asked[0][0],)}
+    assert {key: once[key] for key in same} == {key: want[key] for key in same}
+    assert vector.search(df.limit(0), q, k).collect() == [] and vector.search(df, q.limit(0), k).collect() == []
+
+
+def test_blocks_that_point_elsewhere_are_left_out():
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(20, 16))
+    blocks = [(c + 0.05 * rng.normal(size=(50, 16))) for c in centers]
+    asked = np.concatenate([b[:3] for b in blocks])
+    import pyarrow as pa
+
+    best = vector.Best(pa.array(range(len(asked))), 5)
+    done = left = 0
+    for _ in range(2):
+        for i, b in enumerate(blocks):
+            axis, half = vector._cone(b)
+            x, y = vector.compared(16, b.tobytes(), axis.tobytes(), half, [1000 * i + j for j in range(50)], 16, asked.tobytes(), best)
+            done, left = done + x, left + y
+        if _ == 0:
+            first = [list(r) for r in best.rows]
+            best = vector.Best(best.ids, 5)
+    assert left > 0.3 * (done + left)
+    flat = np.concatenate(blocks)
+    sims = np.round(asked @ flat.T / np.outer(np.linalg.norm(asked, axis=1), np.linalg.norm(flat, axis=1)), 12)
+    for q, rows in enumerate(first):
+        order = sorted(range(len(flat)), key=lambda j: (-sims[q, j], j))[:5]
+        assert [r[2] for r in rows] == [1000 * (j // 50) + j % 50 for j in order]
