@@ -16,7 +16,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -284,3 +284,32 @@ def current(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 def sync(chunks: DataFrame, vectors: DataFrame, provider: EmbeddingProvider) -> DataFrame:
     """The vectors of all chunks: those there are, without those of chunks that are gone, and new ones."""
     return add(current(chunks, vectors), embed(missing(chunks, vectors), provider))
+
+
+def model_of(provider: EmbeddingProvider) -> str:
+    """What tells a provider's vectors from others': its `model`, or the name of its class."""
+    return str(getattr(provider, "model", None) or type(provider).__name__)
+
+
+def digest(content: Column) -> Column:
+    return F.sha2(F.coalesce(content, F.lit("")), 256)
+
+
+def misses(chunks: DataFrame, stored: DataFrame | None, model: str) -> DataFrame:
+    """digest, content: the different contents of chunks for which there is no vector of the model. stored: digest, model, vec."""
+    # a content that very many chunks have is one row a task before it is shuffled
+    rows = chunks.select(digest(F.col("content")).alias("digest"), "content").groupBy("digest").agg(F.first("content").alias("content"))
+    return rows if stored is None else rows.join(stored.where(F.col("model") == model).select("digest"), "digest", "left_anti")
+
+
+def embed_contents(contents: DataFrame, provider: EmbeddingProvider, model: str, per_call: int = PER_CALL) -> DataFrame:
+    """digest, model, vec of rows of `misses`."""
+    made = embed(contents.select(F.col("digest").alias("doc_id"), F.lit(0).alias("chunk_index"), "content"), provider, per_call)
+    return made.select(F.col("doc_id").alias("digest"), F.lit(model).alias("model"), "vec")
+
+
+def of_chunks(chunks: DataFrame, stored: DataFrame, model: str | None = None) -> DataFrame:
+    """doc_id, chunk_index, vec of chunks whose content has a vector; one, if it is stored twice. model: None takes any."""
+    own = stored if model is None else stored.where(F.col("model") == model)
+    own = own.groupBy("digest").agg(F.max(F.struct("model", "vec")).alias("v"))
+    return chunks.select("doc_id", "chunk_index", digest(F.col("content")).alias("digest")).join(own, "digest").select("doc_id", "chunk_index", "v.vec")

@@ -179,9 +179,10 @@ class Engine:
         for name in ("documents", "chunks", "metadata"):
             rows = self._current(name)
             (rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY) if name == "chunks" else rows).write.mode("overwrite").parquet(f"{path}/{name}/batch=1")
-        stored = self.vectors
+        stored = self._all("vectors")
         if stored is not None:
-            stored.withColumn("of", F.lit(1)).write.mode("overwrite").parquet(f"{path}/vectors")
+            kept = self.chunks.select(vector.digest(F.col("content")).alias("digest")).distinct()
+            stored.join(kept, "digest", "left_semi").write.mode("overwrite").parquet(f"{path}/vectors")
         self.stored.merged(f"{path}/index")
 
     def load(self, path: str) -> Engine:
@@ -189,25 +190,22 @@ class Engine:
         self.path = path
         return self
 
-    def _vectors(self) -> DataFrame | None:
-        """doc_id, chunk_index, vec, of (the batch of the chunk), outdated ones too."""
-        return self._all("vectors") if self.path else None
-
     @property
     def vectors(self) -> DataFrame | None:
-        """doc_id, chunk_index, vec of the chunks that are there."""
-        stored = self._vectors()
+        """doc_id, chunk_index, vec of the chunks that are there and whose contents have a vector of this provider's (any, without one)."""
+        stored = self._all("vectors") if self.path else None
         if stored is None or self.empty:
             return None
-        keys = self._latest("chunks").select(*KEY, F.col("batch").alias("of"))
-        return stored.join(keys, [*KEY, "of"], "left_semi").drop("of")
+        model = vector.model_of(self.embedding) if self.embedding else None
+        return vector.of_chunks(self.chunks, stored, model)
 
     def sync_vectors(self) -> DataFrame:
-        """Embeds and stores what has no vector yet."""
-        cut, stored = self._latest("chunks").withColumnRenamed("batch", "of"), self._vectors()
-        todo = cut if stored is None else cut.join(stored.select(*KEY, "of"), [*KEY, "of"], "left_anti")
-        made = vector.embed(todo, self.embedding).join(todo.select(*KEY, "of"), list(KEY))
-        made.write.mode("append").parquet(f"{self.path}/vectors")
+        """Embeds and stores contents that have no vector yet, each once, whatever the number of chunks and documents that have it and
+        however often these are replaced."""
+        model = vector.model_of(self.embedding)
+        todo = vector.misses(self.chunks, self._all("vectors"), model)
+        # a failed append leaves nothing behind, and what two writers have both asked for is read once
+        vector.embed_contents(todo, self.embedding, model).write.mode("append").parquet(f"{self.path}/vectors")
         return self.vectors
 
     def queries(self, texts: Iterable[str]) -> DataFrame:

@@ -192,6 +192,7 @@ ORACLE = {
     "SELECT CAST(r AS INTEGER) AS rank, doc_id, round(s, 6) AS final_score, (SELECT string_agg(DISTINCT substr(date, 1, 4), ' ' ORDER BY substr(date, 1, 4)) FROM best JOIN kept USING (doc_id)) AS years FROM best JOIN kept USING (doc_id) WHERE case_type = '民事'",
     "sql_functions": f"SELECT doc_id, array_to_string({WORDS.format('text')}, ' ') AS words, translate(text, '{UPPER}', '{LOWER}') AS low, array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+(?:\\.[0-9]+)*|[^\\s]'), ' ') AS pieces, "
     "trim(regexp_replace(split_part(text, '.', 1), '[^A-Za-z ]', '', 'g')) AS shown, CAST(64 AS INTEGER) AS dim FROM documents",
+    "vector_misses": "SELECT DISTINCT sha256(coalesce(text, '')) AS digest, text AS content FROM documents WHERE coalesce(text, '') NOT IN (SELECT coalesce(text, '') FROM documents WHERE doc_id % 3 = 0)",
     "user_words_cut": f"SELECT c_custkey, {" || ' ' || ".join(HAN_PARTS).replace('STRING', 'VARCHAR')} AS words FROM customer",
     "segment_counts": f"WITH w AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), "
     "i AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM w), "

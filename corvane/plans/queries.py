@@ -440,6 +440,14 @@ def vectors_current(spark, d):
     return vector.current(cut, have).select("doc_id")
 
 
+def vector_misses(spark, d):
+    """The different contents that have to be asked for, when those of a third of the documents are stored."""
+    rows = _docs(spark, d).select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
+    model = vector.model_of(vector.HashingProvider())
+    stored = vector.embed_contents(vector.misses(rows.where("doc_id % 3 = 0"), None, model), vector.HashingProvider(), model)
+    return vector.misses(rows, materialize(stored, "vectors"), model)
+
+
 def sql_functions(spark, d):
     """Functions that are registered for SQL."""
     register(spark)
@@ -541,7 +549,9 @@ def engine_reloaded(spark, d):
     e = _engine(spark, _docs(spark, d), embedding=vector.HashingProvider())
     e.sync_vectors()
     e.save(path)
-    return Engine(spark, embedding=Failing()).load(path).sync_vectors().select("doc_id", "chunk_index", F.size("vec").alias("dim"))
+    gone = Failing()
+    gone.model = vector.model_of(e.embedding)
+    return Engine(spark, embedding=gone).load(path).sync_vectors().select("doc_id", "chunk_index", F.size("vec").alias("dim"))
 
 
 def engine_answer(spark, d):
@@ -563,4 +573,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "more_stop_words": more_stop_words, "user_words": user_words, "index_cleared": index_cleared, "vectors_added": vectors_added, "vectors_current": vectors_current, "engine_search": engine_search,
     "engine_fallback": engine_fallback, "engine_replaced": engine_replaced, "engine_reloaded": engine_reloaded, "engine_answer": engine_answer, "sql_functions": sql_functions, "engine_batches": engine_batches, "bm25_pruned": bm25_pruned, "stored_doc_freq": stored_doc_freq, "stored_stats": stored_stats,
     "stored_lookup": stored_lookup, "user_words_cut": user_words_cut, "segment_counts": segment_counts, "word_candidates": word_candidates,
+    "vector_misses": vector_misses,
 }

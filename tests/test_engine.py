@@ -225,3 +225,64 @@ def test_keys_of_the_environment(spark, monkeypatch):
     assert results.key_from_environment() == "" and results.key_from_environment("NONE", "OTHER_KEY") == "k"
     e = remote(spark, "http://localhost:9", "http://localhost:9")
     assert not e.embedding.ready and not e.chat.ready and prompts.generate(e.chat, "s", "u").startswith("错误")
+
+
+class Counting:
+    """Notes each text that it is asked for, in a file."""
+
+    ready = True
+    model = "counting"
+
+    def __init__(self, path):
+        self.path = str(path)
+
+    def embed(self, texts):
+        with open(self.path, "a", encoding="utf-8") as f:
+            f.writelines(t.replace("\n", " ") + "\n" for t in texts)
+        return vector.HashingProvider().embed(texts)
+
+
+def test_a_content_is_asked_for_once(spark, tmp_path):
+    asked = tmp_path / "asked"
+    lines = lambda: asked.read_text(encoding="utf-8").split("\n")[:-1] if asked.exists() else []
+    put = lambda *rows: spark.createDataFrame(list(rows), "doc_id string, text string")
+    e = Engine(spark, embedding=Counting(asked)).add(put(("a", "one text"), ("b", "one text"), ("c", "another")))
+    assert e.sync_vectors().count() == 3 and sorted(lines()) == ["another", "one text"]
+    # replaced by what was there before, and by something new
+    e.add(put(("a", "another"), ("d", "one text"), ("e", "third")))
+    got = {r.doc_id: r.vec for r in e.sync_vectors().collect()}
+    assert sorted(lines()) == ["another", "one text", "third"] and got["a"] == got["c"] and got["b"] == got["d"] and len(got) == 5
+    e.add(put(("c", "fourth")))
+    e.add(put(("c", "another")))
+    assert e.sync_vectors().count() == 5 and len(lines()) == 3
+    # kept when saved, with what is there only; another model asks anew
+    e.add(put(("e", "one text")))
+    e.save(str(tmp_path / "saved"))
+    again = Engine(spark, embedding=Counting(asked)).load(str(tmp_path / "saved"))
+    assert again.sync_vectors().count() == 5 and len(lines()) == 3
+    assert spark.read.parquet(str(tmp_path / "saved" / "vectors")).count() == 2
+    other = Counting(asked)
+    other.model = "other"
+    assert Engine(spark, embedding=other).load(str(tmp_path / "saved")).sync_vectors().count() == 5 and len(lines()) == 5
+
+
+def test_what_two_writers_stored_is_read_once(spark, tmp_path):
+    e = Engine(spark, embedding=vector.HashingProvider()).add(spark.createDataFrame([("a", "x"), ("b", None)], "doc_id string, text string"))
+    e.sync_vectors()
+    spark.read.parquet(f"{e.path}/vectors").write.mode("append").parquet(f"{e.path}/vectors")
+    assert e.vectors.count() == 1 and e.sync_vectors().count() == 1
+
+
+def test_writers_that_share_a_folder_lose_nothing(spark, tmp_path):
+    """Two engines that were loaded from one path add a document each; a batch number is taken once."""
+    put = lambda *rows: spark.createDataFrame(list(rows), "doc_id string, text string")
+    first = Engine(spark, path=str(tmp_path / "e")).add(put(("a", "alpha")))
+    second = Engine(spark).load(first.path)
+    second.add(put(("b", "beta")))
+    first.add(put(("c", "gamma"), ("a", "delta")))
+    assert {r.doc_id: r.text for r in second.documents.collect()} == {"a": "delta", "b": "beta", "c": "gamma"}
+    assert second.search("delta").first().doc_id == "a" and second.search("alpha").count() == 0 and first.search("beta").first().doc_id == "b"
+    # what a writer has begun and not ended is not read, and its number not taken again
+    put(("x", "lost")).write.parquet(f"{first.path}/documents/batch=4")
+    first.add(put(("d", "kappa")))
+    assert {r.doc_id for r in second.documents.collect()} == {"a", "b", "c", "d"} and second.stored.batches() == [1, 2, 3, 5]
