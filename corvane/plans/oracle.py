@@ -163,6 +163,8 @@ ORACLE = {
     "request_body": "SELECT r_regionkey, r_name AS user, 'true' AS stream, '2048' AS max_tokens FROM region",
     "sse_concat": f"WITH l AS (SELECT user_id, event_id, {SSE} AS line FROM events) SELECT user_id, string_agg(CASE WHEN line LIKE 'data: {{\"%' THEN json_extract_string(substr(line, 7), '$.choices[0].delta.content') ELSE '' END, '' ORDER BY event_id) AS text "
     "FROM l WHERE line LIKE 'data: {\"%' GROUP BY user_id",
+    "stream_texts": f"WITH l AS (SELECT user_id, event_id, {SSE} AS line FROM events) SELECT user_id, string_agg(CASE WHEN line LIKE 'data: {{\"%' THEN json_extract_string(substr(line, 7), '$.choices[0].delta.content') ELSE '' END, '' ORDER BY event_id) AS text, "
+    "'marker' AS ended FROM l WHERE line <> 'data: [DONE]' GROUP BY user_id",
     "parse_delta": f"WITH l AS (SELECT event_id, {SSE} AS line FROM events) SELECT event_id, CASE WHEN line LIKE 'data: {{\"%' THEN json_extract_string(substr(line, 7), '$.choices[0].delta.content') ELSE '' END AS text FROM l",
     "api_keys": f"SELECT c_custkey, regexp_full_match({KEYS}, 'sk-[a-zA-Z0-9-]*') AND strlen({KEYS}) >= 20 AS valid FROM customer",
     "stop_word_share": f"SELECT lang, CAST(sum(len({WORDS.format('text')})) AS BIGINT) AS n_tokens, CAST(sum(len({tokens('text')})) AS BIGINT) AS n_indexed FROM documents GROUP BY lang",

@@ -28,6 +28,7 @@ from corvane.plans.sql import register
 from corvane.sources import files
 from corvane.sources.shared import fresh_path, materialize
 from corvane.sources.tables import table
+from corvane.streaming.events import texts
 
 QUERY = "the thanedble attion ononble erstly ononble"
 K = 10
@@ -350,6 +351,22 @@ def sse_concat(spark, d):
     return prompts.sse_text(rows, by="user_id")
 
 
+def stream_texts(spark, d):
+    """Each user's events as one event stream, cut every 37 bytes, wherever that is, and read as a stream with state."""
+    rows = table(spark, d, "events").select("user_id", "event_id", F.expr(SSE).alias("line")).where("line <> 'data: [DONE]'")
+    whole = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), F.lit("data: [DONE]"), F.lit("data: not heard"))
+    streams = rows.groupBy("user_id").agg(F.encode(whole, "UTF-8").alias("b"))
+    cut = streams.select(F.col("user_id").alias("stream_id"), "b", F.explode(F.expr("sequence(0L, (octet_length(b) - 1) div 37)")).alias("seq"))
+    pieces = cut.select("stream_id", "seq", F.expr("substring(b, cast(seq * 37 + 1 as int), 37)").alias("piece"))
+    at = fresh_path(spark, "stream-texts")
+    pieces.repartition(4, F.pmod(F.hash("stream_id", "seq"), F.lit(97))).write.parquet(f"{at}/pieces")
+    stream = texts(spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/pieces"))
+    stream.writeStream.format("parquet").option("path", f"{at}/texts").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(f"{at}/texts")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
+    return found.groupBy(F.col("stream_id").alias("user_id")).agg(F.array_join(parts, "").alias("text"), F.max("ended").alias("ended"))
+
+
 def parse_delta(spark, d):
     rows = table(spark, d, "events").select("event_id", F.expr(SSE).alias("line"))
     return rows.select("event_id", prompts.line_delta(F.col("line")).alias("text"))
@@ -573,5 +590,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "more_stop_words": more_stop_words, "user_words": user_words, "index_cleared": index_cleared, "vectors_added": vectors_added, "vectors_current": vectors_current, "engine_search": engine_search,
     "engine_fallback": engine_fallback, "engine_replaced": engine_replaced, "engine_reloaded": engine_reloaded, "engine_answer": engine_answer, "sql_functions": sql_functions, "engine_batches": engine_batches, "bm25_pruned": bm25_pruned, "stored_doc_freq": stored_doc_freq, "stored_stats": stored_stats,
     "stored_lookup": stored_lookup, "user_words_cut": user_words_cut, "segment_counts": segment_counts, "word_candidates": word_candidates,
-    "vector_misses": vector_misses,
+    "vector_misses": vector_misses, "stream_texts": stream_texts,
 }
