@@ -12,11 +12,12 @@ only), and the automaton reads these.
 
 The automaton is built on the driver for at most `block_words` words of items at a time;
 longer items are cut into pieces that overlap by window - 1 words, and a larger benchmark is
-worked off in blocks, each against all documents in a pass of its own: what it finds is written with
-the rows and merged with the next block's. Pieces that repeat go before they are dealt to blocks. So
-one automaton is held at a time, and memory is bounded whatever the benchmark's size.
+worked off in blocks. Its windows' hashes go into one bit table first, and only documents that have one of these (nearly
+all of them are hit, whatever the number of blocks) are written aside and read by each block in turn: what it finds is
+written with them and merged with the next block's. The others' texts stay where they are. Pieces that repeat go before
+they are dealt to blocks. So one automaton is held at a time, and memory is bounded whatever the benchmark's size.
 
-Defined results: a null text has no words and no hits; an item without words is never hit. A
+Defined results: a null text has no words and no hits; null ids and repeated rows of documents come back as they are; an item without words is never hit. A
 null item_id counts as an item and is named by the empty string. Items that repeat (same id) count once.
 An empty benchmark hits nothing. Extra columns are ignored by `hits` and kept by `clean`.
 """
@@ -25,10 +26,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +42,8 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 PAIRS = 1 << 20
 WINDOW, MAX_COVERAGE, BLOCK_WORDS = 10, 0.5, 400_000
+#: Of the table of windows' hashes: bits for each window, and of the whole at most (32 MB); bits that a window sets.
+BITS_EACH, MOST_BITS, PROBES = 32, 1 << 28, 6
 
 
 def words(text: str | bytes | None) -> list[bytes]:
@@ -206,16 +211,80 @@ def block(pieces: DataFrame, k: int, n: int, window: int) -> tuple[list[str], Au
     return ids, Automaton([(where[i], w.split(), s) for i, w, s in got], window)
 
 
+class Screen:
+    """Which documents may hold a window: a bit table of the hashes of windows, which errs on one side only."""
+
+    def __init__(self, bits: np.ndarray, sizes: list[int]):
+        """bits: packed; sizes: the numbers of words that windows have."""
+        self.bits, self.sizes = bits, sizes
+
+    @staticmethod
+    def hashes(ws: list[bytes], size: int) -> np.ndarray:
+        """Of each `size` words in a row."""
+        known: dict[bytes, int] = {}
+        at = np.fromiter((known.setdefault(w, len(known)) for w in ws), np.int64, len(ws))
+        values = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))[at]
+        n = max(0, len(ws) - size + 1)
+        total = np.full(n, size, np.uint64)
+        for j in range(size):
+            total = (total + values[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+            total ^= total >> np.uint64(31)
+        return total
+
+    def slots(self, ws: list[bytes], size: int) -> np.ndarray:
+        """A row of PROBES bits for each window (a Bloom filter's)."""
+        h = self.hashes(ws, size)
+        step = (h >> np.uint64(32)) * np.uint64(2) + np.uint64(1)
+        return (h[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) % np.uint64(8 * len(self.bits))
+
+    def passes(self, text: str | None) -> bool:
+        ws = words(text)
+        for size in self.sizes:
+            at = self.slots(ws, size)
+            if (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(1).any():
+                return True
+        return False
+
+
+def screen_of(pieces: DataFrame, window: int) -> Screen:
+    """Of rows of `pieces_of`."""
+    count = pieces.agg(F.sum(F.when(F.col("short"), 1).otherwise(F.col("n") - window + 1))).first()[0] or 0
+    sizes = sorted(r[0] for r in pieces.select(F.when(F.col("short"), F.col("n")).otherwise(window)).distinct().collect())
+    table = Screen(np.zeros(min(MOST_BITS, 1 << max(10, int(BITS_EACH * count - 1).bit_length())) // 8, np.uint8), sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [table.slots(w.split(), len(w.split()) if short else window) for w, short in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield arrow_batch([np.unique(np.concatenate(found)).astype(np.int64).ravel()], pa.schema([("slot", pa.int64())]))
+
+    # as many numbers as the table has bits, at most
+    some = pieces.select("words", "short").mapInArrow(run, "slot long").distinct().toArrow().column("slot").to_numpy()
+    np.bitwise_or.at(table.bits, some >> 3, (1 << (some & 7)).astype(np.uint8))
+    return table
+
+
 FOUND = "struct<spans:array<int>,items:array<string>,longest:int>"
 PA_FOUND = pa.struct([("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("longest", pa.int32())])
 
 
-def passes(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int, at: int) -> tuple[DataFrame, tuple[list[str], Automaton]]:
-    """(rows, last block): a pass over rows, whose column `at` is the text, for every block but the last.
-    Columns come back as c0, c1, ... and after a pass with one more, what the blocks found so far."""
+def passes(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int, at: int) -> tuple[DataFrame, tuple[list[str], Automaton], DataFrame | None]:
+    """(rows, last block, others): a pass over rows, whose column `at` is the text, for every block but the last.
+    Columns come back as c0, c1, ... and after a pass with one more, what the blocks found so far. Where there are several blocks, others are
+    the rows that hold no window of any."""
     pieces, n = pieces_of(benchmark, window, block_words)
     spark, width, before = rows.sparkSession, len(rows.columns), None
-    rows = numbered(rows)
+    rows, others = numbered(rows), None
+    if n > 1:
+        table = spark.sparkContext.broadcast(screen_of(pieces, window))
+
+        def side(may: bool) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for part in slices(batches, f"c{at}"):
+                    yield part.filter(pa.array([table.value.passes(t) is may for t in part.column(at).to_pylist()], pa.bool_()))
+
+            return rows.mapInArrow(run, rows.schema)
+
+        others, rows = side(False), materialize(side(True), "decontaminate-screened")
     names = [*rows.columns, f"c{width}"]
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(f"c{width} {FOUND}").fields])
     for k in range(n - 1):
@@ -234,7 +303,7 @@ def passes(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int,
         if before:
             drop_path(spark, before)
         before = path
-    return rows, block(pieces, n - 1, n, window)
+    return rows, block(pieces, n - 1, n, window), others
 
 
 def earlier(batch: pa.RecordBatch, width: int) -> list[dict | None]:
@@ -246,17 +315,26 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     the longest match, within pieces of items of 2,000 words."""
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rows, last = passes(rows, benchmark, window, block_words, 1)
-    held = docs.sparkSession.sparkContext.broadcast(last)
+    rows, last, others = passes(rows, benchmark, window, block_words, 1)
     fields = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("longest", pa.int64())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "c1"):
             found = [verdict(words(t), held.value, f) for t, f in zip(batch.column(1).to_pylist(), earlier(batch, 2), strict=True)]
             schema = pa.schema([("doc_id", batch.column(0).type), *fields])
             yield arrow_batch([batch.column(0), *([f[k] for f in found] for k in range(5))], schema)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, longest long")
+    return _both(rows, last, others, window, run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, longest long")
+
+
+def _both(rows: DataFrame, last: tuple[list[str], Automaton], others: DataFrame | None, window: int, run: Callable, schema) -> DataFrame:
+    """What run makes of rows with the last block, and of the others with none."""
+    held = rows.sparkSession.sparkContext.broadcast(last)
+    out = rows.mapInArrow(lambda batches: run(batches, held), schema)
+    if others is None:
+        return out
+    none = rows.sparkSession.sparkContext.broadcast(([], Automaton([], window)))
+    return out.unionByName(others.mapInArrow(lambda batches: run(batches, none), schema))
 
 
 def verdict(ws: list[bytes], part: tuple[list[str], Automaton], before: dict | None = None) -> tuple[int, int, int, str, int]:
@@ -301,10 +379,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
     at, n_at = position(docs, text_col), count_position(docs, chars_col)
     width = len(docs.columns)
     schema = numbered(docs).schema
-    rows, last = passes(docs, benchmark, window, block_words, at)
-    held = docs.sparkSession.sparkContext.broadcast(last)
+    rows, last, others = passes(docs, benchmark, window, block_words, at)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, f"c{at}"):
             before = earlier(part, width)
             part = part.select(schema.names)
@@ -326,4 +403,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
                 part = pa.RecordBatch.from_arrays(columns, names=schema.names)
             yield part.filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, schema).toDF(*docs.columns)
+    return _both(rows, last, others, window, run, schema).toDF(*docs.columns)

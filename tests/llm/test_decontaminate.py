@@ -5,6 +5,7 @@ import re
 import pytest
 
 from corvane.llm import decontaminate as D
+from corvane.sources import shared as S
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -96,3 +97,38 @@ def test_repeated_items_and_blocks_one_at_a_time(spark):
     df = d.selectExpr("doc_id", "text", "length(text) as n_chars", "'x' as lang")
     one, more = (sorted(map(tuple, D.clean(df, b, block_words=k).collect())) for k in (400_000, 3000))
     assert one == more and 0 < len(one) < len(docs)
+
+
+@pytest.mark.parametrize("blocks", [1, 20])
+def test_blocks_read_few_documents_and_find_the_same(spark, blocks):
+    """Many documents, few of which hold a passage; what is written aside follows these, not the corpus."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(100)] + [(200, "short item of five words"), (201, None)]
+    docs = [(i, " ".join(word() for _ in range(60))) for i in range(400)] + [(None, None), (500, "")]
+    for k in range(0, 400, 40):
+        docs[k] = (k, docs[k][1] + " " + " ".join(items[k // 40][1].split()[5:25]) + " " + docs[k][1])
+    docs[7] = (7, docs[7][1] + " Short item, of five words!")
+    d, b = tables(spark, docs, items)
+    size = 400_000 if blocks == 1 else 4 * 4000 // (3 * blocks)
+    before = S.shared_paths()
+    got = D.hits(d, b, block_words=size)
+    assert sorted(map(tuple, got.drop("longest").collect()), key=repr) == brute(docs, items)
+    if blocks > 1:
+        aside = [spark.read.parquet(p).count() for p in S.shared_paths() - before if "decontaminate" in p]
+        assert aside and max(aside) <= 13
+    cleaned = {r.doc_id: r.text for r in D.clean(d, b, block_words=size).collect()}
+    whole = {r.doc_id: r.text for r in D.clean(d, b).collect()}
+    assert cleaned == whole and len(cleaned) == len({x for x, _ in docs})
+
+
+def test_the_screen_lets_every_window_pass(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 4, 9, 10, 30])))) for i in range(60)]
+    pieces, _ = D.pieces_of(tables(spark, [(1, "x")], items)[1])
+    screen = D.screen_of(pieces, 10)
+    for _, t in items:
+        w = t.split()
+        n = min(10, len(w))
+        assert all(screen.passes("start " + " ".join(w[p : p + n]).upper() + " end") for p in range(len(w) - n + 1))
+    assert not screen.passes(None) and not screen.passes("") and not screen.passes(" ".join(f"v{i}" for i in range(50)))
