@@ -14,14 +14,15 @@ A batch is written once and never changed. Below the folder of the index lie, ea
 
 Sums over `terms` and `totals` are the statistics of what is there now; nothing is counted anew for a search. What a
 replacement takes away is read from `forward`, of the replaced documents alone. One writer at a time: `add` refuses a
-batch that another one has begun.
+batch that another one has begun. A `StoredIndex` shows the batches that were there when it was first read, and its own; a new one
+shows others' too.
 
 Rows without doc_id are left out. A document without tokens has its chunks with dl 0.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,8 @@ from corvane.operators.index import KEY, Index, postings_of
 
 #: Chunks to a block, about; postings from which on a term has blocks.
 BLOCK_CHUNKS, LONG = 64, 512
+#: Chunks of a batch that is one file of each table; larger ones are ranged over many.
+SMALL = 20_000
 
 
 @dataclass
@@ -40,6 +43,8 @@ class StoredIndex:
     path: str
     block_chunks: int = BLOCK_CHUNKS
     long: int = LONG
+    _whole: list[int] | None = field(default=None, repr=False)
+    _replaced: bool | None = field(default=None, repr=False)
 
     def _read(self, name: str) -> DataFrame | None:
         try:
@@ -54,8 +59,10 @@ class StoredIndex:
 
     def batches(self) -> list[int]:
         """A number per batch, in order."""
-        found = self.totals
-        return [] if found is None else sorted(r.batch for r in found.select("batch").distinct().collect())
+        if self._whole is None:
+            found = self.totals
+            self._whole = [] if found is None else sorted(r.batch for r in found.select("batch").distinct().collect())
+        return self._whole
 
     def sources(self) -> set[str]:
         """What the batches were made of, where `add` was told."""
@@ -76,7 +83,9 @@ class StoredIndex:
     def live(self, rows: DataFrame) -> DataFrame:
         """rows: doc_id and batch, of any table that is written by the same batches. Those that no later batch has replaced."""
         gone = self._gone()
-        return rows if gone is None or gone.isEmpty() else rows.join(gone, ["doc_id", "batch"], "left_anti")
+        if self._replaced is None:
+            self._replaced = gone is not None and not gone.isEmpty()
+        return rows.join(gone, ["doc_id", "batch"], "left_anti") if self._replaced else rows
 
     def add(self, rows: DataFrame, batch: int, source: str = "") -> StoredIndex:
         """rows of `index.counted`; all chunks of their documents, which take the place of those that are there."""
@@ -97,29 +106,30 @@ class StoredIndex:
         blocks = max(1, -(-chunks // self.block_chunks))
         posts = postings_of(new).withColumn("block", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(blocks)).cast("int"))
         posts = posts.select("term", "block", *KEY, "tf", "dl")
-        posts.repartitionByRange("term", *KEY).sortWithinPartitions("term", "block", *KEY).write.mode("overwrite").parquet(where("postings"))
+        ranged = lambda df, *by: df.repartition(1) if chunks <= SMALL else df.repartitionByRange(*by)
+        ranged(posts, "term", *KEY).sortWithinPartitions("term", "block", *KEY).write.mode("overwrite").parquet(where("postings"))
         posts = self.spark.read.schema(posts.schema).parquet(where("postings"))
         df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         if lost is not None:
             less = postings_of(lost).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
             df = df.unionByName(less).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
-        df.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(where("terms"))
+        ranged(df, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(where("terms"))
         sums = posts.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
         frequent = posts.groupBy("term").agg(F.count(F.lit(1)).alias("in_batch")).where(F.col("in_batch") >= self.long).select("term")
         bounds = sums.join(frequent, "term", "left_semi").select("term", "block", "n", "max_tf", "min_dl")
-        bounds.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(where("blocks"))
+        ranged(bounds, "term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(where("blocks"))
         size = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"), F.count_distinct("doc_id").alias("docs"))
         total = size(new)
         if lost is not None:
             total = total.crossJoin(size(lost).toDF("ln", "ll", "ld")).select((F.col("n") - F.col("ln")).alias("n"), (F.col("length") - F.col("ll")).alias("length"), (F.col("docs") - F.col("ld")).alias("docs"))
         total.select("*", F.lit(blocks).alias("blocks"), F.lit(source).alias("source")).coalesce(1).write.mode("overwrite").parquet(where("totals"))
+        self._whole = self._replaced = None
         return self
 
     def next_batch(self) -> int:
         """One more than any that was begun."""
         begun = self._read("forward")
-        last = None if begun is None else begun.agg(F.max("batch")).first()[0]
-        return max([last or 0, *self.batches()]) + 1
+        return 1 + ((begun.agg(F.max("batch")).first()[0] or 0) if begun is not None else 0)
 
     @property
     def postings(self) -> DataFrame:
