@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corvane.functions.metadata import doc_metadata
 from corvane.functions.segment import DEFAULT, Positions, segmented, user_lexicon, with_user_words
 from corvane.functions.text import STOP_WORDS, index_tokens, word_index_tokens
-from corvane.operators import bm25, hybrid, prompts, results, vector
+from corvane.operators import bm25, hybrid, lexicon, prompts, results, vector
 from corvane.operators.chunking import MAX_BYTES, OVERLAP, chunks
 from corvane.operators.index import KEY, Index, counted
 from corvane.operators.stored import StoredIndex
@@ -150,6 +150,20 @@ class Engine:
         self.settings.lexicon = with_user_words(found, DEFAULT if self.settings.lexicon is None else self.settings.lexicon)
         return n
 
+    def learn_words(self, rounds: int = 3, **limits) -> int:
+        """Takes words that the documents themselves show into the lexicon, and what their cut by it tells of characters' places in
+        words, for what it does not have; the number of new words. Documents that were added before keep their terms."""
+        known = DEFAULT if self.settings.lexicon is None else self.settings.lexicon
+        if self.empty:
+            return 0
+        found = materialize(lexicon.runs(self.documents), "runs")
+        learned, _ = lexicon.refine(found, lexicon.candidates(found, **limits), rounds)
+        new = {w: n for w, n in learned.items() if len(w) > 1 and w not in known}
+        self.settings.lexicon = {**known, **new}
+        cut = segmented(F.col("run"), self.settings.lexicon)
+        self.settings.positions = lexicon.positions(lexicon.position_counts(found, cut))
+        return len(new)
+
     def import_files(self, paths: Sequence[str], ocr: files.OcrProvider | None = None) -> DataFrame:
         """Adds what gives text; returns the import log, with a row for each path that is not there."""
         there = [p for p in paths if files.is_there(self.spark, p)]

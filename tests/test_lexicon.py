@@ -146,3 +146,22 @@ def test_nothing_to_learn_from(spark):
     assert L.candidates(runs).collect() == [] and L.refine(runs, L.candidates(runs), 2) == ({}, [0.0, 0.0])
     empty = L.positions(L.position_counts(spark.createDataFrame([], "w array<string>"), F.col("w")))
     assert empty.cut(["ab", ""]) in ([["ab"], []], [["a", "b"], []])
+
+
+def test_an_engine_learns_words_of_its_documents(spark):
+    rng = random.Random(5)
+    chars = [chr(0x5000 + i) for i in range(80)]
+    words = ["".join(rng.sample(chars, rng.choice([2, 3]))) for _ in range(30)]
+    docs = [(f"d{i}", "。".join("".join(rng.choices(words, k=6)) for _ in range(8))) for i in range(60)]
+    e = Engine(spark, Settings(lexicon=DEFAULT))
+    assert e.learn_words() == 0
+    table = spark.createDataFrame(docs, "doc_id string, text string")
+    e.add(table)
+    before = {r.term for r in e.index.postings.select("term").distinct().collect()}
+    n = e.learn_words(cohesion=0.5, branching=0.5)
+    assert n >= 25 and len(set(words) & set(e.settings.lexicon)) >= 25 and set(DEFAULT) <= set(e.settings.lexicon)
+    e.add(table)
+    after = {r.term for r in e.index.postings.select("term").distinct().collect()}
+    assert len(after & set(words)) > len(before & set(words)) and len(after & set(words)) >= 25
+    asked = docs[7][1].split("。")[0]
+    assert any(r.doc_id == "d7" for r in e.search(asked, 5).collect())
