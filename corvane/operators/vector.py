@@ -75,7 +75,7 @@ def _by_direction(rows: DataFrame, tiles: int) -> DataFrame:
     """rows: id, vec, dealt so that vectors next to one of `tiles` pivots stand together. Pivots are vectors with the least hashes."""
     mark = F.xxhash64(F.col("id").cast("string") if not isinstance(rows.schema["id"].dataType, T.StructType) else F.to_json("id"))
     usable = rows.where("vec is not null and size(vec) > 0 and not exists(vec, x -> x is null)")
-    found = [np.array(r.vec, float) for r in usable.orderBy(mark, F.to_json("vec")).select("vec").limit(tiles).collect()]
+    found = [np.array(r.vec, float) for r in usable.orderBy(mark, F.xxhash64("vec")).select("vec").limit(tiles).collect()]
     pivots = [p / n for p in found if (n := math.sqrt(p @ p)) > TINY and len(p) == len(found[0])]
     if not pivots:
         return rows
