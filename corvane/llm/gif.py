@@ -7,7 +7,7 @@ frames with full LZW. `frames` gives a row per frame with its delay, pixels and
 
 `store` keeps any bytes as the indices of a grey image 64 pixels wide, `restore` reads them.
 
-Defined results: a null or empty text is stored as 64 zero bytes. Equal bytes give equal files.
+Defined results: a null or empty text is stored as 64 zero bytes; a null id stays null. Equal bytes give equal files.
 Bytes that are no GIF give no frames (`frames`) or a ValueError (`decode`). Very long payloads
 take several frames of at most 65,535 rows. Extra columns are ignored; repeated rows come back
 repeated; an empty table gives an empty result.

@@ -9,7 +9,7 @@ probabilities; a row whose best calibrated probability lies below `min_confidenc
 
 Defined results: a null text, or one without any letter (Unicode's categories L), is `und` with score
 0.0, rejected. Of languages that score alike the first by name is taken.
-With no labelled row at all every text is `und`. A null doc_id is scored but never learned
+With no labelled row at all every text is `und`; an empty table has an empty result. A null doc_id is scored but never learned
 from and never held out. Repeated rows are scored alike. Extra columns are ignored by
 `predict` and kept by `keep_confident`. Texts are read whole, whatever their length.
 """

@@ -16,7 +16,7 @@ long. The rule needs only a histogram of p-values per class, which Spark sums up
 are rounded up to the bin's upper end, which errs towards keeping a candidate. The rest,
 whose randomness is not rejected, are spans of kind `random`, without those that lie within another.
 
-Spans are in code points, end exclusive. Defined results: a null or empty text has no spans;
+Spans are in code points, end exclusive. Defined results: a null or empty text has no spans; a null id stays null;
 repeated rows come back repeated; an empty table gives an empty result; extra columns are
 ignored by `scan` and kept by `redact`. Whole texts are read.
 """

@@ -13,7 +13,8 @@ only files of tasks that succeeded are named in the result, so a lost executor l
 
 Defined results: a null html is an empty payload; a null url writes no WARC-Target-URI. A null
 page_id is never the largest unless all are null. Rows that repeat the largest page_id are
-responses all. Control characters in urls are percent-encoded. Extra columns are ignored.
+responses all. Control characters in urls are percent-encoded. Extra columns are ignored, and an empty table has an empty
+result and no archive. The archives stay in the shared folder until `clear_shared`.
 """
 
 from __future__ import annotations
