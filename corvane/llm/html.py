@@ -2,8 +2,8 @@
 
 Every page is parsed into elements, and each element's subtree (tag, class, text, children) is
 hashed. Spark counts per host in how many pages with different content a subtree stands; those
-in at least `least_pages`, and in `least_share` of the host's, are the site's template, and each
-page first loses its template subtrees, whatever they are. In what is left, menus, headers, footers,
+in at least `least_pages`, and in `least_share` of the host's or in `MANY` whatever their share (a box of one section of a
+large site), are the site's template, and each page first loses its template subtrees, whatever they are. In what is left, menus, headers, footers,
 sidebars, notices, adverts, forms and scripts go by element, role and class, where a site has too few
 pages to show a template or an element differs from page to page. Reader comments go by their names, always.
 
@@ -23,9 +23,9 @@ within an article (paragraphs, headings, lists' items) are never taken for a tem
 passage that many articles quote is part of each of them.
 
 Only hashes move: a row per page with those of its blocks and subtrees, the pages of each block
-counted, then (host, subtree, content) per container element, summed before and after a shuffle. The template of a host has a bounded number of subtrees (a page's elements over
-least_share), so hosts with any number of pages are alike. It is broadcast up to `BROADCAST`
-hashes; beyond that, pages are joined to their host's hashes.
+counted, then (host, subtree, content) per container element, summed before and after a shuffle. Templates are broadcast up to
+`BROADCAST` hashes; beyond that, the subtrees of each page are joined to them one by one, so a host with any number of
+pages and template subtrees is dealt to many tasks.
 
 Defined results: a null or empty html has an empty text. A null url counts as a host of its own
 name, and a null page_id is kept as it is. An empty table has an empty result. Broken markup is read as browsers do, roughly: unclosed elements end with their parents, in
@@ -49,6 +49,7 @@ from pyspark.sql import types as T
 from corvane.llm.common import arrow_batch, materialize, pick, settled, slices
 
 BROADCAST = 1_000_000
+MANY = 50
 OWN, OWN_SHARE = 20, 0.02
 ARTICLE_SHARE = 0.2
 FORM_TEXT = 200
@@ -356,7 +357,7 @@ def templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.1)
         for batch in slices(batches, "html"):
             out: dict[tuple[int, int], tuple[list[int], ...]] = {}
             for url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = (_signed(_hash(host_of(url))), _signed(_hash(source or "")))
+                at = _place(url, source)
                 if source and at not in out:
                     page = Page(source)
                     sizes = telling(page.kept())
@@ -374,7 +375,7 @@ def templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.1)
     counts = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts.where((F.col("n") >= least_pages) | (F.col("key") == 0)), "html-counts")
     hosts = counts.where("key = 0").select("host", F.col("n").alias("pages"))
-    return counts.where("key <> 0").join(hosts, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "key")
+    return counts.where("key <> 0").join(hosts, "host").where((F.col("n") >= least_share * F.col("pages")) | (F.col("n") >= MANY)).select("host", "key")
 
 
 def extract(pages: DataFrame, least_pages: int = 3, least_share: float = 0.1, broadcast: int = BROADCAST) -> DataFrame:
@@ -399,16 +400,24 @@ def extract(pages: DataFrame, least_pages: int = 3, least_share: float = 0.1, br
 
         return rows.mapInArrow(run, schema)
 
-    # each host has a bounded number of template subtrees, so its array is bounded
-    arrays = found.groupBy("host").agg(F.collect_list("key").alias("keys"))
+    # the template subtrees of each different page, found by a join of its own subtrees
+    longs = pa.list_(pa.int64())
+
+    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("host", pa.int64()), ("page", pa.int64()), ("keys", longs)])
+        for batch in slices(batches, "html"):
+            out = {_place(u, h): h for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) if h}
+            yield arrow_batch([[at[0] for at in out], [at[1] for at in out], [[_signed(k) for k in Page(h).keys()] for h in out.values()]], schema)
 
-    def name(urls: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in urls:
-            hosts = [_signed(_hash(host_of(u))) for u in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hosts, pa.int64())], names=["page_id", "url", "html", "host"])
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [_place(u, h) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in at], pa.int64()), pa.array([x[1] for x in at], pa.int64())], names=["page_id", "url", "html", "host", "page"])
 
-    named = rows.mapInArrow(name, T.StructType([*rows.schema.fields, T.StructField("host", T.LongType())]))
-    joined = named.join(arrays, "host", "left").select("page_id", "url", "html", "keys")
+    own = rows.mapInArrow(subtrees, "host long, page long, keys array<long>").groupBy("host", "page").agg(F.first("keys").alias("keys"))
+    arrays = own.select("host", "page", F.explode("keys").alias("key")).join(found, ["host", "key"]).groupBy("host", "page").agg(F.collect_list("key").alias("keys"))
+    placed = rows.mapInArrow(named, T.StructType([*rows.schema.fields, T.StructField("host", T.LongType()), T.StructField("page", T.LongType())]))
+    joined = placed.join(arrays, ["host", "page"], "left").select("page_id", "url", "html", "keys")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
@@ -418,6 +427,11 @@ def extract(pages: DataFrame, least_pages: int = 3, least_share: float = 0.1, br
     return joined.mapInArrow(run_joined, schema)
 
 
+def _place(url: str | None, source: str | None) -> tuple[int, int]:
+    """Hashes of a page's host and of its source."""
+    return _signed(_hash(host_of(url))), _signed(_hash(source or ""))
+
+
 def _by_host(found: DataFrame) -> dict[int, frozenset[int]]:
     out: dict[int, set[int]] = {}
     for host, key in found.collect():

@@ -213,5 +213,20 @@ def test_templates_are_counted_as_by_hand(spark):
         for s, p in parsed.items():
             for key in p.keys():
                 seen.setdefault(key, set()).add(content[s])
-        want |= {(html._signed(html._hash(host)), html._signed(k)) for k, who in seen.items() if len(who) >= max(3, 0.1 * len(set(content.values())))}
+        want |= {(html._signed(html._hash(host)), html._signed(k)) for k, who in seen.items() if len(who) >= max(3, 0.1 * len(set(content.values()))) or len(who) >= html.MANY}
     assert {tuple(r) for r in html.templates(spark.createDataFrame(rows, SCHEMA)).collect()} == want and len(want) > 10
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_a_box_of_a_section_of_a_large_site(spark, broadcast):
+    """On 60 of a host's 900 pages; a quotation on 30 of them stays, as it may be part of a story."""
+    rng = random.Random(4)
+    word = lambda: f"word{rng.randrange(5000)}"
+    rows, want = [], {}
+    for i in range(900):
+        story = " ".join(word() for _ in range(12))
+        box = "<div class=x7><p>More of our cooking pages</p></div>" if i < 60 else ""
+        quoted = "<p>As the saying goes, so it is.</p>" if i % 30 == 0 else ""
+        rows.append((i, f"http://big.org/{i}", f"<body><div><p>{story}</p>{quoted}</div>{box}</body>"))
+        want[i] = story + ("\nAs the saying goes, so it is." if quoted else "")
+    assert {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, SCHEMA), broadcast=broadcast).collect()} == want
