@@ -43,7 +43,7 @@ WINDOW, MMER = 35, 4
 #: Counters of the table of shingles, and the share of all that makes one hot; as 2 to this power.
 TABLE, SHARE = 20, 17
 #: A shingle is not hot with fewer occurrences, and a task tells none that it has fewer of; rows of a part of a hot bucket.
-HOT, LEAST, PART = 2000, 8, 4000
+HOT, LEAST, PART = 1000, 8, 1000
 #: Bytes of one bucket's packed strings that are held before they are brought down to the different ones.
 POOL = 8 << 20
 #: Windows of a super-k-mer, as many as a mask has bits.
