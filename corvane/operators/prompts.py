@@ -21,6 +21,7 @@ LEGAL_SECTIONS = ("案件概述", "法律分析", "结论", "参考来源")
 
 LEGAL_SYSTEM = "你负责解读裁判文书与法规。只依据所给材料作答：写明案号与出处，分点说明，先述案情后作分析；材料不足时直说。意见仅供参考。"
 GENERAL_SYSTEM = "你负责根据所给材料回答问题；材料里没有的内容请直说没有。"
+NOT_READY = "错误：未设置 API 密钥"
 GENERAL_RULES = ("简明准确，分点作答", "写明依据的来源编号", "材料中没有的内容请直说")
 
 
@@ -141,7 +142,7 @@ def generate(provider: ChatProvider | None, system: str, user: str, on_text: Cal
     """The answer, passed on bit by bit. Without a provider a notice; an error after some text
     gives the text so far, an error before any is raised."""
     if provider is None or not provider.ready:
-        return "错误：未设置 API 密钥"
+        return NOT_READY
     buffer, out = LineBuffer(), []
 
     def take(lines: list[str]) -> None:

@@ -190,6 +190,13 @@ ORACLE = {
     "engine_fallback": FOUND + "SELECT provider, CAST(r AS INTEGER) AS rank, rk.doc_id[1] AS doc_id, round(s, 6) AS final_score FROM rk, (SELECT unnest(['Silent', 'Failing', 'LateFailing']) AS provider) WHERE r <= 10",
     "engine_replaced": CHUNKS + "SELECT doc_id, chunk_index, content FROM c WHERE doc_id % 5 > 0 UNION ALL SELECT doc_id, 0, 'replaced ' || CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 5 = 0",
     "engine_reloaded": CHUNKS + "SELECT doc_id, chunk_index, 64 AS dim FROM c",
+    "engine_doc_ids": f"WITH {JUDGED} SELECT doc_id, doc_id IN (SELECT doc_id FROM kept) AS known FROM j",
+    "engine_prompt": f"WITH {JUDGED}, tok AS (SELECT doc_id, {tokens('t')} AS t FROM j)" + STATS[len(TOK) :] + f", q AS (SELECT CAST(0 AS BIGINT) AS query_id, unnest({tokens(quoted('民事判决书 审判员'))}) AS term), {SCORED}, {RANKED}, "
+    "hit AS (SELECT row_number() OVER (ORDER BY r) AS i, rk.doc_id, s, t AS content FROM rk JOIN kept USING (doc_id) JOIN j USING (doc_id) WHERE r <= 20 AND case_type = '民事'), "
+    f"ctx AS (SELECT {quoted(HEADER)} || string_agg('【来源 ' || CAST(i AS VARCHAR) || '】' || CAST(doc_id AS VARCHAR) || ' (相关度: ' || printf('%.2f', s) || ')' || chr(10) || content || chr(10) || chr(10), '' ORDER BY i) AS c FROM hit), "
+    f"sm AS (SELECT string_agg({LINE}, '' ORDER BY i) AS m FROM hit JOIN kept USING (doc_id)) "
+    f"SELECT '【文档元数据】' || chr(10) || m || chr(10) || chr(10) || '【法律文档内容】' || chr(10) || c || {quoted(chr(10) * 2 + '【用户问题】' + chr(10))} || '民事判决书 审判员' || {quoted(chr(10) * 2 + LEGAL_TAIL)} AS prompt, "
+    f"'## 四、参考来源' AS reply, {quoted(prompts.NOT_READY)} AS without FROM ctx, sm",
     "engine_answer": f"WITH {JUDGED}, tok AS (SELECT doc_id, {tokens('t')} AS t FROM j)" + STATS[len(TOK) :] + f", q AS (SELECT CAST(0 AS BIGINT) AS query_id, unnest({tokens(quoted('民事判决书 审判员'))}) AS term), {SCORED}, {RANKED}, best AS (SELECT * FROM rk WHERE r <= 20) "
     "SELECT CAST(r AS INTEGER) AS rank, doc_id, round(s, 6) AS final_score, (SELECT string_agg(DISTINCT substr(date, 1, 4), ' ' ORDER BY substr(date, 1, 4)) FROM best JOIN kept USING (doc_id)) AS years FROM best JOIN kept USING (doc_id) WHERE case_type = '民事'",
     "sql_functions": f"SELECT doc_id, array_to_string({WORDS.format('text')}, ' ') AS words, translate(text, '{UPPER}', '{LOWER}') AS low, array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+(?:\\.[0-9]+)*|[^\\s]'), ' ') AS pieces, "

@@ -578,6 +578,20 @@ def engine_answer(spark, d):
     return found.results.select("rank", "doc_id", _six("final_score").alias("final_score")).crossJoin(years)
 
 
+def engine_prompt(spark, d):
+    """What a service is asked and answers, and what is said without one."""
+    e = _engine(spark, _judgments(spark, d), chat=prompts.EchoProvider())
+    asked = e.answer("民事判决书 审判员", case_type="民事")
+    e.chat = None
+    return spark.createDataFrame([(asked.prompt, asked.text, e.answer("民事判决书 审判员").text)], "prompt string, reply string, without string")
+
+
+def engine_doc_ids(spark, d):
+    """All documents, and whether they have metadata."""
+    e = _engine(spark, _judgments(spark, d))
+    return e.all_documents().join(e.doc_ids().withColumn("known", F.lit(True)), "doc_id", "left").na.fill({"known": False})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pages_text": pages_text, "import_tally": import_tally, "chunks": chunk_table, "chunk_offsets": chunk_offsets, "tokens_filtered": tokens_filtered, "term_freq": term_freq,
     "doc_freq": doc_frequency, "chunk_stats": chunk_stats, "corpus_stats": corpus_statistics, "postings_lookup": postings_lookup, "bm25_topk": bm25_topk, "bm25_multi_query": bm25_multi_query,
@@ -590,5 +604,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "more_stop_words": more_stop_words, "user_words": user_words, "index_cleared": index_cleared, "vectors_added": vectors_added, "vectors_current": vectors_current, "engine_search": engine_search,
     "engine_fallback": engine_fallback, "engine_replaced": engine_replaced, "engine_reloaded": engine_reloaded, "engine_answer": engine_answer, "sql_functions": sql_functions, "engine_batches": engine_batches, "bm25_pruned": bm25_pruned, "stored_doc_freq": stored_doc_freq, "stored_stats": stored_stats,
     "stored_lookup": stored_lookup, "user_words_cut": user_words_cut, "segment_counts": segment_counts, "word_candidates": word_candidates,
-    "vector_misses": vector_misses, "stream_texts": stream_texts,
+    "vector_misses": vector_misses, "stream_texts": stream_texts, "engine_prompt": engine_prompt, "engine_doc_ids": engine_doc_ids,
 }
