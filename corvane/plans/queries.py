@@ -361,7 +361,14 @@ def stream_texts(spark, d):
     at = fresh_path(spark, "stream-texts")
     pieces.repartition(4, F.pmod(F.hash("stream_id", "seq"), F.lit(97))).write.parquet(f"{at}/pieces")
     stream = texts(spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/pieces"))
-    stream.writeStream.format("parquet").option("path", f"{at}/texts").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    # a state store for each core is enough here; the number stays with the checkpoint
+    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        stream.writeStream.format("parquet").option("path", f"{at}/texts").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     found = spark.read.schema(stream.schema).parquet(f"{at}/texts")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
     return found.groupBy(F.col("stream_id").alias("user_id")).agg(F.array_join(parts, "").alias("text"), F.max("ended").alias("ended"))
