@@ -1,8 +1,8 @@
 """Chunks of at most so many bytes that never split a character and overlap.
 
 `chunks` folds over the text's bytes with built-in expressions: each step looks at one slice, so
-a step's cost does not depend on the text's length. `chunks_arrow` gives the same rows from
-Python workers, which is the better choice for texts of many megabytes.
+a step's cost does not depend on the text's length, and what is gathered is copied once in `STEPS` steps. `chunks_arrow` gives
+the same rows from Python workers, in time that grows with the length alone.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 MAX_BYTES, OVERLAP = 512, 50
 MARKS = (b"\n", b"\r", b".", b"!", b"?")
+#: Steps of the fold that are taken at a time.
+STEPS = 256
 CONTINUATION = bytes(range(0x80, 0xC0))
 
 
@@ -40,11 +42,19 @@ def _fold(size: int, overlap: int, start_pos: bool) -> str:
                     _let("back", f"if({overlap} > 0 and s.pos + e < __n and e > {overlap}, {whole(f'e - {overlap}')}, 0)",
                         f"named_struct('pos', s.pos + if(back > 0, back, e), {more}'out', array_append(s.out, named_struct('start', s.pos, 'end', s.pos + e{before})))")))),
     )
-    return f"""aggregate(
-        sequence(1, cast(ceil(__n / {max(1, half - overlap - 3)}D) as int) + 1),
-        named_struct('pos', 0, {first}'out', cast(array() as array<struct<start:int,end:int{kind}>>)),
-        (s, i) -> if(s.pos >= __n, s, {step}),
-        s -> s.out)"""
+    steps, kinds = f"(cast(ceil(__n / {max(1, half - overlap - 3)}D) as int) + 1)", f"array<struct<start:int,end:int{kind}>>"
+    carried = "'sum', o.sum, " if start_pos else ""
+    run = f"""aggregate(
+        sequence(1, least({STEPS}, {steps})),
+        named_struct('pos', o.pos, {carried}'out', cast(array() as {kinds})),
+        (s, i) -> if(s.pos >= __n, s, {step}))"""
+    # an array grows by being copied, so chunks are gathered by the run and runs by the text
+    kept = "'sum', r.sum, " if start_pos else ""
+    return f"""flatten(aggregate(
+        sequence(1, cast(ceil({steps} / {STEPS}D) as int)),
+        named_struct('pos', 0, {first}'outs', cast(array() as array<{kinds}>)),
+        (o, j) -> if(o.pos >= __n, o, {_let("r", run, f"named_struct('pos', r.pos, {kept}'outs', array_append(o.outs, r.out))")}),
+        o -> o.outs))"""
 
 
 def chunks(docs: DataFrame, max_bytes: int = MAX_BYTES, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text", start_pos: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corvane.operators.chunking import chunks, chunks_arrow, spans, with_start_pos
 
@@ -82,3 +83,15 @@ def test_start_pos_without_a_shuffle(spark, size, overlap):
         got = way(df, size, overlap, start_pos=True)
         assert sorted(tuple(r) for r in got.collect()) == want
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("unit", ["Some words here, and an end. ", "汉字没有标点", "a"])
+def test_long_texts_in_time(spark, unit):
+    """4 MB: both forms give the same rows, and the fold does not take the square of the length."""
+    import time
+
+    one = spark.range(1).select(F.lit(1).alias("doc_id"), F.expr(f"repeat('{unit}', {4_000_000 // len(unit.encode())})").alias("text"))
+    start = time.perf_counter()
+    got = chunks(one, start_pos=True).agg(F.count(F.lit(1)), F.sum(F.xxhash64("chunk_index", "content", "byte_offset", "start_pos").cast("decimal(38,0)"))).first()
+    assert time.perf_counter() - start < 20
+    assert got == chunks_arrow(one, start_pos=True).agg(F.count(F.lit(1)), F.sum(F.xxhash64("chunk_index", "content", "byte_offset", "start_pos").cast("decimal(38,0)"))).first()
