@@ -6,6 +6,7 @@ The folder's Parquet files (doc_id, text, lang) are read as a file stream up to
 checkpoint says which have been read. Each micro-batch is cut into chunks and counted, and written below `out`:
 
     chunks     batch, lang / doc_id, chunk_index, content, byte_offset
+    terms      batch / doc_id, chunk_index, dl, terms: the counted terms of each chunk
     postings   batch, bucket / term, doc_id, chunk_index, tf, dl      (bucket: of the term; sorted by term)
     documents  batch / doc_id, n_chunks: what the batch holds; a document's last batch counts
     log        batch / documents, left_out, chunks, postings, as JSON
@@ -54,7 +55,8 @@ def add(docs: DataFrame, batch: int, out: str, config: dict) -> None:
     # the language goes along in the key, so that the texts are not joined again
     cut = cut_into_chunks(one.select(F.struct("doc_id", "d.lang").alias("key"), "d.text"), config["max_bytes"], config["overlap"], "key")
     whole = _write(cut.select("doc_id.doc_id", "chunk_index", "content", "byte_offset", "doc_id.lang"), out, "chunks", batch, "lang")
-    posts = postings_of(counted(tokenised(whole)))
+    # a table: postings are ranged, for which Spark looks at their rows twice
+    posts = postings_of(_write(counted(tokenised(whole)), out, "terms", batch))
     posts = posts.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(config["buckets"])).cast("int"))
     # by range, so that a frequent term fills several tasks and files
     posts = posts.repartitionByRange("bucket", "term", *KEY).sortWithinPartitions("bucket", "term", *KEY)
