@@ -21,7 +21,6 @@ import logging
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions.text import word_index_tokens
@@ -53,12 +52,7 @@ def find(docs: DataFrame, questions: DataFrame, labels: DataFrame, config: dict)
     cut = materialize(chunks(kept, config["max_bytes"], config["overlap"]).select(*KEY, "content"), "evidence-chunks")
     index = Index.of(materialize(counted(tokenised(cut)), "evidence-index"))
     asked = _once(questions.select("item_id", "text"), "item_id").select(F.col("item_id").alias("query_id"), word_index_tokens(F.col("text")).alias("terms"))
-    scored = bm25.scores(index, asked)
-    # the best chunks of each document first, then the best of these
-    score = F.round("bm25_score", 9)
-    own = W.partitionBy("query_id", "doc_id").orderBy(F.desc(score), "chunk_index")
-    few = scored.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= config["per_document"]).drop("nth")
-    best = bm25.top_k(few, config["k"])
+    best = materialize(bm25.search(index, asked, config["k"], per_document=config["per_document"]), "evidence-best")
     return best.join(cut, list(KEY)).join(kept.select("doc_id", "lang"), "doc_id").select("query_id", "rank", *KEY, "content", F.round("bm25_score", 6).alias("score"), "lang")
 
 
