@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.operators.index import KEY, Index, postings_of
+from corvane.sources.shared import materialize
 
 #: Chunks to a block, about; postings from which on a term has blocks.
 BLOCK_CHUNKS, LONG = 64, 512
@@ -114,9 +115,11 @@ class StoredIndex:
             less = postings_of(lost).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
             df = df.unionByName(less).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         ranged(df, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(where("terms"))
-        sums = posts.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-        frequent = posts.groupBy("term").agg(F.count(F.lit(1)).alias("in_batch")).where(F.col("in_batch") >= self.long).select("term")
-        bounds = sums.join(frequent, "term", "left_semi").select("term", "block", "n", "max_tf", "min_dl")
+        # the dictionary is there already, and without replaced documents it has the batch's own counts
+        own = self.spark.read.schema(df.schema).parquet(where("terms")) if lost is None else posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        # a table, whose size is known: a small one is broadcast, and only the postings of its terms are looked at further
+        frequent = materialize(own.where(F.col("df") >= self.long).select("term"), "stored-frequent")
+        bounds = posts.join(frequent, "term", "left_semi").groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
         ranged(bounds, "term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(where("blocks"))
         size = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"), F.count_distinct("doc_id").alias("docs"))
         total = size(new)

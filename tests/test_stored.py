@@ -104,3 +104,18 @@ def test_skipping_blocks_changes_nothing(spark, grown, first, k):
     assert 0 < read.read <= read.postings
     if k == 1:
         assert read.read < 0.9 * read.postings
+
+
+def test_postings_of_rare_terms_are_shuffled_once(spark, tmp_path):
+    docs = spark.range(400).select(F.col("id").cast("string").alias("doc_id"), F.lit(0).alias("chunk_index"), F.expr("transform(sequence(1, 20), k -> concat('w', id, '_', k))").alias("tokens"))
+    store = spark.sparkContext._jsc.sc()
+    store.listenerBus().waitUntilEmpty(30000)
+    seen = spark._jvm.scala.jdk.javaapi.CollectionConverters
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in seen.asJava(store.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
+    before = stages()
+    index = StoredIndex(spark, str(tmp_path / "i")).add(counted(docs), 1)
+    store.listenerBus().waitUntilEmpty(30000)
+    moved = sum(n for k, n in stages().items() if k not in before)
+    # the postings, and each term's count for the dictionary and as it is ranged; not once more for bounds that no term has
+    assert index.doc_freq.count() == 8000 and index.blocks.count() == 0
+    assert moved < 4 * 8000
