@@ -286,3 +286,13 @@ def test_writers_that_share_a_folder_lose_nothing(spark, tmp_path):
     put(("x", "lost")).write.parquet(f"{first.path}/documents/batch=4")
     first.add(put(("d", "kappa")))
     assert {r.doc_id for r in second.documents.collect()} == {"a", "b", "c", "d"} and second.stored.batches() == [1, 2, 3, 5]
+
+
+def test_fallback_indexes_the_documents_once(spark, monkeypatch):
+    from corvane.operators.stored import StoredIndex
+    from corvane.plans.queries import engine_fallback
+
+    added = []
+    monkeypatch.setattr(StoredIndex, "add", lambda self, *a, add=StoredIndex.add: added.append(a[1]) or add(self, *a))
+    found = engine_fallback(spark, "/root/testdata/sf0.001")
+    assert added == [1] and {r.provider for r in found.select("provider").distinct().collect()} == {"Silent", "Failing", "LateFailing"}
