@@ -3,6 +3,8 @@ procedure. What is absent is the empty string. Built-in expressions only."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +30,14 @@ def _lookup(values: dict[str, str], key: Column) -> Column:
 def case_number(text: Column) -> Column:
     """The first bracket with a year whose next 号 ends at most 40 bytes on."""
     found = F.regexp_extract_all(text, F.lit(r"(?=([(（]\d{4}[^号]*号))"), F.lit(1))
-    return F.coalesce(F.get(F.filter(found, lambda x: F.octet_length(x) <= 43), 0), F.lit(""))
+    # a text without the sign is not looked through bracket by bracket
+    return F.when(F.contains(text, F.lit("号")), F.coalesce(F.get(F.filter(found, lambda x: F.octet_length(x) <= 43), 0), F.lit(""))).otherwise("")
 
 
 def court(text: Column) -> Column:
     """The last 人民法院 with two characters or more before it, and up to ten of these."""
     backwards = F.regexp_extract(F.reverse(text), r"院法民人[^\x00-\x7F。，、：]{2,10}", 0)
-    return F.reverse(backwards)
+    return F.when(F.contains(text, F.lit("人民法院")), F.reverse(backwards)).otherwise("")
 
 
 def _ymd(found: Column, pattern: str) -> Column:
@@ -46,7 +49,7 @@ def arabic_date(text: Column) -> Column:
     """The first date with 年, 月 and 日, else the first ISO date; neither is validated. Null if none."""
     written, iso = r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日", r"(\d{4})-(\d{1,2})-(\d{1,2})"
     first = lambda pattern: _let(F.regexp_extract(text, pattern, 0), lambda found: _ymd(found, pattern))
-    return F.coalesce(first(written), first(iso))
+    return F.coalesce(F.when(F.contains(text, F.lit("年")), first(written)), F.when(F.contains(text, F.lit("-")), first(iso)))
 
 
 def chinese_number(s: Column) -> Column:
@@ -97,13 +100,17 @@ def litigants(text: Column) -> Column:
     return F.when(both, F.concat(F.lit("原告"), first, F.lit(" 诉 被告"), second)).when(F.instr(text, "公诉机关") > 0, "公诉机关").otherwise("")
 
 
+def _any(text: Column, *words: str) -> Column:
+    return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words])
+
+
 def procedure(number: Column, text: Column, court_name: Column) -> Column:
     by_number = _lookup(PROCEDURES, F.regexp_extract(number, f"[{''.join(PROCEDURES)}]", 0))
     return (
         F.when(by_number != "", by_number)
-        .when(text.rlike("二审|上诉|终审"), "二审")
-        .when(text.rlike("再审|审判监督"), "再审")
-        .when(text.rlike("一审"), "一审")
+        .when(_any(text, "二审", "上诉", "终审"), "二审")
+        .when(_any(text, "再审", "审判监督"), "再审")
+        .when(_any(text, "一审"), "一审")
         .when(court_name.contains("最高"), "二审/再审")
         .otherwise("")
     )

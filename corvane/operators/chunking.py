@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.operators.index import CUT_BYTES, cut_by_bytes
+
 MAX_BYTES, OVERLAP = 512, 50
 MARKS = (b"\n", b"\r", b".", b"!", b"?")
 #: Steps of the fold that are taken at a time.
@@ -101,15 +103,20 @@ def chunks_arrow(docs: DataFrame, max_bytes: int = MAX_BYTES, overlap: int = OVE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, out = [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                b, before = (text or "").encode(), 0
-                for k, (a, z) in enumerate(spans(b, max_bytes, overlap)):
-                    at.append(row)
-                    out.append((k, b[a:z].decode(), a, before))
-                    before += z - a
-            ids = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array([o[i] for o in out], pa.string() if n == "content" else pa.int32()) for i, n in enumerate(names))], names=["doc_id", *names])
+            for part in cut_by_bytes(batch, 1, CUT_BYTES):
+                at, nth, content, begin, ahead = [], [], [], [], []
+                for row, b in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
+                    before = 0
+                    for k, (a, z) in enumerate(spans(b or b"", max_bytes, overlap)):
+                        at.append(row)
+                        nth.append(k)
+                        content.append(b[a:z])
+                        begin.append(a)
+                        ahead.append(before)
+                        before += z - a
+                ids = part.column(0).take(pa.array(at, pa.int64()))
+                cells = [pa.array(nth, pa.int32()), pa.array(content, pa.binary()).cast(pa.string()), pa.array(begin, pa.int32()), pa.array(ahead, pa.int32())]
+                yield pa.RecordBatch.from_arrays([ids, *cells[: len(names)]], names=["doc_id", *names])
 
     return rows.mapInArrow(run, schema)
 

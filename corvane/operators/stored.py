@@ -4,10 +4,10 @@ A batch is written once and never changed. Below the folder of the index lie, ea
 
     forward   doc_id, chunk_index, dl, terms: a row per chunk, as `index.counted` makes them
     postings  term, block, doc_id, chunk_index, tf, dl: ranged and sorted by term, so that a filter by terms
-              reaches the scan and all but the row groups that may hold them are skipped
+              reaches the scan and all but the row groups that may hold them are skipped. They move as lists (`index.packed`)
     terms     term, df: the term dictionary, ranged by term too. Negative where the batch replaces documents
-    blocks    term, block, n, max_tf, min_dl: of terms with LONG postings or more in the batch, the bounds that
-              `bm25.search_pruned` skips blocks by. All chunks of a document are in one block
+    blocks    term, block, n, max_tf, min_dl, each file sorted by term: of terms with LONG postings or more in the batch, the bounds that
+              `bm25.search_pruned` skips blocks by. Chunks that stand next to each other in `forward` are a block
     gone      doc_id, of: documents that the batch replaces, and the batch that had them
     totals    n, length, terms of the batch, less what it replaces. It is written last: a batch counts once its
               totals are there, so what a failed attempt has left is never read
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.operators.index import KEY, Index, postings_of
+from corvane.operators.index import KEY, Index, packed, packed_bounds, postings_of, unpacked
 from corvane.sources.shared import materialize
 
 #: Chunks to a block, about; postings from which on a term has blocks.
@@ -105,10 +105,10 @@ class StoredIndex:
             lost = before.join(old.withColumnRenamed("of", "batch"), ["doc_id", "batch"], "left_semi")
         chunks = new.count()
         blocks = max(1, -(-chunks // self.block_chunks))
-        posts = postings_of(new).withColumn("block", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(blocks)).cast("int"))
-        posts = posts.select("term", "block", *KEY, "tf", "dl")
         ranged = lambda df, *by: df.repartition(1) if chunks <= SMALL else df.repartitionByRange(*by)
-        ranged(posts, "term", *KEY).sortWithinPartitions("term", "block", *KEY).write.mode("overwrite").parquet(where("postings"))
+        # ranged by packs too, so that a term of very many chunks fills several files
+        posts = unpacked(ranged(packed(new, self.block_chunks), "term", "pack").sortWithinPartitions("term", "pack"))
+        posts.write.mode("overwrite").parquet(where("postings"))
         posts = self.spark.read.schema(posts.schema).parquet(where("postings"))
         df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         if lost is not None:
@@ -119,8 +119,9 @@ class StoredIndex:
         own = self.spark.read.schema(df.schema).parquet(where("terms")) if lost is None else posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         # a table, whose size is known: a small one is broadcast, and only the postings of its terms are looked at further
         frequent = materialize(own.where(F.col("df") >= self.long).select("term"), "stored-frequent")
-        bounds = posts.join(frequent, "term", "left_semi").groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-        ranged(bounds, "term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(where("blocks"))
+        bounds = packed_bounds(new, self.block_chunks).join(frequent, "term", "left_semi")
+        bounds = bounds.repartition(1) if chunks <= SMALL else bounds
+        bounds.sortWithinPartitions("term").select("term", F.inline(F.arrays_zip("block", "n", "max_tf", "min_dl"))).write.mode("overwrite").parquet(where("blocks"))
         size = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"), F.count_distinct("doc_id").alias("docs"))
         total = size(new)
         if lost is not None:
@@ -167,10 +168,22 @@ class StoredIndex:
         """What is there now, with its statistics."""
         return Index(self.postings.drop("block", "batch"), self.chunk_stats, self.corpus_stats, self.doc_freq)
 
+    @property
+    def alone(self) -> bool:
+        """Whether there is one batch, which therefore replaces nothing."""
+        whole = self.batches()
+        return len(whole) == 1 and self._gone().isEmpty()
+
     def merged(self, path: str, source: str = "") -> StoredIndex:
         """What is there now as one batch in another folder: the files of many small batches become few, and
         replaced documents are left behind."""
         if path == self.path:
             raise ValueError("an index is merged into another folder")
         out = StoredIndex(self.spark, path, self.block_chunks, self.long)
+        if self.alone:
+            # one batch is merged already: its tables are copied as they lie, and nothing is shuffled
+            for name in ("forward", "postings", "terms", "blocks", "gone", "totals"):
+                rows = self._rows(name).drop("batch")
+                (rows.withColumn("source", F.lit(source)) if name == "totals" else rows).write.mode("errorifexists" if name == "forward" else "overwrite").parquet(f"{path}/{name}/batch=1")
+            return out
         return out.add(self.live(self._rows("forward")).drop("batch"), 1, source)

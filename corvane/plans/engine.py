@@ -17,8 +17,8 @@ from corvane.functions.metadata import doc_metadata
 from corvane.functions.segment import DEFAULT, Positions, segmented, user_lexicon, with_user_words
 from corvane.functions.text import STOP_WORDS, index_tokens, word_index_tokens
 from corvane.operators import bm25, hybrid, lexicon, prompts, results, vector
-from corvane.operators.chunking import MAX_BYTES, OVERLAP, chunks
-from corvane.operators.index import KEY, Index, counted
+from corvane.operators.chunking import MAX_BYTES, OVERLAP, chunks_arrow
+from corvane.operators.index import KEY, Index, counted, counted_words
 from corvane.operators.stored import StoredIndex
 from corvane.sources import files
 from corvane.sources.shared import fresh_path, materialize
@@ -83,13 +83,18 @@ class Engine:
         given = given.groupBy("doc_id").agg(F.min("text").alias("text"))
         batch = self._begin(given)
         new = self.spark.read.schema(given.schema).parquet(self._folder("documents", batch))
-        cut = chunks(new, self.settings.max_bytes, self.settings.overlap, start_pos=True)
+        cut = chunks_arrow(new, self.settings.max_bytes, self.settings.overlap, start_pos=True)
         cut.sortWithinPartitions(*KEY).write.mode("overwrite").parquet(self._folder("chunks", batch))
         doc_metadata(new).write.mode("overwrite").parquet(self._folder("metadata", batch))
         stored = self.spark.read.schema(cut.schema).parquet(self._folder("chunks", batch))
-        self.stored.add(counted(stored.select(*KEY, self._tokens(F.col("content")).alias("tokens"))), batch, source)
+        self.stored.add(self._counted(stored), batch, source)
         return self
 
+    def _counted(self, cut: DataFrame) -> DataFrame:
+        if self.settings.lexicon is None:
+            return counted_words(cut, self.settings.stop_words)
+        return counted(cut.select(*KEY, self._tokens(F.col("content")).alias("tokens")))
+
     def _folder(self, name: str, batch: int) -> str:
         return f"{self.path}/{name}/batch={batch}"
 

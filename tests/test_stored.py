@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import bm25
-from corvane.operators.index import Index, counted
+from corvane.functions.text import word_index_tokens
+from corvane.operators.index import Index, counted, counted_words, packed_bounds
 from corvane.operators.stored import StoredIndex
 
 
@@ -130,3 +131,41 @@ def test_postings_of_rare_terms_are_shuffled_once(spark, tmp_path):
     # the postings, and each term's count for the dictionary and as it is ranged; not once more for bounds that no term has
     assert index.doc_freq.count() == 8000 and index.blocks.count() == 0
     assert moved < 4 * 8000
+
+
+def stages(spark):
+    store = spark.sparkContext._jsc.sc()
+    store.listenerBus().waitUntilEmpty(30000)
+    seen = spark._jvm.scala.jdk.javaapi.CollectionConverters
+    return {s.stageId(): s.shuffleWriteRecords() for s in seen.asJava(store.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
+
+
+def test_words_are_counted_as_by_expressions(spark):
+    texts = ["The ab a B7 77 7x é 中 中文 ab AB", "", None, "\x00ab\x7fab\ncd", "是 the IS 12.5 ", "x" * 5000, "ÀB àb I\u0307 ab\u2003cd"]
+    docs = spark.createDataFrame([(f"d{i}", i, t) for i, t in enumerate(texts)], "doc_id string, chunk_index int, content string")
+    want = counted(docs.select("doc_id", "chunk_index", word_index_tokens(F.col("content")).alias("tokens")))
+    got = counted_words(docs)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_term_moves_as_one_row_a_pack(spark, tmp_path):
+    docs = spark.range(0, 3000, 1, 3).select(F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.expr("concat('both ', if(id % 2 = 0, 'even', 'odd'))").alias("content"))
+    before = stages(spark)
+    index = StoredIndex(spark, str(tmp_path / "i"), long=100).add(counted_words(docs), 1)
+    # the documents are counted by their ids; of 6,000 postings next to none is moved alone
+    assert sum(n for k, n in stages(spark).items() if k not in before) < 3600
+    assert {(r.term, r.df) for r in index.doc_freq.collect()} == {("both", 3000), ("even", 1500), ("odd", 1500)}
+    own = index.postings.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, index.blocks.select(*own.columns).collect()))
+    assert packed_bounds(spark.read.parquet(f"{index.path}/forward").limit(0), 4).count() == 0
+
+
+def test_one_batch_is_copied_without_a_shuffle(spark, grown, tmp_path):
+    _, now, _ = grown
+    index = StoredIndex(spark, str(tmp_path / "i")).add(rows(spark, now), 1, "s")
+    before = stages(spark)
+    merged = index.merged(str(tmp_path / "m"), "t")
+    # but for the number of batches
+    assert sum(n for k, n in stages(spark).items() if k not in before) < 20
+    assert merged.sources() == {"t"} and merged.next_batch() == 2
+    same(merged, Index.of(rows(spark, now)))
