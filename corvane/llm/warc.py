@@ -88,7 +88,8 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "1970-0
     rows = pick(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     same = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = rows.join(same.select("digest", "first", "n"), "digest", "left")
+    # a table, whose size is known: a small one is broadcast, and pages are neither shuffled nor sorted for it
+    marked = rows.join(materialize(same.select("digest", "first", "n"), "warc-same"), "digest", "left")
     marked = marked.select("page_id", "url", "payload", F.when(F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +123,8 @@ class FilePartition(InputPartition):
 
 class WarcSource(DataSource):
     """spark.read.format("warc"); options: path (a file or folder), files (one a line), or manifest (a Parquet
-    table of `file`); payload = "full" (default) or "none", which never decodes payloads."""
+    table of `file`); payload = "full" (default), "digest", which decodes payloads but hands on their lengths and digests alone, or
+    "none", which never decodes them."""
 
     @classmethod
     def name(cls) -> str:
@@ -170,7 +172,8 @@ class WarcReader(DataSourceReader):
             place, name = filesystem(uri)
             with place.open_input_file(name) as f:
                 for head, payload in records(f, self.takes, self.options.get("payload", "full") != "none"):
-                    yield self.row(uri, head, payload)
+                    row = self.row(uri, head, payload)
+                    yield (*row[:7], None, *row[8:]) if self.options.get("payload") == "digest" else row
 
     def takes(self, head: dict[str, str]) -> bool:
         return all(clean(head.get(h)) in values for h, values in self.wanted)
@@ -334,7 +337,8 @@ def round_trip(pages: DataFrame, path: str | None = None, least_bytes: int = 0)
     spark = pages.sparkSession
     _, manifest = written(write(pages, path or fresh_path(spark, "warc"), least_bytes).select("file"), "warc-manifest")
     # a reader for each, as a source keeps what was pushed to it first
-    found = read(spark, manifest=manifest).where("record_type = 'response'").unionByName(read(spark, manifest=manifest).where("record_type = 'revisit'"))
+    part = lambda kind: read(spark, manifest=manifest, payload="digest").where(F.col("record_type") == kind)
+    found = part("response").unionByName(part("revisit"))
     kind = pages.schema[position(pages, "page_id")].dataType.simpleString()
     number = lambda c: F.when(F.col(c).startswith("urn:page:"), F.substring(F.col(c), 10, 1 << 20)).cast(kind)
     digest = F.substring(F.col("payload_digest"), 6, 32)

@@ -155,3 +155,14 @@ def test_predicates_leave_payloads_alone(tmp_path):
         counted = Counting(f)
         assert len(list(warc.records(counted, lambda h: h["warc-type"] == "revisit", True))) == 1
     assert counted.n < 5 * warc.HEAD < len(data) / 10
+
+
+def test_payloads_are_not_shuffled_nor_handed_on(spark, tmp_path, monkeypatch):
+    path, plans = f"file://{tmp_path}/w", []
+    monkeypatch.setattr(warc, "materialize", lambda df, label, real=warc.materialize: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, label))
+    warc.write(table(spark), path)
+    assert "MapInArrow" in plans[-1] and "BroadcastHashJoin" in plans[-1] and "hashpartitioning" not in plans[-1]
+    full = {r.record_id: r for r in warc.read(spark, path=path).where("record_type = 'response'").collect()}
+    told = {r.record_id: r for r in warc.read(spark, path=path, payload="digest").where("record_type = 'response'").collect()}
+    known = [i for i in full if i.startswith("urn:page:")]
+    assert known and all(told[i].payload is None and told[i].payload_sha1 == full[i].payload_sha1 and told[i].payload_bytes == len(full[i].payload) for i in known)
