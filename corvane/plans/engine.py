@@ -195,13 +195,15 @@ class Engine:
         """What counts of each table, as one batch. It goes to another folder than the engine's own."""
         if path == self.path:
             raise ValueError("the engine's tables are there already")
+        alone = self.stored.alone  # a single batch is copied as it lies
         for name in ("documents", "chunks", "metadata"):
             rows = self._current(name)
-            (rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY) if name == "chunks" else rows).write.mode("overwrite").parquet(f"{path}/{name}/batch=1")
+            (rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY) if name == "chunks" and not alone else rows).write.mode("overwrite").parquet(f"{path}/{name}/batch=1")
         stored = self._all("vectors")
         if stored is not None:
-            kept = self.chunks.select(vector.digest(F.col("content")).alias("digest")).distinct()
-            stored.join(kept, "digest", "left_semi").write.mode("overwrite").parquet(f"{path}/vectors")
+            # what goes is looked for by digests, so that vectors stay where they are if few or none go
+            gone = materialize(vector.without(stored.select("digest").distinct(), vector.digests(self.chunks)), "vectors-gone")
+            (stored if gone.isEmpty() else stored.join(gone, "digest", "left_anti")).write.mode("overwrite").parquet(f"{path}/vectors")
         self.stored.merged(f"{path}/index")
 
     def load(self, path: str) -> Engine:

@@ -296,3 +296,12 @@ def test_fallback_indexes_the_documents_once(spark, monkeypatch):
     monkeypatch.setattr(StoredIndex, "add", lambda self, *a, add=StoredIndex.add: added.append(a[1]) or add(self, *a))
     found = engine_fallback(spark, "/root/testdata/sf0.001")
     assert added == [1] and {r.provider for r in found.select("provider").distinct().collect()} == {"Silent", "Failing", "LateFailing"}
+
+
+def test_stored_contents_do_not_move(spark):
+    put = spark.createDataFrame([("a", 0, "x"), ("b", 0, "y"), ("c", 0, "x")], "doc_id string, chunk_index int, content string")
+    p = vector.HashingProvider()
+    stored = vector.embed_contents(vector.misses(put, None, "m"), p, "m").localCheckpoint()
+    assert vector.misses(put, stored.where("digest <> sha2('x', 256)"), "m").collect() == vector.misses(put.where("content = 'x'"), None, "m").collect()
+    none = vector.misses(put, stored, "m")
+    assert none.count() == 0 and "sha2" not in none._jdf.queryExecution().optimizedPlan().toString()
