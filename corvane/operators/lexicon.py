@@ -21,6 +21,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,26 +29,53 @@ from corvane.functions.segment import HAN_RUN, MAX_WORDS, STATES, Positions
 
 #: Characters of a candidate; occurrences it has at least.
 LONGEST, LEAST = 6, 5
+#: Words whose positions are counted at a time, about.
+WORDS = 250_000
 #: Least cohesion and branching entropy, in nats.
 COHESION, BRANCHING = 2.0, 0.7
 
 
-def _states(words: Column) -> Column:
-    """The states of all characters of a list of words."""
-    own = lambda w: F.when(F.length(w) == 1, F.array(F.lit("S"))).otherwise(F.concat(F.array(F.lit("B")), F.array_repeat(F.lit("M"), F.greatest(F.length(w) - 2, F.lit(0))), F.array(F.lit("E"))))
-    return F.flatten(F.transform(words, own))
-
-
 def position_counts(texts: DataFrame, words: Column) -> DataFrame:
     """kind, state, symbol, n: emit (a character in a state), step (a state after another), start (the first state of a text)."""
-    used = F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: w != "")
-    rows = texts.select(used.alias("w")).where(F.size("w") > 0).select(F.split(F.array_join("w", ""), "").alias("c"), _states(F.col("w")).alias("s"))
-    kept = lambda a: F.filter(a, lambda x: x != "")
-    rows = rows.select(kept(F.col("c")).alias("c"), "s")
-    steps = F.zip_with(F.slice("s", 1, F.size("s") - 1), F.slice("s", 2, F.size("s")), lambda a, b: F.struct(F.lit("step").alias("kind"), a.alias("state"), b.alias("symbol")))
-    emits = F.zip_with("s", "c", lambda s, c: F.struct(F.lit("emit").alias("kind"), s.alias("state"), c.alias("symbol")))
-    first = F.array(F.struct(F.lit("start").alias("kind"), F.get("s", F.lit(0)).alias("state"), F.lit("").alias("symbol")))
-    return rows.select(F.explode(F.concat(emits, F.when(F.size("s") > 1, steps).otherwise(F.slice(emits, 1, 0)), first)).alias("x")).groupBy("x.kind", "x.state", "x.symbol").agg(F.count(F.lit(1)).alias("n"))
+    rows = texts.select(words.alias("w")).where(F.size("w") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            upto = np.cumsum(pc.list_value_length(batch.column(0)).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + WORDS, "right")))
+                codes, n = _position_codes(batch.column(0).slice(at, to - at))
+                codes, where = np.unique(np.concatenate([seen[0], codes]), return_inverse=True)
+                seen, at = (codes, np.bincount(where, np.concatenate([seen[1], n]), len(codes)).astype(np.int64)), to
+        kind, state, symbol = seen[0] >> 26, seen[0] >> 24 & 3, (seen[0] & 0xFFFFFF).tolist()
+        symbols = [chr(c) if k == 0 else STATES[c] if k == 1 else "" for k, c in zip(kind.tolist(), symbol, strict=True)]
+        cells = [pa.array(np.array(["emit", "step", "start"])[kind]), pa.array(np.array(list(STATES))[state]), pa.array(symbols, pa.string()), pa.array(seen[1])]
+        yield pa.RecordBatch.from_arrays([*(c.cast(pa.string()) for c in cells[:3]), cells[3]], names=["kind", "state", "symbol", "n"])
+
+    # a task tells each count once; they are bounded by the alphabet
+    return rows.mapInArrow(run, "kind string, state string, symbol string, n long").groupBy("kind", "state", "symbol").agg(F.sum("n").alias("n"))
+
+
+def _position_codes(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What is counted in some texts' words and how often: the kind (emit, step, start), 2 bits of the state, 24 of a character or state."""
+    words, text = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    used = pc.fill_null(pc.greater(pc.binary_length(words), 0), False)
+    words, text = words.filter(used), text[used.to_numpy(zero_copy_only=False)]
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = pc.utf8_length(words).to_numpy().astype(np.int64)
+    chars = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    last = np.cumsum(size) - 1
+    state = np.full(len(chars), STATES.index("M"), np.int64)
+    state[last - size + 1] = STATES.index("B")
+    state[last] = np.where(size == 1, STATES.index("S"), STATES.index("E"))
+    owner = np.repeat(text, size)
+    new = owner[1:] != owner[:-1]
+    first = state[np.concatenate([[True], new])]
+    step = 1 << 26 | state[:-1][~new] << 24 | state[1:][~new]
+    return np.unique(np.concatenate([state << 24 | chars, step, 2 << 26 | first << 24]), return_counts=True)
 
 
 def positions(counts: DataFrame) -> Positions:
@@ -73,10 +101,11 @@ def substrings(found: DataFrame, longest: int = LONGEST) -> DataFrame:
     """word, n, left, right: substrings of the runs with the characters next to them (empty at a run's ends)."""
     at = F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at")
     size = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("run") - F.col("at") + 1))).alias("size")
-    rows = found.where("run <> ''").select("run", at).select("run", "at", size)
+    # equal runs are one, with a count
+    rows = found.where("run <> ''").groupBy("run").agg(F.count(F.lit(1)).alias("times")).select("run", "times", at).select("run", "times", "at", size)
     before = F.when(F.col("at") > 1, F.substring("run", F.col("at") - 1, F.lit(1))).otherwise("")
     after = F.substring("run", F.col("at") + F.col("size"), F.lit(1))
-    return rows.select(F.substring("run", F.col("at"), F.col("size")).alias("word"), before.alias("left"), after.alias("right")).groupBy("word", "left", "right").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.substring("run", F.col("at"), F.col("size")).alias("word"), before.alias("left"), after.alias("right"), "times").groupBy("word", "left", "right").agg(F.sum("times").alias("n"))
 
 
 def candidates(found: DataFrame, longest: int = LONGEST, least: int = LEAST, cohesion: float = COHESION, branching: float = BRANCHING) -> DataFrame:

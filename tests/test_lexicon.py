@@ -165,3 +165,25 @@ def test_an_engine_learns_words_of_its_documents(spark):
     assert len(after & set(words)) > len(before & set(words)) and len(after & set(words)) >= 25
     asked = docs[7][1].split("。")[0]
     assert any(r.doc_id == "d7" for r in e.search(asked, 5).collect())
+
+
+def test_words_and_positions_are_taken_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from corvane.functions.segment import in_slices
+    from corvane.operators import lexicon
+
+    seen = []
+    got = in_slices(pa.array(["abc", None, "de", "f" * 50, "", "g"]), lambda some: seen.append(sum(len(t or "") for t in some)) or [[t or ""] for t in some], pa.list_(pa.string()), 6)
+    assert got.to_pylist() == [["abc"], [""], ["de"], ["f" * 50], [""], ["g"]] and len(seen) > 2 and sorted(seen)[-2] <= 6
+    codes, n = lexicon._position_codes(pa.array([["中文😀", "", None, "x"], [], None, ["中文"]]))
+    kinds = codes >> 26
+    assert (n[kinds == 0].sum(), n[kinds == 1].sum(), n[kinds == 2].sum()) == (6, 4, 2)
+
+
+def test_equal_runs_are_one_before_they_are_cut(spark):
+    from corvane.operators import lexicon
+
+    found = lexicon.substrings(spark.createDataFrame([("原告",)] * 40, "run string"), 2)
+    assert {(r.word, r.left, r.right, r.n) for r in found.collect()} == {("原", "", "告", 40), ("告", "原", "", 40), ("原告", "", "", 40)}
+    assert "times" in found._jdf.queryExecution().optimizedPlan().toString()
