@@ -7,11 +7,11 @@ checkpoint says which have been read. Each micro-batch is cut into chunks and co
 
     chunks     batch, lang / doc_id, chunk_index, content, byte_offset
     terms      batch / doc_id, chunk_index, dl, terms: the counted terms of each chunk
-    postings   batch, bucket / term, doc_id, chunk_index, tf, dl      (bucket: of the term; sorted by term)
+    postings   batch, bucket / term, doc_id, chunk_index, tf, dl      (bucket: of the term; each file sorted by term)
     documents  batch / doc_id, n_chunks: what the batch holds; a document's last batch counts
     log        batch / documents, left_out, chunks, postings, as JSON
 
-Partitions of a batch that runs again after a failure are overwritten by the same rows, and a run that finds no new
+The folders of a batch that runs again after a failure are overwritten by the same rows, and a run that finds no new
 files writes nothing. Rows without doc_id or text are left out; of rows of one batch that repeat an id the least
 text counts. `chunks`, `postings` give the rows of what is there now. Documents without text have no chunks, but
 take the place of earlier ones.
@@ -28,11 +28,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators.chunking import chunks as cut_into_chunks
-from corvane.operators.index import KEY, counted, postings_of, tokenised
+from corvane.operators.chunking import chunks_arrow
+from corvane.operators.index import KEY, counted_words, packed_words, unpacked
+from corvane.sources.shared import materialize
 
 log = logging.getLogger("jobs.index_feed")
 CONFIG = Path(__file__).with_suffix(".json")
+#: Chunks to a block of `packed`; the job keeps no blocks.
+PACK_CHUNKS = 64
+#: Chunks whose postings are a task's, about; postings of a term in a pack from which on packs are dealt apart.
+SLICE_CHUNKS, LONG = 50_000, 512
 
 
 def settings(path: str | Path = CONFIG) -> dict:
@@ -40,10 +45,28 @@ def settings(path: str | Path = CONFIG) -> dict:
 
 
 def _write(df: DataFrame, out: str, name: str, batch: int, *by: str, kind: str = "parquet") -> DataFrame:
-    """Overwrites the batch's partitions only; what lies there then."""
-    df.withColumn("batch", F.lit(batch)).write.partitionBy("batch", *by).option("partitionOverwriteMode", "dynamic").mode("overwrite").format(kind).save(f"{out}/{name}")
-    schema = df.withColumn("batch", F.lit(batch)).schema
-    return df.sparkSession.read.schema(schema).format(kind).load(f"{out}/{name}").where(F.col("batch") == batch)
+    """Overwrites the batch's folder only; what lies there then."""
+    path = f"{out}/{name}/batch={batch}"
+    df.write.partitionBy(*by).option("partitionOverwriteMode", "static").mode("overwrite").format(kind).save(path)
+    return df.sparkSession.read.schema(df.schema).format(kind).load(path)
+
+
+def _write_postings(packs: DataFrame, n_chunks: int, out: str, batch: int, buckets: int) -> DataFrame:
+    """A task has a slice of a bucket, so that nothing is looked at twice to range it; a term has one slice, but where packs have very
+    many of its postings each has its own."""
+    slices = max(1, -(-n_chunks // (SLICE_CHUNKS * buckets)))
+    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
+    nth = F.pmod(F.xxhash64("term", F.when(F.size("tf") >= LONG, F.col("pack"))), F.lit(slices)).cast("int")
+    packs = packs.select("term", "pack", *KEY, "tf", "dl", bucket.alias("bucket"))
+    dealt = packs.repartitionById(buckets * slices, F.col("bucket") * slices + nth).sortWithinPartitions("bucket", "term", "pack")
+    # they come by bucket already, which Spark cannot know, and need no sort for the folders
+    conf, name = packs.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, buckets)
+    try:
+        return _write(unpacked(dealt, "bucket"), out, "postings", batch, "bucket")
+    finally:
+        conf.set(name, before)
 
 
 def add(docs: DataFrame, batch: int, out: str, config: dict) -> None:
@@ -53,19 +76,16 @@ def add(docs: DataFrame, batch: int, out: str, config: dict) -> None:
     usable = docs.where("doc_id is not null and text is not null")
     one = usable.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("d"))
     # the language goes along in the key, so that the texts are not joined again
-    cut = cut_into_chunks(one.select(F.struct("doc_id", "d.lang").alias("key"), "d.text"), config["max_bytes"], config["overlap"], "key")
+    cut = chunks_arrow(one.select(F.struct("doc_id", "d.lang").alias("key"), "d.text"), config["max_bytes"], config["overlap"], "key")
     whole = _write(cut.select("doc_id.doc_id", "chunk_index", "content", "byte_offset", "doc_id.lang"), out, "chunks", batch, "lang")
-    # a table: postings are ranged, for which Spark looks at their rows twice
-    posts = postings_of(_write(counted(tokenised(whole)), out, "terms", batch))
-    posts = posts.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(config["buckets"])).cast("int"))
-    # by range, so that a frequent term fills several tasks and files
-    posts = posts.repartitionByRange("bucket", "term", *KEY).sortWithinPartitions("bucket", "term", *KEY)
-    stored = _write(posts, out, "postings", batch, "bucket")
+    _write(counted_words(whole), out, "terms", batch)
+    # of the chunks once more: their counted words move less than the terms' table costs to read
+    stored = _write_postings(packed_words(whole, PACK_CHUNKS), whole.count(), out, batch, config["buckets"])
     own = usable.select("doc_id").distinct().join(whole.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks")), "doc_id", "left").na.fill({"n_chunks": 0})
     held = _write(own, out, "documents", batch)
     read = docs.agg(F.count(F.lit(1)).alias("read"), F.count_if(F.expr("doc_id is null or text is null")).alias("left_out"))
     wrote = held.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks")).crossJoin(stored.agg(F.count(F.lit(1)).alias("postings")))
-    told = _write(read.crossJoin(wrote).coalesce(1), out, "log", batch, kind="json").drop("batch").first()
+    told = _write(read.crossJoin(wrote).coalesce(1), out, "log", batch, kind="json").first()
     log.info("batch %d: %s", batch, told.asDict())
 
 
@@ -102,8 +122,16 @@ def batches(spark: SparkSession, out: str) -> set[int]:
 
 
 def _now(spark: SparkSession, out: str, name: str) -> DataFrame:
-    last = _table(spark, out, "documents").groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return _table(spark, out, name).join(last, ["doc_id", "batch"], "left_semi")
+    """Rows of batches whose documents are there, and that no later batch has replaced. What has been replaced is a table, whose size is
+    known: little or nothing as a rule, and then the rows stay where they are."""
+    held = _table(spark, out, "documents")
+    whole = [r.batch for r in held.select("batch").distinct().collect()]
+    rows = _table(spark, out, name).where(F.col("batch").isin(whole))
+    if len(whole) < 2:  # a batch has each document once
+        return rows
+    seen = held.groupBy("doc_id").agg(F.sort_array(F.collect_set("batch"), asc=False).alias("of")).where(F.size("of") > 1)
+    gone = materialize(seen.select("doc_id", F.explode(F.slice("of", 2, F.size("of") - 1)).alias("batch")), "feed-replaced")
+    return rows if gone.isEmpty() else rows.join(gone, ["doc_id", "batch"], "left_anti")
 
 
 def chunks(spark: SparkSession, out: str) -> DataFrame:

@@ -101,6 +101,38 @@ def test_tables_of_no_documents(spark, places):
     assert got(spark, out) == want([(1, "now with words", "en")])
 
 
+def test_postings_are_not_ranged_and_not_joined(spark, places, monkeypatch):
+    folder, out, check = places
+    rows = [(i, f"everywhere word{i % 7} other{i}", "en") for i in range(40)]
+    put(spark, rows, folder)
+    monkeypatch.setattr(J, "SLICE_CHUNKS", 4)
+    monkeypatch.setattr(J, "LONG", 2)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    assert J.run(spark, folder, out, check, J.settings() | {"buckets": 2}) == 1
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert got(spark, out) == want(rows)
+    plan = lambda: J.postings(spark, out)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan()
+    # a bucket is several tasks' work, each of which writes its terms in order
+    files = list(Path(out).glob("postings/batch=0/bucket=0/*.parquet"))
+    assert len(files) > 1
+    for f in files:
+        terms = [r[0] for r in duckdb.execute("SELECT term FROM read_parquet(?, file_row_number = true) ORDER BY file_row_number", [str(f)]).fetchall()]
+        assert terms == sorted(terms)
+    # a second batch that replaces nothing needs no join either, one that does leaves the old rows out
+    more = [(100, "everywhere again", "de")]
+    put(spark, more, folder)
+    assert J.run(spark, folder, out, check, J.settings() | {"buckets": 2}) == 1
+    assert "Join" not in plan() and got(spark, out) == want(rows + more)
+    for text in ("newer", "newest of them"):
+        put(spark, [(0, text, "en")], folder)
+        assert J.run(spark, folder, out, check, J.settings() | {"buckets": 2}) == 1
+    assert got(spark, out) == want(rows[1:] + more + [(0, "newest of them", "en")])
+    # what a failed attempt has left of a batch does not count before its documents are there
+    J._write(spark.createDataFrame([("lost", 5, 0, 1, 1, 0)], "term string, doc_id long, chunk_index int, tf int, dl int, bucket int"), out, "postings", 9, "bucket")
+    assert got(spark, out) == want(rows[1:] + more + [(0, "newest of them", "en")])
+
+
 def test_registered_query_leaves_its_files(spark):
     from corvane.sources.shared import shared_dir
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import bm25
 from corvane.functions.text import word_index_tokens
-from corvane.operators.index import Index, counted, counted_words, packed_bounds
+from corvane.operators.index import Index, counted, counted_words, packed, packed_bounds, packed_words
 from corvane.operators.stored import StoredIndex
 
 
@@ -169,3 +169,10 @@ def test_one_batch_is_copied_without_a_shuffle(spark, grown, tmp_path):
     assert sum(n for k, n in stages(spark).items() if k not in before) < 20
     assert merged.sources() == {"t"} and merged.next_batch() == 2
     same(merged, Index.of(rows(spark, now)))
+
+
+def test_words_are_packed_without_a_table_between(spark):
+    texts = spark.createDataFrame([(f"d{i}", i % 3, f"Common word{i % 5} common 中文字 w{i} 12 a" if i % 4 else "") for i in range(50)] + [("none", 0, None)], "doc_id string, chunk_index int, content string").coalesce(2)
+    found = sorted(map(tuple, packed_words(texts, 4).collect()))
+    assert found == sorted(map(tuple, packed(counted_words(texts), 4).collect())) and any(len(r[3]) > 4 for r in found)
+    assert packed_words(texts.limit(0), 4).count() == 0
