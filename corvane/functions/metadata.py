@@ -54,24 +54,25 @@ def arabic_date(text: Column) -> Column:
 
 def chinese_number(s: Column) -> Column:
     """Digits by place if it has a zero or four characters and more, else tens and ones."""
-    digits = F.translate(s, NUMERALS[:-1], "00123456789")
-    by_place = F.coalesce(F.regexp_replace(digits, "十", "").try_cast("int"), F.lit(0))
+    by_place = F.coalesce(F.translate(s, NUMERALS, "00123456789").try_cast("int"), F.lit(0))
     added = F.aggregate(
-        F.split(digits, ""),
+        F.split(F.translate(s, NUMERALS[:-1], "00123456789"), ""),
         F.lit(0),
         lambda n, c: F.when(c == "十", F.when(n == 0, 10).otherwise(n * 10)).otherwise(n + F.coalesce(c.try_cast("int"), F.lit(0))),
     )
-    return F.when(s.rlike("[〇零]") | (F.length(s) >= 4), by_place).otherwise(added)
+    return F.when(F.contains(s, F.lit("〇")) | F.contains(s, F.lit("零")) | (F.length(s) >= 4), by_place).otherwise(added)
 
 
 def chinese_date(text: Column) -> Column:
     """By the text's first 年, the next 月 and the next 日 after it, in numerals right before each."""
-    # everything up to the first 年, then up to the next 月, then 日
-    shape, tail = r"(?s)^([^年]*)年([^月]+)月([^日]+)日", rf"([{NUMERALS}]*)\z"
-    number = lambda k: _let(F.regexp_extract(F.regexp_extract(text, shape, k), tail, 1), chinese_number)
-    sound = lambda n: (n["y"] > 1900) & n["m"].between(1, 12) & n["d"].between(1, 31)
-    numbers = F.struct(number(1).alias("y"), number(2).alias("m"), number(3).alias("d"))
-    return F.when(F.instr(text, "年") > 0, _let(numbers, lambda n: F.when(sound(n), F.format_string("%04d-%02d-%02d", n["y"], n["m"], n["d"]))))
+    # texts are cut at the signs, and of what stands before one only its end is looked at
+    after = lambda t, sign: F.substring(t, F.instr(t, sign) + 1, F.length(t))
+    tail = lambda t, sign: F.when(F.contains(t, F.lit(sign)), F.reverse(F.regexp_extract(F.reverse(F.substring_index(t, sign, 1)), rf"\A[{NUMERALS}]+", 0))).otherwise("")
+    number = lambda t, sign, then: _let(tail(t, sign), lambda s: F.when(s != "", _let(chinese_number(s), then)))
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    day = lambda y, m, t: number(t, "日", lambda d: F.when(d.between(1, 31), F.concat_ws("-", y.cast("string"), two(m), two(d))))
+    month = lambda y, t: number(t, "月", lambda m: F.when(m.between(1, 12), _let(after(t, "月"), lambda u: day(y, m, u))))
+    return number(text, "年", lambda y: F.when(y > 1900, _let(after(text, "年"), lambda t: month(y, t))))
 
 
 def date(text: Column) -> Column:

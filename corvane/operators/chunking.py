@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,19 +106,26 @@ def chunks_arrow(docs: DataFrame, max_bytes: int = MAX_BYTES, overlap: int = OVE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in cut_by_bytes(batch, 1, CUT_BYTES):
+                sizes = pc.fill_null(pc.binary_length(part.column(1)), 0).to_numpy(zero_copy_only=False)
+                # a text that is one chunk is it as it stands; only the others are looked at one by one
+                whole, rest = np.flatnonzero((sizes > 0) & (sizes <= max(max_bytes, 1))), np.flatnonzero(sizes > max(max_bytes, 1))
                 at, nth, content, begin, ahead = [], [], [], [], []
-                for row, b in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
+                for row, b in zip(rest.tolist(), part.column(1).take(pa.array(rest)).cast(pa.binary()).to_pylist(), strict=True):
                     before = 0
-                    for k, (a, z) in enumerate(spans(b or b"", max_bytes, overlap)):
+                    for k, (a, z) in enumerate(spans(b, max_bytes, overlap)):
                         at.append(row)
                         nth.append(k)
                         content.append(b[a:z])
                         begin.append(a)
                         ahead.append(before)
                         before += z - a
-                ids = part.column(0).take(pa.array(at, pa.int64()))
-                cells = [pa.array(nth, pa.int32()), pa.array(content, pa.binary()).cast(pa.string()), pa.array(begin, pa.int32()), pa.array(ahead, pa.int32())]
-                yield pa.RecordBatch.from_arrays([ids, *cells[: len(names)]], names=["doc_id", *names])
+                none = pa.array(np.zeros(len(whole), np.int32))
+                of = np.concatenate([whole, np.array(at, np.int64)])
+                order = pa.array(np.argsort(of, kind="stable"))
+                both = lambda short, long: pa.concat_arrays([short, long]).take(order)  # noqa: B023, E731
+                texts = both(part.column(1).take(pa.array(whole)).cast(pa.string()), pa.array(content, pa.binary()).cast(pa.string()))
+                cells = [both(none, pa.array(nth, pa.int32())), texts, both(none, pa.array(begin, pa.int32())), both(none, pa.array(ahead, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of).take(order)), *cells[: len(names)]], names=["doc_id", *names])
 
     return rows.mapInArrow(run, schema)
 

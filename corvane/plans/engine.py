@@ -79,8 +79,8 @@ class Engine:
         self.path = self.path or fresh_path(self.spark, "engine")
         if source and source in self.stored.sources():
             return self
-        given = docs.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''")
-        given = given.groupBy("doc_id").agg(F.min("text").alias("text"))
+        # not as a filter of the texts: Catalyst would put it below what makes them, which then makes them twice
+        given = docs.select("doc_id", "text").where("doc_id is not null").groupBy("doc_id").agg(F.min(F.when(F.col("text") != "", F.col("text"))).alias("text")).where("text is not null")
         batch = self._begin(given)
         new = self.spark.read.schema(given.schema).parquet(self._folder("documents", batch))
         cut = chunks_arrow(new, self.settings.max_bytes, self.settings.overlap, start_pos=True)

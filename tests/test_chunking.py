@@ -95,3 +95,11 @@ def test_long_texts_in_time(spark, unit):
     got = chunks(one, start_pos=True).agg(F.count(F.lit(1)), F.sum(F.xxhash64("chunk_index", "content", "byte_offset", "start_pos").cast("decimal(38,0)"))).first()
     assert time.perf_counter() - start < 20
     assert got == chunks_arrow(one, start_pos=True).agg(F.count(F.lit(1)), F.sum(F.xxhash64("chunk_index", "content", "byte_offset", "start_pos").cast("decimal(38,0)"))).first()
+
+
+def test_short_and_long_texts_in_turn(spark):
+    texts = ["short", None, "é" * 300, "", "x. " * 400, "z", "é" * 256, "é" * 256 + "y", "last"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string").coalesce(1)
+    got = [tuple(r) for r in chunks_arrow(docs, start_pos=True).collect()]
+    assert got == [tuple(r) for r in chunks(docs, start_pos=True).collect()] and len({g[0] for g in got}) == 21
+    assert [tuple(r) for r in chunks_arrow(docs, 1, 0).collect()] == [(i, k, c, len(t[:k].encode())) for i, t in enumerate(texts * 3) for k, c in enumerate(t or "")]

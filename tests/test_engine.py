@@ -3,6 +3,7 @@ import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.operators import prompts, results, vector
 from corvane.plans.engine import Engine, legal, remote
@@ -305,3 +306,16 @@ def test_stored_contents_do_not_move(spark):
     assert vector.misses(put, stored.where("digest <> sha2('x', 256)"), "m").collect() == vector.misses(put.where("content = 'x'"), None, "m").collect()
     none = vector.misses(put, stored, "m")
     assert none.count() == 0 and "sha2" not in none._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_that_are_made_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        made.add(1)
+        return None if i == 3 else "" if i == 4 else f"text {i}"
+
+    docs = spark.createDataFrame([(i,) for i in range(10)] + [(None,)], "doc_id long")
+    e = Engine(spark).add(docs.select("doc_id", F.udf(text, "string")("doc_id").alias("text")))
+    assert made.value == 10
+    assert {tuple(r) for r in e.documents.select("doc_id", "text").collect()} == {(i, f"text {i}") for i in range(10) if i not in (3, 4)}

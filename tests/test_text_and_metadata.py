@@ -75,6 +75,43 @@ def test_chinese_numbers(spark, s, n):
     assert spark.createDataFrame([(s,)], "s string").select(meta.chinese_number(F.col("s"))).first()[0] == n
 
 
+def _date_by_hand(text):
+    """As chinese_date tells it, by plain search."""
+    value, at = [], 0
+    for sign in "年月日":
+        to = text.find(sign, at)
+        if to < 0:
+            return None
+        head = text[at:to]
+        s = head[len(head.rstrip(meta.NUMERALS)) :]
+        digits = [meta.NUMERALS[:-1].find(c) - (c not in "零十") if c != "十" else 10 for c in s]
+        if set(s) & {"〇", "零"} or len(s) >= 4:
+            n = int("".join(str(d) for d in digits if d < 10) or "0")
+            n = n if n < 2**31 else 0
+        else:
+            n = 0
+            for d in digits:
+                n = (n * 10 if n else 10) if d == 10 else n + d
+        value.append(n)
+        at = to + 1
+    y, m, d = value
+    return f"{y:04d}-{m:02d}-{d:02d}" if y > 1900 and 1 <= m <= 12 and 1 <= d <= 31 else None
+
+
+def test_chinese_dates_of_any_shape(spark):
+    rng = random.Random(5)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(rng.randrange(n)))
+    texts = [pick("甲\n年月日" + meta.NUMERALS, 25) for _ in range(300)]
+    for _ in range(300):
+        gap = lambda: rng.choice(["", "", "", "甲 ", "年", "一\n", "日"])
+        texts.append(f"{gap()}{rng.choice(['一九', '二〇', '二零', '十', ''])}{pick(meta.NUMERALS, 4)}年{gap()}{pick(meta.NUMERALS, 4)}月{gap()}{pick(meta.NUMERALS, 4)}日{gap()}")
+    texts += ["一九九九九年一月一日", "九九九九九九九九九九九年一月一日", "二〇〇〇年十月十日", "年一九九九年一月一日"]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", meta.chinese_date(F.col("t")).alias("d"))
+    got = {r.i: r.d for r in found.collect()}
+    assert [got[i] for i in range(len(texts))] == [_date_by_hand(t) for t in texts]
+    assert sum(d is not None for d in got.values()) > 20
+
+
 def test_court_levels(spark):
     df = spark.createDataFrame([("最高人民法院",), ("某高级人民法院",), ("某中级人民法院",), ("某区人民法院",), ("",), (None,)], "c string")
     assert [r[0] for r in df.select(meta.court_level(F.col("c"))).collect()] == ["最高", "高级", "中级", "基层", "", ""]
