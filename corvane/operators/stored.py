@@ -2,18 +2,21 @@
 
 A batch is written once and never changed. Below the folder of the index lie, each with a folder per batch,
 
-    forward   doc_id, chunk_index, dl, terms: a row per chunk, as `index.counted` makes them
-    postings  term, block, doc_id, chunk_index, tf, dl: ranged and sorted by term, so that a filter by terms
-              reaches the scan and all but the row groups that may hold them are skipped. They move as lists (`index.packed`)
-    terms     term, df: the term dictionary, ranged by term too. Negative where the batch replaces documents
+    forward   doc_id, chunk_index, dl: a row per chunk. Where a batch was made of rows of `index.counted`, their terms too, of which its
+              postings are made
+    postings  term, n, and the lists block, doc_id, chunk_index, tf, dl: rows of `index.sorted_runs`. A file is one or more runs, each by term,
+              so that a filter by terms reaches the scan and all but the pages that may hold them are skipped. A run is made
+              where its chunks are read, and is not shuffled; a small batch is one
+    terms     term, df: the batch's term dictionary, each file sorted by term
     blocks    term, block, n, max_tf, min_dl, each file sorted by term: of terms with LONG postings or more in the batch, the bounds that
-              `bm25.search_pruned` skips blocks by. Chunks that stand next to each other in `forward` are a block
+              `bm25.search_pruned` skips blocks by. Chunks that stand next to each other are a block. Without LONG (None) no term has
+              blocks, and every list is read whole
     gone      doc_id, of: documents that the batch replaces, and the batch that had them
     totals    n, length, terms of the batch, less what it replaces. It is written last: a batch counts once its
               totals are there, so what a failed attempt has left is never read
 
-Sums over `terms` and `totals` are the statistics of what is there now; nothing is counted anew for a search. What a
-replacement takes away is read from `forward`, of the replaced documents alone. One writer at a time: `add` refuses a
+Sums over `terms` and `totals` are the statistics of what is there now, of `terms` less what replaced documents had. That is read from
+`postings` for the terms of a search; no other is counted anew. One writer at a time: `add` refuses a
 batch that another one has begun. A `StoredIndex` shows the batches that were there when it was first read, and its own; a new one
 shows others' too.
 
@@ -22,6 +25,7 @@ Rows without doc_id are left out. A document without tokens has its chunks with
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -29,8 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.operators.index import KEY, Index, packed, packed_bounds, postings_of, unpacked
-from corvane.sources.shared import materialize
+from corvane.functions.text import STOP_WORDS
+from corvane.operators.index import KEY, Index, counted_words, run_bounds, sorted_runs, sorted_word_runs
+from corvane.sources.shared import STORED, materialize
 
 #: Chunks to a block, about; postings from which on a term has blocks.
 BLOCK_CHUNKS, LONG = 64, 512
@@ -43,7 +48,7 @@ class StoredIndex:
     spark: SparkSession
     path: str
     block_chunks: int = BLOCK_CHUNKS
-    long: int = LONG
+    long: int | None = LONG
     _whole: list[int] | None = field(default=None, repr=False)
     _replaced: bool | None = field(default=None, repr=False)
 
@@ -83,62 +88,85 @@ class StoredIndex:
 
     def live(self, rows: DataFrame) -> DataFrame:
         """rows: doc_id and batch, of any table that is written by the same batches. Those that no later batch has replaced."""
-        gone = self._gone()
+        return rows.join(self._gone(), ["doc_id", "batch"], "left_anti") if self._replaces() else rows
+
+    def _replaces(self) -> bool:
+        """Whether any document has been replaced."""
         if self._replaced is None:
+            gone = self._gone()
             self._replaced = gone is not None and not gone.isEmpty()
-        return rows.join(gone, ["doc_id", "batch"], "left_anti") if self._replaced else rows
+        return self._replaced
 
     def add(self, rows: DataFrame, batch: int, source: str = "") -> StoredIndex:
         """rows of `index.counted`; all chunks of their documents, which take the place of those that are there."""
         before = self._rows("forward")
-        where = lambda name: f"{self.path}/{name}/batch={batch}"
-        rows.where("doc_id is not null").select(*KEY, "dl", "terms").write.mode("errorifexists").parquet(where("forward"))
-        new = self.spark.read.parquet(where("forward"))
+        rows.where("doc_id is not null").select(*KEY, "dl", "terms").write.options(**STORED).mode("errorifexists").parquet(self._at("forward", batch))
+        new = self.spark.read.parquet(self._at("forward", batch))
+        posts = sorted_runs(new.coalesce(1) if new.count() <= SMALL else new, self.block_chunks)
+        posts.write.options(**STORED).mode("overwrite").parquet(self._at("postings", batch))
+        return self._told(before, new, batch, source)
+
+    def add_texts(self, texts: DataFrame, batch: int, source: str = "", stop_words: Sequence[str] = STOP_WORDS) -> StoredIndex:
+        """add(counted_words(texts)); texts are read twice, so best a table. Those of a large batch are counted and turned round at once."""
+        texts = texts.where("doc_id is not null")
+        if texts.count() <= SMALL:
+            return self.add(counted_words(texts, stop_words), batch, source)
+        before = self._rows("forward")
+        posts = sorted_word_runs(texts, self.block_chunks, stop_words)
+        posts.write.options(**STORED).mode("errorifexists").parquet(self._at("postings", batch))
+        chunks = self.spark.read.schema(posts.schema).parquet(self._at("postings", batch)).where("term is null")
+        chunks.select(F.inline_outer(F.arrays_zip(*KEY, "dl"))).write.options(**STORED).mode("errorifexists").parquet(self._at("forward", batch))
+        return self._told(before, self.spark.read.parquet(self._at("forward", batch)), batch, source)
+
+    def _at(self, name: str, batch: int) -> str:
+        return f"{self.path}/{name}/batch={batch}"
+
+    def _told(self, before: DataFrame | None, new: DataFrame, batch: int, source: str) -> StoredIndex:
+        """Ends a batch whose chunks (`new`) and postings are there: what it replaces of those before, and the sums."""
+        where = lambda name: self._at(name, batch)
+        lost = None
         if before is None:
             gone = new.select("doc_id", F.lit(0).alias("of")).limit(0)
-            lost = None
         else:
             gone = self.live(before.select("doc_id", "batch").distinct()).join(new.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("batch").alias("of"))
-        gone.write.mode("overwrite").parquet(where("gone"))
+        gone.write.options(**STORED).mode("overwrite").parquet(where("gone"))
         if before is not None:
-            old = self.spark.read.schema(T.StructType([new.schema["doc_id"], T.StructField("of", T.IntegerType())])).parquet(where("gone"))
-            lost = before.join(old.withColumnRenamed("of", "batch"), ["doc_id", "batch"], "left_semi")
+            old = self.spark.read.schema(T.StructType([new.schema["doc_id"], T.StructField("of", T.IntegerType())])).parquet(where("gone")).withColumnRenamed("of", "batch")
+            # batches that lose nothing are not read
+            losing = [r.batch for r in old.select("batch").distinct().collect()]
+            if losing:
+                lost = before.where(F.col("batch").isin(losing)).join(old, ["doc_id", "batch"], "left_semi")
         chunks = new.count()
+        small = chunks <= SMALL
         blocks = max(1, -(-chunks // self.block_chunks))
-        ranged = lambda df, *by: df.repartition(1) if chunks <= SMALL else df.repartitionByRange(*by)
-        # ranged by packs too, so that a term of very many chunks fills several files
-        posts = unpacked(ranged(packed(new, self.block_chunks), "term", "pack").sortWithinPartitions("term", "pack"))
-        posts.write.mode("overwrite").parquet(where("postings"))
-        posts = self.spark.read.schema(posts.schema).parquet(where("postings"))
-        df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        if lost is not None:
-            less = postings_of(lost).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
-            df = df.unionByName(less).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
-        ranged(df, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(where("terms"))
-        # the dictionary is there already, and without replaced documents it has the batch's own counts
-        own = self.spark.read.schema(df.schema).parquet(where("terms")) if lost is None else posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        # a table, whose size is known: a small one is broadcast, and only the postings of its terms are looked at further
-        frequent = materialize(own.where(F.col("df") >= self.long).select("term"), "stored-frequent")
-        bounds = packed_bounds(new, self.block_chunks).join(frequent, "term", "left_semi")
-        bounds = bounds.repartition(1) if chunks <= SMALL else bounds
-        bounds.sortWithinPartitions("term").select("term", F.inline(F.arrays_zip("block", "n", "max_tf", "min_dl"))).write.mode("overwrite").parquet(where("blocks"))
+        packs = self.spark.read.parquet(where("postings")).where("term is not null")
+        df = packs.groupBy("term").agg(F.sum("n").alias("df"))
+        df = df.repartition(1) if small else df
+        df.sortWithinPartitions("term").write.options(**STORED).mode("overwrite").parquet(where("terms"))
+        if self.long is not None:
+            # a table, whose size is known: a small one is broadcast, and only the postings of its terms are looked at further
+            frequent = materialize(self.spark.read.schema(df.schema).parquet(where("terms")).where(F.col("df") >= self.long).select("term"), "stored-frequent")
+            bounds = run_bounds(packs.join(frequent, "term", "left_semi"))
+            bounds.sortWithinPartitions("term").select("term", F.inline_outer(F.arrays_zip("block", "n", "max_tf", "min_dl"))).write.options(**STORED).mode("overwrite").parquet(where("blocks"))
         size = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"), F.count_distinct("doc_id").alias("docs"))
         total = size(new)
         if lost is not None:
             total = total.crossJoin(size(lost).toDF("ln", "ll", "ld")).select((F.col("n") - F.col("ln")).alias("n"), (F.col("length") - F.col("ll")).alias("length"), (F.col("docs") - F.col("ld")).alias("docs"))
-        total.select("*", F.lit(blocks).alias("blocks"), F.lit(source).alias("source")).coalesce(1).write.mode("overwrite").parquet(where("totals"))
+        total.select("*", F.lit(blocks).alias("blocks"), F.lit(source).alias("source")).coalesce(1).write.options(**STORED).mode("overwrite").parquet(where("totals"))
         self._whole = self._replaced = None
         return self
 
     def next_batch(self) -> int:
         """One more than any that was begun."""
-        begun = self._read("forward")
-        return 1 + ((begun.agg(F.max("batch")).first()[0] or 0) if begun is not None else 0)
+        begun = [found.agg(F.max("batch")).first()[0] or 0 for name in ("forward", "postings") if (found := self._read(name)) is not None]
+        return 1 + max(begun, default=0)
 
     @property
     def postings(self) -> DataFrame:
         """term, block, doc_id, chunk_index, tf, dl, batch of what is there now."""
-        return self.live(self._rows("postings"))
+        # outer: Catalyst would else put a filter on the lists below, which makes them twice
+        lists = F.inline_outer(F.arrays_zip("block", *KEY, "tf", "dl"))
+        return self.live(self._rows("postings").where("term is not null").select("term", "batch", lists)).select("term", "block", *KEY, "tf", "dl", "batch")
 
     @property
     def chunk_stats(self) -> DataFrame:
@@ -152,13 +180,18 @@ class StoredIndex:
 
     @property
     def doc_freq(self) -> DataFrame:
-        """term, df of terms that are there now."""
-        return self._rows("terms").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        """term, df of terms that are there now. What replaced documents had of them is counted here, of the terms that are asked for."""
+        rows = self._rows("terms").select("term", F.col("df").cast("long").alias("df"))
+        if self._replaces():
+            had = self._rows("postings").where("term is not null").select("term", "batch", F.explode_outer("doc_id").alias("doc_id"))
+            rows = rows.unionByName(had.join(self._gone(), ["doc_id", "batch"], "left_semi").select("term", F.lit(-1).cast("long").alias("df")))
+        return rows.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
     @property
     def blocks(self) -> DataFrame:
         """batch, term, block, n, max_tf, min_dl. Replaced documents count still, so bounds are bounds all the same."""
-        return self._rows("blocks")
+        found = self._rows("blocks")
+        return self.spark.createDataFrame([], "term string, block int, n long, max_tf int, min_dl int, batch int") if found is None else found
 
     def size(self) -> DataFrame:
         """One row: distinct terms, chunks, documents."""
@@ -183,7 +216,10 @@ class StoredIndex:
         if self.alone:
             # one batch is merged already: its tables are copied as they lie, and nothing is shuffled
             for name in ("forward", "postings", "terms", "blocks", "gone", "totals"):
-                rows = self._rows(name).drop("batch")
-                (rows.withColumn("source", F.lit(source)) if name == "totals" else rows).write.mode("errorifexists" if name == "forward" else "overwrite").parquet(f"{path}/{name}/batch=1")
+                if (rows := self._rows(name)) is None:  # no bounds
+                    continue
+                rows = rows.drop("batch")
+                (rows.withColumn("source", F.lit(source)) if name == "totals" else rows).write.options(**STORED).mode("errorifexists" if name == "forward" else "overwrite").parquet(f"{path}/{name}/batch=1")
             return out
-        return out.add(self.live(self._rows("forward")).drop("batch"), 1, source)
+        terms = self.postings.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms"))
+        return out.add(self.chunk_stats.join(terms, list(KEY), "left"), 1, source)

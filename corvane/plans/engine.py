@@ -18,12 +18,14 @@ from corvane.functions.segment import DEFAULT, Positions, segmented, user_lexico
 from corvane.functions.text import STOP_WORDS, index_tokens, word_index_tokens
 from corvane.operators import bm25, hybrid, lexicon, prompts, results, vector
 from corvane.operators.chunking import MAX_BYTES, OVERLAP, chunks_arrow
-from corvane.operators.index import KEY, Index, counted, counted_words
+from corvane.operators.index import KEY, Index, counted
 from corvane.operators.stored import StoredIndex
 from corvane.sources import files
-from corvane.sources.shared import fresh_path, materialize
+from corvane.sources.shared import STORED, fresh_path, materialize
 
 log = logging.getLogger(__name__)
+#: Documents from which on a batch is written as it comes, if no id repeats; smaller ones become few files.
+DIRECT = 5_000
 
 
 @dataclass
@@ -79,21 +81,18 @@ class Engine:
         self.path = self.path or fresh_path(self.spark, "engine")
         if source and source in self.stored.sources():
             return self
-        # not as a filter of the texts: Catalyst would put it below what makes them, which then makes them twice
-        given = docs.select("doc_id", "text").where("doc_id is not null").groupBy("doc_id").agg(F.min(F.when(F.col("text") != "", F.col("text"))).alias("text")).where("text is not null")
+        given = _given(docs)
         batch = self._begin(given)
         new = self.spark.read.schema(given.schema).parquet(self._folder("documents", batch))
         cut = chunks_arrow(new, self.settings.max_bytes, self.settings.overlap, start_pos=True)
-        cut.sortWithinPartitions(*KEY).write.mode("overwrite").parquet(self._folder("chunks", batch))
-        doc_metadata(new).write.mode("overwrite").parquet(self._folder("metadata", batch))
+        cut.sortWithinPartitions(*KEY).write.options(**STORED).mode("overwrite").parquet(self._folder("chunks", batch))
+        doc_metadata(new).write.options(**STORED).mode("overwrite").parquet(self._folder("metadata", batch))
         stored = self.spark.read.schema(cut.schema).parquet(self._folder("chunks", batch))
-        self.stored.add(self._counted(stored), batch, source)
-        return self
-
-    def _counted(self, cut: DataFrame) -> DataFrame:
         if self.settings.lexicon is None:
-            return counted_words(cut, self.settings.stop_words)
-        return counted(cut.select(*KEY, self._tokens(F.col("content")).alias("tokens")))
+            self.stored.add_texts(stored, batch, source, self.settings.stop_words)
+        else:
+            self.stored.add(counted(stored.select(*KEY, self._tokens(F.col("content")).alias("tokens"))), batch, source)
+        return self
 
     def _folder(self, name: str, batch: int) -> str:
         return f"{self.path}/{name}/batch={batch}"
@@ -104,7 +103,7 @@ class Engine:
         batch = max(self.stored.next_batch(), 1 + ((found.agg(F.max("batch")).first()[0] or 0) if found is not None else 0))
         for last in (False,) * 9 + (True,):
             try:
-                given.write.mode("errorifexists").parquet(self._folder("documents", batch))
+                given.write.options(**STORED).mode("errorifexists").parquet(self._folder("documents", batch))
                 return batch
             except AnalysisException:
                 if last:
@@ -198,12 +197,12 @@ class Engine:
         alone = self.stored.alone  # a single batch is copied as it lies
         for name in ("documents", "chunks", "metadata"):
             rows = self._current(name)
-            (rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY) if name == "chunks" and not alone else rows).write.mode("overwrite").parquet(f"{path}/{name}/batch=1")
+            (rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY) if name == "chunks" and not alone else rows).write.options(**STORED).mode("overwrite").parquet(f"{path}/{name}/batch=1")
         stored = self._all("vectors")
         if stored is not None:
             # what goes is looked for by digests, so that vectors stay where they are if few or none go
             gone = materialize(vector.without(stored.select("digest").distinct(), vector.digests(self.chunks)), "vectors-gone")
-            (stored if gone.isEmpty() else stored.join(gone, "digest", "left_anti")).write.mode("overwrite").parquet(f"{path}/vectors")
+            (stored if gone.isEmpty() else stored.join(gone, "digest", "left_anti")).write.options(**STORED).mode("overwrite").parquet(f"{path}/vectors")
         self.stored.merged(f"{path}/index")
 
     def load(self, path: str) -> Engine:
@@ -226,7 +225,7 @@ class Engine:
         model = vector.model_of(self.embedding)
         todo = vector.misses(self.chunks, self._all("vectors"), model)
         # a failed append leaves nothing behind, and what two writers have both asked for is read once
-        vector.embed_contents(todo, self.embedding, model).write.mode("append").parquet(f"{self.path}/vectors")
+        vector.embed_contents(todo, self.embedding, model).write.options(**STORED).mode("append").parquet(f"{self.path}/vectors")
         return self.vectors
 
     def queries(self, texts: Iterable[str]) -> DataFrame:
@@ -301,6 +300,18 @@ class Engine:
         return Answer(prompts.generate(self.chat, system, user, on_text), kept, years, user)
 
 
+def _given(docs: DataFrame) -> DataFrame:
+    """doc_id, text of documents that have both, one row an id."""
+    rows = docs.select("doc_id", "text").where("doc_id is not null")
+    # ids alone tell whether texts have to be shuffled
+    n, most = rows.groupBy("doc_id").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()
+    # neither is a filter of the texts: Catalyst would put it below what makes them, which then makes them twice
+    if n >= DIRECT and most == 1:
+        kept = F.filter(F.array(F.struct("doc_id", "text")), lambda r: r["text"] != "")
+        return rows.select(F.inline_outer(kept)).where("doc_id is not null")
+    return rows.groupBy("doc_id").agg(F.min(F.when(F.col("text") != "", F.col("text"))).alias("text")).where("text is not null")
+
+
 def legal(spark: SparkSession, **options) -> Engine:
     """An engine for Chinese legal texts."""
     return Engine(spark, Settings(lexicon=DEFAULT), **options)

@@ -9,6 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: How tables that stay are written.
+STORED = {"compression": "zstd"}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """It is spark.checkpoint.dir; where the session has none (tests, local mode), a folder of this

@@ -319,3 +319,18 @@ def test_texts_that_are_made_are_made_once(spark):
     e = Engine(spark).add(docs.select("doc_id", F.udf(text, "string")("doc_id").alias("text")))
     assert made.value == 10
     assert {tuple(r) for r in e.documents.select("doc_id", "text").collect()} == {(i, f"text {i}") for i in range(10) if i not in (3, 4)}
+
+
+def test_texts_without_repeated_ids_are_not_shuffled(spark, monkeypatch):
+    """Large batches; those with repeated ids are put together as small ones are."""
+    from corvane.plans import engine as plans
+
+    monkeypatch.setattr(plans, "DIRECT", 1)
+    rows = [(i, None if i == 3 else "" if i == 4 else f"text {i}") for i in range(10)] + [(None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(i, f"text {i}") for i in range(10) if i not in (3, 4)}
+    given = plans._given(docs)
+    assert "Exchange" not in given._jdf.queryExecution().executedPlan().toString() and {tuple(r) for r in given.collect()} == want
+    twice = docs.unionByName(docs.where("doc_id in (3, 5)").withColumn("text", F.lit("other")))
+    assert {tuple(r) for r in plans._given(twice).collect()} == want - {(5, "text 5")} | {(3, "other"), (5, "other")}
+    assert {tuple(r) for r in Engine(spark).add(docs).documents.select("doc_id", "text").collect()} == want

@@ -176,3 +176,32 @@ def test_words_are_packed_without_a_table_between(spark):
     found = sorted(map(tuple, packed_words(texts, 4).collect()))
     assert found == sorted(map(tuple, packed(counted_words(texts), 4).collect())) and any(len(r[3]) > 4 for r in found)
     assert packed_words(texts.limit(0), 4).count() == 0
+
+
+def test_runs_are_not_shuffled_and_tell_the_same(spark, grown, tmp_path, monkeypatch):
+    """Large batches: postings stay where their chunks are read, and none of their counted rows is stored besides."""
+    from corvane.operators import index as made, stored
+
+    monkeypatch.setattr(stored, "SMALL", 0)
+    monkeypatch.setattr(made, "RUN_POSTINGS", 40)
+    monkeypatch.setattr(made, "HANDED", 7)
+    word = lambda i: f"concat('both ', if({i} % 2 = 0, 'even ', 'odd '), 'w', {i} % 7, if({i} % 5 = 0, ' both', ''))"
+    docs = spark.range(0, 300, 1, 3).select(F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.expr(f"if(id = 8, '', {word('id')})").alias("content"))
+    before = stages(spark)
+    index = StoredIndex(spark, str(tmp_path / "i"), block_chunks=4, long=20).add_texts(docs, 1)
+    # the ids for their number, and a count of each term a task
+    assert sum(n for k, n in stages(spark).items() if k not in before) < 500
+    assert "terms" not in spark.read.parquet(f"{index.path}/forward").columns
+    same(index, Index.of(counted_words(docs)))
+    again = docs.where("doc_id % 3 = 0").select("doc_id", "chunk_index", F.concat("content", F.lit(" again")).alias("content"))
+    index.add_texts(again, 2)
+    now = Index.of(counted_words(docs.where("doc_id % 3 > 0").unionByName(again)))
+    same(index, now)
+    assert index.doc_freq.where("term = 'again'").first().df == 100
+    same(index.merged(str(tmp_path / "m")), now)
+    # without bounds the same is found
+    plain = StoredIndex(spark, str(tmp_path / "p"), long=None).add_texts(docs, 1).add_texts(again, 2)
+    asked = spark.createDataFrame([(0, ["both", "w3"]), (1, ["again", "even"])], "query_id long, terms array<string>")
+    key = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.bm25_score, 9)) for r in df.collect())
+    assert plain.blocks.count() == 0 and index.blocks.count() > 0
+    assert key(bm25.search_pruned(plain, asked, 3).found) == key(bm25.search_pruned(index, asked, 3, 1).found) == key(bm25.search(now, asked, 3))
