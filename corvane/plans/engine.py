@@ -63,7 +63,7 @@ class Engine:
 
     @property
     def stored(self) -> StoredIndex:
-        return StoredIndex(self.spark, f"{self.path}/index")
+        return StoredIndex(self.spark, f"{self.path}/index", long=None)  # its searches read whole lists
 
     @property
     def empty(self) -> bool:

@@ -334,3 +334,16 @@ def test_texts_without_repeated_ids_are_not_shuffled(spark, monkeypatch):
     twice = docs.unionByName(docs.where("doc_id in (3, 5)").withColumn("text", F.lit("other")))
     assert {tuple(r) for r in plans._given(twice).collect()} == want - {(5, "text 5")} | {(3, "other"), (5, "other")}
     assert {tuple(r) for r in Engine(spark).add(docs).documents.select("doc_id", "text").collect()} == want
+
+
+def test_an_engine_keeps_what_its_searches_read(spark, monkeypatch):
+    """Large batches: no counted rows beside the postings, no bounds; what replaced texts had of a term is told by the search."""
+    from corvane.operators import stored
+
+    monkeypatch.setattr(stored, "SMALL", 0)
+    put = lambda *rows: spark.createDataFrame(list(rows), "doc_id string, text string")
+    e = Engine(spark).add(put(("a", "alpha beta"), ("b", "beta"))).add(put(("a", "beta gamma")))
+    assert "terms" not in spark.read.parquet(f"{e.path}/index/forward").columns and e.stored._rows("blocks") is None
+    assert {(r.term, r.df) for r in e.stored.doc_freq.collect()} == {("beta", 2), ("gamma", 1)}
+    assert e.search("alpha").count() == 0
+    assert [tuple(r) for r in e.search("beta gamma").collect()] == [tuple(r) for r in Engine(spark).add(put(("a", "beta gamma"), ("b", "beta"))).search("beta gamma").collect()]
